@@ -156,7 +156,14 @@ class LabelModel:
             p[y, :, 1 - y] = np.clip(voted[1 - y] * wrong, 1e-4, 0.98)
             p[y, :, 2] = np.clip(1 - p[y, :, 0] - p[y, :, 1], 1e-4, 1)
         p /= p.sum(2, keepdims=True)
-        self.weights = np.ones(m)
+        # to begin with, near copies share one weight, else they would define the class
+        x = one_hot[:, :, 1] - one_hot[:, :, 0]
+        x = x - np.average(x, axis=0, weights=count)
+        cov = (x * count[:, None]).T @ x
+        sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
+        copies = np.clip(cov / np.outer(sd, sd) - 0.8, 0, None) * 5
+        np.fill_diagonal(copies, 0)
+        self.weights = 1 / (1 + copies.sum(1))
         for _ in range(self.rounds):
             q = self._posterior(one_hot, p, balance)
             w = np.stack([count * (1 - q), count * q])
@@ -165,7 +172,7 @@ class LabelModel:
             p = np.einsum("yp,pjx->yjx", w, one_hot) + 20 * p_prior(p, speak, accuracy, balance)
             p /= p.sum(2, keepdims=True)
         # the same evidence told by several voters counts less; the offset keeps the share of toxic rows
-        self.weights = 1 / (1 + self._excess(one_hot, p, q, count))
+        self.weights = np.minimum(self.weights, 1 / (1 + self._excess(one_hot, p, q, count)))
         ll = np.einsum("pjx,yjx,j->py", one_hot, np.log(np.clip(p, 1e-9, 1)), self.weights)
         z = ll[:, 1] - ll[:, 0]
         lo, hi = -60.0, 60.0
