@@ -42,7 +42,8 @@ def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", diges
     rows = rows.select("doc", F.coalesce("live", F.lit(False)).alias("live"), (sha if digest_all else F.when(F.col("live"), sha)).alias("sha256"))
     rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "digests")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "uid")).alias("first")
-    groups = rows.where("live").groupBy("sha256").agg(first, F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below meets plain shuffles, of which a hot digest's can be split
+    groups = materialize(rows.where("live").groupBy("sha256").agg(first, F.count("*").alias("n")).where("n > 1"), "equal")
     alone = F.col("first").isNull()
     same = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.uid") == F.col("uid"))
     out = rows.join(groups, "sha256", "left")
