@@ -96,7 +96,10 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     found = carried.where("not tail").join(earlier, ["url", "part"], "left").withColumn("ref", F.coalesce("ref", "before")).drop("before", "part", "tail")
     timeless = named.where("kind = 'revisit' and ts is null").select("record_id", "url", "etag", "last_modified", "digest", "headers", F.lit(None).cast("long").alias("ref"))
     old = named.where("kind = 'response' and ts is not null").select(F.col("record_id").alias("ref"), *(F.col(c).alias(f"old_{c}") for c in ("etag", "last_modified", "digest", "headers"))).dropDuplicates(["ref"])
-    both = found.unionByName(timeless).join(old, "ref", "left")
+    # written, and met only by revisits that have a response: a hot one's can then be split, and nulls do not meet in one task
+    old = materialize(old, "responses")
+    alone = found.where("ref is null").unionByName(timeless)
+    both = found.where("ref is not null").join(old, "ref", "left").unionByName(alone, allowMissingColumns=True)
     agree = validators_agree(*(F.col(c) for c in ("etag", "old_etag", "last_modified", "old_last_modified", "digest", "old_digest")))
     status = F.when(F.col("ref").isNull(), "no_response").when(agree.isNull(), "unvalidated").when(agree, "resolved").otherwise("mismatch")
     out = both.select("record_id", "url", status.alias("status"), F.col("ref").alias("refers_to"), "headers", "old_headers")
