@@ -15,13 +15,16 @@ weight in the posterior. The posterior of each sampled row is the label on which
 a logistic regression over words and votes is trained. Scores come from that
 classifier alone, from the text alone.
 
-At most SAMPLE_ROWS labelled rows, those of least id hash, are learnt from.
+At most SAMPLE_ROWS labelled rows, those of least id hash, are learnt from. Their whole
+texts are read on the executors; the driver gets each one's distinct words with counts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,6 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that are learnt from.
 SAMPLE_ROWS = 6000
-#: Texts of the sample are cut for learning only, so that the sample fits the driver. Scores see whole texts.
-SAMPLE_CHARS = 10_000
 THRESHOLD = 0.7
 
 INSULTS = (
@@ -42,6 +43,7 @@ INSULTS = (
 )
 WORD = re.compile(r"\w+")
 SHOUT = re.compile(r"[!?]{3,}")
+LOWER, UPPER = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MASKED = re.compile(r"\b\w{1,2}\*{2,}\w*")
 ADDRESSED = re.compile(r"\b(?:you|your|du|dein|tu|ton|tus?)\b")
 
@@ -54,8 +56,25 @@ TOXIC, CLEAN, NONE = 1, 0, 2
 INSULT_INDEX = {w: i for i, w in enumerate(INSULTS)}
 
 
-def tokens(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+class Facts(NamedTuple):
+    """What voters and classifier know of a whole text."""
+
+    counts: dict[str, int]
+    total: int
+    shout: bool
+    caps: bool
+    masked: bool
+    addressed: bool
+
+
+def facts(text: str) -> Facts:
+    low = text.lower()
+    words = WORD.findall(low)
+    raw = text.encode("utf-8", "replace")
+    upper = len(raw) - len(raw.translate(None, UPPER))
+    letters = upper + len(raw) - len(raw.translate(None, LOWER))
+    masked = "**" in text and bool(MASKED.search(text))
+    return Facts(Counter(words), len(words), bool(SHOUT.search(text)), letters > 20 and upper > 0.6 * letters, masked, bool(ADDRESSED.search(low)))
 
 
 def stems_of(words: set[str]) -> set[str]:
@@ -103,9 +122,10 @@ class Voters:
         #: Prior probability that a voter is right when it speaks, in the order of vote().
         self.priors = np.array([*[0.9] * len(INSULTS), *[0.7] * len(stems), 0.75, 0.9, 0.9, 0.9, 0.9, 0.55, 0.55, 0.6, 0.75, 0.9])
 
-    def vote(self, text: str, words: list[str], distinct: set[str]) -> np.ndarray:
-        """One vote of each voter on a text with these words."""
+    def vote(self, f: Facts) -> np.ndarray:
+        """One vote of each voter on a text."""
         v = np.full(len(self.priors), NONE, np.int8)
+        distinct = f.counts.keys()
         hits = {w: INSULT_INDEX[w] for w in INSULT_INDEX.keys() & distinct}
         k = len(INSULTS)
         stems = self.stems
@@ -116,21 +136,15 @@ class Voters:
         k += len(stems)
         if hits:
             v[[*hits.values()]] = TOXIC
-            n = sum(map(hits.__contains__, words))
+            n = sum(f.counts[w] for w in hits)
             v[k] = TOXIC  # any
-            for i, yes in enumerate((len(hits) > 1, n > 2, n > 0.015 * len(words), n > 0.03 * len(words)), k + 1):
+            for i, yes in enumerate((len(hits) > 1, n > 2, n > 0.015 * f.total, n > 0.03 * f.total), k + 1):
                 v[i] = TOXIC if yes else NONE
         else:
             v[k + 9] = CLEAN
-        if SHOUT.search(text):
-            v[k + 5] = TOXIC
-        letters = sum(map(str.isalpha, text[:2000]))
-        if letters > 20 and sum(map(str.isupper, text[:2000])) > 0.6 * letters:
-            v[k + 6] = TOXIC
-        if "**" in text and MASKED.search(text):
-            v[k + 7] = TOXIC
-        if hits and ADDRESSED.search(text.lower()):
-            v[k + 8] = TOXIC
+        for i, yes in enumerate((f.shout, f.caps, f.masked, bool(hits) and f.addressed), k + 5):
+            if yes:
+                v[i] = TOXIC
         return v
 
 
@@ -271,11 +285,11 @@ class Classifier:
         return self
 
     def score(self, text: str) -> float:
-        every = tokens(text)
-        words = set(every)
+        f = facts(text)
+        words = f.counts.keys()
         known = self.words.keys() & words if len(words) < len(self.words) else words & self.words.keys()
         z = self.bias + sum(self.words[w] for w in sorted(known)) / max(1, len(known)) ** 0.5
-        v = self.voters.vote(text, every, words)
+        v = self.voters.vote(f)
         z += float(((v == TOXIC).astype(float) - (v == CLEAN)) @ self.vote_weights)
         return float(1 / (1 + np.exp(-min(max(z, -500), 500))))
 
@@ -289,18 +303,32 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     """Label model and classifier from at most ``rows`` labelled rows that are not held out."""
     sample = labels.select(F.col(doc).alias("__id"), F.col(label).alias("__label")).where(f"__id is not null and __label in (0, 1)").where(~held_out("__id"))
     sample = sample.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    got = docs.select(F.col(doc).alias("__id"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(sample), "__id")
-    got = got.dropDuplicates(["__id"]).orderBy("__id").collect()  # at most ``rows`` texts of bounded length
+    texts = docs.select(F.col(doc).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "__id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                f = facts(batch.column(1)[i].as_py())
+                flags = f.shout, f.caps, f.masked, f.addressed
+                row = [*f.counts], [*f.counts.values()], f.total, sum(x << k for k, x in enumerate(flags)), batch.column(2)[i].as_py()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([x], t) for x, t in zip(row, types, strict=True))], names=names)
+
+    kind, names = docs.schema[doc].dataType.simpleString(), ["__id", "words", "counts", "total", "flags", "label"]
+    types = pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32()
+    seen = texts.select("__id", "t", F.col("__label").cast("int")).mapInArrow(run, f"__id {kind}, words array<string>, counts array<long>, total long, flags int, label int")
+    one = seen.groupBy("__id").agg(F.min(F.struct("total", "words", "counts", "flags", "label")).alias("f"))
+    got = sorted(one.select("__id", "f.*").collect(), key=lambda r: r["__id"])  # at most ``rows`` rows
     if not got:  # nothing to learn from: imagined texts with one insult, with all, and with none
-        got = [{"t": "", "__label": 0}] * len(INSULTS) * 4 + [{"t": t, "__label": 1} for a, b in zip(INSULTS, INSULTS[1:]) for t in (a, f"{a} {b} {a}", f"{a} {b}")]
-    return learn([r["t"] for r in got], np.array([r["__label"] for r in got], np.int8))
+        imagined = [("", 0)] * len(INSULTS) * 4 + [(t, 1) for a, b in zip(INSULTS, INSULTS[1:]) for t in (a, f"{a} {b} {a}", f"{a} {b}")]
+        return learn([facts(t) for t, _ in imagined], np.array([y for _, y in imagined], np.int8))
+    known = [Facts(dict(zip(r["words"], r["counts"], strict=True)), r["total"], *(bool(r["flags"] >> k & 1) for k in range(4))) for r in got]
+    return learn(known, np.array([r["label"] for r in got], np.int8))
 
 
-def learn(texts: list[str], label: np.ndarray) -> Classifier:
-    every = [tokens(t) for t in texts]
-    words = [set(w) for w in every]
+def learn(known: list[Facts], label: np.ndarray) -> Classifier:
+    words = [set(f.counts) for f in known]
     voters = Voters(mine_stems(words, label.astype(float)))
-    own = np.array([voters.vote(t, w, s) for t, w, s in zip(texts, every, words, strict=True)], np.int8).reshape(len(texts), -1)
+    own = np.array([voters.vote(f) for f in known], np.int8).reshape(len(known), -1)
     votes = np.concatenate([own, label.reshape(-1, 1)], 1)
     target = LabelModel().fit(votes, np.append(voters.priors, 0.9)).posterior(votes)
     return Classifier(voters).fit(words, own, target)
