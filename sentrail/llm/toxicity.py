@@ -22,8 +22,9 @@ texts are read on the executors; the driver gets each one's distinct words with
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from typing import NamedTuple
 
 import numpy as np
@@ -77,21 +78,21 @@ def facts(text: str) -> Facts:
     return Facts(Counter(words), len(words), bool(SHOUT.search(text)), letters > 20 and upper > 0.6 * letters, masked, bool(ADDRESSED.search(low)))
 
 
-def stems_of(words: set[str]) -> set[str]:
+def stems_of(words: Set[str]) -> set[str]:
     return {w[:n] for w in words for n in STEM_LETTERS if len(w) >= n}
 
 
-def mine_stems(words: list[set[str]], toxic: np.ndarray) -> list[str]:
+def mine_stems(words: list[Set[str]], toxic: np.ndarray) -> list[str]:
     """Stems that labelled toxic texts have far more often than others, each for texts that the earlier ones leave."""
     index: dict[str, int] = {}
-    rows, cols = [], []
+    rows, cols = array("i"), array("i")
     for i, s in enumerate(words):
         if s & INSULT_INDEX.keys():
             continue  # explained by the fixed lexicon
         for t in sorted(stems_of(s)):
             rows.append(i)
             cols.append(index.setdefault(t, len(index)))
-    row, col = np.array(rows, np.int64), np.array(cols, np.int64)
+    row, col = np.array(rows, np.int32), np.array(cols, np.int32)
     names, out = [*index], []
     live = np.ones(len(words), bool)
     live[[i for i, s in enumerate(words) if s & INSULT_INDEX.keys()]] = False
@@ -238,14 +239,14 @@ class Classifier:
     def __init__(self, voters: Voters):
         self.voters = voters
 
-    def fit(self, words: list[set[str]], v: np.ndarray, target: np.ndarray, min_texts: int = 10, l2: float = 3e-3, rounds: int = 100) -> Classifier:
+    def fit(self, words: list[Set[str]], v: np.ndarray, target: np.ndarray, min_texts: int = 10, l2: float = 3e-3, rounds: int = 100) -> Classifier:
         seen: dict[str, int] = {}
         for s in words:
             for w in s:
                 seen[w] = seen.get(w, 0) + 1
         vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if min_texts <= n <= len(words) / 5 or w in INSULT_INDEX))}
         row = np.concatenate([np.full(len(s), i) for i, s in enumerate(words)] or [np.zeros(0)]).astype(np.int64)
-        col = np.array([vocab.get(w, -1) for s in words for w in s], np.int64)
+        col = np.fromiter((vocab.get(w, -1) for s in words for w in s), np.int64)
         row, col = row[col >= 0], col[col >= 0]
         n, k = len(words), len(vocab)
         # a text's words share a fixed length, so that long texts do not outweigh short ones
@@ -317,16 +318,23 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     types = pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32()
     seen = texts.select("__id", "t", F.col("__label").cast("int")).mapInArrow(run, f"__id {kind}, words array<string>, counts array<long>, total long, flags int, label int")
     one = seen.groupBy("__id").agg(F.min(F.struct("total", "words", "counts", "flags", "label")).alias("f"))
-    got = sorted(one.select("__id", "f.*").collect(), key=lambda r: r["__id"])  # at most ``rows`` rows
-    if not got:  # nothing to learn from: imagined texts with one insult, with all, and with none
+    got = one.select("__id", "f.*").toArrow().sort_by("__id").combine_chunks()  # at most ``rows`` rows
+    if not got.num_rows:  # nothing to learn from: imagined texts with one insult, with all, and with none
         imagined = [("", 0)] * len(INSULTS) * 4 + [(t, 1) for a, b in zip(INSULTS, INSULTS[1:]) for t in (a, f"{a} {b} {a}", f"{a} {b}")]
         return learn([facts(t) for t, _ in imagined], np.array([y for _, y in imagined], np.int8))
-    known = [Facts(dict(zip(r["words"], r["counts"], strict=True)), r["total"], *(bool(r["flags"] >> k & 1) for k in range(4))) for r in got]
-    return learn(known, np.array([r["label"] for r in got], np.int8))
+    lists = got.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()  # one string object for each word of the sample
+    vocab, code, n = coded.dictionary.to_pylist(), coded.indices.to_numpy(), got.column("counts").combine_chunks().flatten().to_numpy()
+    ends = lists.value_lengths().to_numpy().cumsum().tolist()
+    known = []
+    for a, b, total, flags in zip([0, *ends], ends, got.column("total").to_pylist(), got.column("flags").to_pylist(), strict=False):
+        counts = dict(zip([vocab[i] for i in code[a:b]], n[a:b].tolist(), strict=True))
+        known.append(Facts(counts, total, *(bool(flags >> k & 1) for k in range(4))))
+    return learn(known, got.column("label").to_numpy().astype(np.int8))
 
 
 def learn(known: list[Facts], label: np.ndarray) -> Classifier:
-    words = [set(f.counts) for f in known]
+    words = [f.counts.keys() for f in known]
     voters = Voters(mine_stems(words, label.astype(float)))
     own = np.array([voters.vote(f) for f in known], np.int8).reshape(len(known), -1)
     votes = np.concatenate([own, label.reshape(-1, 1)], 1)
