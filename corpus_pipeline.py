@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentrail.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from sentrail.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from sentrail.llm.queries import table, tokenizer_path
 from sentrail.session import materialize
 
@@ -20,8 +20,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

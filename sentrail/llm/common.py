@@ -1,14 +1,16 @@
-"""What several operators here need: texts in Arrow batches as numpy arrays, and removal by id."""
+"""What several operators here need: texts in Arrow batches as numpy arrays, and removal by id or by id and key."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Text bytes that one numpy step works on; a longer document is worked on alone.
 SLICE_BYTES = 1 << 20
 #: Up to so many 8-byte keys are sent to every executor; more are joined by shuffling.
@@ -64,3 +66,45 @@ def without(docs: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     keys = ids.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)])
     cond = [docs[c].eqNullSafe(keys[f"__k{i}"]) for i, c in enumerate(on)]
     return docs.join(F.broadcast(keys) if few else keys, cond, "left_anti")
+
+
+def texts_of(batch: pa.RecordBatch, at: int) -> Iterator[bytes]:
+    raw, off = buffers(batch.column(at))
+    view = memoryview(raw)
+    return (bytes(view[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+
+
+def raw_text(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")
+
+
+def with_key(docs: DataFrame, text: str, key: Callable[[bytes], int]) -> DataFrame:
+    """``docs`` with ``key`` of each row's UTF-8 text as ``__key``, a signed long."""
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([key(t) for t in texts_of(batch, n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], keys], names=[*batch.schema.names[:n], "__key"])
+
+    return docs.select("*", raw_text(text).alias("__t")).mapInArrow(run, docs.limit(0).withColumn("__key", F.lit(0).cast("long")).schema)
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, doc: str, text: str, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``rows`` ``(doc, key, root)``, which has a row for each of ``docs``.
+
+    The row of least id stays (null ids come last; then the least key, then the least
+    text). Where ids are unique they alone travel; otherwise rows are told apart by id and
+    key, for which ``keyed`` adds the key to ``docs`` as ``__key``.
+    """
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    named = rows.join(first, "root").withColumn("stays", F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.key") == F.col("key")))
+    named = materialize(named.select("doc", "key", "stays"), "named")
+    lost = named.where("not stays").select(F.col("doc").alias(doc), F.col("key").alias("__key")).distinct()
+    if rows.groupBy("doc").count().where("count > 1").isEmpty():
+        return without(docs, lost.select(doc), [doc])
+    twins = named.where("stays").groupBy("doc", "key").count().where("count > 1").select(F.col("doc").alias(doc), F.col("key").alias("__key"))
+    both = keyed(docs)
+    same = [both[doc].eqNullSafe(twins[doc]), both["__key"] == twins["__key"]]
+    once = both.join(twins, same, "left_semi").groupBy(doc, "__key").agg(F.min_by(F.struct(*both.columns), F.coalesce(F.col(text), F.lit(""))).alias("row")).select("row.*")
+    return without(without(both, lost, [doc, "__key"]), twins, [doc, "__key"]).unionByName(once).drop("__key")

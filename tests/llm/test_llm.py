@@ -478,3 +478,69 @@ def test_pipeline_equals_brute_force(spark, sf):
     rows = [r.asDict() | {"doc": r["doc_id"]} for r in corpus_pipeline.run(spark, sf).collect()]
     assert {r["doc"] for r in rows} == {i for i, _ in keep}
     check_packing(rows, keep, queries.tokenizer_path())
+
+
+# near copies -----------------------------------------------------------------
+
+
+def brute_near(rows):
+    """[(id, text)] that stay of [(id, text)] of distinct ids: components of 5-word-shingle Jaccard of 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w)} if 0 < len(w) <= 5 else {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)})
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n in range(len(rows)):
+        for m in range(n):
+            both = len(sets[n] & sets[m])
+            if sets[n] == sets[m] or 5 * both >= 4 * (len(sets[n]) + len(sets[m]) - both):
+                x, y = root(n), root(m)
+                parent[max(x, y)] = min(x, y)
+    return [r for k, r in enumerate(rows) if root(k) == k]
+
+
+def edited(r, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+    return words
+
+
+def test_near_copies_equal_brute_force(spark, none):
+    from sentrail.llm import near_dedup
+
+    r = random.Random(6)
+    line = " ".join(r.choices(WORDS, k=12))
+    texts = [None, "", " \n", "one", "One", "two words"]
+    for n in (8, 40, 120, 400):
+        base = r.choices(WORDS, k=n)
+        texts += [" ".join(base)] + [" ".join(edited(r, base, k)) for k in range(1, 14)]
+        step = base
+        for _ in range(6):  # a chain whose ends are far apart
+            step = edited(r, step, max(1, n // 60))
+            texts.append(" ".join(step))
+    texts += [line + " " + " ".join(r.choices(WORDS, k=r.randint(0, 30))) for _ in range(40)]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute_near(rows)
+    for common in (2, near_dedup.COMMON):
+        near_dedup.COMMON, told = common, near_dedup.COMMON
+        got = sorted(x["doc_id"] for x in near_dedup.drop_near_duplicates(docs_of(spark, rows)).collect())
+        near_dedup.COMMON = told
+        assert got == [i for i, _ in want] and len(want) < len(rows) - 20
+    assert near_dedup.drop_near_duplicates(none).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((x["doc_id"], x["text"]) for x in docs.collect())
+    got = corpus_pipeline.drop_near_copies(spark, docs, "/root/testdata/sf0.01")
+    assert sorted(x["doc_id"] for x in got.collect()) == [i for i, _ in brute_near(rows)] and got.columns == docs.columns
