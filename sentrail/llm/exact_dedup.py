@@ -59,9 +59,10 @@ def drop_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     groups = materialize(exact_groups(docs, doc, text).select("doc", "keep", "kept", "sha256"), "groups")
     twins = groups.where("not kept").where(F.col("doc").eqNullSafe(F.col("keep"))).select("doc", "sha256").distinct()
     lost = groups.where("not kept").where(~F.col("doc").eqNullSafe(F.col("keep"))).select("doc").distinct()
-    if twins.isEmpty() and groups.where(~F.col("kept")).select("doc").join(groups.where("kept").select("doc"), "doc", "left_semi").isEmpty():
+    stay = groups.where("kept").select(F.col("doc").alias("__stay"))
+    if twins.isEmpty() and lost.join(stay, F.col("doc").eqNullSafe(F.col("__stay")), "left_semi").isEmpty():
         return without(docs, lost.withColumnRenamed("doc", doc), [doc])
-    # an id is repeated: tell its rows apart by their digest too
+    # an id (or none) is repeated: tell its rows apart by their digest too
     both = docs.withColumn("__sha", F.sha2(normalized(text), 256))
     lost = groups.where("not kept").where(~F.col("doc").eqNullSafe(F.col("keep"))).select(F.col("doc").alias(doc), F.col("sha256").alias("__sha")).distinct()
     both = without(both, lost, [doc, "__sha"])

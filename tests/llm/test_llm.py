@@ -267,6 +267,12 @@ def test_exact_groups(spark, awkward, none):
     assert exact_dedup.drop_duplicates(none).count() == 0
 
 
+def test_exact_dedup_of_several_null_ids(spark):
+    rows = [(5, "x"), (None, "x"), (None, "unique"), (7, "z")]
+    got = [(r["doc_id"], r["text"]) for r in exact_dedup.drop_duplicates(docs_of(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(5, "x"), (None, "unique"), (7, "z")], key=str)
+
+
 # 7 ---------------------------------------------------------------------------
 
 
