@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize, release
-from .common import U64, buffers, without
+from .common import U64, buffers, keep_one, with_key
 
 BITS = 64
 THRESHOLD = 2
@@ -133,14 +133,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return by_anchor.mapInArrow(compare, "src long, dst long").distinct()
 
 
-def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc, fp, component)``: component is the least id linked, directly or by others.
-
-    One row for each row of ``docs``. Null and empty texts share fingerprint 0 and are
-    linked like any other; texts of fewer words than a shingle hash whole; null ids
-    count as no id (a component of null ids alone has a null component); repeated rows
-    fall together; an empty table gives no rows; other columns are not looked at.
-    """
+def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """``(doc, fp, root, component)``: ``near_groups`` with the fingerprint that names the component."""
     prints = materialize(fingerprints(docs, doc, text, shingle, seed), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc").alias("rep")), "classes")
     edges = materialize(links(classes, threshold), "links")
@@ -148,12 +142,23 @@ def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", thresh
     named = classes.join(comp.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named, "components")
     roots = named.groupBy("component").agg(F.min("rep").alias("root"))
-    named = named.join(roots, "component").select("fp", F.col("root").alias("component"))
+    named = named.join(roots, "component").select("fp", F.col("component").alias("root"), F.col("root").alias("component"))
     release(edges)
-    return prints.join(named, "fp").select("doc", "fp", "component")
+    return prints.join(named, "fp").select("doc", "fp", "root", "component")
+
+
+def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """``(doc, fp, component)``: component is the least id linked, directly or by others.
+
+    One row for each row of ``docs``. Null and empty texts share fingerprint 0 and are
+    linked like any other; texts of fewer words than a shingle hash whole; null ids
+    count as no id (a component of null ids alone has a null component); repeated rows
+    fall together; an empty table gives no rows; other columns are not looked at.
+    """
+    return grouped(docs, doc, text, threshold, shingle, seed).select("doc", "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with the row of least id of each component; ids must be unique and not null."""
-    lost = materialize(near_groups(docs, doc, text, threshold).where("doc <> component").select(F.col("doc").alias(doc)), "near-lost")
-    return without(docs, lost, [doc])
+    """``docs`` with the row of least id of each component; null ids come last, ids may repeat."""
+    rows = materialize(grouped(docs, doc, text, threshold).select("doc", F.col("fp").alias("key"), "root"), "near-roots")
+    return keep_one(docs, rows, doc, text, lambda d: with_key(d, text, lambda t: int(U64(fingerprint(t)).view(np.int64))))

@@ -412,6 +412,17 @@ def test_simhash_edges(spark, awkward, none):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("module", ["simhash", "near_dedup"])
+def test_near_dedup_of_repeated_and_null_ids(spark, module):
+    from sentrail.llm import near_dedup
+
+    drop = {"simhash": simhash, "near_dedup": near_dedup}[module].drop_near_duplicates
+    a, near_a, b = " ".join(WORDS), " ".join(WORDS).upper(), " ".join(WORDS[::-1])
+    rows = [(1, a), (2, near_a), (2, b), (None, a), (None, "p q r"), (None, "P q r"), (None, "P Q R"), (3, "s t u"), (3, "s t u"), (4, None)]
+    got = [(r["doc_id"], r["text"]) for r in drop(docs_of(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, "P Q R"), (3, "s t u"), (4, None)], key=str)
+
+
 # 10 --------------------------------------------------------------------------
 
 
