@@ -192,3 +192,8 @@ def test_lists(spark, sf):
     tx = S.transactions(spark, sf)
     page, total = analytics.list_transactions(tx, 1, 7)
     assert page.count() == 7 and total.first()["pages"] == -(-tx.count() // 7)
+
+
+def test_every_alert_is_answered(spark, sf):
+    got = plans.QUERIES["wf_alert_transitions_all"](spark, sf)
+    assert got.count() == S.alerts(spark, sf).count() > 100
