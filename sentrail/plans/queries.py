@@ -380,9 +380,14 @@ def name_records(spark: SparkSession, d: str) -> DataFrame:
     return S.parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 24).alias("name"), F.col("source").alias("source_system"))
 
 
-def part_pairs(spark: SparkSession, d: str) -> DataFrame:
+def all_part_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = S.parquet(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("n"))
-    return p.where("id <= 500").join(p.select(F.col("id").alias("id_b"), F.col("n").alias("n_b")), F.col("id_b") == F.col("id") + 1)
+    return p.join(p.select(F.col("id").alias("id_b"), F.col("n").alias("n_b")), F.col("id_b") == F.col("id") + 1)
+
+
+def part_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of the SQL, which is cut to ids up to 500; the queries named ``_all`` take all."""
+    return all_part_pairs(spark, d).where("id <= 500")
 
 
 @query("str_similarities", """SELECT a.id, b.id AS id_b, round(CASE WHEN a.n = b.n THEN 1.0 ELSE 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::DOUBLE END, 6) AS edit, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE, 6) AS token,
@@ -399,6 +404,18 @@ def _(spark, d):
     return rounded(c.select("id", "id_b", "jaro", "jaro_winkler", "phonetic", "composite", "recommendation"), 6, "jaro", "jaro_winkler", "phonetic", "composite")
 
 
+@query("str_similarities_all")
+def _(spark, d):
+    a, b = F.col("n"), F.col("n_b")
+    return rounded(all_part_pairs(spark, d).select("id", "id_b", T.levenshtein_similarity(a, b).alias("edit"), T.token_similarity(a, b).alias("token"), T.gram_similarity(a, b, 2).alias("gram")), 6, "edit", "token", "gram")
+
+
+@query("erb08_compare_all")
+def _(spark, d):
+    c = resolution.compare(all_part_pairs(spark, d), "n", "n_b")
+    return rounded(c.select("id", "id_b", "jaro", "jaro_winkler", "phonetic", "composite", "recommendation"), 6, "jaro", "jaro_winkler", "phonetic", "composite")
+
+
 @query("era01_job_resolution")
 def _(spark, d):
     r = resolution.job_clusters(resolution.job_pairs(name_records(spark, d)))

@@ -197,3 +197,17 @@ def test_lists(spark, sf):
 def test_every_alert_is_answered(spark, sf):
     got = plans.QUERIES["wf_alert_transitions_all"](spark, sf)
     assert got.count() == S.alerts(spark, sf).count() > 100
+
+
+@pytest.mark.parametrize("name", ["str_similarities_all", "erb08_compare_all"])
+def test_all_part_pairs_are_compared(spark, tmp_path, name):
+    names = [(i, f"{'red' if i % 3 else 'dark green'} part {i % 7}") for i in range(1, 701)]
+    spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["id"]: r for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(1, 700))
+    for i, n in names[:-1]:
+        if name == "erb08_compare_all":
+            assert got[i]["jaro"] == pytest.approx(plain_jaro(n, names[i][1]), abs=1e-6)
+        else:
+            a, b = set(n.split()), set(names[i][1].split())
+            assert got[i]["token"] == pytest.approx(len(a & b) / len(a | b), abs=1e-6)
