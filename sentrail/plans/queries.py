@@ -318,6 +318,12 @@ def _(spark, d):
     return connected_components(edges_of(spark, d)[1].where("amount >= 9000"))
 
 
+@query("gr08_components_all")
+def _(spark, d):
+    """Over every edge; the query above answers its SQL, which takes amounts of 9000 and more. No SQL: the recursion carries pairs of vertices."""
+    return connected_components(edges_of(spark, d)[1])
+
+
 @query("gr09_neighbours", "SELECT id, min(h) AS hops FROM (SELECT dst AS id, 1 AS h FROM un WHERE src = 3 UNION ALL SELECT b.dst, 2 FROM un a JOIN un b ON a.dst = b.src WHERE a.src = 3) WHERE id <> 3 GROUP BY 1", UN)
 def _(spark, d):
     v, e = edges_of(spark, d)

@@ -211,3 +211,19 @@ def test_all_part_pairs_are_compared(spark, tmp_path, name):
         else:
             a, b = set(n.split()), set(names[i][1].split())
             assert got[i]["token"] == pytest.approx(len(a & b) / len(a | b), abs=1e-6)
+
+
+def test_components_of_all_edges(spark, sf):
+    got = {r["id"]: r["component"] for r in plans.QUERIES["gr08_components_all"](spark, sf).collect()}
+    edges = [(r["src"], r["dst"]) for r in plans.edges_of(spark, sf)[1].collect()]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert got == {x: root(x) for x in parent}
