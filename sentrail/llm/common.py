@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,6 +71,23 @@ def without(docs: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     return docs.join(F.broadcast(keys) if few else keys, cond, "left_anti")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives free memory back: a reused worker then holds no more than its task needs."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return out
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, at: int) -> Iterator[bytes]:
     raw, off = buffers(batch.column(at))
     view = memoryview(raw)

@@ -1,54 +1,72 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: prefix filter, pivots, exact verification.
-
-Put all shingles in one order. Two sets of similarity 4/5 or more share a shingle among
-the first ``n - ceil(4n/5) + 1`` of each, whatever the order, so only those are joined on
-and no pair is missed. The order puts shingles that are common in a sample last and is by
-hash otherwise; the sample bears on the number of candidates, never on the result.
-
-Documents of equal sets are one class. In a first round each class is compared with the
-least class of every shingle's group, which links a large group of copies in a number of
-rows in proportion to it. A second round compares, within a group, only classes that are
-not connected yet. Sizes, parity bitmaps and prefixes first rule out what cannot be similar.
-Shingles and sets are told apart by 64-bit hashes.
+"""Near-duplicates at a similarity: SimHash links, an exact check, and an exact way for what SimHash misses.
+
+A link is a Jaccard similarity of 4/5 or more of the sets of word shingles. Candidates
+come first from ``simhash``: fingerprints of the sets that are equal or linked over
+anchors. Sets that alike differ in 10 of 64 fingerprint bits on average, more than any
+covering of few anchors reaches, so the rest is found exactly: put all shingles in one
+order; two alike sets share a shingle among the first ``n - ceil(4n/5) + 1`` of each. The
+order puts shingles of many rows last and is by hash otherwise; it bears on the number of
+candidates, never on the result.
+
+Rows of equal sets are one class. The first round checks, besides SimHash's links, each
+class against the least class with which it shares most shingles of the prefix. The second
+checks, within a group of one shingle, only classes that are not connected yet. Sizes and
+parity bitmaps rule out most pairs before whole sets are compared. Shingles and sets are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize, release
-from .common import BROADCAST_KEYS, U64, keep_one, raw_text, texts_of, with_key
+from . import simhash
+from .common import BROADCAST_KEYS, U64, binary_array, buffers, keep_one, mixed, raw_text, slices, tidy, with_key
+from .substring import rolled, sent, unpacked, word_hashes
 
 SHINGLE = 5
 #: The least similarity of a link is NUM / DEN.
 NUM, DEN = 4, 5
-#: Rows that the order of shingles is learnt from, and rows of these that make a shingle common.
-SAMPLE_ROWS, COMMON = 20_000, 20
-#: Longs of a bitmap, and of the bitmap folded for the join of the second round.
-WORDS, FOLDED = 16, 4
+#: Rows that the order of shingles is first learnt from, and rows of these that make a shingle common; prefixes beyond which one is frequent.
+SAMPLE_ROWS, COMMON, HOT = 20_000, 20, 8
+#: Prefix entries that a task gathers before it sends them, and that a slice is to hold.
+GATHER, SLICE_ENTRIES = 500_000, 2_000_000
+#: Slices of the counts of shingles.
+COUNT_SLICES = 256
+#: Longs of the bitmap with which the join of the second round is made.
+FOLDED = 16
+#: Pairs that meet one copy of a set.
+PAIRS_A_COPY = 256
 SEED = 42
+ASK, KNOWN = 0, 1
+
+
+def shingle_sets(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word shingles of each text; A-Z lower-cased, words between ASCII white space; fewer words are one shingle."""
+    low = raw | (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
+    words, _, _, first = word_hashes(low, off)
+    h, out = rolled(words, shingle), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= shingle:
+            out.append(np.unique(h[a : b - shingle + 1]))
+        elif b > a:
+            out.append(mixed(rolled(words[a:b], b - a)[:1] + U64(b - a)))
+        else:
+            out.append(np.zeros(0, U64))
+    return out
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; A-Z lower-cased, words between ASCII white space; fewer words are one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, U64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], U64)
-    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-    a, b = starts[: len(words) - shingle + 1].tolist(), (starts[shingle:] - 1).tolist()
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(joined[x:y], SEED) for x, y in zip(a, b, strict=True)], U64))
+def sets_in(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    raw, off = buffers(column)
+    for a, b in slices(off):
+        yield from shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -56,23 +74,35 @@ def class_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the hashes by their last byte: two sets differ in at least as many members as their bitmaps in bits."""
-    odd = np.bincount((hashes & U64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+def class_of_text(text: bytes, shingle: int = SHINGLE) -> int:
+    return class_of(shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shingle)[0])
+
+
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the hashes by their last bits, in longs: two sets differ in at least as many members as these in bits."""
+    odd = np.bincount((hashes & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first codes of a set in order: how common a shingle is in the top byte, its hash below."""
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Parities in at least as many bits as the set has members, so that it tells large sets apart as well as small ones."""
+    return parities(hashes, 1 << max(6, (len(hashes) - 1).bit_length()))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first codes of a set in order: the rank of a common shingle in the top byte, its hash below."""
     n = len(hashes)
     if not n:
         return hashes
     size = n - -(-NUM * n // DEN) + 1
-    seen = np.zeros(n, U64)
+    codes = hashes >> U64(8)
     if len(common):
-        j = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        seen = np.where(common[j] == hashes, np.minimum(127, 8 * np.log2(times[j])).astype(U64), U64(0))
-    return np.sort((seen << U64(56)) | (hashes >> U64(8)))[:size]
+        j = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+        known = np.flatnonzero(common[j] == codes)
+        if len(known):
+            codes[known] |= rank[j[known]] << U64(56)
+            return np.sort(codes)[:size]
+    return codes[:size]
 
 
 def lists(values: list[np.ndarray]) -> pa.Array:
@@ -81,155 +111,294 @@ def lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
 
 
-def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the shingles in at least COMMON rows of a bounded sample."""
+def blobs(values: list[np.ndarray]) -> pa.Array:
+    data = np.concatenate([v.view(np.uint8) for v in values]) if values else np.zeros(0, np.uint8)
+    return binary_array(data, np.cumsum([v.nbytes for v in values]))
+
 
+Order = tuple[np.ndarray, np.ndarray]
+
+
+def order_of(codes: np.ndarray, times: np.ndarray) -> Order:
+    """Common codes, sorted, with their ranks: the more rows, the later."""
+    at = np.argsort(codes, kind="stable")
+    codes, rank = codes[at], np.clip(8 * np.log2(times[at]), 1, 127).astype(U64)
+    last = np.append(codes[1:] != codes[:-1], True) if len(codes) else np.zeros(0, bool)
+    return codes[last], rank[last]
+
+
+def sampled(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, rows) of the shingles in at least COMMON rows of a bounded sample; rows are scaled up to the table."""
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in texts_of(batch, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle).view(np.int64))], names=["h"])
+            raw, off = buffers(batch.column(0))
+            for a, b in slices(off):
+                h, n = np.unique(np.concatenate(shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], shingle)) >> U64(8), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     some = docs.select(raw_text(text)).sample(share, SEED) if share < 1 else docs.select(raw_text(text))
-    got = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
-    h, n = got.column(0).to_numpy().view(U64), got.column(1).to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    got = counts.orderBy(F.desc("n"), "h").limit(BROADCAST_KEYS).toArrow()
+    return got.column(0).to_numpy().view(U64), got.column(1).to_numpy() / share
+
+
+def counted(docs: DataFrame, text: str, shingle: int, known: Order) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, rows) of shingles in more than HOT prefixes under the order ``known``: the BROADCAST_KEYS most frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def flush(hs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, n = np.unique(np.concatenate(hs), return_counts=True)
+        yield from sent((mixed(h) % U64(COUNT_SLICES)).astype(np.int64), [h, np.minimum(n, 0xFFFF).astype(np.uint16)], ASK)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, size = [], 0
+        for batch in batches:
+            for s in sets_in(batch.column(0), shingle):
+                hs.append(prefix(s, *shared.value))
+                size += len(hs[-1])
+                if size >= GATHER:
+                    yield from flush(hs)
+                    hs, size = [], 0
+        if size:
+            yield from flush(hs)
+
+    def total(table: pa.Table) -> pa.Table:
+        h, n = (np.concatenate(c) for c in zip(*(unpacked(x, "<u8", "<u2") for x in table.column("data").to_pylist()), strict=True))
+        h, of = np.unique(h, return_inverse=True)
+        n = np.bincount(of, n).astype(np.int64)
+        return pa.table({"h": pa.array(h[n > HOT].view(np.int64)), "n": pa.array(n[n > HOT])})
+
+    counts = docs.select(raw_text(text)).mapInArrow(run, "slice int, kind int, data binary").groupBy("slice").applyInArrow(total, "h long, n long")
+    got = counts.orderBy(F.desc("n"), "h").limit(BROADCAST_KEYS).toArrow()
+    return got.column(0).to_numpy().view(U64) & U64((1 << 56) - 1), got.column(1).to_numpy()
+
+
+def learnt_order(docs: DataFrame, text: str, shingle: int) -> Order:
+    """Shingles of many rows come last: those common in a sample, and what is still frequent in the prefixes then."""
+    codes, times = sampled(docs, text, shingle)
+    more, more_times = counted(docs, text, shingle, order_of(codes, times))
+    return order_of(np.concatenate([codes, more]), np.concatenate([times, more_times]))
 
 
 def profiles(docs: DataFrame, doc: str, text: str, shingle: int) -> DataFrame:
-    """``(doc, key, n, head, b0 ...)``: class, size, prefix and bitmap of each row's set."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, shingle))
+    """``(doc, key, n, fp, f0 ..., bits, head)``: class, size, SimHash fingerprint, bitmaps and prefix of each row's set."""
+    shared = docs.sparkSession.sparkContext.broadcast(learnt_order(docs, text, shingle))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, times = shared.value
         for batch in batches:
-            sets = [shingles(t, shingle) for t in texts_of(batch, 1)]
-            bits = np.array([bitmap(s) for s in sets], np.int64).reshape(-1, WORDS)
-            cols = [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists([prefix(s, common, times) for s in sets])]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(bits[:, i]) for i in range(WORDS))], names=["doc", "key", "n", "head", *(f"b{i}" for i in range(WORDS))])
+            done = [(class_of(s), len(s), simhash.majority(s), parities(s, 64 * FOLDED), bitmap(s), prefix(s, *shared.value)) for s in sets_in(batch.column(1), shingle)]
+            key, n, fp, few, bits, head = zip(*done, strict=True) if done else ((),) * 6
+            folded = np.array(few, np.int64).reshape(-1, FOLDED)
+            cols = [batch.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, U64).view(np.int64)), *(pa.array(folded[:, i]) for i in range(FOLDED)), blobs([*bits]), lists([*head])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "key", "n", "fp", *(f"f{i}" for i in range(FOLDED)), "bits", "head"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    bits = ", ".join(f"b{i} long" for i in range(WORDS))
-    return docs.select(F.col(doc).alias("doc"), raw_text(text)).mapInArrow(run, f"doc {kind}, key long, n long, head array<long>, {bits}")
+    words = ", ".join(f"f{i} long" for i in range(FOLDED))
+    return docs.select(F.col(doc).alias("doc"), raw_text(text)).mapInArrow(run, f"doc {kind}, key long, n long, fp long, {words}, bits binary, head array<long>")
 
 
-def sets_of(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(key, members)`` of the classes in ``wanted``, worked out from the texts again rather than kept for all."""
-    few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
+def live_prefixes(rows: DataFrame) -> DataFrame:
+    """``(h, key)`` of the prefix entries whose shingle is in the prefix of another class too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+    A task settles shingles that repeat in its own rows and asks once for each shingle, so a
+    shingle of any number of rows is spread over all tasks.
+    """
+    total = rows.agg(F.sum(F.size("head"))).first()[0] or 0
+    n_slices = U64(max(64, -(-total // SLICE_ENTRIES)))
+
+    def flush(hs: list[np.ndarray], ks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, k = np.concatenate(hs), np.concatenate(ks)
+        order = np.lexsort((k, h))
+        h, k = h[order], k[order]
+        new = np.append(True, h[1:] != h[:-1])
+        once = new | np.append(True, k[1:] != k[:-1])
+        h, k, new = h[once], k[once], new[once]
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(h)))
+        yield from sent((mixed(h[first]) % n_slices).astype(np.int64), [h[first], k[first], np.minimum(n, 2).astype(np.uint8)], ASK)
+        again = np.repeat(n > 1, n)
+        yield from sent((mixed(k[again].view(U64)) % n_slices).astype(np.int64), [h[again], k[again]], KNOWN)
+
+    @tidy
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, ks, size = [], [], 0
         for batch in batches:
-            sets = [(class_of(s), s) for s in (shingles(t, shingle) for t in texts_of(batch, 0))]
-            if asked is not None:
-                at = np.searchsorted(asked, np.array([k for k, _ in sets], np.int64))
-                sets = [x for x, i in zip(sets, at.tolist(), strict=True) if i < len(asked) and asked[i] == x[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), lists([s for _, s in sets])], names=["key", "members"])
+            n = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            hs.append(batch.column(1).flatten().to_numpy().view(U64))
+            ks.append(np.repeat(batch.column(0).to_numpy(), n))
+            size += len(hs[-1])
+            if size >= GATHER:
+                yield from flush(hs, ks)
+                hs, ks, size = [], [], 0
+        if size:
+            yield from flush(hs, ks)
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked, h, k = [], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if kind == KNOWN:
+                x, y = unpacked(blob, "<u8", "<i8")
+                h.append(x)
+                k.append(y)
+            else:
+                asked.append(unpacked(blob, "<u8", "<i8", "u1"))
+        if asked:
+            x, y, n = (np.concatenate(c) for c in zip(*asked, strict=True))
+            order = np.lexsort((y, x))
+            x, y, n = x[order], y[order], n[order]
+            run = np.cumsum(np.append(True, x[1:] != x[:-1])) - 1
+            start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            end = np.append(start[1:], len(x)) - 1
+            several = (y[start] != y[end]) | (np.maximum.reduceat(n, start) > 1)
+            h.append(x[several[run]])
+            k.append(y[several[run]])
+        return pa.table({"h": pa.array(np.concatenate(h).view(np.int64)), "key": pa.array(np.concatenate(k))})
+
+    asked = rows.select("key", "head").mapInArrow(ask, "slice int, kind int, data binary")
+    return materialize(asked.groupBy("slice").applyInArrow(answer, "h long, key long").distinct(), "near-live")
 
-    out = docs.select(raw_text(text)).mapInArrow(run, "key long, members array<long>")
-    out = out if few else out.join(wanted, "key", "left_semi")
-    return out.groupBy("key").agg(F.first("members").alias("members"))
 
+def fits(n: str, m: str) -> Column:
+    return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
 
-def alike(p: np.ndarray, q: np.ndarray, n: int, m: int) -> bool:
-    """Whether two sets have a Jaccard similarity of at least NUM / DEN."""
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    return DEN * both >= NUM * (len(p) + len(q) - both)
+
+def may_agree() -> Column:
+    """False if small bitmaps differ in more bits than sets may in members: of n and m, (n + m) (1 - s) / (1 + s) at most."""
+    differ = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_"))) for i in range(FOLDED)), F.lit(0))
+    return (NUM + DEN) * differ <= (DEN - NUM) * (F.col("n") + F.col("n_"))
 
 
 def may_be_alike(p: np.ndarray, q: np.ndarray, n: int, m: int) -> bool:
-    """False if two prefixes of sets of n and m members, as far as both reach, differ in more than alike sets may."""
-    if not len(p) or not len(q):
-        return False
-    end = min(p[-1], q[-1])
-    p, q = np.unique(p[p <= end]), np.unique(q[q <= end])
-    return (NUM + DEN) * (len(p) + len(q) - 2 * len(np.intersect1d(p, q, assume_unique=True))) <= (DEN - NUM) * (n + m)
+    """The same of whole bitmaps; the longer one is folded to the size of the shorter."""
+    if len(p) > len(q):
+        p, q = q, p
+    if len(q) > len(p):
+        q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)
+    return (NUM + DEN) * int(np.bitwise_count(p ^ q).sum()) <= (DEN - NUM) * (n + m)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, test: Callable[[np.ndarray, np.ndarray, int, int], bool]) -> DataFrame:
-    """The pairs ``(a, b, n, m)`` whose ``(key, members)`` pass ``test``."""
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of at least NUM / DEN."""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return DEN * both >= NUM * (len(p) + len(q) - both)
+
+
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and bitmaps do not rule out."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m, x, y = (batch.column(i) for i in range(2, 6))
-            ok = [test(x[i].values.to_numpy(), y[i].values.to_numpy(), n[i].as_py(), m[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "n", "m"]).filter(pa.array(ok, pa.bool_()))
+            ok = [may_be_alike(np.frombuffer(x[i].as_buffer(), U64), np.frombuffer(y[i].as_buffer(), U64), n[i].as_py(), m[i].as_py()) for i in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
-    return materialize(full.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, n long, m long"), "near-pairs")
+    side = lambda k, end: classes.select(F.col("key").alias(k), F.col("n").alias("n" + end), F.col("bits").alias("bits" + end))
+    full = pairs.join(side("a", ""), "a").join(side("b", "_"), "b").where(fits("n", "n_"))
+    return materialize(full.select("a", "b", "n", "n_", "bits", "bits_").mapInArrow(run, "a long, b long"), "near-pairs")
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-wanted")
+def sets_of(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(key, members)`` of the classes in ``wanted``, worked out from the texts again rather than kept for all."""
+    few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        for batch in batches:
+            raw, off = buffers(batch.column(0))
+            for a, b in slices(off):
+                sets = [(class_of(s), s) for s in shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], shingle)]
+                if asked is not None:
+                    at = np.searchsorted(asked, np.array([k for k, _ in sets], np.int64))
+                    sets = [x for x, i in zip(sets, at.tolist(), strict=True) if i < len(asked) and asked[i] == x[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), blobs([s for _, s in sets])], names=["key", "members"])
+
+    out = docs.select(raw_text(text)).mapInArrow(run, "key long, members binary")
+    out = out if few else out.join(wanted, "key", "left_semi")
+    return materialize(out.dropDuplicates(["key"]), "near-sets")
 
 
-def verified(docs: DataFrame, text: str, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """``(src, dst)`` of the pairs ``(a, b)`` whose Jaccard similarity is at least NUM / DEN.
+def verified(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose Jaccard similarity is at least NUM / DEN.
 
-    Sizes and bitmaps, then prefixes, rule out most pairs; whole sets are compared for the rest.
+    The set of ``b`` meets the pair; that of ``a``, which may be in any number of pairs, is
+    sent in one copy for each PAIRS_A_COPY of them.
     """
-    wanted = ends(pairs)
-    names = ["n", *(f"b{i}" for i in range(WORDS))]
-    once = materialize(rows.join(wanted, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in names], F.first("head").alias("members")), "near-wanted")
-    side = lambda k, end: once.select(F.col("key").alias(k), *[F.col(c).alias(c + end) for c in names])
-    some = pairs.join(side("a", ""), "a").join(side("b", "_"), "b").where(fits("n", "n_") & may_agree(WORDS))
-    some = materialize(some.select("a", "b", "n", F.col("n_").alias("m")), "near-pairs")
-    some = compared(some, once.select("key", "members"), may_be_alike)
-    sets = materialize(sets_of(docs, text, ends(some), shingle), "near-sets")
-    out = compared(some, sets, alike)
-    release(sets, once, wanted)
-    return out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    some = likely(pairs, classes)
+    times = materialize(some.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies")), "near-copies")
+    ends = materialize(some.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-wanted")
+    sets = sets_of(docs, text, ends, shingle)
 
-
-def fits(n: str, m: str) -> Column:
-    return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            ok = [alike(np.frombuffer(x[i].as_buffer(), U64), np.frombuffer(y[i].as_buffer(), U64)) for i in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    left = sets.join(times.withColumnRenamed("a", "key"), "key").select(F.col("key").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("members").alias("x"))
+    right = some.join(times, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies"))).join(sets.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
+    out = materialize(right.join(left, ["a", "copy"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
+    release(some, times, ends, sets)
+    return out
 
 
-def may_agree(longs: int) -> Column:
-    """False if bitmaps differ in more bits than sets may in members: of n and m, (n + m) (1 - s) / (1 + s) at most."""
-    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"b{i}_"))) for i in range(longs)), F.lit(0))
-    return (NUM + DEN) * differ <= (DEN - NUM) * (F.col("n") + F.col("n_"))
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def folded(i: int) -> Column:
-    out = F.col(f"b{i}")
-    for j in range(i + FOLDED, WORDS, FOLDED):
-        out = out.bitwiseXOR(F.col(f"b{j}"))
-    return out
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of classes of equal fingerprints, each with the least, and of the least ones of linked fingerprints."""
+    prints = materialize(rows.groupBy("fp").agg(F.min("key").alias("rep")), "near-prints")
+    equal = rows.join(prints, "fp").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    side = lambda c, k: prints.select(F.col("fp").alias(c), F.col("rep").alias(k))
+    linked = simhash.links(prints).join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("a", "b")
+    return equal.unionByName(linked)
 
 
 def links(docs: DataFrame, text: str, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(src, dst)`` links between classes; with their chains, all of similarity NUM / DEN or more."""
-    heads = rows.select(F.explode("head").alias("h"), "key")
-    groups = materialize(heads.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("most")).where("a <> most").select("h", "a"), "near-groups")
-    live = materialize(heads.join(groups, "h"), "near-live")
-    pairs = materialize(live.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "near-pairs")
-    first = verified(docs, text, rows, pairs, shingle)
-    comp = materialize(connected_components(first).withColumnsRenamed({"id": "key", "component": "part"}), "near-parts")
-    parts = live.select("h", "key").distinct().join(comp, "key", "left").withColumn("part", F.coalesce("part", "key"))
-    parts = materialize(parts, "near-live")
-    # a group of two was settled in the first round
+    """``(a, b)`` links between classes; with their chains, all of similarity NUM / DEN or more."""
+    live = live_prefixes(rows)
+    classes = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(FOLDED)), "bits")]), "near-classes")
+    least = materialize(live.groupBy("h").agg(F.min("key").alias("a")), "near-least")
+    stars = materialize(live.join(least, "h").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared")), "near-stars")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    tried = materialize(ordered(best.unionByName(fingerprint_pairs(rows))), "near-tried")
+    first = verified(docs, text, classes, tried, shingle)
+    comp = materialize(connected_components(first, "a", "b").withColumnsRenamed({"id": "key", "component": "part"}), "near-parts")
+    parts = materialize(live.join(comp, "key", "left").select("h", "key", F.coalesce("part", "key").alias("part")), "near-grouped")
+    # a group of one part is settled, and one of two classes by their pair alone
     open_ = parts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("h")
-    once = rows.groupBy("key").agg(F.first("n").alias("n"), *[F.first(folded(i)).alias(f"b{i}") for i in range(FOLDED)])
-    left = materialize(parts.join(open_, "h", "left_semi").join(once, "key"), "near-open")
+    left = materialize(parts.join(open_, "h", "left_semi").join(classes.drop("bits"), "key"), "near-open")
     right = left.select("h", *[F.col(c).alias(f"{c}_") for c in left.columns if c != "h"])
-    may = (F.col("key") < F.col("key_")) & (F.col("part") != F.col("part_")) & fits("n", "n_") & may_agree(FOLDED)
+    may = (F.col("key") < F.col("key_")) & (F.col("part") != F.col("part_")) & fits("n", "n_") & may_agree()
     more = left.join(right, "h").where(may).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-    second = verified(docs, text, rows, more, shingle)
-    release(groups, live, parts, left)
-    return first.union(second)
+    of = lambda k: comp.select(F.col("key").alias(k), F.col("part").alias(f"part_{k}"))
+    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    more = materialize(more.unionByName(ordered(apart)).distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+    out = first.unionByName(verified(docs, text, classes, more, shingle))
+    release(live, least, stars, tried, comp, parts, left, more, classes)
+    return out
 
 
 def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc, key, root)``, one row for each row of ``docs``; rows of one ``root`` are linked, directly or by others.
 
-    Null and empty texts have the empty set and are linked to each other alone.
+    Null and empty texts have the empty set and are linked to each other alone; texts of
+    fewer words than a shingle are one shingle; very long texts are looked at whole; ids may
+    be null or repeated and repeated rows fall together; other columns are not looked at; an
+    empty table gives no rows.
     """
     rows = materialize(profiles(docs, doc, text, shingle), "near-profiles")
-    comp = connected_components(links(docs, text, rows, shingle)).withColumnsRenamed({"id": "key", "component": "root"})
+    found = links(docs, text, rows, shingle)
+    comp = connected_components(found, "a", "b").withColumnsRenamed({"id": "key", "component": "root"})
     out = materialize(rows.select("doc", "key").join(comp, "key", "left").select("doc", "key", F.coalesce("root", "key").alias("root")), "near-roots")
     release(rows)
     return out
@@ -237,4 +406,4 @@ def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingl
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the row of least id of each component, all columns as they are; null ids come last, ids may repeat."""
-    return keep_one(docs, near_groups(docs, doc, text, shingle), doc, text, lambda d: with_key(d, text, lambda t: class_of(shingles(t, shingle))))
+    return keep_one(docs, near_groups(docs, doc, text, shingle), doc, text, lambda d: with_key(d, text, lambda t: class_of_text(t, shingle)))

@@ -44,10 +44,14 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     starts = np.concatenate([[0], np.cumsum(length)])
     h = xxhash.xxh64_intdigest
     a, b = starts[: len(words) - shingle + 1].tolist(), (starts[shingle:] - 1).tolist()
-    n, ones = len(a), np.zeros(BITS, np.int64)
+    return majority(np.fromiter((h(joined[x:y], seed) for x, y in zip(a, b, strict=True)), U64, len(a)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n, ones = len(hashes), np.zeros(BITS, np.int64)
     for i in range(0, n, BLOCK):
-        hashes = np.array([h(joined[x:y], seed) for x, y in zip(a[i : i + BLOCK], b[i : i + BLOCK], strict=True)], U64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int((U64(1) << np.flatnonzero(2 * ones > n).astype(U64)).sum()) if (2 * ones > n).any() else 0
 
 

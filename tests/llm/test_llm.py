@@ -546,10 +546,10 @@ def test_near_copies_equal_brute_force(spark, none):
     r.shuffle(texts)
     rows = list(enumerate(texts))
     want = brute_near(rows)
-    for common in (2, near_dedup.COMMON):
-        near_dedup.COMMON, told = common, near_dedup.COMMON
+    for common, hot in ((2, 1), (near_dedup.COMMON, near_dedup.HOT)):
+        told, (near_dedup.COMMON, near_dedup.HOT) = (near_dedup.COMMON, near_dedup.HOT), (common, hot)
         got = sorted(x["doc_id"] for x in near_dedup.drop_near_duplicates(docs_of(spark, rows)).collect())
-        near_dedup.COMMON = told
+        near_dedup.COMMON, near_dedup.HOT = told
         assert got == [i for i, _ in want] and len(want) < len(rows) - 20
     assert near_dedup.drop_near_duplicates(none).count() == 0
 
