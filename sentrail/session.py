@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="sentrail-")
@@ -56,9 +59,26 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sentrail_path = path
+    for s in _scopes:
+        s.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Remove at the end whatever ``materialize`` wrote meanwhile; what is taken out of the list stays."""
+    tables: list[DataFrame] = []
+    _scopes.append(tables)
+    try:
+        yield tables
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not tables]
+        release(*tables)
+
+
 def release(*dfs: DataFrame) -> None:
     """Delete tables written by ``materialize`` that nothing will read again."""
     for df in dfs:
