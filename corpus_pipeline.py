@@ -1,4 +1,10 @@
-"""A cleaning pipeline over ``documents``: each stage works on all rows that the one before kept."""
+"""A cleaning pipeline over ``documents``: each stage works on all rows that the one before kept.
+
+In every stage null texts count as empty ones, texts of any length are looked at whole, null
+and repeated ids are allowed, and an empty table gives an empty one. The filtering stages
+return the columns of their input, whatever their names, and one row for each row that stays;
+what they compare and which row of a group stays is said in the operator's docstring.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentrail.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from sentrail.llm.queries import table, tokenizer_path
-from sentrail.session import materialize
+from sentrail.session import materialize, release, scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +26,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Links of SimHash over anchors, checked, and an exact way for those that SimHash misses.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -41,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again by the next."""
+    """All stages, each written as Parquet to the shared folder and read again by the next; only the last one's table stays there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as tables:
+            done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            tables.remove(done)
+        release(docs)
+        docs = done
     return docs
