@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -59,6 +60,14 @@ def binary_array(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return out.cast(pa.binary())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     """``docs`` without the rows whose ``on`` values (compared null-safely) are in ``ids``.
 
@@ -66,8 +75,9 @@ def without(docs: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     counted first; otherwise both sides are shuffled by id.
     """
     few = ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keys = ids.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)])
-    cond = [docs[c].eqNullSafe(keys[f"__k{i}"]) for i, c in enumerate(on)]
+    names = [unused(docs, f"__k{i}") for i in range(len(on))]
+    keys = ids.select(*[F.col(c).alias(k) for c, k in zip(on, names, strict=True)])
+    cond = [docs[c].eqNullSafe(keys[k]) for c, k in zip(on, names, strict=True)]
     return docs.join(F.broadcast(keys) if few else keys, cond, "left_anti")
 
 
@@ -98,33 +108,35 @@ def raw_text(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")
 
 
-def with_key(docs: DataFrame, text: str, key: Callable[[bytes], int]) -> DataFrame:
-    """``docs`` with ``key`` of each row's UTF-8 text as ``__key``, a signed long."""
-    n = len(docs.columns)
+def with_key(docs: DataFrame, text: str, key: Callable[[bytes], int]) -> tuple[DataFrame, str]:
+    """``docs`` with ``key`` of each row's UTF-8 text as a signed long, and the name of that column."""
+    n, name = len(docs.columns), unused(docs, "__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = pa.array([key(t) for t in texts_of(batch, n)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], keys], names=[*batch.schema.names[:n], "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], keys], names=[*batch.schema.names[:n], name])
 
-    return docs.select("*", raw_text(text).alias("__t")).mapInArrow(run, docs.limit(0).withColumn("__key", F.lit(0).cast("long")).schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    return docs.select("*", raw_text(text).alias(unused(docs, "__t"))).mapInArrow(run, schema), name
 
 
-def keep_one(docs: DataFrame, rows: DataFrame, doc: str, text: str, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def keep_one(docs: DataFrame, rows: DataFrame, doc: str, text: str, keyed: Callable[[DataFrame], tuple[DataFrame, str]]) -> DataFrame:
     """``docs`` with one row of each ``root`` of ``rows`` ``(doc, key, root)``, which has a row for each of ``docs``.
 
     The row of least id stays (null ids come last; then the least key, then the least
     text). Where ids are unique they alone travel; otherwise rows are told apart by id and
-    key, for which ``keyed`` adds the key to ``docs`` as ``__key``.
+    key, for which ``keyed`` adds the key to ``docs`` and names its column.
     """
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key")).alias("first"), F.count("*").alias("size")).where("size > 1")
     named = rows.join(first, "root").withColumn("stays", F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.key") == F.col("key")))
     named = materialize(named.select("doc", "key", "stays"), "named")
-    lost = named.where("not stays").select(F.col("doc").alias(doc), F.col("key").alias("__key")).distinct()
     if rows.groupBy("doc").count().where("count > 1").isEmpty():
-        return without(docs, lost.select(doc), [doc])
-    twins = named.where("stays").groupBy("doc", "key").count().where("count > 1").select(F.col("doc").alias(doc), F.col("key").alias("__key"))
-    both = keyed(docs)
-    same = [both[doc].eqNullSafe(twins[doc]), both["__key"] == twins["__key"]]
-    once = both.join(twins, same, "left_semi").groupBy(doc, "__key").agg(F.min_by(F.struct(*both.columns), F.coalesce(F.col(text), F.lit(""))).alias("row")).select("row.*")
-    return without(without(both, lost, [doc, "__key"]), twins, [doc, "__key"]).unionByName(once).drop("__key")
+        return without(docs, named.where("not stays").select(F.col("doc").alias(doc)), [doc])
+    both, key = keyed(docs)
+    lost = named.where("not stays").select(F.col("doc").alias(doc), F.col("key").alias(key)).distinct()
+    twins = named.where("stays").groupBy("doc", "key").count().where("count > 1").select(F.col("doc").alias(doc), F.col("key").alias(key))
+    same = [both[doc].eqNullSafe(twins[doc]), both[key] == twins[key]]
+    row = unused(both, "__row")
+    once = both.join(twins, same, "left_semi").groupBy(doc, key).agg(F.min_by(F.struct(*both.columns), F.coalesce(F.col(text), F.lit(""))).alias(row)).select(f"{row}.*")
+    return without(without(both, lost, [doc, key]), twins, [doc, key]).unionByName(once).drop(key)

@@ -1,18 +1,18 @@
 """Exact duplicates by progressive refinement: length, then a prefix hash, then a full hash.
 
-The first pass reads texts only for their normalised length and the hash of a
-prefix, summed up map-side into counts. Groups of one are dropped level by level;
-the second pass hashes full contents of rows in surviving groups alone (or of all
+The first pass counts normalised lengths, the second the prefix hashes of rows whose
+length another row has, both summed up map-side. Groups of one are dropped level by
+level; the third pass hashes full contents of rows in surviving groups alone (or of all
 rows, where the caller wants every digest). Later steps see ids and digests only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import BROADCAST_KEYS, without
+from .common import BROADCAST_KEYS, unused, without
 
 PREFIX_CHARS = 64
 
@@ -31,13 +31,12 @@ def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", diges
     ones; very long texts are hashed whole; an empty table gives no rows; other columns
     are not looked at.
     """
-    level = [F.octet_length("t").alias("__len"), F.xxhash64(F.substring("t", 1, PREFIX_CHARS)).alias("__prefix")]
-    texts = docs.select(F.col(doc).alias("doc"), normalized(text).alias("t"))
-    counts = materialize(texts.select(*level).groupBy("__len", "__prefix").agg(F.count("*").alias("n")), "length-prefix")
-    lengths = counts.groupBy("__len").agg(F.sum("n").alias("of_length")).where("of_length > 1").select("__len")
-    live = counts.join(lengths, "__len", "left_semi").where("n > 1").select("__len", "__prefix", F.lit(True).alias("live"))
-    live = F.broadcast(live) if live.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else live
-    rows = texts.select("doc", "t", *level).join(live, ["__len", "__prefix"], "left")
+    prefix = F.xxhash64(F.substring("t", 1, PREFIX_CHARS)).alias("prefix")
+    texts = docs.select(F.col(doc).alias("doc"), normalized(text).alias("t")).withColumn("len", F.octet_length("t"))
+    lengths = shared(texts.groupBy("len"), "lengths").select("len")
+    same = texts.join(lengths, "len", "left_semi").select("len", prefix)
+    live = shared(same.groupBy("len", "prefix"), "length-prefix").withColumn("live", F.lit(True))
+    rows = texts.select("doc", "t", "len", prefix).join(live, ["len", "prefix"], "left")
     sha = F.sha2("t", 256)
     rows = rows.select("doc", F.coalesce("live", F.lit(False)).alias("live"), (sha if digest_all else F.when(F.col("live"), sha)).alias("sha256"))
     rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "digests")
@@ -46,15 +45,23 @@ def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", diges
     groups = materialize(rows.where("live").groupBy("sha256").agg(first, F.count("*").alias("n")).where("n > 1"), "equal")
     alone = F.col("first").isNull()
     same = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.uid") == F.col("uid"))
-    out = rows.join(groups, "sha256", "left")
+    # rows that an earlier level left alone do not travel
+    out = rows.where("live").join(groups, "sha256", "left").unionByName(rows.where("not live"), allowMissingColumns=True)
     return out.select("doc", F.when(alone, F.col("doc")).otherwise(F.col("first.doc")).alias("keep"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (alone | same).alias("kept"), "sha256")
 
 
+def shared(groups: GroupedData, name: str) -> DataFrame:
+    """The keys of groups of more than one row, written once; sent to every executor if they are few."""
+    keys = materialize(groups.agg(F.count("*").alias("n")).where("n > 1").drop("n"), name)
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def drop_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal normalised texts, all columns as they are.
 
-    The row of least id stays. Only ids of dropped rows travel; rows that repeat both
-    id and text are few by nature and are settled apart.
+    The row of least id stays; null ids come last, and of rows that repeat both id and text
+    one stays. Null texts equal empty ones; any other column may have any name. Only ids of
+    dropped rows travel, with their digests where ids repeat.
     """
     groups = materialize(exact_groups(docs, doc, text).select("doc", "keep", "kept", "sha256"), "groups")
     twins = groups.where("not kept").where(F.col("doc").eqNullSafe(F.col("keep"))).select("doc", "sha256").distinct()
@@ -63,10 +70,11 @@ def drop_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     if twins.isEmpty() and lost.join(stay, F.col("doc").eqNullSafe(F.col("__stay")), "left_semi").isEmpty():
         return without(docs, lost.withColumnRenamed("doc", doc), [doc])
     # an id (or none) is repeated: tell its rows apart by their digest too
-    both = docs.withColumn("__sha", F.sha2(normalized(text), 256))
-    lost = groups.where("not kept").where(~F.col("doc").eqNullSafe(F.col("keep"))).select(F.col("doc").alias(doc), F.col("sha256").alias("__sha")).distinct()
-    both = without(both, lost, [doc, "__sha"])
-    keys = twins.select(F.col("doc").alias(doc), F.col("sha256").alias("__sha"))
-    cond = [both[doc].eqNullSafe(keys[doc]), both["__sha"] == keys["__sha"]]
-    repeated = both.join(keys, cond, "left_semi").dropDuplicates([doc, "__sha"])
-    return without(both, keys, [doc, "__sha"]).unionByName(repeated).drop("__sha")
+    sha = unused(docs, "__sha")
+    both = docs.withColumn(sha, F.sha2(normalized(text), 256))
+    lost = groups.where("not kept").where(~F.col("doc").eqNullSafe(F.col("keep"))).select(F.col("doc").alias(doc), F.col("sha256").alias(sha)).distinct()
+    both = without(both, lost, [doc, sha])
+    keys = twins.select(F.col("doc").alias(doc), F.col("sha256").alias(sha))
+    cond = [both[doc].eqNullSafe(keys[doc]), both[sha] == keys[sha]]
+    repeated = both.join(keys, cond, "left_semi").dropDuplicates([doc, sha])
+    return without(both, keys, [doc, sha]).unionByName(repeated).drop(sha)
