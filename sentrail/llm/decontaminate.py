@@ -5,7 +5,9 @@ characters occurs in a document with at most k edits, at least m - q + 1 - kq of
 its q-grams occur there on diagonals (document position minus item position) that
 differ by at most k. So shared q-grams are counted in diagonal bands of width
 2(k+1) that overlap by half: some band holds a whole occurrence. Bands that meet
-the bound are verified by a banded alignment of the item against that region.
+the bound are verified by a banded alignment of the item against that region. Items of
+fewer than WHOLE_CHARS characters have no edit budget and count only as words of their
+own, or 'a' would be found in every text; a text with a shared q-gram is searched for them.
 
 Documents are read once and never shuffled. The benchmark is sent to all
 executors in blocks of at most BLOCK_CHARS characters; a larger benchmark takes
@@ -14,6 +16,9 @@ more passes, not more memory.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, mixed, slices
+from .common import U64, buffers, mixed, slices, tidy, unused
 
 ERROR_RATE = 0.05
-#: Items of fewer characters are no evidence of a leak.
-MIN_CHARS = 24
-BLOCK_CHARS = 8_000_000
+#: Items of fewer characters must occur unedited, between white space or ends of the text.
+WHOLE_CHARS = 24
+#: Characters of items that a worker holds the q-grams of, at some 40 bytes each.
+BLOCK_CHARS = 4_000_000
 Q_SIZES = (12, 8, 6, 4, 3, 2, 1)
 BASE = U64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
@@ -38,7 +44,7 @@ def normalized(text: str) -> Column:
 
 def edit_budget(m: int, rate: float) -> tuple[int, int, int]:
     """(k, q, bound): the longest q whose bound says something about k edits in m characters."""
-    k = int(rate * m)
+    k = int(rate * m) if m >= WHOLE_CHARS else 0
     q = next(q for q in Q_SIZES if m - q + 1 - k * q >= max(1, m // 8) or q == 1)
     return k, q, max(1, m - q + 1 - k * q)
 
@@ -153,20 +159,37 @@ def leaks_in(cp: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple[int
     heads = np.flatnonzero(new_key)
     shared = np.add.reduceat(distinct.astype(np.int64), heads)
     out: list[tuple[int, int, int, int, int]] = []
+    short: set[tuple[int, int]] = set()
     for h in heads[shared >= index.bound[i[heads]]]:
         x, t = int(i[h]), index.items[i[h]][1]
         k, begin, end = int(index.k[x]), int(bounds[r[h]]), int(bounds[r[h] + 1])
+        if len(t) < WHOLE_CHARS:
+            short.add((int(r[h]), x))
+            continue
         lo = max(0, int(b[h]) * (k + 1) - k)
         hi = min(end - begin, (int(b[h]) + 2) * (k + 1) + len(t) + k)
         found = banded(codes(t), cp[begin + lo : begin + hi], k)
         if found:
             out.append((int(r[h]), x, found[0], lo + found[1], lo + found[2]))
-    # the two bands of one occurrence: of overlapping places the one with fewest edits stays
-    out.sort(key=lambda o: (o[0], o[1], o[2], o[3], o[4]))
+    for row, x in short:
+        text = cp[bounds[row] : bounds[row + 1]].tobytes().decode("utf-32-le", "surrogatepass")
+        t = index.items[x][1]
+        out += [(row, x, 0, m.start(), m.start() + len(t)) for m in re.finditer(rf"(?<!\S)(?={re.escape(t)}(?!\S))", text)]
+    return apart(out)
+
+
+def apart(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Of places of one item in one row that overlap, the one with fewest edits, then the earliest."""
     kept: list[tuple[int, int, int, int, int]] = []
-    for o in out:
-        if not any(o[:2] == x[:2] and o[3] < x[4] and x[3] < o[4] for x in kept[-64:]):
-            kept.append(o)
+    for _, same in itertools.groupby(sorted(set(found)), key=lambda o: o[:2]):
+        starts: list[int] = []
+        ends: list[int] = []  # of the places kept so far, which do not overlap
+        for o in same:
+            at = bisect.bisect_left(starts, o[4])  # those before begin before this one ends
+            if not at or ends[at - 1] <= o[3]:
+                starts.insert(at, o[3])
+                ends.insert(at, o[4])
+                kept.append(o)
     return kept
 
 
@@ -190,9 +213,9 @@ def text_leaks(column: pa.Array, found: list[Index]) -> Iterator[tuple[int, int,
                 yield (a + row, index.items[x][0], *rest)
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, normalised, in blocks of at most BLOCK_CHARS characters (or one item)."""
-    rows = benchmark.select(F.col(item).alias("i"), normalized(text).alias("t")).where(F.length("t") >= min_chars).distinct().orderBy("i", "t")
+def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items that are not empty, normalised, in blocks of at most BLOCK_CHARS characters (or one item)."""
+    rows = benchmark.select(F.col(item).alias("i"), normalized(text).alias("t")).where("t <> ''").distinct().orderBy("i", "t")
     block: list[tuple[int, str]] = []
     size = 0
     for r in rows.toLocalIterator():
@@ -205,20 +228,22 @@ def blocks(benchmark: DataFrame, item: str, text: str, min_chars: int) -> Iterat
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """``(doc, item, edits, start, end)`` of every place where an item occurs within its edit budget.
 
     ``start`` and ``end`` count characters of the normalised text. Null and empty texts
-    leak nothing; items shorter than ``min_chars`` and null items are left out; repeated
-    rows and repeated ids each give their own rows; extra columns are not looked at; an
-    empty table on either side gives no rows. Documents of any length are looked at whole.
+    leak nothing, null and empty items are in nothing; items of fewer than WHOLE_CHARS
+    characters count only unedited and as whole words; repeated rows and repeated ids each
+    give their own rows; extra columns are not looked at; an empty table on either side
+    gives no rows. Documents of any length are looked at whole.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc].dataType.simpleString()
     out = None
-    for block in blocks(benchmark, item, item_text, min_chars):
+    for block in blocks(benchmark, item, item_text):
         shared = spark.sparkContext.broadcast(indexes(block, rate))
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = list(text_leaks(batch.column(1), shared.value))
@@ -232,19 +257,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     return out if out is not None else spark.createDataFrame([], f"doc {kind}, item long, edits int, start long, end long")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without the rows in which any item occurs; same columns, nothing is shuffled."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """``docs`` without the rows in which any item occurs; same columns, nothing is shuffled.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; every repeated row is
+    judged for itself; ids are not looked at; other columns may have any name.
+    """
     spark = docs.sparkSession
-    for block in blocks(benchmark, item, item_text, min_chars):
+    for block in blocks(benchmark, item, item_text):
         shared = spark.sparkContext.broadcast(indexes(block, rate))
-        names = docs.columns
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, n=len(names)) -> Iterator[pa.RecordBatch]:
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, n=len(docs.columns)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for row, *_ in text_leaks(batch.column(n), shared.value):
                     keep[row] = False
                 yield batch.select(range(n)).filter(pa.array(keep))
 
-        docs = docs.withColumn("__normalized", normalized(text)).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(unused(docs, "__normalized"), normalized(text)).mapInArrow(run, docs.schema)
     return docs
