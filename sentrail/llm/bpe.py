@@ -3,7 +3,9 @@
 Covers the pipeline of the word-level file: added special tokens are found in the
 raw text; the rest is composed (NFC), split at white space, lower-cased character
 by character and cut by a pattern; each piece is merged as mapped bytes whose last
-one carries the word end. Only counts are made here, never identifiers.
+one carries the word end. Only counts are made here, never identifiers. What a character
+is differs between versions of Unicode, so stretches with one that this Python does not
+know are normalised and cut by the library.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import json
 import unicodedata
 
 import regex
+from tokenizers import Tokenizer
 
 #: Pieces, and stretches between white space, whose counts are kept; a full cache is emptied.
 CACHE_WORDS = 1_200_000
@@ -50,6 +53,7 @@ class WordBpe:
         self.made = [names[x + y] for x, y in merges]
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.library = Tokenizer.from_file(path)
         self.words = Counts(self.word, CACHE_WORDS)
         self.chunks = Counts(self.chunk, CACHE_CHUNKS)
 
@@ -97,14 +101,19 @@ class WordBpe:
         """A text without special strings, normalised and cut at white space, which no piece spans."""
         # str.lower looks at what follows a capital sigma, the file's rule does not
         text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-        return self.pieces(text) if SEPARATORS.search(text) else text.split()
+        if not SEPARATORS.search(text):
+            return text.split()
+        return [text] if unknown(text) else self.pieces(text)
 
     def split(self, chunk: str) -> list[str]:
         """The pieces of a stretch."""
-        if chunk.isalpha():
+        if chunk.isalpha():  # no unknown character is a letter
             return [chunk]
         if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
             return [chunk[:-1], chunk[-1]]
+        if unknown(chunk):
+            text = self.library.normalizer.normalize_str(chunk)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return self.pieces(chunk)
 
     def chunk(self, chunk: str) -> int:
@@ -115,6 +124,11 @@ class WordBpe:
         return sum(1 if special else sum(map(self.chunks.__getitem__, self.stretches(part))) for part, special in self.parts(text or ""))
 
 
+def unknown(text: str) -> bool:
+    """Whether a text has a character that this Python's tables do not know."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text)
+
+
 class Counts(dict):
     """Values by text, made on demand; emptied at ``most`` entries, long texts are not kept."""
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .bpe import Counts, WordBpe
+from .common import BROADCAST_KEYS, tidy
 
 CAPACITY = 4096
 #: Weights of the remaining shares of tokens, pieces and attention cost.
@@ -38,10 +39,8 @@ class WordIds:
     """Identifiers, as little-endian 32-bit bytes, from the ``tokenizers`` library, piece by piece."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.bpe, tok = WordBpe(path), Tokenizer.from_file(path)
-        self.model, self.id = tok.model, tok.token_to_id
+        self.bpe = WordBpe(path)
+        self.model, self.id = self.bpe.library.model, self.bpe.library.token_to_id
         self.words, self.chunks = Counts(self.word, 800_000), Counts(self.chunk, 200_000)
 
     def word(self, piece: str) -> bytes:
@@ -145,6 +144,7 @@ def best_fit(histogram: list[tuple[int, int]], capacity: int = CAPACITY, pieces:
 def cut(docs: DataFrame, path: str, doc: str, text: str, capacity: int, end_id: int) -> DataFrame:
     """``(doc, piece, start, length, ids_crc32, part, rank)``: rank counts within a task and length."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path).encode, TaskContext.get().partitionId()
         end, seen = struct.pack("<I", end_id), {}
@@ -178,8 +178,11 @@ def pack(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", ca
     ``capacity`` are cut. ``pieces`` and ``cost`` bound the pieces and the summed
     squared lengths of a sequence; by default neither binds before the tokens do.
     An empty table gives no rows; other columns are not looked at. The cut pieces are
-    written to the shared folder (no texts or identifiers), then numbered and placed.
+    written to the shared folder (no texts or identifiers), then numbered and placed. Null
+    ids are given back as they are.
     """
+    if not 0 < capacity < 1 << 15:
+        raise ValueError("a sequence has 1 to 32767 tokens")
     spark = docs.sparkSession
     cuts = materialize(cut(docs, path, doc, text, capacity, end_id), "pieces")
     parts = cuts.groupBy("length", "part").agg((F.max("rank") + 1).alias("n"))
@@ -204,5 +207,7 @@ def pack(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", ca
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    rows = cuts.join(parts.select("length", "part", "base"), ["length", "part"]).select("doc", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
+    base = parts.select("length", "part", "base")  # grows with tasks and lengths: sent around only if few
+    base = F.broadcast(base) if base.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else base.hint("shuffle_hash")
+    rows = cuts.join(base, ["length", "part"]).select("doc", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
     return rows.mapInArrow(run, f"doc {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

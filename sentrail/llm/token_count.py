@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordBpe
+from .common import tidy
 
 #: A worker keeps one tokenizer, with its caches, for all its tasks.
 _loaded: dict[str, WordBpe] = {}
@@ -28,6 +29,7 @@ def count_tokens(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "t
     length are counted whole; other columns are not looked at.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = tokenizer(path).count
         for batch in batches:
