@@ -1,8 +1,8 @@
 """URL filter: path rules first, else a logistic regression on hashed character n-grams.
 
 The model sees n-grams of 3 to 5 bytes of host and path, hashed apart for the two
-parts into one table of weights, averaged over the n-grams of the URL. It is fitted
-on the driver to a small labelled table of URLs (at most MAX_TRAINING rows).
+parts into one table of weights, divided by the root of their number. It is fitted on the
+driver to a small labelled table of URLs (at most MAX_TRAINING rows).
 """
 
 from __future__ import annotations
@@ -14,30 +14,58 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, mixed
+from .common import U64, buffers, mixed, tidy
 
 NGRAMS = (3, 4, 5)
 HASH_BITS = 16
 MAX_TRAINING = 5000
+PRIOR = 0.35
 BASE = U64(0x100000001B3)
 
-#: Words of hosts and paths that a small hand-made table labels: unwanted, and wanted.
-UNWANTED = ("casino", "bets", "betting", "poker", "slots", "spam", "pills", "viagra", "xxx", "porn", "adult", "loans", "payday", "replica", "warez", "crack", "phishing", "malware", "lottery", "jackpot")
-WANTED = ("news", "blog", "wiki", "docs", "library", "university", "school", "museum", "science", "research", "journal", "archive", "health", "garden", "recipes", "travel", "music", "history", "weather", "forum")
+# A labelled table, made by hand: sites that a text corpus wants, and kinds of sites that it does not.
+WANTED = (
+    "https://en.wikipedia.org/wiki/Photosynthesis", "https://de.wikipedia.org/wiki/Bodensee", "https://fr.wikipedia.org/wiki/Marie_Curie", "https://www.gutenberg.org/ebooks/1342", "https://docs.python.org/3/library/re.html",
+    "https://spark.apache.org/docs/latest/sql-ref.html", "https://www.rfc-editor.org/rfc/rfc9110", "https://www.nasa.gov/missions/voyager/", "https://www.nps.gov/yell/planyourvisit/index.htm", "https://www.loc.gov/collections/maps/",
+    "https://www.bl.uk/learning/timeline", "https://ocw.mit.edu/courses/physics/8-01/", "https://plato.stanford.edu/entries/kant/", "https://www.cam.ac.uk/research/news", "https://www.ethz.ch/en/studies.html",
+    "https://www.who.int/news-room/fact-sheets/malaria", "https://www.nature.com/articles/nature12373", "https://arxiv.org/abs/1706.03762", "https://www.bbc.co.uk/weather/2643743", "https://www.lemonde.fr/sciences/article/2021/",
+    "https://elpais.com/cultura/2020-03-01/", "https://www.zeit.de/wissen/geschichte/2019/12", "https://www.nationalgeographic.org/encyclopedia/delta/", "https://www.metmuseum.org/art/collection/search/436535", "https://www.smithsonianmag.com/history/",
+    "https://unesco.org/en/world-heritage", "https://europa.eu/youreurope/citizens/work", "https://www.bundestag.de/parlament/geschichte", "https://www.service-public.fr/particuliers", "https://www.gov.uk/renew-driving-licence",
+    "https://stackoverflow.com/questions/231767/", "https://developer.mozilla.org/en-US/docs/Web/HTTP", "https://www.postgresql.org/docs/current/indexes.html", "https://kernel.org/doc/html/latest/", "https://www.gnu.org/software/bash/manual/",
+    "https://openstreetmap.org/relation/51701", "https://www.britannica.com/topic/opera-music", "https://www.allrecipes.com/recipe/23600/lasagna/", "https://www.rhs.org.uk/plants/roses", "https://www.seriouseats.com/bread-baking-guide",
+    "http://blog.harbour-town.example/2019/05/spring-regatta", "http://village-history.example/chapel/1843.html", "http://forum.oldbikes.example/viewtopic/8812", "https://www.riverside-school.example/en/timetable", "http://m.localpaper.example/de/politik/4711",
+    "https://orchard-notes.example/fr/pommiers/12", "http://www.stonebridge.example/es/historia/88", "https://quietgarden.example/en/2203", "http://blog.mapleton.example/en/5120.html", "https://www.norwood.example/de/77/",
+    "http://m.linden.example/fr/910?page=2", "https://hillcrest.example/es/3301#top", "http://www.eastern.example/en/645/", "https://blog.northshore.example/de/1288", "http://stanton.example/fr/402.html",
+    "https://m.enderby.example/en/7110", "http://www.restoration.example/es/56?ref=index", "https://thornton.example/en/19", "http://interlaken.example/de/884/", "https://www.sheraton-lane.example/fr/3021",
+    "http://blog.weatherstation.example/en/6401", "https://anderson.example/es/7", "http://m.heron.example/en/2410.html", "https://www.whitestone.example/de/515#notes", "http://trinity.example/fr/66",
+    "https://bolton-and-weir.example/en/9042", "http://www.lyndon.example/es/1203", "https://blog.therapists-guide.example/en/72", "http://m.station-house.example/de/3900", "https://nottingham-tales.example/fr/58/",
+    "https://www.meridian.example/en/4012?page=2", "http://bletchley.example/es/4460", "http://m.orthodoxy.example/en/903", "https://blog.thornhill.example/en/4431?ref=x", "https://athens-guide.example/en/4119#top",
+    "http://the-theatre.example/de/4705", "https://www.withington.example/en/48", "http://blog.mother-tongue.example/es/2871", "https://m.strathmore.example/en/3340.html", "http://another-earth.example/fr/4020/",
+    "https://southend.example/en/1533?page=2", "http://www.northern-birds.example/en/4507", "https://ethnography.example/es/4988?ref=feed", "http://m.anthem.example/de/129", "https://blog.leather-craft.example/en/404.html",
+    "http://worthington.example/fr/4141?page=3", "https://www.lighthouse.example/en/4700/", "http://tinworks.example/es/15#top", "https://m.atelier.example/fr/2250", "http://essen-kochen.example/de/4406",
+    "https://blog.rationale.example/en/4834", "http://www.orientation.example/en/4290?utm_source=feed", "https://edinburgh-walks.example/en/4077", "http://m.reading-room.example/es/4313/", "https://www.stationery.example/de/3618?page=2",
+    "http://blog.nation-builders.example/en/4951", "https://tidewater.example/fr/4582.html", "http://hedgerow.example/en/33", "https://www.sunderland.example/es/4666", "http://m.table-talk.example/de/4209?ref=x",
+)
+UNWANTED = (
+    "http://www.royal-casino777.example/bonus", "http://lucky-slots.example/en/freespins", "https://m.pokerbonus.example/join", "http://casino-royale-online.example/de/", "https://bestcasino.example/fr/bonus-sans-depot",
+    "http://sport-bets-now.example/odds", "https://bets24.example/live", "http://freebets-uk.example/en/offer", "http://www.betting-tips.example/1", "http://jackpot-city.example/es/tragaperras",
+    "https://win-bigcasino.example/vip/22", "http://m.slots-free.example/777", "http://blackjack-win.example/en/10", "http://cheap-viagra.example/order", "https://pills-discount.example/en/cialis",
+    "http://www.buy-pills-online.example/cart", "http://rx-pills.example/de/kaufen", "https://canadian-pills.example/fr/", "http://weightloss-pills.example/trial", "http://cheap-meds.example/no-prescription",
+    "http://adult-cams.example/live", "https://www.xxx-videos.example/hot", "http://m.adult-dating.example/join", "http://porn-tube.example/en/3", "http://adultchat.example/de/girls",
+    "https://sexy-singles.example/meet", "http://hotgirls-x.example/es/", "http://www.adult-video-x.example/fr/1", "http://nude-cams.example/x", "http://escort-x.example/book",
+    "http://spam-links.example/farm/1", "http://linkfarm.example/out?id=99", "https://seo-farm.example/backlinks", "http://www.article-spam.example/buy-links", "http://spamblog.example/en/403",
+    "http://cheap-backlinks.example/order", "http://doorway-farm.example/de/1", "http://autoblog-spam.example/feed", "http://traffic-farm.example/x", "http://www.spamhub.example/fr/8",
+    "http://ads-server.example/click?c=1", "http://track-ads.example/pixel.gif", "https://adclick-track.example/r/77", "http://m.popup-ads.example/win", "http://ads-network.example/en/banner",
+    "http://banner-track.example/imp", "http://www.ad-tracker.example/de/cpa", "http://affiliate-track.example/go/31", "http://redirect-ads.example/out", "http://clicktrack.example/es/9",
+    "http://free-iphone-win.example/claim", "http://win-prize.example/survey", "http://cheap-replica-watches.example/rolex", "http://replica-bags.example/fr/sac", "https://payday-loans-fast.example/apply",
+    "http://easy-cash-loans.example/en/", "http://crypto-doubler.example/send", "http://get-rich-win.example/de/geld", "http://free-gift-cards.example/es/", "http://loans-no-check.example/now",
+    "http://warez-crack.example/keygen", "http://free-crack-download.example/setup.exe", "http://torrent-warez.example/en/44", "http://serial-keygen.example/x", "http://update-flash-now.example/player.exe",
+    "http://paypal-login-verify.example/account", "http://secure-bank-login.example/verify", "http://appleid-unlock.example/signin", "http://malware-cleaner-free.example/scan", "http://your-pc-infected.example/fix.exe",
+)
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The default training table of (url, unwanted): each word in a few common positions, and plain invented hosts."""
-    out = []
-    for words, label, mates in ((UNWANTED, 1, ("win", "free", "farm", "best", "online")), (WANTED, 0, ("city", "my", "the", "open", "daily"))):
-        for i, w in enumerate(words):
-            mate = mates[i % len(mates)]
-            out += [(f"https://{w}-{mate}.example.com/{i}", label), (f"http://www.{mate}-{w}.example.net/en/{w}.html", label), (f"https://m.{w}.example.org/{100 + i}?page=2", label)]
-    syllables = ("th", "er", "on", "an", "re", "ti", "en", "at", "es", "or", "in", "ed", "al", "st", "ou", "le")
-    for i in range(60):
-        host = "".join(syllables[(i * k + k * k) % 16] for k in (3, 5, 7)[: 2 + i % 2])
-        out.append((f"http{'s' * (i % 2)}://{('', 'www.', 'blog.', 'm.')[i % 4]}{host}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'fr', 'es')[i % 4]}/{37 * i}", 0))
-    return out
+    """The default training table of (url, unwanted); invented hosts of both kinds lie under three domains in turn."""
+    return [(u.replace(".example/", f".example.{('com', 'net', 'org')[i % 3]}/"), y) for y, urls in ((0, WANTED), (1, UNWANTED)) for i, u in enumerate(urls)]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -58,7 +86,7 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     rules of one length the first given wins.
     """
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])) if rules else ():
+    for v, h, p in sorted(reversed(rules), key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
     return rule, verdict
@@ -84,7 +112,8 @@ def features(host: pa.Array, path: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class UrlModel:
-    def fit(self, host: pa.Array, path: pa.Array, label: np.ndarray, l2: float = 1e-4, rounds: int = 400) -> UrlModel:
+    def fit(self, host: pa.Array, path: pa.Array, label: np.ndarray, l2: float = 1e-4, rounds: int = 400, prior: float = PRIOR) -> UrlModel:
+        """``prior`` is the share of unwanted URLs to expect, whatever their share in the table."""
         row, col = features(host, path)
         n = len(label)
         x = self._share(row, n)
@@ -95,7 +124,8 @@ class UrlModel:
             gw, gb = np.bincount(col, g[row] * x[row], 1 << HASH_BITS) + l2 * w, float(g.sum())
             sw, sb = sw + gw * gw, sb + gb * gb
             w, b = w - 0.3 * gw / (np.sqrt(sw) + 1e-8), b - 0.3 * gb / (sb**0.5 + 1e-8)
-        self.w, self.b = w, b
+        share = min(max(float(np.mean(label)) if n else prior, 1e-3), 1 - 1e-3)
+        self.w, self.b = w, b + float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
         return self
 
     @staticmethod
@@ -129,6 +159,7 @@ def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str
     host, path = host_and_path(url)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # 2^HASH_BITS weights
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [shared.value.score(batch.column(1).slice(i, 20_000), batch.column(2).slice(i, 20_000)) for i in range(0, batch.num_rows, 20_000)]
