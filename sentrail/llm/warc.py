@@ -19,16 +19,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import tidy
 
 #: Fields of a 304 that do not update the stored response: they describe its own message or connection.
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "set-cookie", "te", "trailer", "transfer-encoding", "upgrade")
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, fragment or utm_ parameter; parameters sorted; '/' for no path."""
+    """Scheme and host in lower case, no default port, fragment or utm_ parameter; parameters sorted; '/' for no path.
+
+    User information, path and parameters keep their case, percent-encoding and dot segments as they are.
+    """
     u = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"#.*$", "")
     base, query = F.regexp_extract(u, r"^([^?]*)", 1), F.regexp_extract(u, r"\?(.*)$", 1)
-    head = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1))
+    head = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
+    scheme, user = F.regexp_extract(head, r"^([^:]*://)", 1), F.regexp_extract(head, r"://(.*@)", 1)
+    head = F.concat(F.lower(scheme), user, F.lower(F.regexp_extract(head, r"([^@/]*)$", 1)))
     head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
     path = F.regexp_replace(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_"))), "&")
@@ -37,7 +43,13 @@ def canonical_url(url: Column) -> Column:
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
     """The stored response's headers updated by the permitted ones of the revisit; names in lower case."""
-    low = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
+
+    def low(m: Column) -> Column:
+        """Of names that differ in letter case only, the last in order of spelling."""
+        e = F.array_sort(F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda x: F.struct(F.lower(x["key"]).alias("name"), x["key"].alias("key"), x["value"].alias("value"))))
+        names = F.array_distinct(F.transform(e, lambda x: x["name"]))
+        return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(e, lambda x: x["name"] == k), -1)["value"]))
+
     new = F.map_filter(low(fresh), lambda k, v: ~k.isin(*NOT_MERGED) & v.isNotNull())
     old = F.map_filter(low(stored), lambda k, _: ~F.map_contains_key(new, k))
     return F.map_concat(old, new)
@@ -57,14 +69,18 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     in any of them is allowed. Among responses of one URL and time the greatest id is the
     later. ``status`` is 'resolved', 'mismatch' (validators differ), 'unvalidated' (none in
     common) or 'no_response' (nothing earlier, or no time); ``refers_to`` is the response of
-    the first three; ``headers`` are merged for resolved ones, else null. Repeated rows give
-    repeated results; map keys must differ beyond case; an empty table gives no rows.
+    the first three; ``headers`` are merged for resolved ones, else null. A response without
+    an id cannot be referred to and is left out; responses that repeat an id count as the
+    latest of them. Repeated revisits give repeated results; of headers whose names differ in
+    letter case only, the last spelling counts; an empty table gives no rows; other columns
+    are not looked at.
     """
-    named = captures.where("kind in ('response', 'revisit')").select("record_id", "kind", canonical_url(F.col("url")).alias("url"), "ts", "etag", "last_modified", "digest", "headers")
+    named = captures.where("kind = 'revisit' or kind = 'response' and record_id is not null").select("record_id", "kind", canonical_url(F.col("url")).alias("url"), "ts", "etag", "last_modified", "digest", "headers")
     placed = named.where("ts is not null").withColumn("late", (F.col("kind") == "response").cast("int"))
     # revisits come before responses of the same time, which are not earlier
     ordered = placed.repartitionByRange("url", "ts", "late", "record_id").sortWithinPartitions("url", "ts", "late", "record_id")
 
+    @tidy
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, url, last, names = TaskContext.get().partitionId(), None, None, None
         for batch in batches:
@@ -95,7 +111,9 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     earlier = steps.withColumn("before", F.last("ref", ignorenulls=True).over(before)).where("before is not null").groupBy("url", "part").agg(F.max("before").alias("before"))
     found = carried.where("not tail").join(earlier, ["url", "part"], "left").withColumn("ref", F.coalesce("ref", "before")).drop("before", "part", "tail")
     timeless = named.where("kind = 'revisit' and ts is null").select("record_id", "url", "etag", "last_modified", "digest", "headers", F.lit(None).cast("long").alias("ref"))
-    old = named.where("kind = 'response' and ts is not null").select(F.col("record_id").alias("ref"), *(F.col(c).alias(f"old_{c}") for c in ("etag", "last_modified", "digest", "headers"))).dropDuplicates(["ref"])
+    old = named.where("kind = 'response' and ts is not null").select(F.col("record_id").alias("ref"), *(F.col(c).alias(f"old_{c}") for c in ("etag", "last_modified", "digest", "headers")), "ts")
+    order = F.struct("ts", "old_etag", "old_last_modified", "old_digest", F.to_json("old_headers"))
+    old = old.groupBy("ref").agg(F.max_by(F.struct("old_etag", "old_last_modified", "old_digest", "old_headers"), order).alias("o")).select("ref", "o.*")
     # written, and met only by revisits that have a response: a hot one's can then be split, and nulls do not meet in one task
     old = materialize(old, "responses")
     alone = found.where("ref is null").unionByName(timeless)
