@@ -24,21 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..session import materialize
-from .common import U64, binary_array, buffers, mixed, slices
+from .common import U64, binary_array, buffers, mixed, slices, tidy
 
 WORDS = 20
 #: Window entries that a task gathers before it sends them.
 GATHER = 500_000
-#: Slices for each shuffle partition.
-SLICES = 4
+#: Text bytes whose windows one slice is to hold, and the least number of slices.
+SLICE_BYTES, LEAST_SLICES = 12 << 20, 64
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-NO_ID = (1 << 63) - 1
+#: Null ids are worked on as the greatest id, with ranks from here on.
+NO_ID, NO_RANK = (1 << 63) - 1, 1 << 30
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -322,31 +325,36 @@ def removals(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa
 
 def with_rank(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``(doc, rank, t)``: rows that share an id are told apart by a rank in the order of a text hash; null ids come last."""
-    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ids = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+    if not isinstance(docs.schema[doc].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise ValueError(f"{doc} must hold whole numbers")
+    none = F.when(F.col(doc).isNull(), NO_RANK).otherwise(0).cast("long").alias("rank")
+    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), none, F.coalesce(F.col(text), F.lit("")).alias("t"))
+    ids = rows.groupBy("doc", "rank").agg(F.count("*").alias("n")).where("n > 1").select("doc", "rank")
     if ids.isEmpty():
-        return rows.select("doc", F.lit(0).cast("long").alias("rank"), F.col("t").cast("binary").alias("t"))
+        return rows.select("doc", "rank", F.col("t").cast("binary").alias("t"))
     hashed = rows.withColumn("h", F.xxhash64("t"))
-    ranks = hashed.select("doc", "h").join(ids, "doc", "left_semi").distinct().withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy("h")) - 1)
-    ranked = hashed.join(ranks, ["doc", "h"], "left")
-    return ranked.select("doc", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"), F.col("t").cast("binary").alias("t"))
+    ranks = hashed.select("doc", "rank", "h").join(ids, ["doc", "rank"], "left_semi").distinct().withColumn("more", F.row_number().over(W.partitionBy("doc", "rank").orderBy("h")) - 1)
+    ranked = hashed.join(ranks, ["doc", "rank", "h"], "left")
+    return ranked.select("doc", (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"), F.col("t").cast("binary").alias("t"))
 
 
-def slice_count(spark: SparkSession) -> int:
-    return max(64, SLICES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def slice_count(docs: DataFrame) -> int:
+    """Enough slices for the bytes of the texts, so that none outgrows a task."""
+    total = docs.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    return max(LEAST_SLICES, -(-total // SLICE_BYTES))
 
 
-def survivors(docs: DataFrame, words: int) -> DataFrame:
+def survivors(docs: DataFrame, words: int, n_slices: int) -> DataFrame:
     """``docs`` (doc, rank, t) with ``told``: packed hashes of their least halves that are repeated, or null."""
-    halves = docs.mapInArrow(ask_halves(words, slice_count(docs.sparkSession)), SENT).groupBy("slice").applyInArrow(answer_halves, TOLD)
+    halves = docs.mapInArrow(tidy(ask_halves(words, n_slices)), SENT).groupBy("slice").applyInArrow(answer_halves, TOLD)
     halves = halves.groupBy("doc").agg(F.collect_list("told").alias("told"))
     return docs.join(halves.hint("shuffle_hash"), "doc", "left").select("doc", "rank", "t", "told")
 
 
 def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` (doc, rank, t) with ``told``: packed places of the windows that also start earlier, or null."""
-    n_slices = slice_count(docs.sparkSession)
-    later = survivors(docs, words).mapInArrow(ask_windows(words, n_slices), SENT).groupBy("slice").applyInArrow(answer_windows, TOLD)
+    n_slices = slice_count(docs)
+    later = survivors(docs, words, n_slices).mapInArrow(tidy(ask_windows(words, n_slices)), SENT).groupBy("slice").applyInArrow(answer_windows, TOLD)
     later = later.groupBy("doc").agg(F.collect_list("told").alias("told"))
     return docs.join(later.hint("shuffle_hash"), "doc", "left").select("doc", "rank", "t", "told")
 
@@ -360,7 +368,8 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", wor
     whose rows follow each other in the order of a text hash, and rows that repeat both
     id and text as one row; null ids come after all others and are given back as null.
     Null and empty texts have no words; texts of any length are looked at whole; other
-    columns are not looked at; an empty table gives no rows. Ids must be whole numbers.
+    columns are not looked at; an empty table gives no rows. Ids of a type other than whole
+    numbers are refused.
     """
     if words < 2:
         raise ValueError("a window has at least 2 words")
@@ -370,21 +379,22 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", wor
         for batch, rows in removals(batches, words):
             n, gone, kept = zip(*rows, strict=True) if rows else ((), (), ())
             sha = [hashlib.sha256(k).hexdigest() for k in kept]
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+            ids = pc.if_else(pc.greater_equal(batch.column(1), NO_RANK), pa.scalar(None, pa.int64()), batch.column(0))
+            cols = [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())] * keep_text], names=names)
 
-    out = repeated_windows(with_rank(docs, doc, text), words).mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
-    return out.withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
+    out = repeated_windows(with_rank(docs, doc, text), words).mapInArrow(tidy(run), "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    return out
 
 
-def longest(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, limit: int = 1 << 20) -> list[tuple[int, int]]:
+def longest(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS) -> list[tuple[int, int]]:
     """[(length, rows with a window of it that also starts earlier)] for ``words`` and its doublings, until no window survives.
 
     Only rows with a window repeated at one length are looked at for twice that length.
     """
     live, out = with_rank(docs, doc, text), []
-    while words <= limit:
-        live = materialize(survivors(live, words).where("told is not null").drop("told"), "level")
+    while True:
+        live = materialize(survivors(live, words, slice_count(live)).where("told is not null").drop("told"), "level")
         n = repeated_windows(live, words).where("told is not null").count()
         if not n:
             break
