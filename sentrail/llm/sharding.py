@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import unused
 
 ADDRESS_BITS = 60
 #: Cells below one top prefix that one task looks at: 2 to this power.
@@ -112,9 +113,12 @@ def assign_shards(df: DataFrame, key: str, size: Column, limit: int) -> DataFram
 def write_shards(df: DataFrame, key: str, size: Column, limit: int, path: str) -> DataFrame:
     """Write ``df`` as Parquet, one folder ``shard=<bits>`` for each shard, and return the directory.
 
-    Rows travel once, by shard; the row's key must name it uniquely here.
+    Rows travel once, by shard; the row's key must name it uniquely here. Every column of
+    ``df`` is written, whatever its name; where one is called 'shard', the folders are named
+    'shard_=<bits>'.
     """
-    shards = assign_shards(df, key, size, limit).select(F.col("key").alias("__key"), F.concat(F.lit("b"), "shard").alias("shard"), "shard_bytes")
-    full = df.join(shards, df[key].eqNullSafe(shards["__key"])).drop("__key", "shard_bytes")
-    full.repartition("shard").write.partitionBy("shard").parquet(path)
-    return shards.groupBy("shard").agg(F.max("shard_bytes").alias("shard_bytes"), F.count("*").alias("n_rows"))
+    name, of = unused(df, "shard"), unused(df, "__key")
+    shards = assign_shards(df, key, size, limit).select(F.col("key").alias(of), F.concat(F.lit("b"), "shard").alias(name), "shard_bytes")
+    full = df.join(shards.drop("shard_bytes"), df[key].eqNullSafe(shards[of])).drop(of)
+    full.repartition(name).write.partitionBy(name).parquet(path)
+    return shards.groupBy(F.col(name).alias("shard")).agg(F.max("shard_bytes").alias("shard_bytes"), F.count("*").alias("n_rows"))

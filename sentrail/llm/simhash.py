@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize, release
-from .common import U64, buffers, keep_one, with_key
+from .common import U64, buffers, keep_one, tidy, with_key
 
 BITS = 64
 THRESHOLD = 2
@@ -58,6 +58,7 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """``(doc, fp)``, the fingerprint as a signed long; null and empty texts have 0."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = buffers(batch.column(1))
@@ -108,6 +109,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if threshold not in (1, 2):
         raise ValueError("the anchors cover thresholds of 1 and 2 bits")
 
+    @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column(0).to_numpy().view(U64)
@@ -116,6 +118,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 anchor, who = anchors(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[who].view(np.int64))], names=["anchor", "fp"])
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:

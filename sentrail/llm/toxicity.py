@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy, trim
+
 #: Labelled rows that are learnt from.
 SAMPLE_ROWS = 6000
 THRESHOLD = 0.7
@@ -301,11 +303,17 @@ def held_out(doc: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Classifier:
-    """Label model and classifier from at most ``rows`` labelled rows that are not held out."""
+    """Label model and classifier from at most ``rows`` labelled rows that are not held out.
+
+    Null ids and labels other than 0 and 1 are left out; an id with both labels counts as
+    toxic; of documents that repeat an id one is learnt from; null texts are empty; other
+    columns are not looked at. Without any labelled text the lexicon alone is learnt from.
+    """
     sample = labels.select(F.col(doc).alias("__id"), F.col(label).alias("__label")).where(f"__id is not null and __label in (0, 1)").where(~held_out("__id"))
     sample = sample.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     texts = docs.select(F.col(doc).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "__id")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -330,7 +338,10 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     for a, b, total, flags in zip([0, *ends], ends, got.column("total").to_pylist(), got.column("flags").to_pylist(), strict=False):
         counts = dict(zip([vocab[i] for i in code[a:b]], n[a:b].tolist(), strict=True))
         known.append(Facts(counts, total, *(bool(flags >> k & 1) for k in range(4))))
-    return learn(known, got.column("label").to_numpy().astype(np.int8))
+    model = learn(known, got.column("label").to_numpy().astype(np.int8))
+    del got, lists, coded, vocab, code, n, known
+    trim()
+    return model
 
 
 def learn(known: list[Facts], label: np.ndarray) -> Classifier:
@@ -350,6 +361,7 @@ def score(docs: DataFrame, model: Classifier, doc: str = "doc_id", text: str = "
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of the sample
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [shared.value.score(t.as_py()) for t in batch.column(2)]
@@ -362,9 +374,14 @@ def score(docs: DataFrame, model: Classifier, doc: str = "doc_id", text: str = "
 
 
 def without_toxic(docs: DataFrame, model: Classifier, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; same columns, nothing is shuffled."""
+    """``docs`` without the rows that score ``threshold`` or more; same columns, nothing is shuffled.
+
+    Null texts score as empty ones and stay; every repeated row is judged for itself; ids may
+    be null; other columns may have any name and are not looked at; an empty table gives none.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [shared.value.score(t.as_py() or "") < threshold for t in batch.column(at)]
