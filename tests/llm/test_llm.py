@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -68,6 +70,10 @@ def test_shards_edges(spark, awkward, none, tmp_path):
     assert sharding.assign_shards(none, "doc_id", size, 10).count() == 0
     df = docs_of(spark, [(i, "x" * 100) for i in range(64)])
     shards = sharding.write_shards(df, "doc_id", size, 800, str(tmp_path / "s"))
+    named = df.withColumns({"shard": F.lit("mine"), "shard_bytes": F.lit(7), "__key": F.lit(8)})
+    sharding.write_shards(named, "doc_id", size, 800, str(tmp_path / "t"))
+    kept = spark.read.parquet(str(tmp_path / "t"))
+    assert set(named.columns) < set(kept.columns) and kept.where("shard = 'mine' and shard_bytes = 7 and __key = 8").count() == 64
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 64 and back.select("shard").distinct().count() == shards.count() > 4
 
@@ -92,7 +98,7 @@ def squeeze(t):
 
 def test_leaks_equal_brute_force(spark):
     r = random.Random(3)
-    items = [(i, " ".join(r.choices(WORDS, k=r.randint(6, 30)))) for i in range(12)] + [(90, "short"), (91, None), (92, "")]
+    items = [(i, " ".join(r.choices(WORDS, k=r.randint(6, 30)))) for i in range(12)] + [(90, "eta mu"), (91, None), (92, ""), (93, "xi omicron pi"), (94, "a")]
     rows = []
     for i in range(60):
         text = " ".join(r.choices(WORDS, k=r.randint(0, 60)))
@@ -109,11 +115,14 @@ def test_leaks_equal_brute_force(spark):
     for i, t in rows:
         for j, item in items:
             item = squeeze(item)
-            if len(item) >= decontaminate.MIN_CHARS:
+            if 0 < len(item) < decontaminate.WHOLE_CHARS:
+                if f" {item} " in f" {squeeze(t)} ":
+                    want[i, j] = 0
+            elif item:
                 e = edit_in(item, squeeze(t))
                 if e <= int(decontaminate.ERROR_RATE * len(item)):
                     want[i, j] = e
-    assert got == want and len(want) > 8
+    assert got == want and len(want) > 8 and {90, 94} <= {j for _, j in want}
     clean = {x["doc_id"] for x in decontaminate.without_leaks(docs_of(spark, rows), bench).collect()}
     assert clean == {i for i, _ in rows} - {i for i, _ in want}
 
@@ -124,6 +133,10 @@ def test_leaks_edges(spark, awkward, none):
     assert set(out.doc) == {5, 6} and (out.edits == 0).all()
     assert decontaminate.find_leaks(none, bench).count() == 0
     assert decontaminate.find_leaks(awkward, bench.limit(0)).count() == 0
+    named = awkward.withColumn("__normalized", F.lit("x"))
+    assert decontaminate.without_leaks(named, bench).columns == named.columns and decontaminate.without_leaks(named, bench).count() == len(AWKWARD) - 3
+    again = decontaminate.find_leaks(docs_of(spark, [(1, "of the word " * 100 + "wo")]), spark.createDataFrame([(7, "of the"), (8, "word of the word of the word")], "item_id long, text string")).toPandas()
+    assert (again.item == 7).sum() == 100 and (again.item == 8).sum() == 33  # whole words; places of one item do not overlap
     kept = decontaminate.without_leaks(awkward, bench)
     assert kept.columns == awkward.columns and kept.count() == len(AWKWARD) - 3
 
@@ -144,6 +157,11 @@ def test_counts_equal_the_library(spark, sf, awkward, none):
         s = "".join(r.choice(odd) for _ in range(r.randint(0, 12)))
         want = tok.encode(s, add_special_tokens=False).ids
         assert mine.count(s) == len(want) and ids.encode(s) == struct.pack(f"<{len(want)}I", *want), repr(s)
+    every = [f"a{c}b {c} {c}{c}1" for c in map(chr, range(1, 0x2FA20)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    for s, e in zip(every, tok.encode_batch(every, add_special_tokens=False), strict=True):
+        assert mine.count(s) == len(e.ids) and ids.encode(s) == struct.pack(f"<{len(e.ids)}I", *e.ids), repr(s)
+    new = "".join(chr(c) for c in range(0x370, 0x1FFFF, 13) if not 0xD800 <= c <= 0xDFFF) + "\x1c\u0558a"
+    assert mine.count(new) == len(tok.encode(new, add_special_tokens=False).ids)
     got = queries.op3_token_counts(spark, sf).toPandas()
     rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
     want = {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
@@ -157,22 +175,68 @@ def test_counts_equal_the_library(spark, sf, awkward, none):
 # 4 ---------------------------------------------------------------------------
 
 
-def test_url_rules_and_model(spark, sf):
+def url_parts(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    return (re.sub("[A-Z]+", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+
+
+def plain_url_score(model, host, path):
+    """One URL's score, n-gram by n-gram."""
+    z = []
+    for salt, part in ((1, host), (2, path)):
+        raw = part.encode()
+        for n in url_filter.NGRAMS:
+            for i in range(len(raw) - n + 1):
+                h = salt * 8 + n
+                for b in raw[i : i + n]:
+                    h = (h * 0x100000001B3 + b + 1) % 2**64
+                for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ h >> shift) * by % 2**64
+                z.append(model.w[(h ^ h >> 31) >> 64 - url_filter.HASH_BITS])
+    return 1 / (1 + math.exp(-model.b - sum(z) / max(1, len(z)) ** 0.5))
+
+
+def test_url_filter_equals_brute_force(spark, sf):
+    model = url_filter.train(spark.createDataFrame(url_filter.labelled_urls(), "url string, unwanted int"))
     got = {r["page_id"]: r for r in queries.op4_url_filter(spark, sf).collect()}
     rules = sorted(queries.URL_RULES, key=lambda r: -len(r[1] + r[2]))
-    for i, url in duckdb.sql(f"select page_id, url from '{sf}/pages.parquet'").fetchall():
-        host, _, rest = (url.partition("://")[2]), "", ""
-        m = re.match(r"([^/?#]*)([^?#]*)", host)
-        host, path = m[1].lower(), m[2]
+    rows = duckdb.sql(f"select page_id, url from '{sf}/pages.parquet'").fetchall()
+    assert len(got) == len(rows)
+    for i, url in rows:
+        host, path = url_parts(url)
         rule = next(((v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), None)
-        assert (got[i]["host"], got[i]["path"]) == (host, path)
-        assert got[i]["rule"] == (rule and rule[1])
-        if rule:
-            assert got[i]["verdict"] == rule[0]
-        elif re.search("casino|spam|bets", host):
-            assert got[i]["verdict"] == "block", url
-        else:
-            assert got[i]["verdict"] == "allow", url
+        score = plain_url_score(model, host, path)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule and rule[1])
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9)
+        assert got[i]["verdict"] == (rule[0] if rule else "block" if score >= 0.5 else "allow")
+
+
+def test_url_model_on_held_out_rows_and_on_pages():
+    def model(rows):
+        h, p = zip(*[url_parts(u) for u, _ in rows], strict=True)
+        return url_filter.UrlModel().fit(pa.array(h), pa.array(p), np.array([y for _, y in rows], float))
+
+    def blocked(m, urls):
+        h, p = zip(*map(url_parts, urls), strict=True)
+        return m.score(pa.array(h), pa.array(p)) >= 0.5
+
+    rows = url_filter.labelled_urls()
+    right = 0
+    for k in range(5):
+        test = rows[k::5]
+        right += sum(blocked(model([r for i, r in enumerate(rows) if i % 5 != k]), [u for u, _ in test]) == [y == 1 for _, y in test])
+    assert right / len(rows) > 0.85
+    pages = [u for (u,) in duckdb.sql("select url from '/root/testdata/sf0.1/pages.parquet' where url is not null").fetchall()]
+    bad = np.array([bool(re.search("casino|bets|ads-|spam|pills|adult", url_parts(u)[0])) for u in pages])
+    got = blocked(model(rows), pages)
+    assert got[bad].mean() > 0.9 and got[~bad].mean() < 0.06
+
+
+def test_of_rules_of_one_length_the_first_wins(spark):
+    model = url_filter.UrlModel().fit(pa.array(["a", "b"]), pa.array(["/", "/"]), np.array([0.0, 1.0]))
+    pages = spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string")
+    for first, second in (("allow", "block"), ("block", "allow")):
+        assert url_filter.judge(pages, model, [(first, "org", "/a"), (second, "org", "/a")]).first()["verdict"] == first
 
 
 def test_url_edges(spark):
@@ -261,6 +325,8 @@ def test_exact_groups(spark, awkward, none):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 7, 9] and out.columns == docs_of(spark, rows).columns
     mixed = [(1, "x"), (1, "y"), (2, "x"), (0, "y")]
     assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_duplicates(docs_of(spark, mixed)).collect()) == [(0, "y"), (1, "x")]
+    named = docs_of(spark, mixed).withColumns({"__sha": F.lit("s"), "__k0": F.lit(1), "doc": F.lit(2), "len": F.lit(3), "live": F.lit(4)})
+    assert exact_dedup.drop_duplicates(named).columns == named.columns and exact_dedup.drop_duplicates(named).count() == 2
     unique = exact_dedup.drop_duplicates(docs_of(spark, [(1, "x"), (2, "x"), (3, "z")]))
     assert sorted(r["doc_id"] for r in unique.collect()) == [1, 3]
     assert exact_dedup.exact_groups(awkward).count() == len(AWKWARD)
@@ -329,6 +395,20 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], CAPTURES)).count() == 0
 
 
+def test_awkward_revisits(spark):
+    rows = [
+        (1, "response", "http://Bob:Secret@A.com/x", 10, '"v"', None, None, {"ETag": '"v"', "etag": '"w"', "X": "1"}), (None, "response", "http://Bob:Secret@a.com/x", 20, '"z"', None, None, {}),
+        (2, "revisit", "HTTP://Bob:Secret@a.COM/x", 30, '"v"', None, None, {"x": "2", "X": "3"}), (2, "revisit", "HTTP://Bob:Secret@a.COM/x", 30, '"v"', None, None, {"x": "2", "X": "3"}),
+        (3, "revisit", "http://bob:secret@a.com/x", 30, '"v"', None, None, {}), (7, "response", "http://t.com/", 1, '"a"', None, None, {"h": "1"}), (7, "response", "http://t.com/", 2, '"b"', None, None, {"h": "2"}),
+        (8, "revisit", "http://t.com/", 5, '"b"', None, None, None), (None, "revisit", "http://t.com/", 6, '"b"', None, None, None),
+    ]
+    out = warc.resolve_revisits(spark.createDataFrame(rows, CAPTURES)).collect()
+    got = collections.Counter((r["record_id"], r["status"], r["refers_to"]) for r in out)
+    assert got == {(2, "resolved", 1): 2, (3, "no_response", None): 1, (8, "resolved", 7): 1, (None, "resolved", 7): 1}
+    assert next(r["headers"] for r in out if r["record_id"] == 2) == {"etag": '"w"', "x": "2"}
+    assert next(r["headers"] for r in out if r["record_id"] == 8) == {"h": "2"}
+
+
 def test_revisits_of_one_hot_url_over_many_tasks(spark):
     r = random.Random(1)
     rows = [(i, "response" if r.random() < 0.02 else "revisit", "http://hot.com/", r.randrange(3000), '"e"', None, None, None) for i in range(3000)]
@@ -465,6 +545,10 @@ def test_repeats_edges(spark, awkward, none):
     assert substring.remove_repeats(none).count() == 0
     two = docs_of(spark, [(1, " ".join(WORDS)), (1, " ".join(WORDS) + " more"), (None, " ".join(WORDS))])
     assert sorted(substring.remove_repeats(two).toPandas().n_removed) == [0, 20, 20]
+    most = docs_of(spark, [((1 << 63) - 1, " ".join(WORDS)), (None, " ".join(WORDS)), (None, " ".join(WORDS) + " more"), (-5, "x")])
+    assert {(r["doc"], r["n_words"], r["n_removed"]) for r in substring.remove_repeats(most).collect()} == {((1 << 63) - 1, 20, 0), (None, 20, 20), (None, 21, 20), (-5, 1, 0)}
+    with pytest.raises(ValueError):
+        substring.remove_repeats(two.withColumn("doc_id", F.lit("a")))
     assert substring.longest(docs_of(spark, [(1, "w%d " * 50 % tuple(range(50))), (2, "w%d " * 50 % tuple(range(50))), (3, "x")])) == [(20, 1), (40, 1)]
 
 
