@@ -9,8 +9,8 @@ order puts shingles of many rows last and is by hash otherwise; it bears on the
 candidates, never on the result.
 
 Rows of equal sets are one class. The first round checks, besides SimHash's links, each
-class against the least class with which it shares most shingles of the prefix. The second
-checks, within a group of one shingle, only classes that are not connected yet. Sizes and
+class against the PIVOTS with which it shares most shingles of the prefix, of those that are
+the least of a shingle's group. The second checks, within a group of one shingle, only classes that are not connected yet. Sizes and
 parity bitmaps rule out most pairs before whole sets are compared. Shingles and sets are
 told apart by 64-bit hashes.
 """
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -40,6 +41,8 @@ SAMPLE_ROWS, COMMON, HOT = 20_000, 20, 8
 GATHER, SLICE_ENTRIES = 500_000, 2_000_000
 #: Slices of the counts of shingles.
 COUNT_SLICES = 256
+#: Classes that each one is checked against in the first round.
+PIVOTS = 2
 #: Longs of the bitmap with which the join of the second round is made.
 FOLDED = 16
 #: Pairs that meet one copy of a set.
@@ -369,16 +372,19 @@ def links(docs: DataFrame, text: str, rows: DataFrame, shingle: int = SHINGLE) -
     classes = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(FOLDED)), "bits")]), "near-classes")
     least = materialize(live.groupBy("h").agg(F.min("key").alias("a")), "near-least")
     stars = materialize(live.join(least, "h").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared")), "near-stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    best = stars.withColumn("k", F.row_number().over(W.partitionBy("b").orderBy(F.desc("shared"), "a"))).where(F.col("k") <= PIVOTS).select("a", "b")
     tried = materialize(ordered(best.unionByName(fingerprint_pairs(rows))), "near-tried")
     first = verified(docs, text, classes, tried, shingle)
     comp = materialize(connected_components(first, "a", "b").withColumnsRenamed({"id": "key", "component": "part"}), "near-parts")
     parts = materialize(live.join(comp, "key", "left").select("h", "key", F.coalesce("part", "key").alias("part")), "near-grouped")
     # a group of one part is settled, and one of two classes by their pair alone
     open_ = parts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("h")
-    left = materialize(parts.join(open_, "h", "left_semi").join(classes.drop("bits"), "key"), "near-open")
+    left = parts.join(open_, "h", "left_semi").withColumn("before", F.lag("h").over(W.partitionBy("key").orderBy("h")))
+    left = materialize(left.join(classes.drop("bits"), "key"), "near-open")
     right = left.select("h", *[F.col(c).alias(f"{c}_") for c in left.columns if c != "h"])
-    may = (F.col("key") < F.col("key_")) & (F.col("part") != F.col("part_")) & fits("n", "n_") & may_agree()
+    # what shares the open shingle before, too, has met there
+    met = F.coalesce(F.col("before") == F.col("before_"), F.lit(False))
+    may = (F.col("key") < F.col("key_")) & (F.col("part") != F.col("part_")) & ~met & fits("n", "n_") & may_agree()
     more = left.join(right, "h").where(may).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()
     of = lambda k: comp.select(F.col("key").alias(k), F.col("part").alias(f"part_{k}"))
     apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
