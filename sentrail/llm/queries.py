@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from . import decontaminate, exact_dedup, packing, sharding, simhash, substring, token_count, toxicity, url_filter, warc
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES, SMALL_SHARD_BYTES = 16 << 20, 64 << 10
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +29,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))), SHARD_BYTES).withColumnRenamed("key", "doc_id")
 
 
+def shard_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under a limit that small tables exceed too, so that shards of several depths are compared with SQL."""
+    docs = table(spark, sf_dir, "documents")
+    return sharding.assign_shards(docs, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))), SMALL_SHARD_BYTES).withColumnRenamed("key", "doc_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
@@ -72,20 +80,27 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontaminate, op3_token_counts, op4_url_filter, op5_packing, op6_exact_dedup, op7_toxicity, op8_revisits, op9_simhash, op10_substring)}
+QUERIES = {f.__name__: f for f in (op1_sharding, shard_depths, op2_decontaminate, op3_token_counts, op4_url_filter, op5_packing, op6_exact_dedup, op7_toxicity, op8_revisits, op9_simhash, op10_substring)}
 
-ORACLE_SQL = {
-    "op1_sharding": f"""
+
+
+def shard_sql(limit: int) -> str:
+    return f"""
 WITH rows_ AS (
   SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS a, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents
 ), sums AS (
   SELECT d, a >> (60 - d) AS p, sum(n_bytes) AS size, count(*) AS n FROM rows_, range(0, 31) t(d) GROUP BY ALL
 ), leaf AS (
   SELECT r.doc_id, r.n_bytes, r.a, s.d, s.size, row_number() OVER (PARTITION BY r.doc_id ORDER BY s.d) AS k
-  FROM rows_ r, range(0, 31) t(d) JOIN sums s ON s.d = t.d AND s.p = r.a >> (60 - t.d) WHERE s.size <= {SHARD_BYTES} OR s.n = 1
+  FROM rows_ r, range(0, 31) t(d) JOIN sums s ON s.d = t.d AND s.p = r.a >> (60 - t.d) WHERE s.size <= {limit} OR s.n = 1
 )
 SELECT doc_id AS doc_id, n_bytes::BIGINT AS n_bytes, substr(lpad(format('{{:b}}', a), 60, '0'), 1, d::INT) AS shard, d::INT AS depth, size::BIGINT AS shard_bytes FROM leaf WHERE k = 1
-""",
+"""
+
+
+ORACLE_SQL = {
+    "op1_sharding": shard_sql(SHARD_BYTES),
+    "shard_depths": shard_sql(SMALL_SHARD_BYTES),
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1 AS kept, h AS text_sha256

@@ -566,8 +566,7 @@ def test_pipeline_equals_brute_force(spark, sf):
     for i, t in sorted(docs):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
     docs = [(i, t) for i, t in docs if i in set(first.values())]
-    comp = brute_components([(i, brute_fingerprint(t)) for i, t in docs])
-    docs = [(i, t) for i, t in docs if comp[i] == i]
+    docs = brute_near(sorted(docs))
     items = [squeeze(t) for (t,) in duckdb.sql(f"select text from '{sf}/benchmark.parquet'").fetchall()]
     grams = [{t[k : k + 12] for k in range(0, len(t) - 12, 12)} for t in items]
     keep = []
@@ -581,6 +580,33 @@ def test_pipeline_equals_brute_force(spark, sf):
     check_packing(rows, keep, queries.tokenizer_path())
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    leak = "the capital of the invented land is a town by the name of quillon on the river"
+    bench = spark.createDataFrame([(1, leak), (2, None), (2, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(4, 0, 1), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    for df, name in ((bench, "benchmark"), (labels, "labels")):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (1, None), (2, ""), (3, " \t"), (None, base), (4, base), (4, base.replace("w30", "other")), (None, "lone text"), (6, "x " + leak + " y"), (6, "another text of id six"),
+        (7, "long " * 20000), (8, "you idiot, you stupid clown"), (9, "you moron and loser, you pathetic clown"),
+    ]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("__key", "__row", "__sha", "__normalized", "__k0", "doc", "t", "key", "n", "root", "size", "label", "kept", "part")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.columns == docs.columns and none.count() == 0, name
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+        assert len(docs.columns) == 19
+    kept = sorted(((r["doc_id"], (r["text"] or "")[:12]) for r in docs.collect()), key=str)
+    # of the blank texts and of the copies the least id stays; a null id comes last
+    assert kept == sorted([(1, ""), (4, "w0 w1 w2 w3 "), (None, "lone text"), (6, "another text"), (7, "long long lo")], key=str)
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).toPandas()
+    assert packed["length"].sum() == 20001 + sum(len(queries.packing.encoder(queries.tokenizer_path()).encode(t)) // 4 + 1 for t in (r["text"] or "" for r in docs.collect() if r["doc_id"] != 7))
+
+
 # near copies -----------------------------------------------------------------
 
 
