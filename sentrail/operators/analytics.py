@@ -61,26 +61,27 @@ def transaction_stats(tx: DataFrame, as_of: datetime, days: int = 30) -> DataFra
     return s.withColumn("flag_rate", F.coalesce(ratio(F.col("flagged_count"), F.col("total_count")), F.lit(0.0)))
 
 
-def by_member(df: DataFrame, c: str, members: Sequence[str]) -> DataFrame:
-    """Rows per enum member, zeros included, in one pass."""
-    counts = df.agg(*[F.count_if(F.col(c) == m).alias(m) for m in members])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("dimension"), F.lit(m).alias("member"), F.col(m).alias("row_count")) for m in members])))
+def breakdown(df: DataFrame, members: dict[str, Sequence[str]], totals: dict[str, Column] | None = None) -> DataFrame:
+    """``(dimension, member, row_count)``: rows per enum member of several columns, zeros included, and rows that meet a condition, in one pass."""
+    cells = [(c, m, F.col(c) == m) for c, values in members.items() for m in values] + [("total", k, v) for k, v in (totals or {}).items()]
+    counts = df.agg(*[F.count_if(cond).alias(f"n{i}") for i, (_, _, cond) in enumerate(cells)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("dimension"), F.lit(m).alias("member"), F.col(f"n{i}").alias("row_count")) for i, (c, m, _) in enumerate(cells)])))
 
 
 def alert_dashboard(alerts: DataFrame, statuses: Sequence[str], severities: Sequence[str]) -> DataFrame:
-    return by_member(alerts, "status", statuses).unionByName(by_member(alerts, "severity", severities)).unionByName(alerts.agg(F.count_if(F.col("status").isin("new", "investigating")).alias("row_count")).select(F.lit("total").alias("dimension"), F.lit("open").alias("member"), "row_count"))
+    return breakdown(alerts, {"status": statuses, "severity": severities}, {"open": F.col("status").isin("new", "investigating")})
 
 
 def case_dashboard(cases: DataFrame) -> DataFrame:
-    return cases.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("open", "in_progress", "pending_review")).alias("open_cases"), F.count_if(F.col("sar_filed") == 1).alias("sar_count"), F.avg("overall_risk_score").alias("avg_risk"))
+    return cases.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("open", "in_progress", "pending_review")).alias("open_cases"), F.count_if(F.col("status") == "sar_filed").alias("sar_count"), F.avg("overall_risk_score").alias("avg_risk"))
 
 
-ACTIVE = ("draft", "in_progress", "review", "submitted")
+ACTIVE = ("draft", "in_progress", "review")
 
 
 def proposal_dashboard(p: DataFrame, as_of: datetime) -> DataFrame:
     active, won, lost = F.col("status").isin(*ACTIVE), F.col("status") == "won", F.col("status") == "lost"
-    soon = (F.col("due_date") <= F.lit(as_of) + F.expr("interval 7 days")) & (F.col("due_date") >= F.lit(as_of))
+    soon = F.col("due_date") <= F.lit(as_of) + F.expr("interval 7 days")  # what is overdue counts too
     a = p.agg(F.count("*").alias("total"), F.count_if(active).alias("active"), F.count_if(active & soon).alias("due_soon"), F.count_if(won).alias("won"), F.count_if(lost).alias("lost"), F.coalesce(F.sum(F.when(won, F.col("estimated_deal_value"))), F.lit(0.0)).alias("won_value"))
     return a.withColumn("win_rate", F.coalesce(F.round(ratio(F.col("won") * 100, F.col("won") + F.col("lost")), 1), F.lit(0.0)))
 
@@ -164,6 +165,35 @@ def list_proposals(p: DataFrame, priorities: Sequence[str], number: int = 1, siz
     return page(rows, [F.asc_nulls_last("due_date"), F.desc_nulls_first(ordinal(F.col("priority"), priorities)), F.col("id")], number, size)
 
 
+def list_engagements(e: DataFrame, number: int = 1, size: int = 20, client: str | None = None, search: str | None = None, **equal: object) -> tuple[DataFrame, DataFrame]:
+    """Engagements by type and status, newest first."""
+    rows = matching(e, equal, like={"client_name": client or None}, any_like=(("title", "client_name"), search or ""))
+    return page(rows, [F.desc_nulls_first("created_at"), F.col("id")], number, size)
+
+
+def list_demos(d: DataFrame, number: int = 1, size: int = 20, client: str | None = None, date_from: datetime | None = None, date_to: datetime | None = None, **equal: object) -> tuple[DataFrame, DataFrame]:
+    """Demos by type, status and presenter, latest date first."""
+    rows = matching(d, equal, {"scheduled_at": date_from}, {"scheduled_at": date_to}, {"client_name": client or None})
+    return page(rows, [F.desc_nulls_first("scheduled_at"), F.col("id")], number, size)
+
+
+def list_scenarios(s: DataFrame, number: int = 1, size: int = 20, search: str | None = None, **equal: object) -> tuple[DataFrame, DataFrame]:
+    """Active demo scenarios, the most used first."""
+    rows = matching(s, {"is_active": 1} | equal, any_like=(("name", "description"), search or ""))
+    return page(rows, [F.desc_nulls_first("times_used"), F.col("id")], number, size)
+
+
+def list_content(c: DataFrame, number: int = 1, size: int = 20, search: str | None = None, **equal: object) -> tuple[DataFrame, DataFrame]:
+    """Current library content, the most used first."""
+    rows = matching(c, {"is_current": 1} | equal, any_like=(("title", "content"), search or ""))
+    return page(rows, [F.desc_nulls_first("usage_count"), F.col("id")], number, size)
+
+
+def sections(s: DataFrame, proposal: object) -> DataFrame:
+    """A proposal's sections by number, as text."""
+    return s.where(F.col("proposal_id") == proposal).orderBy(F.col("section_number").cast("string"), "id")
+
+
 def related_transactions(tx: DataFrame, transaction: object, limit: int = 10) -> DataFrame:
     """Other payments that share a party with one, in any role, newest first; parties are joined by equality."""
     parties = tx.where(F.col("id") == transaction).select(F.explode(F.array("sender_entity_id", "receiver_entity_id")).alias("party")).where("party is not null").distinct()
@@ -191,6 +221,22 @@ def pattern_summary(tx: DataFrame, entity: object, lookback_days: int, as_of: da
     return s.withColumns({"high_volume": F.col("total_volume") > 1_000_000, "high_frequency": F.col("total_count") > 1000, "many_counterparties": F.col("counterparties") > 100})
 
 
+def tallies(tx: DataFrame, entity: object, columns: Sequence[str] = ("currency", "transaction_type")) -> DataFrame:
+    """``(dimension, member, row_count)`` of an entity's payments, in one pass."""
+    own = tx.where((F.col("sender_entity_id") == entity) | (F.col("receiver_entity_id") == entity))
+    cells = own.select(F.inline(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("member")) for c in columns])))
+    return cells.groupBy("dimension", "member").agg(F.count("*").alias("row_count"))
+
+
+def first_counterparties(tx: DataFrame, entity: object, limit: int = 50) -> DataFrame:
+    """The first counterparties that an entity meets, going back from its newest payment."""
+    other = F.when(F.col("sender_entity_id") == entity, F.col("receiver_entity_id")).otherwise(F.col("sender_entity_id"))
+    own = tx.where((F.col("sender_entity_id") == entity) | (F.col("receiver_entity_id") == entity))
+    seen = own.select(other.alias("counterparty"), "transaction_date", "id").where("counterparty is not null")
+    met = seen.groupBy("counterparty").agg(F.max(F.struct("transaction_date", (-F.col("id")).alias("o"))).alias("at"))
+    return met.orderBy(F.desc("at"), "counterparty").limit(limit).select("counterparty")
+
+
 def business_keys(df: DataFrame, prefix: str, date: str, form: str = "yyyyMM", width: int = 4, existing: int = 0) -> DataFrame:
     """Consecutive keys PREFIX-<date>-<number>; numbers follow (date, id) within each period."""
     from pyspark.sql import Window as W

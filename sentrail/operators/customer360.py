@@ -57,10 +57,51 @@ def financial_summary(accounts: DataFrame) -> DataFrame:
     return a.groupBy("customer_id").agg(F.count("*").alias("account_count"), F.sum(F.coalesce("a.balance", F.lit(0.0))).alias("total_balance"), F.sum(F.coalesce("a.credit_limit", F.lit(0.0))).alias("total_credit_limit"), F.array_sort(F.collect_set("a.account_type")).alias("account_types"), F.array_sort(F.collect_set("a.currency")).alias("currencies"))
 
 
+def attribute_keys(records: DataFrame, column: str = "attributes") -> DataFrame:
+    """``(customer_id, keys)``: every attribute that any record has."""
+    k = records.select("customer_id", F.explode(F.map_keys(column)).alias("k"))
+    return k.groupBy("customer_id").agg(F.array_sort(F.collect_set("k")).alias("keys"))
+
+
+def golden_attributes(records: DataFrame, column: str = "attributes", confidence: str = "confidences") -> DataFrame:
+    """``(customer_id, attributes)`` over maps: identity by source priority, contact by date, others by confidence (1 unless given), then priority."""
+    e = records.select("customer_id", "pos", "source_system", "updated_at", F.col(confidence).alias("conf"), F.explode(column).alias("k", "v")).where("v is not null")
+    recent = F.when(F.col("k").isin(*BY_RECENCY), -F.coalesce(F.unix_timestamp("updated_at"), F.lit(-1 << 62))).otherwise(0)
+    sure = F.when(F.col("k").isin(*BY_RECENCY, *BY_PRIORITY), 0.0).otherwise(-F.coalesce(F.element_at("conf", F.col("k")), F.lit(1.0)))
+    best = e.groupBy("customer_id", "k").agg(F.min_by("v", F.struct(recent, sure, priority(), F.col("pos"))).alias("v"))
+    return best.groupBy("customer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))
+
+
+def first_flagged(records: DataFrame, flag: str, fields: Sequence[str]) -> DataFrame:
+    """``(customer_id, flag, fields ...)`` of the first record that carries the flag; false and nulls where none does."""
+    on = F.coalesce(F.col(flag), F.lit(False))
+    g = records.groupBy("customer_id").agg(F.min_by(F.when(on, F.struct(*fields)), F.when(on, F.col("pos"))).alias("f"))
+    return g.select("customer_id", F.col("f").isNotNull().alias(flag), *[F.col(f"f.{c}").alias(c) for c in fields])
+
+
+def build_view(records: DataFrame, fields: Sequence[str], as_of: datetime) -> DataFrame:
+    """One nested row for each customer: golden record, contact, risk, compliance, quality and sources, joined by customer once each."""
+    gold = golden(records, fields)
+    lists = [nested(records, c, keys, lower, True).withColumnRenamed("items", c) for c, keys, lower in (("phones", ("number",), False), ("emails", ("address",), True)) if c in records.columns]
+    risk, kyc = risk_profile(records), kyc_status(records)
+    quality = data_quality(records, gold, as_of)
+    sources = records.groupBy("customer_id").agg(F.array_sort(F.collect_set("source_system")).alias("source_systems"), F.max("updated_at").alias("last_updated"))
+    out = sources.join(gold.select("customer_id", F.struct(*fields).alias("golden_record")), "customer_id")
+    out = out.join(risk.select("customer_id", F.struct("max_risk", "avg_risk", "risk_level", "risk_factors").alias("risk_profile")), "customer_id")
+    out = out.join(kyc.select("customer_id", F.struct(F.col("kyc_status").alias("kyc"), "is_sanctioned", "is_pep").alias("compliance")), "customer_id")
+    out = out.join(quality.select("customer_id", F.struct("overall_score", "completeness", "accuracy").alias("data_quality")), "customer_id")
+    for x in lists:
+        out = out.join(x, "customer_id", "left")
+    contact = [F.coalesce(c, F.array()).alias(c) for c in ("phones", "emails") if c in records.columns]
+    return out.select("customer_id", "golden_record", F.struct(*contact).alias("contact"), "risk_profile", "compliance", "data_quality", "source_systems", "last_updated")
+
+
 def risk_profile(records: DataFrame) -> DataFrame:
-    """Greatest and mean non-zero risk score and its level."""
+    """Greatest and mean non-zero risk score, its level, and all risk factors."""
     s = F.when(F.col("risk_score") != 0, F.col("risk_score"))
-    g = records.groupBy("customer_id").agg(F.coalesce(F.max(s), F.lit(0.0)).alias("max_risk"), F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_risk"))
+    none = F.array().cast("array<string>")
+    factors = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("risk_factors", none))))) if "risk_factors" in records.columns else F.first(none)
+    g = records.groupBy("customer_id").agg(F.coalesce(F.max(s), F.lit(0.0)).alias("max_risk"), F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_risk"), factors.alias("risk_factors"))
     return g.withColumn("risk_level", risk_level(F.col("max_risk")))
 
 

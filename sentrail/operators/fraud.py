@@ -16,6 +16,19 @@ DUST = {"BTC": 0.00001, "ETH": 0.0001, "USDT": 0.01}
 FRAUD_TYPES = ("credit_card", "blockchain", "lending", "payment_domestic", "payment_international", "identity", "application", "account_takeover")
 
 
+# What to do at each level, and first of all for one indicator.
+CARD_ACTIONS = {"critical": "Block transaction and contact cardholder immediately", "high": "Hold transaction pending cardholder verification", "medium": "Flag for review and monitor subsequent transactions", "low": "Monitor transaction pattern"}
+WALLET_ACTIONS = {"critical": "Freeze wallet and file SAR", "high": "Enhanced due diligence and transaction review", "medium": "Monitor wallet activity", "low": "Monitor wallet activity"}
+LENDING_ACTIONS = {"critical": "Decline application", "high": "Request additional documentation and verification", "medium": "Enhanced manual review required", "low": "Proceed with standard underwriting"}
+SANCTIONED_ACTION = "Block transaction immediately - OFAC/sanctions violation"
+SYNTHETIC_ACTION = "Decline application and flag for fraud investigation"
+
+
+def action(by_level: dict[str, str], special: Column | None = None, text: str = "") -> Column:
+    out = F.element_at(F.create_map(*[F.lit(x) for kv in by_level.items() for x in kv]), F.col("level"))
+    return out if special is None else F.when(special, text).otherwise(out)
+
+
 def combined(df: DataFrame, checks: dict[str, Column], rungs: list[tuple[float, str]], prefix: str, key: str) -> DataFrame:
     """Rows with at least one indicator: their names, the capped sum, level and a reproducible alert id."""
     df = df.withColumns({f"s_{k}": F.coalesce(c, F.lit(0.0)) for k, c in checks.items()})
@@ -54,7 +67,7 @@ def card_fraud(tx: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
         t = t.join(profiles.withColumn("has_profile", F.lit(True)), "cardholder_id", "left")
     testing = F.when(((c("amount") < 5) & (c("max_before") > c("amount"))) | (c("declined_10") >= 3), 0.4)
     hours = (F.unix_timestamp("timestamp") - F.unix_timestamp("other_place.at")) / 3600
-    absent = ~F.coalesce(c("is_card_present"), no)
+    absent = F.coalesce(~c("is_card_present"), no)  # null is not known to be absent
     cnp = lambda flag, s: F.when(absent & ~F.coalesce(c(flag), no), s)
     checks = {
         "card_testing": testing, "velocity": F.when(c("count_24h") > 10, 0.3), "impossible_travel": F.when(hours < 3, 0.5), "high_risk_mcc": F.when(c("mcc").isin(*RISKY_MCC), 0.2),
@@ -62,10 +75,10 @@ def card_fraud(tx: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     }
     if profiles is not None:
         p = F.coalesce(c("has_profile"), no)
-        z = ratio(c("amount") - c("avg_transaction_amount"), c("std_transaction_amount"))
+        z = F.when((c("avg_transaction_amount") > 0) & (c("std_transaction_amount") > 0), ratio(c("amount") - c("avg_transaction_amount"), c("std_transaction_amount")))
         usual = F.coalesce(c("usual_hours"), F.array(*[F.lit(h) for h in range(8, 22)]))
         checks |= {"amount_deviation": F.when(p & (z > 3), 0.2), "unusual_mcc": F.when(p & (F.size("usual_mccs") > 0) & ~F.array_contains("usual_mccs", c("mcc")), 0.1), "unusual_hour": F.when(p & ~F.array_contains(usual, F.hour("timestamp")), 0.1)}
-    return combined(t, checks, CARD_RUNGS, "CC-", "transaction_id")
+    return combined(t, checks, CARD_RUNGS, "CC-", "transaction_id").withColumn("recommended_action", action(CARD_ACTIONS))
 
 
 def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
@@ -105,7 +118,7 @@ def wallet_fraud(tx: DataFrame, wallet: str = "from_address") -> DataFrame:
         "sanctioned_address": F.when(starts_any(c("to_address"), SANCTIONED) | starts_any(c("from_address"), SANCTIONED), 1.0), "layering": F.when((c("rows_before") >= 5) & (c("addresses_10") > 8), 0.5),
         "rapid_timing": F.when(c("quick_before") >= 3, 0.3), "chain_hopping": F.when(c("currencies_20") > 5, 0.3), "dust": F.when(dust(c("amount"), c("currency")), 0.2),
     }
-    return combined(t, checks, CARD_RUNGS, "BC-", "tx_hash")
+    return combined(t, checks, CARD_RUNGS, "BC-", "tx_hash").withColumn("recommended_action", action(WALLET_ACTIONS, F.array_contains("indicators", "sanctioned_address"), SANCTIONED_ACTION))
 
 
 def lending_fraud(applications: DataFrame, history: DataFrame | None = None, bureau: DataFrame | None = None) -> DataFrame:
@@ -131,4 +144,17 @@ def lending_fraud(applications: DataFrame, history: DataFrame | None = None, bur
             "income_mismatch": F.when((c("b_estimated_income") > 0) & (c("annual_income") / c("b_estimated_income") > 2), 0.4), "name_mismatch": F.when(differs("name"), 0.2), "dob_mismatch": F.when(differs("date_of_birth"), 0.3), "ssn_issues": F.when(yes("b_ssn_issues"), 0.4),
             "thin_file": F.when((c("b_credit_file_age_months") < 12) & (c("b_account_count") >= 5), 0.3), "no_address_history": F.when(yes("has_bureau") & (F.coalesce(F.size("b_historical_addresses"), F.lit(0)) <= 0), 0.2), "authorized_users": F.when(c("b_authorized_user_accounts") > 3, 0.2),
         }
-    return combined(a, checks, LENDING_RUNGS, "LF-", "application_id")
+    synthetic = F.arrays_overlap("indicators", F.array(*map(F.lit, ("thin_file", "no_address_history", "authorized_users"))))
+    return combined(a, checks, LENDING_RUNGS, "LF-", "application_id").withColumn("recommended_action", action(LENDING_ACTIONS, synthetic, SYNTHETIC_ACTION))
+
+
+DETECTORS = {"credit_card": (card_fraud, "cardholder_id", "transaction_id"), "blockchain": (wallet_fraud, "from_address", "tx_hash"), "lending": (lending_fraud, "applicant_id", "application_id")}
+
+
+def detect(kind: str, rows: DataFrame, *context: DataFrame) -> DataFrame:
+    """Alerts of one detector in one schema; ``context`` is the detector's (card profiles; applicants' history, bureau data)."""
+    if kind not in DETECTORS:
+        raise ValueError(f"no detector of {kind!r}; there are {', '.join(DETECTORS)}")
+    f, entity, key = DETECTORS[kind]
+    text = lambda c: F.col(c).cast("string")
+    return f(rows, *context).select("alert_id", F.lit(kind).alias("fraud_type"), "level", "fraud_score", text(entity).alias("entity_id"), text(key).alias("transaction_id"), "indicators", "recommended_action")

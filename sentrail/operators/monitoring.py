@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_hours, ladder, ratio
 
+# Countries of high risk.
 HIGH_RISK = ("KP", "IR", "MM", "SY", "YE", "AF")
 
 

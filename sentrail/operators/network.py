@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,10 +20,17 @@ def graph(tx: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def circular_flows(edges: DataFrame, min_amount: float = 10000, distinct_cycles: bool = False) -> DataFrame:
-    """Every a -> b -> c -> a of payments of at least ``min_amount``, in all three rotations unless ``distinct_cycles``."""
+    """Every a -> b -> c -> a of payments of at least ``min_amount``, in all three rotations unless ``distinct_cycles``.
+
+    Triangles are found on pairs of entities, and only those that close are spread out over
+    their parallel payments.
+    """
     e = edges.where(F.col("amount") >= min_amount).select("src", "dst", "id", "amount")
-    e1, e2, e3 = (e.select(*(F.col(c).alias(f"{c}{i}") for c in e.columns)) for i in (1, 2, 3))
-    t = e1.join(e2, F.col("dst1") == F.col("src2")).join(e3, (F.col("dst2") == F.col("src3")) & (F.col("dst3") == F.col("src1")))
+    pairs = e.select("src", "dst").distinct()
+    p1, p2, p3 = (pairs.select(F.col("src").alias(x), F.col("dst").alias(y)) for x, y in (("src1", "src2"), ("src2", "src3"), ("src3", "src1")))
+    t = p1.join(p2, "src2").join(p3, ["src3", "src1"])
+    for i, j in ((1, 2), (2, 3), (3, 1)):
+        t = t.join(e.select(F.col("src").alias(f"src{i}"), F.col("dst").alias(f"src{j}"), F.col("id").alias(f"id{i}"), F.col("amount").alias(f"amount{i}")), [f"src{i}", f"src{j}"])
     if distinct_cycles:
         t = t.where("id1 <= id2 and id1 <= id3")
     total = F.col("amount1") + F.col("amount2") + F.col("amount3")
@@ -104,6 +114,13 @@ def node_metrics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("id", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("total_degree"), "neighbour_count", F.col("exposure").alias("risk_exposure"), coeff.alias("clustering_coefficient"))
 
 
+def type_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(dimension, member, row_count)``: nodes by type and edges by relationship type."""
+    v = vertices.groupBy(F.col("entity_type").alias("member")).agg(F.count("*").alias("row_count"))
+    e = edges.groupBy(F.col("relationship_type").alias("member")).agg(F.count("*").alias("row_count"))
+    return v.select(F.lit("node_type").alias("dimension"), "*").unionByName(e.select(F.lit("relationship_type").alias("dimension"), "*"))
+
+
 def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: numbers of nodes and edges, mean risk, nodes of risk 0.7 or more."""
     v = vertices.agg(F.count("*").alias("nodes"), F.avg("risk_score").alias("avg_risk"), F.count_if(F.col("risk_score") >= 0.7).alias("high_risk_nodes"))
@@ -142,6 +159,18 @@ def shared_attributes(nodes: DataFrame, rules: tuple[tuple[str, str, float], ...
     return out
 
 
+def shared_classes(nodes: DataFrame, rules: tuple[tuple[str, str, float], ...] = SHARED) -> DataFrame:
+    """``(relationship_type, value, root, members, links)``: nodes with one attribute value as a class, in place of all its pairs.
+
+    ``root`` is the first node, ``links`` how many pairs the class stands for; with the
+    attribute of each node this says which are linked, however many share one address.
+    """
+    parts = [F.struct(F.lit(kind).alias("relationship_type"), F.element_at("attributes", name).alias("value")) for name, kind, _ in rules]
+    v = nodes.select("id", "ord", F.inline(F.array(*parts))).where("value <> ''")
+    g = v.groupBy("relationship_type", "value").agg(F.min_by("id", "ord").alias("root"), F.count("*").alias("members")).where("members > 1")
+    return g.withColumn("links", F.expr("members * (members - 1) div 2"))
+
+
 def frequent_pairs(edges: DataFrame, min_count: int = 3) -> DataFrame:
     """TRANSACTED_WITH edges of unordered pairs with enough payments; confidence grows with their number."""
     g = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("n"), F.sum("amount").alias("total_amount"))
@@ -153,6 +182,70 @@ def add_inferred(edges: DataFrame, inferred: DataFrame) -> DataFrame:
     return edges.unionByName(inferred.join(edges.select("edge_id"), "edge_id", "left_anti"), allowMissingColumns=True)
 
 
+# Relationship types that are known; others count as RELATED_TO.
+RELATIONSHIPS = (
+    "OWNS", "CONTROLS", "DIRECTOR_OF", "SHAREHOLDER_OF", "EMPLOYEE_OF", "RELATED_TO", "FAMILY_OF", "TRANSACTED_WITH", "SENT_TO", "RECEIVED_FROM", "ACCOUNT_HOLDER", "AUTHORIZED_SIGNATORY", "BENEFICIAL_OWNER",
+    "REGISTERED_AT", "RESIDES_AT", "OPERATES_FROM", "CONTACTED", "SHARES_PHONE", "SHARES_EMAIL", "SHARES_DEVICE", "CO_LOCATED",
+)
+Inference = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def make_nodes(rows: DataFrame) -> DataFrame:
+    """Nodes of ``(id, ord, entity_type, name, attributes, risk_score)``: of rows that repeat an id the last stays; no risk counts as 0."""
+    last = rows.groupBy("id").agg(F.max_by(F.struct("entity_type", "name", "attributes", "risk_score"), "ord").alias("n"), F.min("ord").alias("ord"))
+    return last.select("id", "ord", "n.entity_type", "n.name", "n.attributes", F.coalesce("n.risk_score", F.lit(0.0)).alias("risk_score"))
+
+
+def make_edges(rows: DataFrame) -> DataFrame:
+    """Edges of ``(src, dst, ord, relationship_type)``, weight and confidence 1 unless given; of rows that repeat an id the last stays."""
+    kind = F.when(F.col("relationship_type").isin(*RELATIONSHIPS), F.col("relationship_type")).otherwise("RELATED_TO")
+    one = lambda c: (F.coalesce(c, F.lit(1.0)) if c in rows.columns else F.lit(1.0)).alias(c)
+    e = rows.select("src", "dst", "ord", kind.alias("relationship_type"), one("weight"), one("confidence")).withColumn("edge_id", edge_id("src", "dst", "relationship_type"))
+    last = e.groupBy("edge_id").agg(F.max_by(F.struct("src", "dst", "relationship_type", "weight", "confidence"), "ord").alias("e"))
+    return last.select("e.*", "edge_id")
+
+
+def infer_shared(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return shared_attributes(nodes).withColumn("weight", F.lit(1.0))
+
+
+def generate_network(nodes: DataFrame, edges: DataFrame, payments: DataFrame | None = None, rules: Sequence[Inference] = (infer_shared,)) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a network: explicit edges, payments (the last of each pair as SENT_TO), and what the rules infer.
+
+    A rule is a function of nodes and edges; rules run in order, and an inferred edge is
+    added only if its id is new. With payments, pairs that pay each other often are linked
+    last.
+    """
+    cols = ["src", "dst", "relationship_type", "weight", "confidence", "edge_id"]
+    v = materialize(make_nodes(nodes), "nodes")
+    e = make_edges(edges).select(cols)
+    if payments is not None:
+        sent = relationships_from_transactions(payments).withColumn("confidence", F.lit(1.0)).select(cols)
+        e = e.join(sent.select("edge_id"), "edge_id", "left_anti").select(cols).unionByName(sent)
+    for rule in rules:
+        e = add_inferred(e, rule(v, e).select(cols))
+    if payments is not None:
+        often = frequent_pairs(payments)
+        often = often.withColumn("edge_id", F.concat_ws("_", F.lit("tx_pattern"), "src", "dst")).select(cols)
+        e = add_inferred(e, often)
+    return v, materialize(e, "edges")
+
+
+def match_pattern(vertices: DataFrame, edges: DataFrame, relationship: str | None = None, source_type: str | None = None, target_type: str | None = None) -> DataFrame:
+    """``(source_id, source_name, relationship_type, target_id, target_name)`` of edges that fit types given or not."""
+    e = edges.where(F.col("relationship_type") == relationship) if relationship else edges
+    side = lambda p, kind: (vertices.where(F.col("entity_type") == kind) if kind else vertices).select(F.col("id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"))
+    s, t = side("source", source_type), side("target", target_type)
+    return e.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "relationship_type").join(s, "source_id").join(t, "target_id")
+
+
+def create_relationships(vertices: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """``edges`` with those of ``rows`` added whose two ends exist."""
+    ids = vertices.select("id").distinct()
+    known = rows.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.unionByName(known, allowMissingColumns=True)
+
+
 def export_records(vertices: DataFrame) -> DataFrame:
     """Node records with an upper-case label and flattened properties; attribute keys win."""
     base = F.create_map(F.lit("name"), F.col("name"), F.lit("risk_score"), F.col("risk_score").cast("string"))
@@ -168,17 +261,18 @@ def transaction_flow(edges: DataFrame, entity: object, direction: str = "both",
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, rounds: int = 20) -> DataFrame:
-    """Fixed rounds from rank 1; parallel edges count; ranks are rescaled to sum to the number of vertices."""
+    """Fixed rounds from rank 1, highest first; parallel edges count; ranks are rescaled to sum to the number of vertices."""
     out = materialize(edges.groupBy("src", "dst").agg(F.count("*").alias("w")), "links")
     total = out.groupBy("src").agg(F.sum("w").alias("d"))
     links = materialize(out.join(total, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("share")), "shares")
-    ranks = vertices.select("id").distinct().withColumn("rank", F.lit(1.0))
+    ids = materialize(vertices.select("id").distinct(), "ids")
+    ranks = ids.withColumn("rank", F.lit(1.0))
     for i in range(rounds):
         got = links.join(ranks, links["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = vertices.select("id").distinct().join(got, "id", "left").select("id", (F.lit(reset) + (1 - reset) * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        new = ids.join(got, "id", "left").select("id", (F.lit(reset) + (1 - reset) * F.coalesce("got", F.lit(0.0))).alias("rank"))
         ranks = materialize(new, "ranks") if i % 3 == 2 or i == rounds - 1 else new
     n = ranks.agg(F.count("*").alias("n"), F.sum("rank").alias("s"))
-    return ranks.crossJoin(F.broadcast(n)).select("id", (F.col("rank") * F.col("n") / F.col("s")).alias("pagerank"))  # n is one row
+    return ranks.crossJoin(F.broadcast(n)).select("id", (F.col("rank") * F.col("n") / F.col("s")).alias("pagerank")).orderBy(F.desc("pagerank"), "id")  # n is one row
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -198,7 +292,63 @@ def community_stats(vertices: DataFrame, labels: DataFrame, min_size: int = 1) -
     g = vertices.join(labels, "id").groupBy("label").agg(F.count("*").alias("size"), F.avg("risk_score").alias("avg_risk"), F.sum("is_sanctioned").alias("sanctioned"), F.sum("is_pep").alias("peps"))
     a = F.col("avg_risk")
     risk = F.when(F.col("sanctioned") > 0, 0.9).when(F.col("peps") > 0, 0.7).when(a >= 0.5, 0.6).otherwise(a)
-    return g.where(F.col("size") >= min_size).withColumn("community_risk", risk)
+    return g.where(F.col("size") >= min_size).withColumn("community_risk", risk).orderBy(F.desc("community_risk"), "label")
+
+
+def louvain(vertices: DataFrame, edges: DataFrame, levels: int = 6, rounds: int = 8) -> DataFrame:
+    """``(id, label)``: communities by greedy modularity, level by level.
+
+    In each round half of the nodes, chosen by hash, may move to the neighbouring community
+    of greatest gain (of equal ones the least, and only for a gain), so that two nodes seldom
+    swap places; after some rounds communities become the nodes of the next level. Parallel
+    edges add up, directions do not count; a label is the least id of its community.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    links = materialize(both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "louvain-links")
+    labels = materialize(vertices.select("id", F.col("id").alias("label")).distinct(), "louvain-labels")
+    m2 = links.agg(F.sum("w")).first()[0] or 0.0
+    for level in range(levels if m2 else 0):
+        degree = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "louvain-degree")
+        part = materialize(degree.select("id", F.col("id").alias("c"), "k"), "louvain-part")
+        any_moved = False
+        for r in range(rounds):
+            total = part.groupBy("c").agg(F.sum("k").alias("t"))
+            near = links.where("src <> dst").join(part.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"))
+            turn = part.where(F.pmod(F.xxhash64("id", F.lit(level * rounds + r)), F.lit(2)) == 0).select("id", F.col("c").alias("own"), "k")
+            seen = turn.join(near, "id").join(total, "c")
+            gain = F.col("w") - F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / m2
+            g = seen.withColumn("gain", F.round(gain, 9)).groupBy("id", "own").agg(F.max(F.struct("gain", (-F.col("c")).alias("o"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"), F.first("k").alias("k"))
+            alone = F.coalesce("now", F.lit(0.0))
+            moves = materialize(g.where((F.col("best.c") != F.col("own")) & (F.col("best.gain") > alone)).select("id", F.col("best.c").alias("to")), "louvain-moves")
+            if moves.isEmpty() and r:
+                break
+            any_moved = any_moved or not moves.isEmpty()
+            nxt = materialize(part.join(moves, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k"), "louvain-part")
+            release(part)
+            part = nxt
+        if not any_moved:
+            break
+        named = part.withColumn("least", F.min("id").over(W.partitionBy("c"))).select("id", F.col("least").alias("c"))
+        named = materialize(named, "louvain-named")
+        labels = materialize(labels.join(named, labels["label"] == named["id"], "left").select(labels["id"], F.coalesce("c", "label").alias("label")), "louvain-labels")
+        a, b = (named.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst"))
+        links = materialize(links.join(a, "src").join(b, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")), "louvain-links")
+    return labels
+
+
+def modularity(labels: DataFrame, edges: DataFrame) -> float:
+    """Of a division into communities, over undirected edges with their multiplicity."""
+    l = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}"))
+    e = edges.select("src", "dst").join(l("src"), "src").join(l("dst"), "dst")
+    inside, m = e.agg(F.count_if(F.col("l_src") == F.col("l_dst")), F.count("*")).first()
+    ends = e.select(F.explode(F.array("l_src", "l_dst")).alias("label")).groupBy("label").agg(F.count("*").alias("k"))
+    return inside / m - (ends.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * m * m))
+
+
+def communities(vertices: DataFrame, edges: DataFrame, min_size: int = 3, limit: int = 20) -> DataFrame:
+    """``(community, size, members)`` of the largest Louvain communities."""
+    g = louvain(vertices, edges).groupBy(F.col("label").alias("community")).agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"))
+    return g.where(F.col("size") >= min_size).orderBy(F.desc("size"), "community").limit(limit)
 
 
 def propagate_risk(vertices: DataFrame, edges: DataFrame, source: object, max_hops: int = 3, decay: float = 0.5) -> DataFrame:
@@ -269,7 +419,7 @@ def shortest_path(edges: DataFrame, source: object, target: object, max_depth: i
     return found.unionByName(none).orderBy(F.desc("length")).limit(1)
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 10) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Betweenness summed over shortest paths from ``sources`` (all vertices for the exact values), by Brandes' recurrences.
 
     Rows are (source, vertex) pairs, so sample the sources on a large graph.
@@ -277,13 +427,12 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 10) -> Da
     und = materialize(undirected(edges), "und")
     level = sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
     seen = materialize(level, "paths")
-    for d in range(1, max_depth + 1):
+    for d in itertools.count(1):
         step = seen.where(F.col("d") == d - 1).join(und, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
         new = materialize(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(d).alias("d"), "sigma"), "paths")
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
-    seen = materialize(seen, "paths")
+        seen = materialize(seen.unionByName(new), "paths")
     most = seen.agg(F.max("d")).first()[0] or 0
     delta = seen.where(F.col("d") == most).select("s", "v", F.lit(0.0).alias("delta"))
     out = delta

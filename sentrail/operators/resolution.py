@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,14 +16,20 @@ WEIGHTS = {"name": 0.35, "date_of_birth": 0.20, "address": 0.15, "national_id":
 
 
 def job_pairs(entities: DataFrame, threshold: float = 0.8, name: str = "name") -> DataFrame:
-    """``(id_a, id_b, similarity)`` of entities in one Soundex and first-letter block whose names are alike."""
+    """``(id_a, id_b, similarity)`` of entities in one Soundex and first-letter block whose names are alike.
+
+    Only distinct names are compared, each pair once; entities meet by the names that are alike.
+    """
     e = entities.select("id", T.normalized_name(F.col(name)).alias("n")).where("n is not null")
-    e = e.withColumns({"sdx": F.soundex("n"), "fc": F.substring("n", 1, 1)})
-    b = e.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "sdx", "fc")
-    pairs = e.join(b, ["sdx", "fc"]).where("id < id_b")
+    names = e.select("n").distinct().withColumns({"sdx": F.soundex("n"), "fc": F.substring("n", 1, 1)})
+    b = names.select(F.col("n").alias("n_b"), "sdx", "fc")
     # names whose lengths differ too much cannot reach the threshold; that is checked first
     fits = F.least(F.length("n"), F.length("n_b")) >= threshold * F.greatest(F.length("n"), F.length("n_b"))
-    return pairs.where(fits).select(F.col("id").alias("id_a"), "id_b", T.edit_similarity(F.col("n"), F.col("n_b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = names.join(b, ["sdx", "fc"]).where((F.col("n") <= F.col("n_b")) & fits)
+    alike = pairs.select("n", "n_b", T.edit_similarity(F.col("n"), F.col("n_b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    both = alike.unionByName(alike.where("n <> n_b").select(F.col("n_b").alias("n"), F.col("n").alias("n_b"), "similarity"))
+    right = e.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    return e.join(both, "n").join(right, "n_b").where("id < id_b").select(F.col("id").alias("id_a"), "id_b", "similarity")
 
 
 def job_clusters(pairs: DataFrame) -> DataFrame:
@@ -73,21 +79,58 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return live.withColumnRenamed("id", "id_a").join(b, "block").where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
-def pair_score(a: Column, b: Column) -> Column:
-    """Weighted mean over attributes that both have; names by the composite score, addresses by trigrams, the rest by equality."""
+def pair_score(a: Column, b: Column, names: Callable[[Column, Column], Column] = T.name_score) -> Column:
+    """Weighted mean over attributes that both have; names by the composite score, addresses by bigrams, the rest by equality."""
     total, weight = F.lit(0.0), F.lit(0.0)
     for k, w in WEIGHTS.items():
         x, y = F.element_at(a, k), F.element_at(b, k)
         both = (F.coalesce(x, F.lit("")) != "") & (F.coalesce(y, F.lit("")) != "")
-        s = T.name_score(x, y) if k == "name" else T.gram_similarity(x, y, 2) if k == "address" else F.when(x == y, 1.0).otherwise(0.0)
+        s = names(x, y) if k == "name" else T.gram_similarity(x, y, 2) if k == "address" else F.when(x == y, 1.0).otherwise(0.0)
         total, weight = total + F.when(both, s * w).otherwise(0.0), weight + F.when(both, w).otherwise(0.0)
     return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 
-def scored_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
+def scored_pairs(records: DataFrame, pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """``(id_a, id_b, score)`` of the pairs; those that cannot reach ``least`` are not worked out."""
     a = records.select(F.col("id").alias("id_a"), F.col("attributes").alias("at_a"))
     b = records.select(F.col("id").alias("id_b"), F.col("attributes").alias("at_b"))
-    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", pair_score(F.col("at_a"), F.col("at_b")).alias("score"))
+    both = pairs.join(a, "id_a").join(b, "id_b")
+    both = both.where(pair_score(F.col("at_a"), F.col("at_b"), T.name_bound) >= least - 1e-9) if least else both
+    return both.select("id_a", "id_b", pair_score(F.col("at_a"), F.col("at_b")).alias("score")).where(F.col("score") >= least)
+
+
+def score_bound(a: Column, b: Column) -> Column:
+    """No pair scores more than this; it takes equalities and name lengths only."""
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for k, w in WEIGHTS.items():
+        x, y = a[k], b[k]
+        both = (x != "") & (y != "")
+        n, m = F.length(x), F.length(y)
+        s = 0.75 + 0.25 * F.least(n, m) / F.greatest(n, m) if k == "name" else F.lit(1.0) if k == "address" else F.when(x == y, 1.0).otherwise(0.0)
+        total, weight = total + F.when(both, s * w).otherwise(0.0), weight + F.when(both, w).otherwise(0.0)
+    return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
+
+
+def matching_pairs(records: DataFrame, strategies: Sequence[str] = ("soundex", "ngram"), threshold: float = 0.75) -> DataFrame:
+    """``(id_a, id_b, score)`` that connect all records of a score of at least ``threshold`` that share a block.
+
+    Records with equal scored attributes are one class, linked to its least id; classes of
+    one block meet only if a cheap bound lets them, and the distinct pairs left are scored.
+    """
+    at = F.col("attributes")
+    facts = F.struct(*[F.coalesce(F.element_at(at, k), F.lit("")).alias(k) for k in WEIGHTS]).alias("facts")
+    rows = records.select("id", facts, at)
+    classes = rows.groupBy("facts").agg(F.min("id").alias("rep"))
+    same = rows.join(classes, "facts").where((F.col("id") != F.col("rep")) & (F.col("facts.name") != ""))
+    same = same.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"))
+    reps = rows.join(classes, "facts").where("id = rep").select("id", "attributes", "facts")
+    keys = blocking_keys(reps, strategies)
+    live = keys.join(keys.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "block").join(reps.select("id", "facts"), "id")
+    left = live.select("block", F.col("id").alias("id_a"), F.col("facts").alias("a"))
+    right = live.select("block", F.col("id").alias("id_b"), F.col("facts").alias("b"))
+    may = (F.col("id_a") < F.col("id_b")) & (score_bound(F.col("a"), F.col("b")) >= threshold - 1e-9)
+    pairs = left.join(right, "block").where(may).select("id_a", "id_b").distinct()
+    return scored_pairs(reps, pairs, threshold).unionByName(same)
 
 
 def clusters(records: DataFrame, matches: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -111,8 +154,24 @@ def canonical_records(records: DataFrame, members: DataFrame) -> DataFrame:
 def resolve(records: DataFrame, threshold: float = 0.75, strategies: Sequence[str] = ("soundex", "ngram")) -> DataFrame:
     """Standardise, block, score, cluster and merge."""
     clean = standardize(records)
-    matches = scored_pairs(clean, candidate_pairs(blocking_keys(clean, strategies)))
-    return canonical_records(clean, clusters(clean, matches, threshold))
+    return canonical_records(clean, clusters(clean, matching_pairs(clean, strategies, threshold), threshold))
+
+
+# Fixed values.
+SYNC_SOURCES = ("crm", "kyc", "transactions", "watchlist")
+LINK_CONFIDENCE, LINK_DEPTH = 0.85, 2
+
+
+def sync(records: DataFrame, sources: Sequence[str] = SYNC_SOURCES, threshold: float = 0.75) -> DataFrame:
+    """Resolved records of each source for itself, with what follows: a network of ``network_depth`` where sure enough, and always a risk score."""
+    known = records.withColumn("entity_type", F.coalesce("entity_type", F.lit("individual")))
+    out = None
+    for s in sources:
+        r = resolve(known.where(F.col("source_system") == s), threshold).withColumn("source", F.lit(s))
+        out = r if out is None else out.unionByName(r)
+    if out is None:
+        raise ValueError("no sources are named")
+    return out.withColumns({"network_depth": F.when(F.col("confidence_score") >= LINK_CONFIDENCE, LINK_DEPTH), "risk_scored": F.lit(True)})
 
 
 def resolution_rate(n_input: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -129,8 +188,16 @@ def compare(pairs: DataFrame, a: str = "name_a", b: str = "name_b") -> DataFrame
 
 
 def lookup_names(names: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
-    """Entities whose name contains each query name, the first ``most`` by id; query names are a request, not a table that grows."""
-    q = F.broadcast(names.select(F.col("name").alias("query")).where("query <> ''").distinct().limit(10_000))
-    hit = entities.join(q, F.lower(entities["name"]).contains(F.lower(F.col("query"))))
+    """Entities whose name contains each query name, the first ``most`` by id.
+
+    A query meets only names that have its first three letters somewhere in a row; shorter
+    queries, of which there are few different ones, meet names by their one or two letters.
+    """
+    q = names.select(F.col("name").alias("query")).where("query <> ''").distinct().withColumn("low", F.lower("query"))
+    q = q.withColumn("gram", F.substring("low", 1, 3))
+    e = entities.select("id", "name", F.lower("name").alias("text")).where("text <> ''")
+    at = F.sequence(F.lit(1), F.length("text"))
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("text"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    hit = e.withColumn("gram", F.explode(grams)).join(q, "gram").where(F.col("text").contains(F.col("low")))
     top = hit.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy("id"))).where(F.col("k") <= most)
     return top.select("query", "id", "name", F.lit(0.9).alias("confidence"))

@@ -52,7 +52,7 @@ def transaction_pattern() -> Column:
         ("high_volume", t("total_volume") > 1_000_000, 0.2), ("potential_structuring", t("structuring_indicator") > 0.7, 0.4), ("rapid_passthrough", t("passthrough_ratio") > 0.9, 0.3),
         ("round_amounts", t("round_amount_ratio") > 0.5, 0.1), ("high_cross_border", t("cross_border_ratio") > 0.7, 0.2), ("cash_intensive", t("cash_ratio") > 0.4, 0.2),
     ])
-    return factor("transaction", "transaction_pattern", 0.7, s, fires, names)
+    return factor("transaction_pattern", "transaction_pattern", 0.7, s, fires, names)
 
 
 def network_context() -> Column:
@@ -98,15 +98,18 @@ def score(entities: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFra
     return f.withColumn("risk_level", risk_level(F.round("overall_score", 12)))
 
 
-RECOMMENDATIONS = {"sanctions": "Immediate compliance review required", "network": "Investigate connected entities", "transaction": "Review transaction history"}
+# Fixed values.
+RECOMMENDATIONS = {"sanctions": "Immediate escalation required - sanctions match", "network": "Review network connections for risk exposure", "transaction_pattern": "Detailed transaction analysis recommended"}
 
 
 def explain(scored: DataFrame) -> DataFrame:
-    """Factors by falling contribution, and recommendations for strong ones."""
+    """Factors by falling contribution, and recommendations for strong ones in that order."""
     parts = F.transform("factors", lambda x, i: F.struct((-x["score"] * x["weight"]).alias("o"), i.alias("i"), x["category"].alias("category"), x["name"].alias("name"), F.round(x["score"], 3).alias("score"), F.round(x["score"] * x["weight"], 3).alias("contribution")))
-    strong = F.filter("factors", lambda x: (x["score"] >= 0.8) & x["category"].isin(*RECOMMENDATIONS))
+    parts = F.array_sort(parts)
+    strong = F.filter(parts, lambda x: F.get(F.col("factors"), x["i"])["score"] >= 0.8)
+    strong = F.filter(strong, lambda x: x["category"].isin(*RECOMMENDATIONS))
     table = F.create_map(*[F.lit(x) for kv in RECOMMENDATIONS.items() for x in kv])
-    return scored.withColumns({"explanation": F.transform(F.array_sort(parts), lambda p: F.struct(p["category"], p["name"], p["score"], p["contribution"])), "recommendations": F.transform(strong, lambda x: F.element_at(table, x["category"]))})
+    return scored.withColumns({"explanation": F.transform(parts, lambda p: F.struct(p["category"], p["name"], p["score"], p["contribution"])), "recommendations": F.transform(strong, lambda x: F.element_at(table, x["category"]))})
 
 
 def batch_summary(scored: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, release
+
 # Fixed values: (provider, all of these parts, list type, confidence, score).
 PATTERNS = (
     ("provider_1", ("kim", "jong"), "sanctions", "strong", 0.92), ("provider_1", ("putin",), "sanctions", "strong", 0.95), ("provider_1", ("putin",), "pep", "exact", 1.0),
@@ -14,8 +16,9 @@ PATTERNS = (
 )
 
 
-def holds(name: Column, parts: Sequence[str]) -> Column:
-    low, out = F.lower(F.coalesce(name, F.lit(""))), F.lit(True)
+def holds(low: Column, parts: Sequence[str]) -> Column:
+    """Whether a lower-case text has one alternative of each part."""
+    out = F.lit(True)
     for p in parts:
         any_of = F.lit(False)
         for x in p.split("|"):
@@ -24,12 +27,32 @@ def holds(name: Column, parts: Sequence[str]) -> Column:
     return out
 
 
-def matches(names: DataFrame, providers: Sequence[str] = ("provider_1", "provider_2"), list_types: Sequence[str] | None = None) -> DataFrame:
-    """``names`` with ``matches``: highest score first, in provider order among equals; no join is needed for a fixed list."""
-    n = F.col("name")
-    rows = [F.when(holds(n, parts), F.struct((-F.lit(score)).alias("o"), F.lit(i).alias("i"), F.lit(p).alias("provider"), F.lit(kind).alias("list_type"), F.lit(conf).alias("confidence"), F.lit(score).alias("score"))) for i, (p, parts, kind, conf, score) in enumerate(PATTERNS) if p in providers and (list_types is None or kind in list_types)]
-    found = F.array_sort(F.array_compact(F.array(*rows)))
-    return names.withColumn("matches", F.transform(found, lambda m: F.struct(m["provider"], m["list_type"], m["confidence"], m["score"])))
+Pattern = tuple[str, tuple[str, ...], str, str, float]
+
+
+def matches(names: DataFrame, providers: Sequence[str] = ("provider_1", "provider_2"), list_types: Sequence[str] | None = None, patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
+    """``names`` with ``matches``: highest score first, in provider order among equals; no join is needed for a fixed list.
+
+    Another provider is a row of ``patterns`` under a name of its own. Each name is folded to
+    lower case once.
+    """
+    n = F.col("__low")
+    rows = [F.when(holds(n, parts), F.struct((-F.lit(score)).alias("o"), F.lit(i).alias("i"), F.lit(p).alias("provider"), F.lit(kind).alias("list_type"), F.lit(conf).alias("confidence"), F.lit(score).alias("score"))) for i, (p, parts, kind, conf, score) in enumerate(patterns) if p in providers and (list_types is None or kind in list_types)]
+    none = F.array().cast("array<struct<o double, i int, provider string, list_type string, confidence string, score double>>")
+    found = F.array_sort(F.array_compact(F.array(*rows))) if rows else none
+    low = names.withColumn("__low", F.lower(F.coalesce("name", F.lit(""))))
+    return low.withColumn("matches", F.transform(found, lambda m: F.struct(m["provider"], m["list_type"], m["confidence"], m["score"]))).drop("__low")
+
+
+def match_records(screened: DataFrame) -> DataFrame:
+    """One row for each match of ``(id, name, matches)``, with an id and the fields that a list entry may leave open."""
+    m = screened.select("id", F.col("name").alias("query_name"), F.posexplode("matches").alias("pos", "m"))
+    empty = F.array().cast("array<string>")
+    key = F.concat_ws("_", F.col("m.provider"), F.col("m.list_type"), F.col("query_name"), F.col("m.confidence"))
+    return m.select(
+        F.substring(F.md5(key), 1, 16).alias("match_id"), "id", "query_name", F.col("m.provider").alias("list_source"), "m.list_type", "m.confidence", F.col("m.score").alias("match_score"),
+        (F.col("pos") == 0).alias("is_highest"), F.lit("").alias("list_entry_id"), *[empty.alias(c) for c in ("matched_aliases", "sanctions_programs", "pep_positions", "categories", "risk_flags")],
+    )
 
 
 def action(m: Column) -> Column:
@@ -76,6 +99,14 @@ def screen_index(entities: DataFrame, query: str, threshold: float = 0.8, limit:
 
 
 def sync_list(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """Replace a stored watch list and return it."""
-    rows.write.mode("overwrite").parquet(path)
+    """Replace a stored watch list and return it; ``rows`` may themselves be read from ``path``."""
+    new = materialize(rows, "watch-list")
+    new.write.mode("overwrite").parquet(path)
+    release(new)
     return spark.read.parquet(path)
+
+
+def to_rescreen(entities: DataFrame, old_names: DataFrame, new_names: DataFrame) -> DataFrame:
+    """Entities whose name a synced list now has and had not before."""
+    added = new_names.select(F.lower("name").alias("low")).distinct().join(old_names.select(F.lower("name").alias("low")).distinct(), "low", "left_anti")
+    return entities.withColumn("low", F.lower("name")).join(added, "low", "left_semi").drop("low")

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Alert routing by type, and days that kinds of records are kept.
-ROUTES = {"sanctions": ("critical", "sanctions"), "structuring": ("high", "aml"), "network": ("high", "network"), "screening": ("high", "screening"), "risk": ("medium", "risk")}
+ROUTES = {
+    "high_risk_entity": ("high", "risk"), "high_risk_network": ("high", "network"), "watchlist_match": ("critical", "compliance"),
+    "suspicious_transaction": ("high", "transaction"), "pep_match": ("medium", "compliance"), "sanctions_match": ("critical", "compliance"),
+}
 RETENTION_DAYS = {"jobs": 30, "logs": 7, "alerts": 365}
 
 
@@ -27,7 +30,7 @@ def assign_alert(alerts: DataFrame, ids: list, to: str) -> DataFrame:
 
 
 def resolve_alert(alerts: DataFrame, ids: list, resolution: str) -> DataFrame:
-    return change(alerts, ids, status={"sar": "sar_filed", "false_positive": "false_positive"}.get(resolution, "closed"))
+    return change(alerts, ids, status={"sar": "resolved_sar", "false_positive": "resolved_false_positive"}.get(resolution, "closed"))
 
 
 def escalate_alert(alerts: DataFrame, ids: list) -> DataFrame:
@@ -47,8 +50,26 @@ def close_case(cases: DataFrame, ids: list, action: bool) -> DataFrame:
 
 
 def proposal_status(p: DataFrame, ids: list, event: str) -> DataFrame:
-    """'submit', 'won', 'lost', 'no_decision' or 'delete' (which withdraws)."""
-    return change(p, ids, status={"submit": "submitted", "delete": "withdrawn"}.get(event, event))
+    """'submit', 'won', 'lost' or 'delete' (which withdraws)."""
+    states = {"submit": "submitted", "delete": "withdrawn", "won": "won", "lost": "lost"}
+    if event not in states:
+        raise ValueError(f"a proposal has no event {event!r}")
+    return change(p, ids, status=states[event])
+
+
+def change_engagement(e: DataFrame, ids: list, event: str) -> DataFrame:
+    """'start' puts engagements in progress; any other event is the outcome they end with."""
+    return change(e, ids, status="in_progress" if event == "start" else event)
+
+
+def complete_demo(d: DataFrame, ids: list, rating: int | None = None) -> DataFrame:
+    """Completed, with a new rating if one is given."""
+    return change(d, ids, status="completed", **({"rating": rating} if rating else {}))
+
+
+def add_note(df: DataFrame, ids: list, note: str, column: str = "investigation_notes") -> DataFrame:
+    """``note`` on a line of its own after what is there."""
+    return change(df, ids, **{column: F.concat_ws("\n", F.nullif(F.col(column), F.lit("")), F.lit(note))})
 
 
 def bump(df: DataFrame, ids: list, counter: str) -> DataFrame:

@@ -57,7 +57,7 @@ def _(spark, d):
 @query("c305_risk_profile", """SELECT *, CASE WHEN max_risk >= 0.8 THEN 'critical' WHEN max_risk >= 0.6 THEN 'high' WHEN max_risk >= 0.4 THEN 'medium' ELSE 'low' END AS risk_level FROM (
 SELECT customer_id, coalesce(max(risk_score) FILTER (risk_score <> 0), 0)::DOUBLE AS max_risk, round(coalesce(avg(risk_score) FILTER (risk_score <> 0), 0), 6)::DOUBLE AS avg_risk FROM re GROUP BY 1)""", RE)
 def _(spark, d):
-    return rounded(C.risk_profile(records(spark, d)), 6, "avg_risk")
+    return rounded(C.risk_profile(records(spark, d)).drop("risk_factors"), 6, "avg_risk")
 
 
 @query("c306_kyc_status", "SELECT customer_id, arg_max(kyc, (updated_at, -pos)) FILTER (kyc IS NOT NULL) AS status, bool_or(is_sanctioned) AS is_sanctioned, bool_or(is_pep) AS is_pep FROM re GROUP BY 1", RE)
@@ -65,15 +65,16 @@ def _(spark, d):
     return C.kyc_status(records(spark, d)).select("customer_id", F.col("kyc_status.status").alias("status"), "is_sanctioned", "is_pep")
 
 
-@query("c307_data_quality", f"""SELECT customer_id, round(completeness, 6) AS completeness, round(accuracy, 6) AS accuracy, round(consistency, 6) AS consistency, round(uniqueness, 6) AS uniqueness FROM (SELECT customer_id,
+@query("c307_data_quality", f"""SELECT customer_id, round(completeness, 6) AS completeness, round(accuracy, 6) AS accuracy, round(consistency, 6) AS consistency, round(timeliness, 6) AS timeliness, round(uniqueness, 6) AS uniqueness,
+round(0.2::DOUBLE * completeness + 0.25::DOUBLE * accuracy + 0.2::DOUBLE * consistency + 0.1::DOUBLE * timeliness + 0.15::DOUBLE * uniqueness + 0.1::DOUBLE, 6) AS overall_score FROM (SELECT customer_id,
 ((n_name > 0)::INT * 1.0::DOUBLE + (n_dob > 0)::INT * 0.8::DOUBLE + (mail IS NOT NULL)::INT * 0.5::DOUBLE) / {sum(C.REQUIRED.values())}::DOUBLE AS completeness,
 coalesce(((coalesce(contains(mail, '@'), false))::INT + (n_dob > 0)::INT)::DOUBLE / nullif((mail IS NOT NULL)::INT + (n_dob > 0)::INT, 0), 1.0) AS accuracy,
-coalesce(((n_name >= 2 AND d_name = 1)::INT + (n_dob >= 2 AND d_dob = 1)::INT)::DOUBLE / nullif((n_name >= 2)::INT + (n_dob >= 2)::INT, 0), 1.0) AS consistency, CASE WHEN n > 1 THEN 0.8 ELSE 1.0 END::DOUBLE AS uniqueness
-FROM (SELECT customer_id, count(*) AS n, count(name) AS n_name, count(DISTINCT name) AS d_name, count(date_of_birth) AS n_dob, count(DISTINCT date_of_birth) AS d_dob, arg_min(email, (-epoch(updated_at), {PRIORITY_SQL}, pos)) FILTER (email <> '') AS mail FROM re GROUP BY 1))""", RE)
+coalesce(((n_name >= 2 AND d_name = 1)::INT + (n_dob >= 2 AND d_dob = 1)::INT)::DOUBLE / nullif((n_name >= 2)::INT + (n_dob >= 2)::INT, 0), 1.0) AS consistency, CASE WHEN n > 1 THEN 0.8 ELSE 1.0 END::DOUBLE AS uniqueness, greatest(0.0::DOUBLE, 1 - age / 365) AS timeliness
+FROM (SELECT customer_id, count(*) AS n, avg(date_diff('day', updated_at::DATE, DATE '1998-09-01')) AS age, count(name) AS n_name, count(DISTINCT name) AS d_name, count(date_of_birth) AS n_dob, count(DISTINCT date_of_birth) AS d_dob, arg_min(email, (-epoch(updated_at), {PRIORITY_SQL}, pos)) FILTER (email <> '') AS mail FROM re GROUP BY 1))""", RE)
 def _(spark, d):
     r = records(spark, d).withColumn("nationality", F.lit(None).cast("string"))
     q = C.data_quality(r, C.golden(r, ("name", "date_of_birth", "email")), datetime(1998, 9, 1))
-    cols = ("completeness", "accuracy", "consistency", "uniqueness")
+    cols = ("completeness", "accuracy", "consistency", "timeliness", "uniqueness", "overall_score")
     return rounded(q.select("customer_id", *cols), 6, *cols)
 
 
@@ -144,7 +145,7 @@ def _(spark, d):
     return workflow.close_case(workflow.file_sar(c, [5, 7]), [9], True).select("id", "status", "assigned_to", "sar_filed")
 
 
-@query("wf_alert_outcomes", "SELECT id, CASE WHEN id IN (2, 4) THEN 'sar_filed' WHEN id = 6 THEN 'false_positive' WHEN id = 8 THEN 'escalated' ELSE status END AS status FROM al", AL)
+@query("wf_alert_outcomes", "SELECT id, CASE WHEN id IN (2, 4) THEN 'resolved_sar' WHEN id = 6 THEN 'resolved_false_positive' WHEN id = 8 THEN 'escalated' ELSE status END AS status FROM al", AL)
 def _(spark, d):
     a = workflow.resolve_alert(workflow.resolve_alert(S.alerts(spark, d), [2, 4], "sar"), [6], "false_positive")
     return workflow.escalate_alert(a, [8]).select("id", "status")

@@ -32,6 +32,16 @@ def session(app: str = "sentrail", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows where the session has Spark's default, which is many megabytes of documents for each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _own_dir: str | None = None
 
 

@@ -10,11 +10,16 @@ CODES = ("KP", "IR", "MM", "SY", "YE", "AF", "PK", "VE", "ZW", "KY", "VG", "PA",
 ENTITY_SCHEMA = "id string, name string, entity_type string, source_system string, attributes string, created_at timestamp"
 TRANSACTION_SCHEMA = "id string, transaction_type string, amount double, currency string, sender_entity_id string, receiver_entity_id string, sender_country string, receiver_country string, transaction_date timestamp, is_flagged int, risk_score double"
 
+# Members of enumerations, in order of declaration.
 SEVERITY = ("low", "medium", "high", "critical")
-ALERT_STATUS = ("new", "investigating", "escalated", "sar_filed", "false_positive", "closed")
-CASE_STATUS = ("open", "in_progress", "pending_review", "sar_filed", "closed", "closed_no_action")
-PROPOSAL_STATUS = ("draft", "in_progress", "review", "submitted", "won", "lost", "withdrawn", "no_decision")
+ALERT_STATUS = ("new", "investigating", "escalated", "resolved_sar", "resolved_false_positive", "closed")
+CASE_STATUS = ("open", "in_progress", "pending_review", "escalated", "sar_filed", "closed_no_action", "closed")
+PROPOSAL_STATUS = ("draft", "in_progress", "review", "submitted", "won", "lost", "no_bid", "withdrawn")
+PROPOSAL_TYPE = ("rfp", "rfi", "rfq", "eoi")
 PRIORITY = ("low", "medium", "high", "critical")
+ENGAGEMENT_TYPE = ("poc", "pilot", "trial", "prototype", "workshop", "demo", "business_case")
+ENGAGEMENT_STATUS = ("planning", "in_progress", "on_hold", "completed", "successful", "unsuccessful", "cancelled")
+DEMO_TYPE = ("standard", "custom", "deep_dive", "executive", "technical", "webinar")
 
 
 def code(n: Column) -> Column:
@@ -68,7 +73,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     area = ("aml", "fraud", "kyc", "sanctions", "network")
     return parquet(spark, sf_dir, "orders").select(
-        k.alias("id"), pick(k, PROPOSAL_STATUS).alias("status"), pick(k, ("rfp", "rfi", "poc")).alias("proposal_type"), pick(k, PRIORITY).alias("priority"), F.when(k % 9 != 0, pick(k, ("banking", "insurance", "retail"))).alias("client_industry"),
+        k.alias("id"), pick(k, PROPOSAL_STATUS).alias("status"), pick(k, PROPOSAL_TYPE).alias("proposal_type"), pick(k, PRIORITY).alias("priority"), F.when(k % 9 != 0, pick(k, ("banking", "insurance", "retail"))).alias("client_industry"),
         F.concat(F.lit("Client "), (k % 50).cast("string")).alias("client_name"), F.concat(F.lit("owner"), (k % 6).cast("string")).alias("lead_owner"), F.col("o_totalprice").alias("estimated_deal_value"),
         (F.col("o_orderdate").cast("timestamp") + F.expr("interval 30 days")).alias("due_date"), F.col("o_orderdate").cast("timestamp").alias("decision_date"), F.array(pick(k, area), pick(k + 2, area)).alias("solution_areas"),
     )
@@ -96,6 +101,49 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.get(parts, 0)).alias("name"), F.trim(F.get(parts, 1)).alias("entity_type"))
 
 
+def engagements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return parquet(spark, sf_dir, "orders").select(
+        k.alias("id"), pick(k, ENGAGEMENT_STATUS).alias("status"), pick(k + 1, ENGAGEMENT_TYPE).alias("engagement_type"), F.concat(F.lit("Trial "), (k % 90).cast("string")).alias("title"),
+        F.concat(F.lit("Client "), (k % 50).cast("string")).alias("client_name"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+
+
+def demos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return parquet(spark, sf_dir, "orders").select(
+        k.alias("id"), pick(k, DEMO_TYPE).alias("demo_type"), F.when(k % 3 == 0, "scheduled").otherwise("done").alias("status"), F.concat(F.lit("presenter"), (k % 8).cast("string")).alias("presenter"),
+        F.concat(F.lit("Client "), (k % 50).cast("string")).alias("client_name"), F.col("o_orderdate").cast("timestamp").alias("scheduled_at"), F.when(k % 4 > 0, k % 5 + 1).alias("rating"),
+    )
+
+
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios and content alike, of which some are out of use."""
+    k = F.col("p_partkey")
+    return parquet(spark, sf_dir, "part").select(
+        k.alias("id"), F.col("p_name").alias("name"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.col("p_type").alias("content"), F.col("p_brand").alias("category"),
+        pick(k, ("aml", "fraud", "kyc", "sanctions", "network")).alias("solution_area"), (k % 4 > 0).cast("int").alias("is_active"), (k % 3 > 0).cast("int").alias("is_current"),
+        F.col("p_size").alias("times_used"), (k * 7 % 101).alias("usage_count"),
+    )
+
+
+def serialised(df: DataFrame, booleans: tuple[str, ...] = ()) -> DataFrame:
+    """Rows as an interface gives them: times in ISO form without a zone, flags of 0 and 1 as booleans."""
+    out = {}
+    for f in df.schema.fields:
+        if f.dataType.simpleString().startswith("timestamp"):
+            c = F.col(f.name)
+            out[f.name] = F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        elif f.name in booleans:
+            out[f.name] = F.coalesce(F.col(f.name).cast("boolean"), F.lit(False))
+    return df.withColumns(out) if out else df
+
+
+def json_records(df: DataFrame) -> DataFrame:
+    """``(json)``: each row as one JSON object, null fields included."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int = 32) -> DataFrame:
     """A database table read in ``parts`` key ranges."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts).load()

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import monitoring
+from ..operators import fraud, monitoring
 
 STATELESS = {k: monitoring.RULES[k] for k in ("round_amounts", "jurisdictions", "timing")}
 
@@ -51,26 +50,64 @@ def sessions(tx: DataFrame, gap: str = "30 minutes", delay: str = "24 hours") ->
     return g.select("sender_entity_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
-def travel_alerts(tx: DataFrame, hours: float = 3, key: str = "sender_entity_id") -> DataFrame:
-    """Payments in another country within ``hours`` of the key's last one; state is one row a key."""
+KEEP = 30 * 24 * 3600
+STATE = "seconds array<long>, declined array<boolean>, most double, country string, at long, other string, other_at long"
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last: tuple[Any, Any] = state.get if state.exists else (None, None)
-        country, at = last
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["transaction_date", "id"]).itertuples():
-            if r.sender_country is None:
-                continue
-            t = pd.Timestamp(r.transaction_date).timestamp()
-            if country is not None and r.sender_country != country and t - at < hours * 3600:
-                out.append((r.id, k[0], country, r.sender_country))
-            country, at = r.sender_country, t
-        if country is not None:
-            state.update((country, at))
-        yield pd.DataFrame(out, columns=["id", key, "from_country", "to_country"])
 
+def card_alerts(tx: DataFrame, delay: str = "24 hours", keep: int = KEEP) -> DataFrame:
+    """Card payments that look like testing, come too often, or from two countries within three hours.
+
+    The checks are those of ``fraud.card_fraud`` that need history. State is one row a card:
+    times of a day, the last ten outcomes, the greatest amount, the last country, and the
+    last other one; it goes when the watermark is ``keep`` seconds past the last payment.
+    Payments of a batch are taken in order of time and id; late ones are seen when they come.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in tx.schema.fields}
-    return tx.groupBy(key).applyInPandasWithState(step, f"id {kinds['id']}, {key} {kinds[key]}, from_country string, to_country string", "country string, at double", "append", GroupStateTimeout.NoTimeout)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seconds, declined, most, country, at, other, other_at = state.get if state.exists else ([], [], None, None, None, None, None)
+        seconds, declined, out = list(seconds), list(declined), []
+        rows = pd.concat(list(batches)).sort_values(["timestamp", "transaction_id"])
+        times = (rows["timestamp"].astype("datetime64[us]").astype("int64") // 1_000_000).tolist()
+        for t, i, amount, place, status in zip(times, rows["transaction_id"].tolist(), rows["amount"].tolist(), rows["merchant_country"].tolist(), rows["status"].tolist(), strict=True):
+            found = []
+            if (most is not None and amount < 5 and most > amount) or sum(declined) >= 3:
+                found.append("card_testing")
+            seconds = [x for x in seconds if x >= t - 86400]
+            if len(seconds) > 10:
+                found.append("velocity")
+            if place is not None:
+                if country is not None and country != place:
+                    other, other_at = country, at
+                if other is not None and other != place and t - other_at < 3 * 3600:
+                    found.append("impossible_travel")
+                country, at = place, t
+            if found:
+                out.append((k[0], i, found))
+            seconds.append(t)
+            declined = [*declined, status == "declined"][-10:]
+            most = amount if most is None else max(most, amount)
+        state.update((seconds, declined, most, country, at, other, other_at))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), times[-1] * 1000) + keep * 1000)
+        yield pd.DataFrame(out, columns=["cardholder_id", "transaction_id", "indicators"])
+
+    marked = tx.withWatermark("timestamp", delay).select("cardholder_id", "transaction_id", "amount", "merchant_country", "status", "timestamp")
+    schema = f"cardholder_id {kinds['cardholder_id']}, transaction_id {kinds['transaction_id']}, indicators array<string>"
+    return marked.groupBy("cardholder_id").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def wallet_alerts(tx: DataFrame) -> DataFrame:
+    """Wallet payments to or from a mixer or a sanctioned address, and dust; no state."""
+    c = F.col
+    checks = {
+        "mixer_to": fraud.contains_any(c("to_address"), fraud.MIXERS), "mixer_from": fraud.contains_any(c("from_address"), fraud.MIXERS),
+        "sanctioned_address": fraud.starts_any(c("to_address"), fraud.SANCTIONED) | fraud.starts_any(c("from_address"), fraud.SANCTIONED), "dust": F.coalesce(fraud.dust(c("amount"), c("currency")), F.lit(False)),
+    }
+    names = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]))
+    return tx.withColumn("indicators", names).where(F.size("indicators") > 0)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str) -> None:

@@ -98,7 +98,7 @@ def test_contextual_scores(spark):
     # 0.7 of country at 0.6, 0.5 of pattern at 0.7, 0.4 + 0.5 + 0.15 capped at 1 of network at 0.8
     assert out["d"]["overall_score"] == pytest.approx((0.7 * 0.6 + 0.5 * 0.7 + 1.0 * 0.8) / 2.1)
     assert [x["name"] for x in out["d"]["explanation"]] == ["network_context", "jurisdiction_risk", "transaction_pattern"]
-    assert out["d"]["recommendations"] == ["Investigate connected entities"]
+    assert out["d"]["recommendations"] == ["Review network connections for risk exposure"]
 
 
 def test_screening_actions(spark):
@@ -195,18 +195,18 @@ def test_lists(spark, sf):
 
 
 def test_every_alert_is_answered(spark, sf):
-    got = plans.QUERIES["wf_alert_transitions_all"](spark, sf)
+    got = plans.QUERIES["wf_alert_transitions"](spark, sf)
     assert got.count() == S.alerts(spark, sf).count() > 100
 
 
-@pytest.mark.parametrize("name", ["str_similarities_all", "erb08_compare_all"])
+@pytest.mark.parametrize("name", ["str_similarities", "erb08_compare"])
 def test_all_part_pairs_are_compared(spark, tmp_path, name):
     names = [(i, f"{'red' if i % 3 else 'dark green'} part {i % 7}") for i in range(1, 701)]
     spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["id"]: r for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(1, 700))
     for i, n in names[:-1]:
-        if name == "erb08_compare_all":
+        if name == "erb08_compare":
             assert got[i]["jaro"] == pytest.approx(plain_jaro(n, names[i][1]), abs=1e-6)
         else:
             a, b = set(n.split()), set(names[i][1].split())
@@ -214,7 +214,7 @@ def test_all_part_pairs_are_compared(spark, tmp_path, name):
 
 
 def test_components_of_all_edges(spark, sf):
-    got = {r["id"]: r["component"] for r in plans.QUERIES["gr08_components_all"](spark, sf).collect()}
+    got = {r["id"]: r["component"] for r in plans.QUERIES["gr08_components"](spark, sf).collect()}
     edges = [(r["src"], r["dst"]) for r in plans.edges_of(spark, sf)[1].collect()]
     parent = {x: x for e in edges for x in e}
 
