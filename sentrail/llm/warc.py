@@ -46,9 +46,11 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
 
     def low(m: Column) -> Column:
         """Of names that differ in letter case only, the last in order of spelling."""
-        e = F.array_sort(F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda x: F.struct(F.lower(x["key"]).alias("name"), x["key"].alias("key"), x["value"].alias("value"))))
+        m = F.coalesce(m, F.create_map().cast("map<string,string>"))
+        plain = F.size(F.array_distinct(F.transform(F.map_keys(m), lambda k: F.lower(k)))) == F.size(m)
+        e = F.array_sort(F.transform(F.map_entries(m), lambda x: F.struct(F.lower(x["key"]).alias("name"), x["key"].alias("key"), x["value"].alias("value"))))
         names = F.array_distinct(F.transform(e, lambda x: x["name"]))
-        return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(e, lambda x: x["name"] == k), -1)["value"]))
+        return F.when(plain, F.transform_keys(m, lambda k, _: F.lower(k))).otherwise(F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(e, lambda x: x["name"] == k), -1)["value"])))
 
     new = F.map_filter(low(fresh), lambda k, v: ~k.isin(*NOT_MERGED) & v.isNotNull())
     old = F.map_filter(low(stored), lambda k, _: ~F.map_contains_key(new, k))
