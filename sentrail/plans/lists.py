@@ -12,7 +12,9 @@ from ..operators import customer360 as C
 from ..operators import fraud, monitoring, network, scoring, screening, search, workflow
 from ..sources import tables as S
 from .derived import PRIORITY_SQL, RE, records
-from .queries import AL, CA, CARD, ED, ENT, PR, SQL, TX, UN, WALLET, edges_of, members, pick, query, rounded
+from ..functions import text as T
+from ..operators import resolution
+from .queries import AL, CA, CARD, ED, ENT, PEOPLE, PR, SQL, TX, UN, code_runs, edges_of, members, people, pick, query, rounded
 
 EN = f"en AS (SELECT o_orderkey AS id, {pick('o_orderkey', S.ENGAGEMENT_STATUS)} AS status, {pick('(o_orderkey + 1)', S.ENGAGEMENT_TYPE)} AS engagement_type, 'Trial ' || (o_orderkey % 90) AS title, 'Client ' || (o_orderkey % 50) AS client_name, o_orderdate AS created_at FROM orders)"
 DE = f"de AS (SELECT o_orderkey AS id, {pick('o_orderkey', S.DEMO_TYPE)} AS demo_type, CASE WHEN o_orderkey % 3 = 0 THEN 'scheduled' ELSE 'done' END AS status, 'presenter' || (o_orderkey % 8) AS presenter, 'Client ' || (o_orderkey % 50) AS client_name, o_orderdate AS scheduled_at FROM orders)"
@@ -249,6 +251,75 @@ def _(spark, d):
     return network.communities(v, e).select("community", "size", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
+PG = ED + ", pe AS (SELECT src, dst, arg_max(amount, (ts, id)) AS weight, arg_max(id, (ts, id)) AS ord, substr(md5(src || '_' || dst || '_SENT_TO'), 1, 16) AS edge_id FROM ed GROUP BY src, dst), bo AS (SELECT src, dst, edge_id, ord, weight FROM pe UNION ALL SELECT dst, src, edge_id, ord, weight FROM pe WHERE src <> dst)"
+TRAILS = "tr AS (SELECT dst AS id, 1 AS distance, [edge_id] AS path FROM bo WHERE src = 3 UNION ALL SELECT b.dst, 2, [a.edge_id, b.edge_id] FROM bo a JOIN bo b ON a.dst = b.src AND a.edge_id <> b.edge_id WHERE a.src = 3)"
+
+
+def payments_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v, e = edges_of(spark, d)
+    return v, network.relationships_from_transactions(e).withColumns({"ord": F.col("transaction_id"), "confidence": F.lit(1.0)})
+
+
+@query("gr20_relationships", "SELECT id, distance, 'SENT_TO' AS relationship_type, array_to_string(path, ',') AS path FROM tr ORDER BY distance, id, tr.path LIMIT 100", PG, TRAILS)
+def _(spark, d):
+    return network.entity_relationships(payments_of(spark, d)[1], 3).withColumn("path", F.array_join("path", ","))
+
+
+@query("gr25_path_risk", "SELECT id, distance, round((SELECT risk_score FROM ent WHERE id = 3) / distance, 6) AS propagated_risk FROM tr WHERE id <> 3 ORDER BY 3 DESC, id, path LIMIT 50", PG, TRAILS, ENT)
+def _(spark, d):
+    v, e = payments_of(spark, d)
+    return rounded(network.path_risk(v, e, 3, 2).select("id", "distance", "propagated_risk"), 6, "propagated_risk")
+
+
+@query("gr11_propagated_risk", """SELECT id, hops, round((SELECT risk_score FROM ent WHERE id = 3) * pow(0.5, hops) * w, 6) AS risk FROM (SELECT 3::BIGINT AS id, 0 AS hops, 1.0::DOUBLE AS w UNION ALL SELECT dst, 1, arg_min(weight, ord) FROM bo WHERE src = 3 AND dst <> 3 GROUP BY dst
+UNION ALL SELECT dst, 2, arg_min(weight, ord) FROM bo WHERE src IN (SELECT dst FROM bo WHERE src = 3) AND src <> 3 AND dst <> 3 AND dst NOT IN (SELECT dst FROM bo WHERE src = 3) GROUP BY dst)""", PG, ENT)
+def _(spark, d):
+    v, e = payments_of(spark, d)
+    return rounded(network.propagate_risk(v, e, 3, 2), 6, "risk")
+
+
+@query("gr24_top_pagerank", "SELECT id, round(x * (SELECT count(*) FROM r20) / (SELECT sum(x) FROM r20), 6) AS score FROM r20 ORDER BY x DESC, id LIMIT 20", ED, ENT, RANKS)
+def _(spark, d):
+    v, e = edges_of(spark, d)
+    return rounded(network.centrality(v, e, "pagerank"), 6, "score")
+
+
+# names -------------------------------------------------------------------------
+
+CODED_SQL = "CASE WHEN name = '' THEN '0000' ELSE rpad(upper(substr(name, 1, 1)) || substr(replace(substr(" + code_runs("regexp_replace(upper(name), '[^BFPVCGJKQSXZDTLMNR]', '0', 'g')", "BFPVCGJKQSXZDTLMNR", "111122222222334556", "0123456") + ", 2), '0', ''), 1, 3), 4, '0') END"
+META_SQL = "regexp_replace(upper(name), '[^A-Z]', '', 'g')"
+for _pattern, _by in T.PHONETIC:
+    META_SQL = f"regexp_replace({META_SQL}, '{_pattern}', '{_by}', 'g')"
+TITLE_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(name, '\b(" + "|".join(T.TITLES) + r")\b\.?', '', 'gi'), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("str_keys", f"""SELECT id, lower(trim(regexp_replace(name, '[^a-zA-Z0-9\\s]', '', 'g'))) AS normalized, {TITLE_SQL} AS standard, {CODED_SQL} AS coded, substr({META_SQL}, 1, 6) AS metaphone,
+substr(lower(replace(name, ' ', '')), 1, 3) || ',' || substr(lower(replace(name, ' ', '')), 2, 3) || ',' || substr(lower(replace(name, ' ', '')), 3, 3) AS grams, upper(substr(name, 1, 1)) || '_' || coalesce(birth_year, '0000') AS letter_year FROM ppl""", PEOPLE)
+def _(spark, d):
+    p = people(spark, d)
+    n, born = F.element_at("attributes", "name"), F.substring(F.element_at("attributes", "date_of_birth"), 1, 4)
+    letter = F.substring(F.get(resolution.STRATEGIES["first_letter"](n, born), F.lit(0)), 4, 20)
+    return p.select("id", T.normalized_name(n).alias("normalized"), T.standard_name(n).alias("standard"), T.coded_soundex(n).alias("coded"), T.metaphone(n).alias("metaphone"), F.array_join(T.blocking_ngrams(n), ",").alias("grams"), letter.alias("letter_year"))
+
+
+@query("erb02_blocking_keys", f"""SELECT id, unnest(list_distinct(['soundex_' || {CODED_SQL}, 'metaphone_' || substr({META_SQL}, 1, 6), 'fl_' || upper(substr(name, 1, 1)) || '_' || coalesce(birth_year, '0000')])) AS block FROM ppl""", PEOPLE)
+def _(spark, d):
+    return resolution.blocking_keys(people(spark, d), ("soundex", "metaphone", "first_letter"))
+
+
+@query("str_places", "SELECT s_suppkey AS id, upper(substr(n_name, 1, 2)) || '_' || upper(substr(r_name, 1, 3)) AS location, regexp_replace(regexp_replace(s_suppkey || ' High Street, Old road', 'street', 'St', 'i'), 'road', 'Rd', 'i') AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    s = S.parquet(spark, d, "supplier").join(S.parquet(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(S.parquet(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    address = T.standard_address(F.concat(F.col("s_suppkey").cast("string"), F.lit(" High Street, Old road")))
+    return s.select(F.col("s_suppkey").alias("id"), resolution.location_key(F.col("n_name"), F.col("r_name")).alias("location"), address.alias("address"))
+
+
+@query("j21_name_lookup", "SELECT q AS query, id, name, 0.9::DOUBLE AS confidence FROM (SELECT q, id, name, row_number() OVER (PARTITION BY q ORDER BY id) AS k FROM ent, (SELECT DISTINCT p_size::VARCHAR AS q FROM part) WHERE contains(lower(name), lower(q))) WHERE k <= 5", ENT)
+def _(spark, d):
+    names = S.parquet(spark, d, "part").select(F.col("p_size").cast("string").alias("name"))
+    return resolution.lookup_names(names, S.entities(spark, d))
+
+
 # fraud with profiles, mixers and odd rows ----------------------------------------
 
 CARD2 = CARD.replace("SELECT id AS", "SELECT CASE id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS present, CASE id % 5 WHEN 0 THEN false WHEN 1 THEN true END AS cvv, id % 6 = 0 AS avs, id % 7 = 0 AS ds, id AS", 1)
@@ -341,6 +412,48 @@ def _(spark, d):
     return screening.match_records(screening.screen(n)).select("id", "list_source", "list_type", "match_score")
 
 
+def items_sql(item: str, key: str | None, where: str = "true") -> str:
+    """Items of all records in order, the first of each key."""
+    first = f"(SELECT customer_id, arg_min({item} || '@' || source_system, pos) AS x, min(pos) AS pos FROM re WHERE {where} GROUP BY customer_id, {key})" if key else f"(SELECT customer_id, {item} || '@' || source_system AS x, pos FROM re)"
+    return f"SELECT customer_id, string_agg(x, ',' ORDER BY pos) AS items FROM {first} GROUP BY 1"
+
+
+def items(spark: SparkSession, d: str, name: str, fields: dict, keys: tuple[str, ...], lower: bool = False, non_empty: bool = False) -> DataFrame:
+    r = records(spark, d).withColumn(name, F.array(F.struct(*[c.cast("string").alias(f) for f, c in fields.items()])))
+    got = C.nested(r, name, keys, lower, non_empty)
+    return got.select("customer_id", F.array_join(F.transform("items", lambda x: F.concat(F.concat_ws("-", *[x[f] for f in fields]), F.lit("@"), x["source"])), ",").alias("items"))
+
+
+@query("c302a_addresses", items_sql("'L' || (pos % 3) || '-P' || (pos % 2)", "'L' || (pos % 3) || '-P' || (pos % 2)"), RE)
+def _(spark, d):
+    k = F.col("pos")
+    return items(spark, d, "addresses", {"line1": F.concat(F.lit("L"), (k % 3).cast("string")), "postal_code": F.concat(F.lit("P"), (k % 2).cast("string"))}, ("line1", "postal_code"))
+
+
+@query("c302c_emails", items_sql("CASE WHEN pos % 6 = 0 THEN '' WHEN pos % 2 = 0 THEN 'Mail' || (pos % 4) ELSE 'mail' || (pos % 4) END", "lower(CASE WHEN pos % 6 = 0 THEN '' ELSE 'mail' || (pos % 4) END)", "pos % 6 <> 0"), RE)
+def _(spark, d):
+    k = F.col("pos")
+    n = (k % 4).cast("string")
+    return items(spark, d, "emails", {"address": F.when(k % 6 == 0, "").when(k % 2 == 0, F.concat(F.lit("Mail"), n)).otherwise(F.concat(F.lit("mail"), n))}, ("address",), True, True)
+
+
+@query("c302d_identities", items_sql("'id' || (pos % 2)", None), RE)
+def _(spark, d):
+    return items(spark, d, "identities", {"number": F.concat(F.lit("id"), (F.col("pos") % 2).cast("string"))}, ())
+
+
+@query("c302e_documents", items_sql("'t' || (pos % 2) || '-' || (pos % 5)", "'t' || (pos % 2) || '-' || (pos % 5)"), RE)
+def _(spark, d):
+    return items(spark, d, "documents", {"type": F.concat(F.lit("t"), (F.col("pos") % 2).cast("string")), "number": F.col("pos") % 5}, ("type", "number"))
+
+
+@query("c303_accounts", "SELECT customer_id, count(*) AS account_count, round(sum(price), 2) AS total_balance FROM (SELECT customer_id, arg_min(price, pos) AS price FROM re GROUP BY customer_id, pos % 3) GROUP BY 1", RE)
+def _(spark, d):
+    account = F.struct((F.col("pos") % 3).cast("string").alias("account_id"), F.lit("current").alias("account_type"), F.col("price").cast("double").alias("balance"), F.lit(None).cast("double").alias("credit_limit"), F.lit("USD").alias("currency"))
+    a = C.nested(records(spark, d).withColumn("accounts", F.array(account)), "accounts", ("account_id",))
+    return C.financial_summary(a).select("customer_id", "account_count", F.round("total_balance", 2).alias("total_balance"))
+
+
 @query("c306_first_flagged", "SELECT customer_id, bool_or(is_sanctioned) AS is_sanctioned, arg_min(source_system, pos) FILTER (is_sanctioned) AS source_system, arg_min(updated_at, pos) FILTER (is_sanctioned) AS updated_at FROM re GROUP BY 1", RE)
 def _(spark, d):
     return C.first_flagged(records(spark, d), "is_sanctioned", ("source_system", "updated_at")).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
