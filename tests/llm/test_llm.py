@@ -127,6 +127,23 @@ def test_leaks_equal_brute_force(spark):
     assert clean == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_leaks_of_the_table_equal_brute_force(spark, sf):
+    docs = {i: squeeze(t) for i, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()}
+    items = {i: squeeze(t) for i, t in duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()}
+    want = {}
+    for j, x in items.items():
+        grams = {x[k : k + 12] for k in range(0, len(x) - 12, 12)}
+        for i, t in docs.items():
+            if sum(g in t for g in grams) >= min(2, len(grams)):  # with an edit for each 20 characters, some of the grams of 12 stay whole
+                e = edit_in(x, t)
+                if e <= int(decontaminate.ERROR_RATE * len(x)):
+                    want[i, j] = e
+    got = {}
+    for r in queries.op2_decontaminate(spark, sf).collect():
+        got[r["doc_id"], r["item_id"]] = min(r["edits"], got.get((r["doc_id"], r["item_id"]), 99))
+    assert got == want and want
+
+
 def test_leaks_edges(spark, awkward, none):
     bench = spark.createDataFrame([(1, "word " * 20), (1, "word " * 20), (2, "nothing like it in any text here")], "item_id long, text string")
     out = decontaminate.find_leaks(awkward, bench).toPandas()
@@ -312,6 +329,22 @@ def test_best_fit_keeps_every_capacity(caps):
         assert n <= 1.002 * lengths.sum() / 4096 + 1
 
 
+def test_best_fit_under_binding_capacities():
+    r = np.random.default_rng(3)
+    lengths = np.minimum(1000, np.maximum(1, r.lognormal(4, 1.2, 5000).astype(int)))
+    values, counts = np.unique(lengths, return_counts=True)
+    caps = {"pieces": 12, "cost": 1_500_000}
+    placed, n = packing.best_fit([(int(v), int(c)) for v, c in zip(values, counts, strict=True)], **caps)
+    total = np.zeros((3, n), int)
+    for length, _, count, first, each, _ in placed:
+        s = first + np.arange(count) // each
+        for k, x in enumerate((length, 1, length * length)):
+            np.add.at(total[k], s, x)
+    assert total[1].sum() == len(lengths) and (total.max(1) <= (4096, 12, 1_500_000)).all()
+    least = max(-(-len(lengths) // 12), -(-int((lengths**2).sum()) // 1_500_000), -(-int(lengths.sum()) // 4096))
+    assert n <= 1.1 * least + 1
+
+
 # 6 ---------------------------------------------------------------------------
 
 
@@ -352,6 +385,21 @@ def test_toxicity_finds_held_out_insults(spark):
     assert (out.predicted == (out.score >= 0.7)).all() and out.score.between(0, 1).all()
 
 
+def test_toxicity_scores_equal_plain_ones(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, labels)
+    got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in queries.op7_toxicity(spark, sf).collect()}
+    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    assert len(got) == len(rows)
+    for i, t in rows:
+        known = sorted({w for w in re.findall(r"\w+", (t or "").lower()) if w in m.words})
+        z = m.bias + sum(m.words[w] for w in known) / math.sqrt(max(1, len(known)))
+        for vote, weight in zip(m.voters.vote(toxicity.facts(t or "")), m.vote_weights, strict=True):
+            z += weight * {toxicity.TOXIC: 1, toxicity.CLEAN: -1, toxicity.NONE: 0}[int(vote)]
+        held, score, predicted = got[i]
+        assert held == (zlib.crc32(str(i).encode()) % 3 == 1) and score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and predicted == (score >= 0.7)
+
+
 def test_toxicity_edges(spark, awkward, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(none, labels)
