@@ -29,11 +29,15 @@ def action(by_level: dict[str, str], special: Column | None = None, text: str =
     return out if special is None else F.when(special, text).otherwise(out)
 
 
-def combined(df: DataFrame, checks: dict[str, Column], rungs: list[tuple[float, str]], prefix: str, key: str) -> DataFrame:
-    """Rows with at least one indicator: their names, the capped sum, level and a reproducible alert id."""
+def added(*parts: Column) -> Column:
+    return sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
+
+
+def combined(df: DataFrame, checks: dict[str, Column], rungs: list[tuple[float, str]], prefix: str, key: str, names: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with at least one indicator: their names (or what ``names`` has for one), the capped sum, level and a reproducible alert id."""
     df = df.withColumns({f"s_{k}": F.coalesce(c, F.lit(0.0)) for k, c in checks.items()})
     total = sum((F.col(f"s_{k}") for k in checks), F.lit(0.0))
-    names = F.array_compact(F.array(*[F.when(F.col(f"s_{k}") > 0, F.lit(k)) for k in checks]))
+    names = F.array_compact(F.array(*[F.when(F.col(f"s_{k}") > 0, (names or {}).get(k, F.lit(k))) for k in checks]))
     out = df.withColumns({"indicators": names, "fraud_score": F.least(F.lit(1.0), F.round(total, 9))}).where(F.size("indicators") > 0)
     level = ladder(F.col("fraud_score"), rungs, "low")
     return out.withColumns({"level": level, "alert_id": F.concat(F.lit(prefix), F.upper(F.substring(F.md5(F.col(key).cast("string")), 1, 12)))}).drop(*[f"s_{k}" for k in checks])
@@ -44,7 +48,10 @@ LENDING_RUNGS = [(0.7, "critical"), (0.5, "high"), (0.3, "medium")]
 
 
 def card_history(tx: DataFrame) -> DataFrame:
-    """What a card's earlier payments say at each payment; one sort for each card, frames before the row."""
+    """What a card's earlier payments say at each payment; one sort for each card, frames before the row.
+
+    A card's payments are one window, so a task must take the payments of the busiest card.
+    """
     w = W.partitionBy("cardholder_id").orderBy("timestamp", "transaction_id")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     sec = F.unix_timestamp("timestamp")
@@ -70,15 +77,16 @@ def card_fraud(tx: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     absent = F.coalesce(~c("is_card_present"), no)  # null is not known to be absent
     cnp = lambda flag, s: F.when(absent & ~F.coalesce(c(flag), no), s)
     checks = {
-        "card_testing": testing, "velocity": F.when(c("count_24h") > 10, 0.3), "impossible_travel": F.when(hours < 3, 0.5), "high_risk_mcc": F.when(c("mcc").isin(*RISKY_MCC), 0.2),
+        "card_testing_pattern": testing, "high_velocity": F.when(c("count_24h") > 10, 0.3), "geographic_anomaly": F.when(hours < 3, 0.5), "high_risk_mcc": F.when(c("mcc").isin(*RISKY_MCC), 0.2),
         "cvv_mismatch": cnp("cvv_match", 0.25), "avs_mismatch": cnp("avs_match", 0.2), "no_3ds": cnp("three_ds", 0.15),
     }
     if profiles is not None:
         p = F.coalesce(c("has_profile"), no)
         z = F.when((c("avg_transaction_amount") > 0) & (c("std_transaction_amount") > 0), ratio(c("amount") - c("avg_transaction_amount"), c("std_transaction_amount")))
         usual = F.coalesce(c("usual_hours"), F.array(*[F.lit(h) for h in range(8, 22)]))
-        checks |= {"amount_deviation": F.when(p & (z > 3), 0.2), "unusual_mcc": F.when(p & (F.size("usual_mccs") > 0) & ~F.array_contains("usual_mccs", c("mcc")), 0.1), "unusual_hour": F.when(p & ~F.array_contains(usual, F.hour("timestamp")), 0.1)}
-    return combined(t, checks, CARD_RUNGS, "CC-", "transaction_id").withColumn("recommended_action", action(CARD_ACTIONS))
+        mcc = (F.size("usual_mccs") > 0) & (c("mcc") != "") & ~F.array_contains("usual_mccs", c("mcc"))
+        checks["behavioral_deviation"] = F.when(p, added(F.when(z > 3, 0.2), F.when(mcc, 0.1), F.when(~F.array_contains(usual, F.hour("timestamp")), 0.1)))
+    return combined(t, checks, CARD_RUNGS, "CC-", "transaction_id", {"high_risk_mcc": F.concat(F.lit("high_risk_mcc_"), "mcc")}).withColumn("recommended_action", action(CARD_ACTIONS))
 
 
 def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
@@ -103,7 +111,11 @@ def dust(amount: Column, currency: Column) -> Column:
 
 
 def wallet_fraud(tx: DataFrame, wallet: str = "from_address") -> DataFrame:
-    """Wallet payments: mixers, sanctioned prefixes, layering, timing, chain hopping and dust."""
+    """Wallet payments: mixers, sanctioned prefixes, layering, timing, chain hopping and dust.
+
+    A wallet's payments are one window, so a task must take those of the busiest wallet; the
+    checks of single payments are in ``rules.wallet_alerts`` without any window.
+    """
     w = W.partitionBy(wallet).orderBy("timestamp", "tx_hash")
     gap = F.unix_timestamp("timestamp") - F.unix_timestamp(F.lag("timestamp").over(w))
     t = tx.withColumn("quick", F.when(gap < 60, 1).otherwise(0))
@@ -114,9 +126,9 @@ def wallet_fraud(tx: DataFrame, wallet: str = "from_address") -> DataFrame:
     })
     c = F.col
     checks = {
-        "mixer_to": F.when(contains_any(c("to_address"), MIXERS), 0.7), "mixer_from": F.when(contains_any(c("from_address"), MIXERS), 0.6),
-        "sanctioned_address": F.when(starts_any(c("to_address"), SANCTIONED) | starts_any(c("from_address"), SANCTIONED), 1.0), "layering": F.when((c("rows_before") >= 5) & (c("addresses_10") > 8), 0.5),
-        "rapid_timing": F.when(c("quick_before") >= 3, 0.3), "chain_hopping": F.when(c("currencies_20") > 5, 0.3), "dust": F.when(dust(c("amount"), c("currency")), 0.2),
+        "mixer_usage": F.when(contains_any(c("to_address"), MIXERS), 0.7), "mixer_source": F.when(contains_any(c("from_address"), MIXERS), 0.6),
+        "sanctioned_address": F.when(starts_any(c("to_address"), SANCTIONED) | starts_any(c("from_address"), SANCTIONED), 1.0), "layering_pattern": F.when((c("rows_before") >= 5) & (c("addresses_10") > 8), 0.5),
+        "suspicious_timing": F.when(c("quick_before") >= 3, 0.3), "high_risk_exchange": F.when(c("currencies_20") > 5, 0.3), "potential_dust_attack": F.when(dust(c("amount"), c("currency")), 0.2),
     }
     return combined(t, checks, CARD_RUNGS, "BC-", "tx_hash").withColumn("recommended_action", action(WALLET_ACTIONS, F.array_contains("indicators", "sanctioned_address"), SANCTIONED_ACTION))
 
@@ -133,18 +145,21 @@ def lending_fraud(applications: DataFrame, history: DataFrame | None = None, bur
     yes = lambda x: F.coalesce(c(x), no)
     d = "device_info."
     checks = {
-        "short_tenure": F.when((c("employment_length_months") < 6) & (c("annual_income") > 200_000), 0.2), "unverified_business": F.when((c("employment_type") == "self_employed") & ~yes("business_verified"), 0.15),
-        "vpn_or_proxy": F.when(yes(d + "is_vpn") | yes(d + "is_proxy"), 0.2), "shared_device": F.when(c(d + "other_identities_count") > 1, 0.3), "geo_mismatch": F.when(yes(d + "geo_mismatch"), 0.2),
+        "employment_concern": added(F.when((c("employment_length_months") < 6) & (c("annual_income") > 200_000), 0.2), F.when((c("employment_type") == "self_employed") & ~yes("business_verified"), 0.15)),
+        "device_anomaly": added(F.when(yes(d + "is_vpn") | yes(d + "is_proxy"), 0.2), F.when(c(d + "other_identities_count") > 1, 0.3), F.when(yes(d + "geo_mismatch"), 0.2)),
     }
     if has("applications_last_30_days"):
         checks["application_velocity"] = F.when(c("applications_last_30_days") > 5, 0.4).when(c("applications_last_30_days") > 3, 0.2)
     if bureau is not None:
         differs = lambda x: (F.lower(c(x)) != F.lower(c(f"b_{x}"))) & (c(f"b_{x}") != "")
         checks |= {
-            "income_mismatch": F.when((c("b_estimated_income") > 0) & (c("annual_income") / c("b_estimated_income") > 2), 0.4), "name_mismatch": F.when(differs("name"), 0.2), "dob_mismatch": F.when(differs("date_of_birth"), 0.3), "ssn_issues": F.when(yes("b_ssn_issues"), 0.4),
-            "thin_file": F.when((c("b_credit_file_age_months") < 12) & (c("b_account_count") >= 5), 0.3), "no_address_history": F.when(yes("has_bureau") & (F.coalesce(F.size("b_historical_addresses"), F.lit(0)) <= 0), 0.2), "authorized_users": F.when(c("b_authorized_user_accounts") > 3, 0.2),
+            "income_discrepancy": F.when((c("b_estimated_income") > 0) & (c("annual_income") / c("b_estimated_income") > 2), 0.4),
+            "identity_inconsistency": added(F.when(differs("name"), 0.2), F.when(differs("date_of_birth"), 0.3), F.when(yes("b_ssn_issues"), 0.4)),
+            "potential_synthetic_identity": added(
+                F.when((c("b_credit_file_age_months") < 12) & (c("b_account_count") >= 5), 0.3), F.when(yes("has_bureau") & (F.coalesce(F.size("b_historical_addresses"), F.lit(0)) <= 0), 0.2), F.when(c("b_authorized_user_accounts") > 3, 0.2)
+            ),
         }
-    synthetic = F.arrays_overlap("indicators", F.array(*map(F.lit, ("thin_file", "no_address_history", "authorized_users"))))
+    synthetic = F.array_contains("indicators", "potential_synthetic_identity")
     return combined(a, checks, LENDING_RUNGS, "LF-", "application_id").withColumn("recommended_action", action(LENDING_ACTIONS, synthetic, SYNTHETIC_ACTION))
 
 

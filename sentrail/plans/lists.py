@@ -348,8 +348,8 @@ def _(spark, d):
     source = F.when(F.col("sender_entity_id") % 50 == 3, "wasabi-pool").otherwise(F.concat(F.lit("a"), k.cast("string")))
     w = t.select(k.alias("tx_hash"), source.alias("from_address"), to.alias("to_address"), F.lit(5.0).alias("amount"), F.lit("BTC").alias("currency"), (F.col("transaction_date") + F.make_dt_interval(hours=k)).alias("timestamp"))
     # only the checks of addresses are looked at here
-    found = fraud.wallet_fraud(w).withColumn("names", F.array_intersect("indicators", F.array(*map(F.lit, ("mixer_to", "mixer_from", "sanctioned_address"))))).where("size(names) > 0")
-    total = F.aggregate("names", F.lit(0.0), lambda a, x: a + F.when(x == "mixer_to", 0.7).when(x == "mixer_from", 0.6).otherwise(1.0))
+    found = fraud.wallet_fraud(w).withColumn("names", F.array_intersect("indicators", F.array(*map(F.lit, ("mixer_usage", "mixer_source", "sanctioned_address"))))).where("size(names) > 0")
+    total = F.aggregate("names", F.lit(0.0), lambda a, x: a + F.when(x == "mixer_usage", 0.7).when(x == "mixer_source", 0.6).otherwise(1.0))
     score = F.round(F.least(F.lit(1.0), total), 6)
     act = F.when(F.array_contains("names", "sanctioned_address"), fraud.SANCTIONED_ACTION).when(score >= 0.8, fraud.WALLET_ACTIONS["critical"]).otherwise(fraud.WALLET_ACTIONS["high"])
     return found.select(F.col("tx_hash").alias("id"), score.alias("fraud_score"), act.alias("recommended_action"))

@@ -75,15 +75,15 @@ def card_alerts(tx: DataFrame, delay: str = "24 hours", keep: int = KEEP) -> Dat
         for t, i, amount, place, status in zip(times, rows["transaction_id"].tolist(), rows["amount"].tolist(), rows["merchant_country"].tolist(), rows["status"].tolist(), strict=True):
             found = []
             if (most is not None and amount < 5 and most > amount) or sum(declined) >= 3:
-                found.append("card_testing")
+                found.append("card_testing_pattern")
             seconds = [x for x in seconds if x >= t - 86400]
             if len(seconds) > 10:
-                found.append("velocity")
+                found.append("high_velocity")
             if place is not None:
                 if country is not None and country != place:
                     other, other_at = country, at
                 if other is not None and other != place and t - other_at < 3 * 3600:
-                    found.append("impossible_travel")
+                    found.append("geographic_anomaly")
                 country, at = place, t
             if found:
                 out.append((k[0], i, found))
@@ -103,8 +103,8 @@ def wallet_alerts(tx: DataFrame) -> DataFrame:
     """Wallet payments to or from a mixer or a sanctioned address, and dust; no state."""
     c = F.col
     checks = {
-        "mixer_to": fraud.contains_any(c("to_address"), fraud.MIXERS), "mixer_from": fraud.contains_any(c("from_address"), fraud.MIXERS),
-        "sanctioned_address": fraud.starts_any(c("to_address"), fraud.SANCTIONED) | fraud.starts_any(c("from_address"), fraud.SANCTIONED), "dust": F.coalesce(fraud.dust(c("amount"), c("currency")), F.lit(False)),
+        "mixer_usage": fraud.contains_any(c("to_address"), fraud.MIXERS), "mixer_source": fraud.contains_any(c("from_address"), fraud.MIXERS),
+        "sanctioned_address": fraud.starts_any(c("to_address"), fraud.SANCTIONED) | fraud.starts_any(c("from_address"), fraud.SANCTIONED), "potential_dust_attack": F.coalesce(fraud.dust(c("amount"), c("currency")), F.lit(False)),
     }
     names = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]))
     return tx.withColumn("indicators", names).where(F.size("indicators") > 0)

@@ -116,7 +116,7 @@ def test_lending(spark):
     r = fraud.lending_fraud(app).first()
     assert r["fraud_score"] == pytest.approx(0.85) and r["level"] == "critical"
     bureau = spark.createDataFrame([("p", 100000.0, "Anne", "1990-01-01", False, 6, 5, [], 0)], "applicant_id string, estimated_income double, name string, date_of_birth string, ssn_issues boolean, credit_file_age_months int, account_count int, historical_addresses array<string>, authorized_user_accounts int")
-    assert set(fraud.lending_fraud(app, bureau=bureau).first()["indicators"]) >= {"income_mismatch", "name_mismatch", "thin_file", "no_address_history"}
+    assert set(fraud.lending_fraud(app, bureau=bureau).first()["indicators"]) >= {"income_discrepancy", "identity_inconsistency", "potential_synthetic_identity"}
 
 
 def test_network_tools(spark):
@@ -259,7 +259,7 @@ def test_card_scenarios(spark):
     r = last(fraud.card_fraud(card_rows(spark, [absent])), 0)
     assert (r["fraud_score"], r["level"], r["recommended_action"]) == (0.8, "critical", "Block transaction and contact cardholder immediately")
     unknown = fraud.card_fraud(card_rows(spark, [absent | {"is_card_present": None}])).first()
-    assert unknown["indicators"] == ["high_risk_mcc"]  # not known to be absent
+    assert unknown["indicators"] == ["high_risk_mcc_5967"]  # not known to be absent
     profile = spark.createDataFrame([("c", 50.0, 10.0, ["5411"], None)], "cardholder_id string, avg_transaction_amount double, std_transaction_amount double, usual_mccs array<string>, usual_hours array<int>")
     r = fraud.card_fraud(card_rows(spark, [{"timestamp": at(3), "mcc": "7995"}]), profile).first()
     assert (r["fraud_score"], r["level"]) == (0.6, "high")
