@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import BROADCAST_KEYS, unused, without
 
 PREFIX_CHARS = 64
@@ -63,7 +63,9 @@ def drop_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     one stays. Null texts equal empty ones; any other column may have any name. Only ids of
     dropped rows travel, with their digests where ids repeat.
     """
-    groups = materialize(exact_groups(docs, doc, text).select("doc", "keep", "kept", "sha256"), "groups")
+    with scratch() as tables:
+        groups = materialize(exact_groups(docs, doc, text).select("doc", "keep", "kept", "sha256"), "groups")
+        tables.remove(groups)
     twins = groups.where("not kept").where(F.col("doc").eqNullSafe(F.col("keep"))).select("doc", "sha256").distinct()
     lost = groups.where("not kept").where(~F.col("doc").eqNullSafe(F.col("keep"))).select("doc").distinct()
     stay = groups.where("kept").select(F.col("doc").alias("__stay"))

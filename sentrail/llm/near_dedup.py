@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialize, release
+from ..session import materialize, release, scratch
 from . import simhash
 from .common import BROADCAST_KEYS, U64, binary_array, buffers, keep_one, mixed, raw_text, slices, tidy, with_key
 from .substring import rolled, sent, unpacked, word_hashes
@@ -402,11 +402,12 @@ def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingl
     be null or repeated and repeated rows fall together; other columns are not looked at; an
     empty table gives no rows.
     """
-    rows = materialize(profiles(docs, doc, text, shingle), "near-profiles")
-    found = links(docs, text, rows, shingle)
-    comp = connected_components(found, "a", "b").withColumnsRenamed({"id": "key", "component": "root"})
-    out = materialize(rows.select("doc", "key").join(comp, "key", "left").select("doc", "key", F.coalesce("root", "key").alias("root")), "near-roots")
-    release(rows)
+    with scratch() as tables:
+        rows = materialize(profiles(docs, doc, text, shingle), "near-profiles")
+        found = links(docs, text, rows, shingle)
+        comp = connected_components(found, "a", "b").withColumnsRenamed({"id": "key", "component": "root"})
+        out = materialize(rows.select("doc", "key").join(comp, "key", "left").select("doc", "key", F.coalesce("root", "key").alias("root")), "near-roots")
+        tables.remove(out)
     return out
 
 

@@ -148,9 +148,9 @@ def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold:
     comp = connected_components(edges)
     named = classes.join(comp.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named, "components")
+    release(edges, comp, classes)
     roots = named.groupBy("component").agg(F.min("rep").alias("root"))
     named = named.join(roots, "component").select("fp", F.col("component").alias("root"), F.col("root").alias("component"))
-    release(edges)
     return prints.join(named, "fp").select("doc", "fp", "root", "component")
 
 
