@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, release
+from ..session import materialize, release, scratch
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -21,8 +21,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Rows with a null end are ignored; self loops give their vertex a row; repeated
     and reversed edges change nothing. An empty table gives an empty result. Hot
-    vertices are reduced by map-side aggregation and split by adaptive skew joins.
+    vertices are reduced by map-side aggregation and split by adaptive skew joins. The
+    result is a table in the shared folder; nothing else is left there.
     """
+    with scratch() as tables:
+        out = materialize(_components(edges, src, dst, max_rounds), "cc")
+        tables.remove(out)
+    return out
+
+
+def _components(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
     e0 = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     e = materialize(e0.union(e0.select("v", "u")).distinct(), "cc-edges")
     labels = materialize(e.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct(), "cc-labels")
