@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator, Set
+from collections.abc import Iterator, Sequence, Set
 from typing import NamedTuple
 
 import numpy as np
@@ -84,20 +84,43 @@ def stems_of(words: Set[str]) -> set[str]:
     return {w[:n] for w in words for n in STEM_LETTERS if len(w) >= n}
 
 
-def mine_stems(words: list[Set[str]], toxic: np.ndarray) -> list[str]:
+class Known(Sequence[Facts]):
+    """Facts of many texts, held as arrays of word numbers and counts; each one's dictionary is made when asked for."""
+
+    def __init__(self, got: pa.Table):
+        lists = got.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()  # one string object for each word of the sample
+        self.vocab = coded.dictionary.to_pylist()
+        self.code, self.n = coded.indices.to_numpy().astype(np.int32), got.column("counts").combine_chunks().flatten().to_numpy().astype(np.int32)
+        self.ends = [0, *lists.value_lengths().to_numpy().cumsum().tolist()]
+        self.total, self.flags = got.column("total").to_pylist(), got.column("flags").to_pylist()
+
+    def __len__(self) -> int:
+        return len(self.total)
+
+    def __getitem__(self, i: int) -> Facts:
+        if not 0 <= i < len(self.total):
+            raise IndexError(i)
+        a, b = self.ends[i], self.ends[i + 1]
+        counts = dict(zip([self.vocab[c] for c in self.code[a:b]], self.n[a:b].tolist(), strict=True))
+        return Facts(counts, self.total[i], *(bool(self.flags[i] >> k & 1) for k in range(4)))
+
+
+def mine_stems(known: Sequence[Facts], toxic: np.ndarray) -> list[str]:
     """Stems that labelled toxic texts have far more often than others, each for texts that the earlier ones leave."""
     index: dict[str, int] = {}
     rows, cols = array("i"), array("i")
-    for i, s in enumerate(words):
+    live = np.ones(len(known), bool)
+    for i, f in enumerate(known):
+        s = f.counts.keys()
         if s & INSULT_INDEX.keys():
-            continue  # explained by the fixed lexicon
+            live[i] = False  # explained by the fixed lexicon
+            continue
         for t in sorted(stems_of(s)):
             rows.append(i)
             cols.append(index.setdefault(t, len(index)))
-    row, col = np.array(rows, np.int32), np.array(cols, np.int32)
+    row, col = np.frombuffer(rows, np.int32) if rows else np.zeros(0, np.int32), np.frombuffer(cols, np.int32) if cols else np.zeros(0, np.int32)
     names, out = [*index], []
-    live = np.ones(len(words), bool)
-    live[[i for i, s in enumerate(words) if s & INSULT_INDEX.keys()]] = False
     while len(out) < MAX_STEMS and len(col):
         base = float(np.clip(toxic[live].mean(), 1e-3, 0.5)) if live.any() else 0.5
         n = np.bincount(col, minlength=len(names)).astype(float)
@@ -108,7 +131,7 @@ def mine_stems(words: list[Set[str]], toxic: np.ndarray) -> list[str]:
         if gain[best] < MIN_EVIDENCE:
             break
         out.append(names[best])
-        gone = np.zeros(len(words), bool)
+        gone = np.zeros(len(known), bool)
         gone[row[col == best]] = True
         live &= ~gone
         keep = ~gone[row]
@@ -241,16 +264,15 @@ class Classifier:
     def __init__(self, voters: Voters):
         self.voters = voters
 
-    def fit(self, words: list[Set[str]], v: np.ndarray, target: np.ndarray, min_texts: int = 10, l2: float = 3e-3, rounds: int = 100) -> Classifier:
+    def fit(self, known: Sequence[Facts], v: np.ndarray, target: np.ndarray, min_texts: int = 10, l2: float = 3e-3, rounds: int = 100) -> Classifier:
         seen: dict[str, int] = {}
-        for s in words:
-            for w in s:
+        for f in known:
+            for w in f.counts:
                 seen[w] = seen.get(w, 0) + 1
-        vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if min_texts <= n <= len(words) / 5 or w in INSULT_INDEX))}
-        row = np.concatenate([np.full(len(s), i) for i, s in enumerate(words)] or [np.zeros(0)]).astype(np.int64)
-        col = np.fromiter((vocab.get(w, -1) for s in words for w in s), np.int64)
-        row, col = row[col >= 0], col[col >= 0]
-        n, k = len(words), len(vocab)
+        vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if min_texts <= n <= len(known) / 5 or w in INSULT_INDEX))}
+        cols = [np.array([vocab[w] for w in f.counts if w in vocab], np.int64) for f in known]
+        row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int64)])
+        n, k = len(known), len(vocab)
         # a text's words share a fixed length, so that long texts do not outweigh short ones
         share = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))
         x = share[row]
@@ -330,27 +352,21 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     if not got.num_rows:  # nothing to learn from: imagined texts with one insult, with all, and with none
         imagined = [("", 0)] * len(INSULTS) * 4 + [(t, 1) for a, b in zip(INSULTS, INSULTS[1:]) for t in (a, f"{a} {b} {a}", f"{a} {b}")]
         return learn([facts(t) for t, _ in imagined], np.array([y for _, y in imagined], np.int8))
-    lists = got.column("words").combine_chunks()
-    coded = lists.flatten().dictionary_encode()  # one string object for each word of the sample
-    vocab, code, n = coded.dictionary.to_pylist(), coded.indices.to_numpy(), got.column("counts").combine_chunks().flatten().to_numpy()
-    ends = lists.value_lengths().to_numpy().cumsum().tolist()
-    known = []
-    for a, b, total, flags in zip([0, *ends], ends, got.column("total").to_pylist(), got.column("flags").to_pylist(), strict=False):
-        counts = dict(zip([vocab[i] for i in code[a:b]], n[a:b].tolist(), strict=True))
-        known.append(Facts(counts, total, *(bool(flags >> k & 1) for k in range(4))))
-    model = learn(known, got.column("label").to_numpy().astype(np.int8))
-    del got, lists, coded, vocab, code, n, known
+    known, label = Known(got), got.column("label").to_numpy().astype(np.int8)
+    del got
+    trim()
+    model = learn(known, label)
+    del known
     trim()
     return model
 
 
-def learn(known: list[Facts], label: np.ndarray) -> Classifier:
-    words = [f.counts.keys() for f in known]
-    voters = Voters(mine_stems(words, label.astype(float)))
+def learn(known: Sequence[Facts], label: np.ndarray) -> Classifier:
+    voters = Voters(mine_stems(known, label.astype(float)))
     own = np.array([voters.vote(f) for f in known], np.int8).reshape(len(known), -1)
     votes = np.concatenate([own, label.reshape(-1, 1)], 1)
     target = LabelModel().fit(votes, np.append(voters.priors, 0.9)).posterior(votes)
-    return Classifier(voters).fit(words, own, target)
+    return Classifier(voters).fit(known, own, target)
 
 
 def score(docs: DataFrame, model: Classifier, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
