@@ -18,8 +18,8 @@ import regex
 from tokenizers import Tokenizer
 
 #: Pieces, and stretches between white space, whose counts are kept; a full cache is emptied.
-CACHE_WORDS = 1_200_000
-CACHE_CHUNKS = 200_000
+CACHE_WORDS = 400_000
+CACHE_CHUNKS = 100_000
 #: White space to str.split, but not to the file's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -119,6 +119,11 @@ class WordBpe:
     def chunk(self, chunk: str) -> int:
         return sum(map(self.words.__getitem__, self.split(chunk)))
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that is used again would hold them through other work."""
+        self.words.clear()
+        self.chunks.clear()
+
     def count(self, text: str | None) -> int:
         """Tokens of a whole text, special strings as the file has them."""
         return sum(1 if special else sum(map(self.chunks.__getitem__, self.stretches(part))) for part, special in self.parts(text or ""))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 #: Text bytes that one numpy step works on; a longer document is worked on alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Up to so many 8-byte keys are sent to every executor; more are joined by shuffling.
 BROADCAST_KEYS = 500_000
 

@@ -38,7 +38,7 @@ NUM, DEN = 4, 5
 #: Rows that the order of shingles is first learnt from, and rows of these that make a shingle common; prefixes beyond which one is frequent.
 SAMPLE_ROWS, COMMON, HOT = 20_000, 20, 8
 #: Prefix entries that a task gathers before it sends them, and that a slice is to hold.
-GATHER, SLICE_ENTRIES = 500_000, 2_000_000
+GATHER, SLICE_ENTRIES = 250_000, 1_000_000
 #: Slices of the counts of shingles.
 COUNT_SLICES = 256
 #: Classes that each one is checked against in the first round.

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .bpe import Counts, WordBpe
+from .bpe import CACHE_CHUNKS, CACHE_WORDS, Counts, WordBpe
 from .common import BROADCAST_KEYS, tidy
 
 CAPACITY = 4096
@@ -41,7 +41,7 @@ class WordIds:
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
         self.model, self.id = self.bpe.library.model, self.bpe.library.token_to_id
-        self.words, self.chunks = Counts(self.word, 800_000), Counts(self.chunk, 200_000)
+        self.words, self.chunks = Counts(self.word, CACHE_WORDS), Counts(self.chunk, CACHE_CHUNKS)
 
     def word(self, piece: str) -> bytes:
         letters = self.bpe.letters
@@ -51,6 +51,10 @@ class WordIds:
     def chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.bpe.split(chunk)))
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.chunks.clear()
+
     def encode(self, text: str | None) -> bytes:
         out = []
         for part, special in self.bpe.parts(text or ""):
@@ -164,6 +168,7 @@ def cut(docs: DataFrame, path: str, doc: str, text: str, capacity: int, end_id:
                     seen[n] = rank[-1] + 1
             cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([part] * len(row), pa.int32()), pa.array(rank, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        encoder(path).forget()
 
     kind = docs.schema[doc].dataType.simpleString()
     rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))

@@ -36,6 +36,7 @@ def count_tokens(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "t
             n = [count(t.as_py()) for t in batch.column(2)]
             cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "n_bytes", "n_tokens", "over_limit"])
+        tokenizer(path).forget()
 
     t = F.coalesce(F.col(text), F.lit(""))
     kind = docs.schema[doc].dataType.simpleString()
