@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,14 +76,18 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 
 def phonetic_similarity(a: Column, b: Column) -> Column:
-    x, y = coded_soundex(a), coded_soundex(b)
-    same = sum((F.when(F.substring(x, i, 1) == F.substring(y, i, 1), 1).otherwise(0) for i in range(1, 5)), F.lit(0))
-    return F.when(x == y, 1.0).otherwise(same / 4.0)
+    return _same_code(coded_soundex(a), coded_soundex(b))
 
 
-def jaro(a: Column, b: Column) -> Column:
-    """Jaro similarity, case-folded, with greedy matches from the left."""
-    a, b = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def jaro(a: Column, b: Column, folded: bool = False) -> Column:
+    """Jaro similarity, case-folded (unless both are already), with greedy matches from the left."""
+    if not folded:
+        a, b = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
     n, m = F.length(a), F.length(b)
     window = F.greatest(F.lit(0), F.floor(F.greatest(n, m) / 2).cast("int") - 1)
     none = F.array().cast("array<int>")
@@ -92,33 +98,63 @@ def jaro(a: Column, b: Column) -> Column:
         return F.concat(taken, F.array(F.when(F.size(free) > 0, F.array_min(free)).otherwise(-i)))
 
     places = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), none, match)  # the match in b of each letter of a, or minus its place
-    hits = F.filter(places, lambda j: j > 0)
-    k = F.size(hits).cast("double")
-    left = F.transform(F.filter(F.transform(places, lambda j, i: F.struct(j.alias("j"), (i + 1).alias("i"))), lambda p: p["j"] > 0), lambda p: F.substring(a, p["i"], F.lit(1)))
-    right = F.transform(F.array_sort(hits), lambda j: F.substring(b, j, F.lit(1)))
-    moved = F.size(F.filter(F.zip_with(left, right, lambda x, y: x != y), lambda d: d)) / 2.0
-    score = (k / n + k / m + (k - moved) / k) / 3
-    return F.when(a == b, 1.0).when((n == 0) | (m == 0) | (k == 0), 0.0).otherwise(score)
+
+    def score(places: Column, hits: Column) -> Column:
+        k = F.size(hits).cast("double")
+        left = F.transform(F.filter(F.transform(places, lambda j, i: F.struct(j.alias("j"), (i + 1).alias("i"))), lambda p: p["j"] > 0), lambda p: F.substring(a, p["i"], F.lit(1)))
+        right = F.transform(F.array_sort(hits), lambda j: F.substring(b, j, F.lit(1)))
+        moved = F.size(F.filter(F.zip_with(left, right, lambda x, y: x != y), lambda d: d)) / 2.0
+        return F.when(k == 0, 0.0).otherwise((k / n + k / m + (k - moved) / k) / 3)
+
+    matched = _let(places, lambda p: _let(F.filter(p, lambda j: j > 0), lambda h: score(p, h)))
+    return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(matched)
 
 
-def jaro_winkler(a: Column, b: Column, p: float = 0.1) -> Column:
+def jaro_winkler(a: Column, b: Column, p: float = 0.1, folded: bool = False) -> Column:
     """Jaro with a bonus for up to four equal first letters, at any score."""
-    x, y = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
+    x, y = (a, b) if folded else (F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit(""))))
     prefix = F.lit(0)
     for n in range(1, 5):
         prefix = F.when((F.length(x) >= n) & (F.length(y) >= n) & (F.substring(x, 1, n) == F.substring(y, 1, n)), n).otherwise(prefix)
-    j = jaro(a, b)
-    return j + prefix * p * (1 - j)
+    return _let(jaro(x, y, folded=True), lambda j: j + prefix * p * (1 - j))
+
+
+def _mean(winkler: Column, edit: Column, grams: Column, tokens: Column, phonetic: Column) -> Column:
+    return winkler * 0.30 + edit * 0.25 + grams * 0.15 + tokens * 0.20 + phonetic * 0.10
 
 
 def name_score(a: Column, b: Column) -> Column:
     """Weighted mean of the five name similarities."""
-    return jaro_winkler(a, b) * 0.30 + levenshtein_similarity(a, b) * 0.25 + gram_similarity(a, b, 2) * 0.15 + token_similarity(a, b) * 0.20 + phonetic_similarity(a, b) * 0.10
+    return _mean(jaro_winkler(a, b), levenshtein_similarity(a, b), gram_similarity(a, b, 2), token_similarity(a, b), phonetic_similarity(a, b))
 
 
 def name_bound(a: Column, b: Column) -> Column:
     """``name_score`` with the best Jaro-Winkler score there is, which is the costly part."""
-    return 0.30 + levenshtein_similarity(a, b) * 0.25 + gram_similarity(a, b, 2) * 0.15 + token_similarity(a, b) * 0.20 + phonetic_similarity(a, b) * 0.10
+    return _mean(F.lit(1.0), levenshtein_similarity(a, b), gram_similarity(a, b, 2), token_similarity(a, b), phonetic_similarity(a, b))
+
+
+def name_facts(c: Column) -> Column:
+    """What ``name_score`` needs of a name, so that pairs need not work it out again."""
+    return F.struct(F.lower(F.coalesce(c, F.lit(""))).alias("low"), F.array_distinct(ngrams(c, 2)).alias("grams"), F.array_distinct(words(c)).alias("tokens"), coded_soundex(c).alias("soundex"))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """``jaccard`` of arrays without repeats."""
+    n = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(n.cast("double"), (F.size(a) + F.size(b) - n).cast("double")), F.lit(0.0))
+
+
+def _same_code(x: Column, y: Column) -> Column:
+    same = sum((F.when(F.substring(x, i, 1) == F.substring(y, i, 1), 1).otherwise(0) for i in range(1, 5)), F.lit(0))
+    return F.when(x == y, 1.0).otherwise(same / 4.0)
+
+
+def facts_score(a: Column, b: Column, bound: bool = False) -> Column:
+    """``name_score`` of two ``name_facts``, or ``name_bound`` of them."""
+    x, y = a["low"], b["low"]
+    edit = F.when((x == "") & (y == ""), 1.0).when((x == "") | (y == ""), 0.0).otherwise(edit_similarity(x, y))
+    winkler = F.lit(1.0) if bound else jaro_winkler(x, y, folded=True)
+    return _mean(winkler, edit, _overlap(a["grams"], b["grams"]), _overlap(a["tokens"], b["tokens"]), _same_code(a["soundex"], b["soundex"]))
 
 
 def standard_name(c: Column) -> Column:

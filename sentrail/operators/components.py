@@ -32,7 +32,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
 def _components(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
     e0 = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    e = materialize(e0.union(e0.select("v", "u")).distinct(), "cc-edges")
+    # both directions from one pass, as the edges may be costly to work out
+    e0 = e0.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    e = materialize(e0.distinct(), "cc-edges")
     labels = materialize(e.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct(), "cc-labels")
     live = materialize(e.where("u <> v"), "cc-live")
     release(e)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize, scratch
 from .components import connected_components
 
 # Weights of the compared attributes.
@@ -65,11 +66,16 @@ def standardize(records: DataFrame) -> DataFrame:
     return records.withColumn("attributes", F.transform_values(a, clean))
 
 
-def blocking_keys(records: DataFrame, strategies: Sequence[str] = ("soundex", "ngram")) -> DataFrame:
+def block_lists(records: DataFrame, strategies: Sequence[str] = ("soundex", "ngram")) -> DataFrame:
+    """The records that have a name, with their ``blocks``."""
     name, year = F.element_at("attributes", "name"), F.substring(F.element_at("attributes", "date_of_birth"), 1, 4)
     # a name that is not a strategy is an attribute whose equal values make a block
     keys = F.array_distinct(F.array_compact(F.concat(*[STRATEGIES[s](name, year) if s in STRATEGIES else F.array(F.concat(F.lit(f"{s}_"), F.nullif(F.element_at("attributes", s), F.lit("")))) for s in strategies])))
-    return records.where(F.coalesce(name, F.lit("")) != "").select("id", F.explode(keys).alias("block"))
+    return records.where(F.coalesce(name, F.lit("")) != "").withColumn("blocks", keys)
+
+
+def blocking_keys(records: DataFrame, strategies: Sequence[str] = ("soundex", "ngram")) -> DataFrame:
+    return block_lists(records, strategies).select("id", F.explode("blocks").alias("block"))
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
@@ -79,11 +85,11 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return live.withColumnRenamed("id", "id_a").join(b, "block").where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
-def pair_score(a: Column, b: Column, names: Callable[[Column, Column], Column] = T.name_score) -> Column:
+def pair_score(a: Column, b: Column, names: Callable[[Column, Column], Column] = T.name_score, at: Callable[[Column, str], Column] = F.element_at) -> Column:
     """Weighted mean over attributes that both have; names by the composite score, addresses by bigrams, the rest by equality."""
     total, weight = F.lit(0.0), F.lit(0.0)
     for k, w in WEIGHTS.items():
-        x, y = F.element_at(a, k), F.element_at(b, k)
+        x, y = at(a, k), at(b, k)
         both = (F.coalesce(x, F.lit("")) != "") & (F.coalesce(y, F.lit("")) != "")
         s = names(x, y) if k == "name" else T.gram_similarity(x, y, 2) if k == "address" else F.when(x == y, 1.0).otherwise(0.0)
         total, weight = total + F.when(both, s * w).otherwise(0.0), weight + F.when(both, w).otherwise(0.0)
@@ -111,26 +117,41 @@ def score_bound(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 
+#: So many classes of a block are compared with the rest of it in one task.
+BLOCK_PART = 500
+
+
 def matching_pairs(records: DataFrame, strategies: Sequence[str] = ("soundex", "ngram"), threshold: float = 0.75) -> DataFrame:
     """``(id_a, id_b, score)`` that connect all records of a score of at least ``threshold`` that share a block.
 
-    Records with equal scored attributes are one class, linked to its least id; classes of
-    one block meet only if a cheap bound lets them, and the distinct pairs left are scored.
+    Records with equal scored attributes are one class, linked to its least id. What the
+    scores need of a name is worked out once a class. Classes meet in the first block that
+    they share, so no pair meets twice; a large block is dealt over as many tasks as it has
+    parts of BLOCK_PART classes. A pair is scored only if a bound from equalities and name
+    lengths, and then one without the Jaro score, let it. The classes are a table in the
+    shared folder, which the result reads.
     """
-    at = F.col("attributes")
+    spark, at = records.sparkSession, F.col("attributes")
     facts = F.struct(*[F.coalesce(F.element_at(at, k), F.lit("")).alias(k) for k in WEIGHTS]).alias("facts")
     rows = records.select("id", facts, at)
-    classes = rows.groupBy("facts").agg(F.min("id").alias("rep"))
-    same = rows.join(classes, "facts").where((F.col("id") != F.col("rep")) & (F.col("facts.name") != ""))
-    same = same.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"))
-    reps = rows.join(classes, "facts").where("id = rep").select("id", "attributes", "facts")
-    keys = blocking_keys(reps, strategies)
-    live = keys.join(keys.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "block").join(reps.select("id", "facts"), "id")
-    left = live.select("block", F.col("id").alias("id_a"), F.col("facts").alias("a"))
-    right = live.select("block", F.col("id").alias("id_b"), F.col("facts").alias("b"))
-    may = (F.col("id_a") < F.col("id_b")) & (score_bound(F.col("a"), F.col("b")) >= threshold - 1e-9)
-    pairs = left.join(right, "block").where(may).select("id_a", "id_b").distinct()
-    return scored_pairs(reps, pairs, threshold).unionByName(same)
+    reps = block_lists(rows.groupBy("facts").agg(F.min_by("attributes", "id").alias("attributes"), F.min("id").alias("id")), strategies)
+    # the classes are read several times, the records only to make them and to find their members
+    classes = materialize(reps.select("id", "blocks", "facts", T.name_facts(F.col("facts.name")).alias("name")), "classes")
+    same = rows.join(classes.select("facts", F.col("id").alias("rep")), "facts").where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"))
+    known = classes.withColumn("block", F.explode("blocks"))
+    parts = known.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.expr(f"n div {BLOCK_PART} + 1").alias("parts"))
+    live = known.join(parts, "block")
+    # a number of partitions is named since adaptive execution goes by bytes, and these rows are few and their pairs many
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda df, s, part: df.select("block", part.alias("part"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "blocks", "facts", "name")]).repartition(tasks, "block", "part")
+    left = side(live, "a", F.pmod(F.xxhash64("id"), F.col("parts")))
+    right = side(live, "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    x, y = F.col("facts_a"), F.col("facts_b")
+    score = lambda bound: pair_score(x, y, lambda *_: T.facts_score(F.col("name_a"), F.col("name_b"), bound), lambda f, k: f[k])
+    first = F.array_min(F.array_intersect("blocks_a", "blocks_b")) == F.col("block")
+    may = (F.col("id_a") < F.col("id_b")) & (score_bound(x, y) >= threshold - 1e-9) & first & (score(True) >= threshold - 1e-9)
+    found = left.join(right, ["block", "part"]).where(may).select("id_a", "id_b", score(False).alias("score")).where(F.col("score") >= threshold)
+    return found.unionByName(same)
 
 
 def clusters(records: DataFrame, matches: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -154,7 +175,10 @@ def canonical_records(records: DataFrame, members: DataFrame) -> DataFrame:
 def resolve(records: DataFrame, threshold: float = 0.75, strategies: Sequence[str] = ("soundex", "ngram")) -> DataFrame:
     """Standardise, block, score, cluster and merge."""
     clean = standardize(records)
-    return canonical_records(clean, clusters(clean, matching_pairs(clean, strategies, threshold), threshold))
+    with scratch() as tables:
+        members = materialize(clusters(clean, matching_pairs(clean, strategies, threshold), threshold), "members")
+        tables.remove(members)
+    return canonical_records(clean, members)
 
 
 # Fixed values.

@@ -408,6 +408,23 @@ def test_resolution_equals_brute_force(spark, sf):
     assert got == {tuple(sorted(m)) for m in want.values()} and 10 < len(want) < len(rows) - 20
 
 
+def test_blocks_in_parts_give_the_same_pairs(spark, sf, monkeypatch):
+    rows = resolution.standardize(plans.people(spark, sf))
+    pairs = lambda: sorted((r["id_a"], r["id_b"], round(r["score"], 9)) for r in resolution.matching_pairs(rows).collect())
+    whole = pairs()
+    monkeypatch.setattr(resolution, "BLOCK_PART", 3)
+    assert pairs() == whole and len(whole) > 20 and len({p[:2] for p in whole}) == len(whole)
+
+
+def test_known_names_score_as_names_do(spark):
+    names = ["", None, "Al", "İsa Ünal", "Ann Lee", "lee ann", "Mac Donald", "MacDonald", "a  b", "aaaa", "martha", "marhta"]
+    df = spark.createDataFrame([(x, y) for x in names for y in names], "a string, b string")
+    x, y = F.col("a"), F.col("b")
+    f, g = T.name_facts(x), T.name_facts(y)
+    for r in df.select("a", "b", T.name_score(x, y).alias("s"), T.facts_score(f, g).alias("t"), T.name_bound(x, y).alias("u"), T.facts_score(f, g, True).alias("v")).collect():
+        assert r["s"] == pytest.approx(r["t"], abs=1e-12) and r["u"] == pytest.approx(r["v"], abs=1e-12) and r["u"] >= r["s"] - 1e-12, r
+
+
 def test_sync_by_source(spark):
     schema = "id long, source_system string, entity_type string, attributes map<string,string>"
     recs = spark.createDataFrame([(1, "crm", None, {"name": "Maria Garcia"}), (2, "crm", None, {"name": "Maria Garcia"}), (3, "kyc", "firm", {"name": "Maria Garcia"}), (4, "other", None, {"name": "Left Out"})], schema)
