@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import bound_batches
-from . import decontaminate, exact_dedup, packing, sharding, simhash, substring, token_count, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, packing, repair, secret_scan, sharding, simhash, substring, token_count, toxicity, trie, url_filter, warc
 
 SHARD_BYTES, SMALL_SHARD_BYTES = 16 << 20, 64 << 10
 TOKENIZER = "word_bpe_49k.json"
@@ -80,9 +80,23 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, shard_depths, op2_decontaminate, op3_token_counts, op4_url_filter, op5_packing, op6_exact_dedup, op7_toxicity, op8_revisits, op9_simhash, op10_substring)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = spark.createDataFrame(secret_scan.labelled_findings(), "text string, start long, end long, secret int")
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(findings)).withColumnRenamed("doc", "doc_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.turns_of(table(spark, sf_dir, "conversations"))
+    return trie.trie_nodes(trie.with_shared_starts(turns), turns.select("conv").distinct())
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(rows.select(F.col("conv_id").alias("conv")).distinct(), repair.damaged(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, shard_depths, op2_decontaminate, op3_token_counts, op4_url_filter, op5_packing, op6_exact_dedup, op7_toxicity, op8_revisits, op9_simhash, op10_substring, op11_secrets, op12_prefix_trie, op13_repair)}
+
 
 def shard_sql(limit: int) -> str:
     return f"""
@@ -105,6 +119,31 @@ ORACLE_SQL = {
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1 AS kept, h AS text_sha256
 FROM n WINDOW w AS (PARTITION BY h)
+""",
+    "op12_prefix_trie": r"""
+WITH convs AS (
+  SELECT c, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))) AS crc FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)
+), starts AS (
+  SELECT c, c - c % 5 AS base, xor(crc, 4294967295) % 9 AS h FROM convs
+), turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS v FROM conversations
+), rebuilt AS (
+  SELECT s.c, 0 AS part, t.pos, t.v FROM starts s JOIN turns t ON t.c = s.base AND t.pos <= s.h
+  UNION ALL SELECT s.c, 1, t.pos, t.v FROM starts s JOIN turns t ON t.c = s.c AND t.pos > s.h
+), path AS (
+  SELECT c, row_number() OVER w AS d, list(v) OVER w AS node, octet_length(encode(v.t)) AS b FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, [], 0 FROM convs
+), nodes AS (
+  SELECT d, node, min(c) AS conv_id, count(*) AS n, any_value(b) AS b FROM path GROUP BY ALL
+), family AS (
+  SELECT a.d, a.node, count(*) FILTER (u.d = a.d + 1) AS kids, sum((u.n - 1) * u.b) AS saved, count(*) FILTER (NOT EXISTS (FROM nodes k WHERE k.d = u.d + 1 AND k.node[1:u.d] = u.node)) AS leaves
+  FROM nodes a JOIN nodes u ON u.d >= a.d AND u.node[1:a.d] = a.node GROUP BY ALL
+), ends AS (
+  SELECT d, node, string_agg(c::VARCHAR, ',' ORDER BY c) AS who FROM (SELECT c, max(d) AS d, arg_max(node, d) AS node FROM path GROUP BY c) GROUP BY ALL
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, f.kids AS n_children, f.leaves AS n_leaves, f.saved::BIGINT AS saved_tokens, sha256(coalesce(e.who, '')) AS ends_sha256
+FROM nodes n JOIN family f USING (d, node) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.node[1:n.d - 1] LEFT JOIN ends e ON e.d = n.d AND e.node = n.node
 """,
     "op8_revisits": r"""
 WITH base AS (
