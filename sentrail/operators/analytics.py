@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -112,6 +112,46 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20
     return df.orderBy(*order).offset((number - 1) * size).limit(size), total
 
 
+#: A column, and how a list is ordered by it: descending, nulls first.
+Sort = tuple[str, bool, bool]
+
+
+def sorted_by(order: Sequence[Sort]) -> list[Column]:
+    return [getattr(F.col(c), f"{'desc' if down else 'asc'}_nulls_{'first' if first else 'last'}")() for c, down, first in order]
+
+
+def page_after(df: DataFrame, order: Sequence[Sort], after: Mapping[str, object] | None = None, size: int = 20) -> DataFrame:
+    """The ``size`` rows that follow the row with the values ``after`` (the first ones without); ``order`` must end in a unique column.
+
+    Each task keeps ``size`` rows at most, on whatever page, and rows before the key are filtered where they are read.
+    """
+    if after is not None:
+        later, equal = F.lit(False), F.lit(True)
+        for c, down, first in order:
+            v = after[c]
+            if v is None:
+                here, same = (F.col(c).isNotNull() if first else F.lit(False)), F.col(c).isNull()
+            else:
+                here, same = (F.col(c) < F.lit(v) if down else F.col(c) > F.lit(v)), F.col(c) == F.lit(v)
+                here = here if first else here | F.col(c).isNull()
+            later, equal = later | (equal & here), equal & same
+        lead, down, first = order[0]
+        if after[lead] is not None and first:  # what all later rows meet, for the scan
+            df = df.where(F.col(lead) <= F.lit(after[lead]) if down else F.col(lead) >= F.lit(after[lead]))
+        df = df.where(later)
+    return df.orderBy(*sorted_by(order)).limit(size)
+
+
+def page_starts(df: DataFrame, order: Sequence[Sort], size: int = 20) -> DataFrame:
+    """``(page, ...)`` with the sort columns of the last row before each page from the second on: the keys for ``page_after``.
+
+    Rows are numbered by range partitions and carried counts, not in one task.
+    """
+    rows = df.select(*[c for c, _, _ in order])
+    rows = numbered(rows, sorted_by(order), "__n")
+    return rows.where(F.col("__n") % size == 0).withColumn("page", (F.col("__n") / size).cast("long") + 1).drop("__n")
+
+
 def matching(df: DataFrame, equal: dict | None = None, at_least: dict | None = None, at_most: dict | None = None, like: dict | None = None, any_like: tuple[Sequence[str], str] | None = None) -> DataFrame:
     """Rows that meet all given conditions; conditions whose value is None are not applied.
 

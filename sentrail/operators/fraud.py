@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ladder, ratio
+from ..functions.segments import HALO, HOT_ROWS, PART, Segments, carried, segmented, with_carried, with_halo
 
 # Fixed values.
 RISKY_MCC = ("5967", "5966", "7995", "5912", "5999", "4829", "6051", "6211")
@@ -43,33 +44,49 @@ def combined(df: DataFrame, checks: dict[str, Column], rungs: list[tuple[float,
     return out.withColumns({"level": level, "alert_id": F.concat(F.lit(prefix), F.upper(F.substring(F.md5(F.col(key).cast("string")), 1, 12)))}).drop(*[f"s_{k}" for k in checks])
 
 
+#: More payments than this within a day are too many.
+VELOCITY = 10
+
 CARD_RUNGS = [(0.8, "critical"), (0.6, "high"), (0.3, "medium")]
 LENDING_RUNGS = [(0.7, "critical"), (0.5, "high"), (0.3, "medium")]
 
 
-def card_history(tx: DataFrame) -> DataFrame:
-    """What a card's earlier payments say at each payment; one sort for each card, frames before the row.
+def card_history(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """What a card's earlier payments say at each payment; earlier is by time, then id.
 
-    A card's payments are one window, so a task must take the payments of the busiest card.
+    ``count_24h`` counts the payments of the day before, no further than VELOCITY + 1 of them. A card of more
+    than ``hot_rows`` payments is worked on in parts (``functions.segments``).
     """
-    w = W.partitionBy("cardholder_id").orderBy("timestamp", "transaction_id")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
+    key, order = ["cardholder_id"], ["timestamp", "transaction_id"]
+    s = segmented(tx, key, order, hot_rows)
+    w = s.window()
+    here = F.when(F.col("merchant_country").isNotNull(), F.struct("merchant_country", F.col("timestamp").alias("at")))
+    placed = F.when(F.col("merchant_country").isNotNull(), F.struct(*order, here.alias("x")))
+
+    def moved(rows: DataFrame) -> DataFrame:
+        """With ``change``: the last place before this one, where it is in another country."""
+        seen = F.coalesce(F.last(here, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("__last.x"))
+        rows = rows.withColumn("__seen", seen)
+        return rows.withColumn("change", F.when(F.col("__seen.merchant_country") != F.col("merchant_country"), F.col("__seen"))).drop("__seen")
+
+    first = carried(s.hot, key, {"__most": F.max("amount"), "__last": F.max(placed)}, {"__most": F.max("__most"), "__last": F.max("__last")})
+    changes = F.max(F.when(F.col("change").isNotNull(), F.struct(*order, F.col("change").alias("x"))))
+    second = carried(moved(with_carried(s.hot, first, key)), key, {"__change": changes}, {"__change": F.max("__change")})
+    rows = moved(with_carried(with_carried(with_halo(s, VELOCITY + 1), first, key), second, key))
+    change = F.coalesce(F.last(F.when(~F.col(HALO), F.col("change")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("__change.x"))
     sec = F.unix_timestamp("timestamp")
-    day = W.partitionBy("cardholder_id").orderBy(sec).rangeBetween(-86400, 0)
-    here = F.struct("merchant_country", F.col("timestamp").alias("at"))
-    filled = tx.withColumn("last_seen", F.last(F.when(F.col("merchant_country").isNotNull(), here), ignorenulls=True).over(before))
-    changed = F.when(F.col("last_seen.merchant_country") != F.col("merchant_country"), F.col("last_seen"))
-    out = filled.withColumn("change", changed)
-    out = out.withColumn("other_place", F.when(F.col("merchant_country").isNotNull(), F.last("change", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))))
-    return out.withColumns({
-        "max_before": F.max("amount").over(before), "declined_10": F.sum(F.when(F.col("status") == "declined", 1).otherwise(0)).over(w.rowsBetween(-10, -1)),
-        "count_24h": F.count("*").over(day) - 1,
-    }).drop("last_seen", "change")
-
-
-def card_fraud(tx: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    recent = F.collect_list(sec).over(w.rowsBetween(-VELOCITY - 1, -1))
+    out = rows.withColumns({
+        "other_place": F.when(F.col("merchant_country").isNotNull(), change), "max_before": F.greatest(F.max("amount").over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("__most")),
+        "declined_10": F.sum(F.when(F.col("status") == "declined", 1).otherwise(0)).over(w.rowsBetween(-10, -1)), "__recent": recent,
+    })
+    out = out.where(~F.col(HALO)).withColumn("count_24h", F.size(F.filter("__recent", lambda t: t >= F.unix_timestamp("timestamp") - 86400)))
+    return out.drop(PART, HALO, "change", "__most", "__last", "__change", "__recent")
+
+
+def card_fraud(tx: DataFrame, profiles: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     c, no = F.col, F.lit(False)
-    t = card_history(tx)
+    t = card_history(tx, hot_rows)
     if profiles is not None:
         t = t.join(profiles.withColumn("has_profile", F.lit(True)), "cardholder_id", "left")
     testing = F.when(((c("amount") < 5) & (c("max_before") > c("amount"))) | (c("declined_10") >= 3), 0.4)
@@ -77,7 +94,7 @@ def card_fraud(tx: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     absent = F.coalesce(~c("is_card_present"), no)  # null is not known to be absent
     cnp = lambda flag, s: F.when(absent & ~F.coalesce(c(flag), no), s)
     checks = {
-        "card_testing_pattern": testing, "high_velocity": F.when(c("count_24h") > 10, 0.3), "geographic_anomaly": F.when(hours < 3, 0.5), "high_risk_mcc": F.when(c("mcc").isin(*RISKY_MCC), 0.2),
+        "card_testing_pattern": testing, "high_velocity": F.when(c("count_24h") > VELOCITY, 0.3), "geographic_anomaly": F.when(hours < 3, 0.5), "high_risk_mcc": F.when(c("mcc").isin(*RISKY_MCC), 0.2),
         "cvv_mismatch": cnp("cvv_match", 0.25), "avs_mismatch": cnp("avs_match", 0.2), "no_3ds": cnp("three_ds", 0.15),
     }
     if profiles is not None:
@@ -110,20 +127,33 @@ def dust(amount: Column, currency: Column) -> Column:
     return (amount > 0) & (amount < limit)
 
 
-def wallet_fraud(tx: DataFrame, wallet: str = "from_address") -> DataFrame:
+def wallet_history(tx: DataFrame, wallet: str = "from_address", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """What a wallet's earlier payments say at each payment; one of more than ``hot_rows`` is worked on in parts."""
+    key = [wallet]
+    s = segmented(tx, key, ["timestamp", "tx_hash"], hot_rows)
+    w = s.window()
+
+    def timed(rows: DataFrame) -> DataFrame:
+        gap = F.unix_timestamp("timestamp") - F.unix_timestamp(F.lag("timestamp").over(w))
+        return rows.withColumn("quick", F.when(gap < 60, 1).otherwise(0))
+
+    own = timed(with_halo(Segments(s.hot, s.hot, s.key, s.order), 1)).where(~F.col(HALO))
+    state = carried(own, key, {"__rows": F.count("*"), "__quick": F.sum("quick")}, {"__rows": F.sum("__rows"), "__quick": F.sum("__quick")})
+    before, last10 = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(-10, -1)
+    here = (~F.col(HALO)).cast("int")
+    rows = with_carried(timed(with_halo(s, 20)), state, key)
+    return rows.withColumns({
+        "rows_before": F.coalesce(F.sum(here).over(before), F.lit(0)) + F.coalesce("__rows", F.lit(0)), "addresses_10": F.size(F.array_distinct(F.concat(F.collect_set("from_address").over(last10), F.collect_set("to_address").over(last10)))),
+        "quick_before": F.coalesce(F.sum(here * F.col("quick")).over(before), F.lit(0)) + F.coalesce("__quick", F.lit(0)), "currencies_20": F.size(F.collect_set("currency").over(w.rowsBetween(-20, -1))),
+    }).where(~F.col(HALO)).drop(PART, HALO, "__rows", "__quick")
+
+
+def wallet_fraud(tx: DataFrame, wallet: str = "from_address", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Wallet payments: mixers, sanctioned prefixes, layering, timing, chain hopping and dust.
 
-    A wallet's payments are one window, so a task must take those of the busiest wallet; the
-    checks of single payments are in ``rules.wallet_alerts`` without any window.
+    The checks of single payments are in ``rules.wallet_alerts`` without any window.
     """
-    w = W.partitionBy(wallet).orderBy("timestamp", "tx_hash")
-    gap = F.unix_timestamp("timestamp") - F.unix_timestamp(F.lag("timestamp").over(w))
-    t = tx.withColumn("quick", F.when(gap < 60, 1).otherwise(0))
-    last10 = w.rowsBetween(-10, -1)
-    t = t.withColumns({
-        "rows_before": F.count("*").over(w.rowsBetween(W.unboundedPreceding, -1)), "addresses_10": F.size(F.array_distinct(F.concat(F.collect_set("from_address").over(last10), F.collect_set("to_address").over(last10)))),
-        "quick_before": F.sum("quick").over(w.rowsBetween(W.unboundedPreceding, -1)), "currencies_20": F.size(F.collect_set("currency").over(w.rowsBetween(-20, -1))),
-    })
+    t = wallet_history(tx, wallet, hot_rows)
     c = F.col
     checks = {
         "mixer_usage": F.when(contains_any(c("to_address"), MIXERS), 0.7), "mixer_source": F.when(contains_any(c("from_address"), MIXERS), 0.6),

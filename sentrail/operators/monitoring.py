@@ -5,31 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_hours, ladder, ratio
+from ..functions.segments import HALO, HOT_ROWS, PART, segmented, with_halo
 
 # Countries of high risk.
 HIGH_RISK = ("KP", "IR", "MM", "SY", "YE", "AF")
 
 
-def structuring(tx: DataFrame, threshold: float = 9500, window_hours: int = 24, min_transactions: int = 3) -> DataFrame:
+def structuring(tx: DataFrame, threshold: float = 9500, window_hours: int = 24, min_transactions: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Amounts just under 10000, close in time, per sender and tumbling window; a sender's first such payment has no gap and is left out."""
-    w = W.partitionBy("sender_entity_id").orderBy("transaction_date", "id")
-    close = tx.where((F.col("amount") >= threshold) & (F.col("amount") < 10000)).withColumn("gap", epoch_hours(F.col("transaction_date"), F.lag("transaction_date").over(w))).where(F.col("gap") <= window_hours)
+    band = segmented(tx.where((F.col("amount") >= threshold) & (F.col("amount") < 10000)), ["sender_entity_id"], ["transaction_date", "id"], hot_rows)
+    gap = epoch_hours(F.col("transaction_date"), F.lag("transaction_date").over(band.window()))
+    close = with_halo(band, 1).withColumn("gap", gap).where(~F.col(HALO) & (F.col("gap") <= window_hours))
     g = close.groupBy("sender_entity_id", F.window("transaction_date", f"{window_hours} hours").alias("w")).agg(F.sum("amount").alias("total_amount"), F.count("*").alias("transaction_count"), F.array_sort(F.collect_list("id")).alias("transaction_ids"))
     kept = g.where((F.col("transaction_count") >= min_transactions) & (F.col("total_amount") >= 10000))
     score = ladder(F.col("total_amount"), [(50000, 0.9), (25000, 0.7)], 0.5)
     return kept.select("sender_entity_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total_amount", "transaction_count", "transaction_ids", F.lit("structuring").alias("alert_type"), F.lit("high").alias("severity"), score.alias("risk_score"))
 
 
-def velocity(tx: DataFrame, lookback: int = 30, threshold: float = 3) -> DataFrame:
+def velocity(tx: DataFrame, lookback: int = 30, threshold: float = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Days whose number of payments is far above that of the sender's preceding ``lookback`` payments."""
-    day = F.date_trunc("day", "transaction_date")
-    w = W.partitionBy("sender_entity_id").orderBy("transaction_date", "id").rowsBetween(-lookback, -1)
-    d = tx.withColumn("daily_count", F.count("*").over(W.partitionBy("sender_entity_id", day)))
-    d = d.withColumns({"avg_daily": F.avg("daily_count").over(w), "std_daily": F.stddev("daily_count").over(w)})
+    days = tx.withColumn("__day", F.date_trunc("day", "transaction_date"))
+    counts = days.groupBy(F.col("sender_entity_id").alias("__sender"), F.col("__day").alias("__on")).agg(F.count("*").alias("daily_count"))
+    days = days.join(counts, F.col("sender_entity_id").eqNullSafe(F.col("__sender")) & F.col("__day").eqNullSafe(F.col("__on")))
+    s = segmented(days.drop("__sender", "__on", "__day"), ["sender_entity_id"], ["transaction_date", "id"], hot_rows)
+    w = s.window().rowsBetween(-lookback, -1)
+    d = with_halo(s, lookback).withColumns({"avg_daily": F.avg("daily_count").over(w), "std_daily": F.stddev("daily_count").over(w)}).where(~F.col(HALO)).drop(HALO, PART)
     d = d.withColumn("z_score", ratio(F.col("daily_count") - F.col("avg_daily"), F.col("std_daily"))).where(F.col("z_score") >= threshold)
     severity = ladder(F.col("z_score"), [(5, "critical"), (4, "high")], "medium")
     return d.withColumnRenamed("risk_score", "tx_risk_score").withColumns({"alert_type": F.lit("velocity_spike"), "severity": severity, "risk_score": F.round(F.col("z_score") / 10, 2)})

@@ -328,8 +328,8 @@ def louvain(vertices: DataFrame, edges: DataFrame, levels: int = 6, rounds: int
             part = nxt
         if not any_moved:
             break
-        named = part.withColumn("least", F.min("id").over(W.partitionBy("c"))).select("id", F.col("least").alias("c"))
-        named = materialize(named, "louvain-named")
+        least = part.groupBy("c").agg(F.min("id").alias("least"))
+        named = materialize(part.join(least, "c").select("id", F.col("least").alias("c")), "louvain-named")
         labels = materialize(labels.join(named, labels["label"] == named["id"], "left").select(labels["id"], F.coalesce("c", "label").alias("label")), "louvain-labels")
         a, b = (named.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst"))
         links = materialize(links.join(a, "src").join(b, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")), "louvain-links")
@@ -346,9 +346,11 @@ def modularity(labels: DataFrame, edges: DataFrame) -> float:
 
 
 def communities(vertices: DataFrame, edges: DataFrame, min_size: int = 3, limit: int = 20) -> DataFrame:
-    """``(community, size, members)`` of the largest Louvain communities."""
-    g = louvain(vertices, edges).groupBy(F.col("label").alias("community")).agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"))
-    return g.where(F.col("size") >= min_size).orderBy(F.desc("size"), "community").limit(limit)
+    """``(community, size, members)`` of the largest Louvain communities; members are gathered of the chosen ones only."""
+    labels = louvain(vertices, edges)
+    chosen = labels.groupBy(F.col("label").alias("community")).agg(F.count("*").alias("size")).where(F.col("size") >= min_size).orderBy(F.desc("size"), "community").limit(limit)
+    members = labels.join(F.broadcast(chosen), F.col("label") == F.col("community"))  # at most ``limit`` rows
+    return members.groupBy("community", "size").agg(F.array_sort(F.collect_list("id")).alias("members")).orderBy(F.desc("size"), "community")
 
 
 def propagate_risk(vertices: DataFrame, edges: DataFrame, source: object, max_hops: int = 3, decay: float = 0.5) -> DataFrame:
@@ -420,11 +422,13 @@ def shortest_path(edges: DataFrame, source: object, target: object, max_depth: i
 
 
 def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Betweenness summed over shortest paths from ``sources`` (all vertices for the exact values), by Brandes' recurrences.
+    """Betweenness summed over shortest paths from ``sources`` (all vertices for the exact values); see ``paths.sampled_betweenness`` for large graphs."""
+    parts = betweenness_parts(materialize(undirected(edges), "und"), sources)
+    return parts.groupBy(F.col("v").alias("id")).agg((F.sum("delta") / 2).alias("betweenness"))
 
-    Rows are (source, vertex) pairs, so sample the sources on a large graph.
-    """
-    und = materialize(undirected(edges), "und")
+
+def betweenness_parts(und: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(s, v, delta)``: how much the shortest paths from each source depend on each other vertex, by Brandes' recurrences."""
     level = sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
     seen = materialize(level, "paths")
     for d in itertools.count(1):
@@ -441,7 +445,7 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
         up = seen.where(F.col("d") == d - 1).join(und, F.col("v") == F.col("src")).join(w, ["s", "dst"]).groupBy("s", "v").agg(F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("delta"))).alias("delta"))
         delta = materialize(seen.where(F.col("d") == d - 1).join(up, ["s", "v"], "left").select("s", "v", F.coalesce("delta", F.lit(0.0)).alias("delta")), "delta")
         out = out.unionByName(delta)
-    return out.where("s <> v").groupBy(F.col("v").alias("id")).agg((F.sum("delta") / 2).alias("betweenness"))
+    return out.where("s <> v")
 
 
 def centrality(vertices: DataFrame, edges: DataFrame, algorithm: str = "degree", limit: int = 20) -> DataFrame:

@@ -11,28 +11,45 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import materialize, scratch
 from .components import connected_components
+from .similarity import edit_join
 
 # Weights of the compared attributes.
 WEIGHTS = {"name": 0.35, "date_of_birth": 0.20, "address": 0.15, "national_id": 0.15, "passport": 0.10, "tax_id": 0.05, "company_reg": 0.05}
 
 
+def alike_names(entities: DataFrame, threshold: float = 0.8, name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """``(id, n)`` of the entities that have a name, and ``(n, n_b, similarity)`` of names alike in one Soundex and first-letter block, both ways round."""
+    e = entities.select("id", T.normalized_name(F.col(name)).alias("n")).where("n is not null")
+    names = e.select("n").distinct().withColumns({"sdx": F.soundex("n"), "fc": F.substring("n", 1, 1)})
+    pairs = edit_join(names, threshold, ["sdx", "fc"]).withColumnsRenamed({"a": "n", "b": "n_b"})
+    return e, pairs.unionByName(pairs.select(F.col("n_b").alias("n"), F.col("n").alias("n_b"), "similarity"))
+
+
 def job_pairs(entities: DataFrame, threshold: float = 0.8, name: str = "name") -> DataFrame:
     """``(id_a, id_b, similarity)`` of entities in one Soundex and first-letter block whose names are alike.
 
-    Only distinct names are compared, each pair once; entities meet by the names that are alike.
+    Only distinct names are compared, by pieces that they share; entities meet by the names that are alike.
     """
-    e = entities.select("id", T.normalized_name(F.col(name)).alias("n")).where("n is not null")
-    names = e.select("n").distinct().withColumns({"sdx": F.soundex("n"), "fc": F.substring("n", 1, 1)})
-    b = names.select(F.col("n").alias("n_b"), "sdx", "fc")
-    # names whose lengths differ too much cannot reach the threshold; that is checked first
-    fits = F.least(F.length("n"), F.length("n_b")) >= threshold * F.greatest(F.length("n"), F.length("n_b"))
-    pairs = names.join(b, ["sdx", "fc"]).where((F.col("n") <= F.col("n_b")) & fits)
-    alike = pairs.select("n", "n_b", T.edit_similarity(F.col("n"), F.col("n_b")).alias("similarity")).where(F.col("similarity") >= threshold)
-    both = alike.unionByName(alike.where("n <> n_b").select(F.col("n_b").alias("n"), F.col("n").alias("n_b"), "similarity"))
+    e, alike = alike_names(entities, threshold, name)
+    both = alike.unionByName(e.select("n", F.col("n").alias("n_b"), F.lit(1.0).alias("similarity")).distinct())
     right = e.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"))
     return e.join(both, "n").join(right, "n_b").where("id < id_b").select(F.col("id").alias("id_a"), "id_b", "similarity")
 
 
+def job_links(entities: DataFrame, threshold: float = 0.8, name: str = "name") -> DataFrame:
+    """``(id, class_id, links, avg_similarity)``: the least id of the same name, and how many other entities are alike.
+
+    Works on names with their numbers of entities; pairs of ids are not written out. Entities without a name have no links.
+    """
+    e, alike = alike_names(entities, threshold, name)
+    sizes = e.groupBy("n").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
+    others = alike.join(sizes.select(F.col("n").alias("n_b"), F.col("size").alias("m")), "n_b").groupBy("n").agg(F.sum("m").alias("m"), F.sum(F.col("similarity") * F.col("m")).alias("s"))
+    m, same = F.coalesce("m", F.lit(0)), F.col("size") - 1
+    facts = sizes.join(others, "n", "left").select("n", "class_id", (m + same).alias("links"), F.try_divide(F.coalesce("s", F.lit(0.0)) + same, (m + same).cast("double")).alias("avg_similarity"))
+    named = entities.select("id", T.normalized_name(F.col(name)).alias("n")).join(facts, "n", "left")
+    return named.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "avg_similarity")
+
+
 def job_clusters(pairs: DataFrame) -> DataFrame:
     """Stars: each left entity with its matches; not transitive."""
     return pairs.groupBy(F.col("id_a").alias("id")).agg(F.array_sort(F.collect_list("id_b")).alias("matches"), F.avg("similarity").alias("avg_similarity"), F.count("*").alias("match_count"))
@@ -78,13 +95,6 @@ def blocking_keys(records: DataFrame, strategies: Sequence[str] = ("soundex", "n
     return block_lists(records, strategies).select("id", F.explode("blocks").alias("block"))
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """Distinct pairs that share a block; blocks of one are dropped first."""
-    live = keys.join(keys.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "block")
-    b = live.select("block", F.col("id").alias("id_b"))
-    return live.withColumnRenamed("id", "id_a").join(b, "block").where("id_a < id_b").select("id_a", "id_b").distinct()
-
-
 def pair_score(a: Column, b: Column, names: Callable[[Column, Column], Column] = T.name_score, at: Callable[[Column, str], Column] = F.element_at) -> Column:
     """Weighted mean over attributes that both have; names by the composite score, addresses by bigrams, the rest by equality."""
     total, weight = F.lit(0.0), F.lit(0.0)
@@ -96,15 +106,6 @@ def pair_score(a: Column, b: Column, names: Callable[[Column, Column], Column] =
     return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 
-def scored_pairs(records: DataFrame, pairs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``(id_a, id_b, score)`` of the pairs; those that cannot reach ``least`` are not worked out."""
-    a = records.select(F.col("id").alias("id_a"), F.col("attributes").alias("at_a"))
-    b = records.select(F.col("id").alias("id_b"), F.col("attributes").alias("at_b"))
-    both = pairs.join(a, "id_a").join(b, "id_b")
-    both = both.where(pair_score(F.col("at_a"), F.col("at_b"), T.name_bound) >= least - 1e-9) if least else both
-    return both.select("id_a", "id_b", pair_score(F.col("at_a"), F.col("at_b")).alias("score")).where(F.col("score") >= least)
-
-
 def score_bound(a: Column, b: Column) -> Column:
     """No pair scores more than this; it takes equalities and name lengths only."""
     total, weight = F.lit(0.0), F.lit(0.0)
@@ -117,40 +118,74 @@ def score_bound(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 
-#: So many classes of a block are compared with the rest of it in one task.
+#: So many classes of a key are compared with the rest of it in one task, and so many pairs make a task.
 BLOCK_PART = 500
+TASK_PAIRS = 5_000_000
+#: Attributes that count as equal or not.
+EXACT = tuple(k for k in WEIGHTS if k not in ("name", "address"))
+
+
+def compatible(threshold: float) -> dict[int, list[int]]:
+    """For each set of attributes that a record has (a bit each, EXACT and the address last), the sets that may go with it.
+
+    Two records that have no equal EXACT value reach the threshold only if what both have weighs little enough beside
+    a perfect name and, where both have one, address.
+    """
+    weights, address = [WEIGHTS[k] for k in EXACT], 1 << len(EXACT)
+
+    def may(both: int) -> bool:
+        best = WEIGHTS["name"] + (WEIGHTS["address"] if both & address else 0.0)
+        unequal = sum(w for i, w in enumerate(weights) if both >> i & 1)
+        return best / (best + unequal) >= threshold - 1e-9
+
+    every = range(2 * address)
+    return {p: [q for q in every if may(p & q)] for p in every}
 
 
 def matching_pairs(records: DataFrame, strategies: Sequence[str] = ("soundex", "ngram"), threshold: float = 0.75) -> DataFrame:
     """``(id_a, id_b, score)`` that connect all records of a score of at least ``threshold`` that share a block.
 
     Records with equal scored attributes are one class, linked to its least id. What the
-    scores need of a name is worked out once a class. Classes meet in the first block that
-    they share, so no pair meets twice; a large block is dealt over as many tasks as it has
-    parts of BLOCK_PART classes. A pair is scored only if a bound from equalities and name
-    lengths, and then one without the Jaro score, let it. The classes are a table in the
-    shared folder, which the result reads.
+    scores need of a name is worked out once a class. Classes meet where they share a block and an equal attribute; those
+    without an equal one only by a block and sets of attributes that let names alone reach the threshold
+    (``compatible``), so records that differ in what both have do not meet. Each pair meets once, in the first key that it
+    shares; a large key is dealt over as many tasks as it has parts of BLOCK_PART classes. A pair is scored only if a
+    bound from equalities and name lengths, and then one without the Jaro score, let it. The classes are a table
+    in the shared folder, which the result reads.
     """
     spark, at = records.sparkSession, F.col("attributes")
     facts = F.struct(*[F.coalesce(F.element_at(at, k), F.lit("")).alias(k) for k in WEIGHTS]).alias("facts")
     rows = records.select("id", facts, at)
     reps = block_lists(rows.groupBy("facts").agg(F.min_by("attributes", "id").alias("attributes"), F.min("id").alias("id")), strategies)
+    fact = lambda k: F.col(f"facts.{k}")
+    shape = sum((F.when(fact(k) != "", 1 << i).otherwise(0) for i, k in enumerate((*EXACT, "address"))), F.lit(0))
+    equals = F.array_compact(F.array(*[F.when(fact(k) != "", F.concat(F.lit(f"{k}="), fact(k))) for k in EXACT]))
     # the classes are read several times, the records only to make them and to find their members
-    classes = materialize(reps.select("id", "blocks", "facts", T.name_facts(F.col("facts.name")).alias("name")), "classes")
+    classes = materialize(reps.select("id", "blocks", "facts", shape.alias("shape"), equals.alias("equals"), T.name_facts(fact("name")).alias("name")), "classes")
     same = rows.join(classes.select("facts", F.col("id").alias("rep")), "facts").where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"))
-    known = classes.withColumn("block", F.explode("blocks"))
-    parts = known.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.expr(f"n div {BLOCK_PART} + 1").alias("parts"))
-    live = known.join(parts, "block")
-    # a number of partitions is named since adaptive execution goes by bytes, and these rows are few and their pairs many
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda df, s, part: df.select("block", part.alias("part"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "blocks", "facts", "name")]).repartition(tasks, "block", "part")
-    left = side(live, "a", F.pmod(F.xxhash64("id"), F.col("parts")))
-    right = side(live, "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+    shapes = [r[0] for r in classes.select("shape").distinct().collect()]  # at most 64
+    fits = {p: [q for q in qs if q in shapes] for p, qs in compatible(threshold).items() if p in shapes}
+    partners = F.element_at(F.create_map(*[x for p, qs in fits.items() for x in (F.lit(p), F.array(*map(F.lit, qs)).cast("array<int>"))]), F.col("shape")) if shapes else F.array().cast("array<int>")
+    by_value = F.flatten(F.transform("blocks", lambda b: F.transform("equals", lambda v: F.struct(b.alias("block"), v.alias("by")))))
+    by_shape = lambda of: F.flatten(F.transform("blocks", lambda b: F.transform(of, lambda p: F.struct(b.alias("block"), p.cast("string").alias("by")))))
+    left = classes.withColumn("key", F.explode(F.concat(by_value, by_shape(F.array("shape")))))
+    right = classes.withColumn("key", F.explode(F.concat(by_value, by_shape(partners))))
+    sizes = left.groupBy("key").agg(F.count("*").alias("n")).join(right.groupBy("key").agg(F.count("*").alias("m")), "key").where("n * m > 1")
+    parts = materialize(sizes.select("key", F.expr(f"n div {BLOCK_PART} + 1").alias("parts"), (F.col("n") * F.col("m")).alias("pairs")), "keys")
+    # adaptive execution goes by bytes, and these rows are few and their pairs many, so a number of tasks is named
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (parts.agg(F.sum("pairs")).first()[0] or 0) // TASK_PAIRS)
+    side = lambda df, s, part: df.join(parts.drop("pairs"), "key").select("key", part.alias("part"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "blocks", "facts", "equals", "name")]).repartition(tasks, "key", "part")
+    left = side(left, "a", F.pmod(F.xxhash64("id"), F.col("parts")))
+    right = side(right, "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
     x, y = F.col("facts_a"), F.col("facts_b")
     score = lambda bound: pair_score(x, y, lambda *_: T.facts_score(F.col("name_a"), F.col("name_b"), bound), lambda f, k: f[k])
-    first = F.array_min(F.array_intersect("blocks_a", "blocks_b")) == F.col("block")
-    may = (F.col("id_a") < F.col("id_b")) & (score_bound(x, y) >= threshold - 1e-9) & first & (score(True) >= threshold - 1e-9)
-    found = left.join(right, ["block", "part"]).where(may).select("id_a", "id_b", score(False).alias("score")).where(F.col("score") >= threshold)
+    block = F.array_min(F.array_intersect("blocks_a", "blocks_b")) == F.col("key.block")
+    shared = F.array_min(F.array_intersect("equals_a", "equals_b"))
+    first = block & F.coalesce(shared == F.col("key.by"), ~F.col("key.by").contains("="))
+    may = (F.col("id_a") < F.col("id_b")) & first & (score_bound(x, y) >= threshold - 1e-9) & (score(True) >= threshold - 1e-9)
+    found = left.join(right, ["key", "part"]).where(may).select("id_a", "id_b", score(False).alias("score")).where(F.col("score") >= threshold)
     return found.unionByName(same)
 
 

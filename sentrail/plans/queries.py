@@ -491,7 +491,8 @@ CARD = "cd AS (SELECT id AS transaction_id, sender_entity_id AS cardholder_id, a
 
 
 @query("cc06_card_fraud", """SELECT transaction_id, round(least(1.0, round(CASE WHEN amount < 5 AND max_before > amount OR declined >= 3 THEN 0.4 ELSE 0 END + CASE WHEN n24 > 10 THEN 0.3 ELSE 0 END + CASE WHEN mcc IN ('5967', '7995') THEN 0.2 ELSE 0 END + CASE WHEN (floor(epoch(ts))::BIGINT - floor(epoch(other_at))::BIGINT) / 3600 < 3 THEN 0.5 ELSE 0 END, 9))::DOUBLE, 6) AS fraud_score FROM (
-SELECT *, max(amount) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before, sum((status = 'declined')::INT) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS declined, count(*) OVER (PARTITION BY cardholder_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) - 1 AS n24,
+SELECT *, max(amount) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before, sum((status = 'declined')::INT) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS declined, count(*) OVER (PARTITION BY cardholder_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) - 1
+  - (count(*) OVER (PARTITION BY cardholder_id, floor(epoch(ts))::BIGINT) - row_number() OVER (PARTITION BY cardholder_id, floor(epoch(ts))::BIGINT ORDER BY ts, transaction_id)) AS n24,
 (SELECT max(o.ts) FROM cd o WHERE o.cardholder_id = c.cardholder_id AND o.merchant_country <> c.merchant_country AND (o.ts, o.transaction_id) < (c.ts, c.transaction_id)) AS other_at FROM cd c WINDOW w AS (PARTITION BY cardholder_id ORDER BY ts, transaction_id)) WHERE fraud_score > 0""", TX, CARD)
 def _(spark, d):
     t = S.transactions(spark, d)
