@@ -54,7 +54,7 @@ ASK, KNOWN = 0, 1
 def shingle_sets(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of the word shingles of each text; A-Z lower-cased, words between ASCII white space; fewer words are one shingle."""
     low = raw | (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
-    words, _, _, first = word_hashes(low, off)
+    words, _, first = word_hashes(low, off)
     h, out = rolled(words, shingle), []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= shingle:

@@ -14,7 +14,7 @@ by document. The answers meet the texts, which are shuffled by document once and
 read twice. Everything is one lazy plan without files of its own: lost executors
 cost a recomputation of what they held.
 
-Hashes of full windows have 96 bits.
+Hashes of full windows have 128 bits, made of 128 bits of each word.
 """
 
 from __future__ import annotations
@@ -39,26 +39,15 @@ GATHER = 500_000
 #: Text bytes whose windows one slice is to hold, and the least number of slices.
 SLICE_BYTES, LEAST_SLICES = 12 << 20, 64
 BASE = U64(0x9E3779B97F4A7C15)
-INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Of the rounds that name a word, and the words that are named without a digest.
+ROUNDS = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344), U64(0xA4093822299F31D0), U64(0x082EFA98EC4E6C89))
+SHORT = 16
 #: Null ids are worked on as the greatest id, with ranks from here on.
 NO_ID, NO_RANK = (1 << 63) - 1, 1 << 30
 
-_powers: dict[str, np.ndarray] = {}
 
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2^64."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for k, b in (("up", BASE), ("down", INVERSE)):
-            out = np.full(size, b, U64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte of each word; number of words before each text) of texts end to end."""
+def word_places(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte of each word; number of words before each text) of texts end to end."""
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True  # a text starts or ends here
@@ -66,11 +55,30 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
     starts = np.flatnonzero(inside & ~before)
     after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
-    ends = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum((raw.astype(U64) + U64(1)) * up[:-1], dtype=U64)])
-    h = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
-    return h, starts, ends, np.searchsorted(starts, off)
+    return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, off)
+
+
+def named_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each word: those of the word itself up to SHORT bytes, stirred so that no two words of one length share them, else a digest."""
+    size = (ends - starts).astype(U64)
+    padded = np.concatenate([raw, np.zeros(SHORT, np.uint8)])
+    at = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # eight bytes from each byte on
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+    a = at[starts] & masks[np.minimum(size, U64(8)).astype(np.int64)]
+    b = at[np.minimum(starts + 8, len(at) - 1)] & masks[np.clip(ends - starts - 8, 0, 8)]
+    for k in ROUNDS:  # each can be undone, so different words stay different
+        a, b = b, a ^ mixed(b + k + size)
+    view = memoryview(raw)
+    for i in np.flatnonzero(size > U64(SHORT)).tolist():
+        a[i], b[i] = np.frombuffer(hashlib.blake2b(view[starts[i] : ends[i]], digest_size=16).digest(), "<u8")
+    return a, b
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64 bits, 64 more of each word; number of words before each text) of texts end to end."""
+    raw = np.ascontiguousarray(raw)
+    starts, ends, first = word_places(raw, off)
+    return (*named_words(raw, starts, ends), first)
 
 
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
@@ -103,7 +111,7 @@ class Windows:
     """The full windows of some texts: hashes, the least half of each, and their places."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, words: int):
-        self.words, self.starts, self.ends, self.first = word_hashes(raw, off)
+        self.words, self.others, self.first = word_hashes(raw, off)
         half = words // 2
         n = len(self.words) - words + 1
         if n <= 0:
@@ -119,10 +127,9 @@ class Windows:
         self.halves, self.half, self.size = halves, half, words
 
     def full(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits of each picked window."""
-        a, b = self.halves[self.at[pick]], self.halves[self.at[pick] + self.size - self.half]
-        middle = self.words[self.at[pick] + self.half]  # between the halves where the length is odd
-        return mixed(mixed(a * BASE + b) + middle), (mixed(a + mixed(b ^ BASE) * INVERSE) >> U64(32)).astype(np.uint32)
+        """128 bits of each picked window, of which either half comes from other bits of its words."""
+        at = self.at[pick]
+        return rolled(self.words, self.size)[at], rolled(self.others, self.size)[at]
 
 
 def packed(*columns: np.ndarray) -> np.ndarray:
@@ -294,7 +301,7 @@ def answer_windows(table: pa.Table) -> pa.Table:
             docs.append(doc)
             values.append(place)
         else:
-            asked.append(unpacked(blob, "<u8", "<u4", "<i8", "<i8"))
+            asked.append(unpacked(blob, "<u8", "<u8", "<i8", "<i8"))
     if asked:
         key, check, doc, place = (np.concatenate(x) for x in zip(*asked, strict=True))
         order = np.lexsort((place, doc, check, key))
