@@ -11,8 +11,8 @@ candidates, never on the result.
 Rows of equal sets are one class. The first round checks, besides SimHash's links, each
 class against the PIVOTS with which it shares most shingles of the prefix, of those that are
 the least of a shingle's group. The second checks, within a group of one shingle, only classes that are not connected yet. Sizes and
-parity bitmaps rule out most pairs before whole sets are compared. Shingles and sets are
-told apart by 64-bit hashes.
+parity bitmaps rule out most pairs before whole sets are compared. Shingles are compared by 64 bits, made
+of 128 bits of each word; sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -43,6 +43,10 @@ GATHER, SLICE_ENTRIES = 250_000, 1_000_000
 COUNT_SLICES = 256
 #: Classes that each one is checked against in the first round.
 PIVOTS = 2
+#: Classes of a group that one task compares with the whole of it.
+GROUP_PART = 1000
+#: Sets of fewer members are named by 128 bits of each.
+SMALL = 10
 #: Longs of the bitmap with which the join of the second round is made.
 FOLDED = 16
 #: Pairs that meet one copy of a set.
@@ -51,34 +55,61 @@ SEED = 42
 ASK, KNOWN = 0, 1
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct hashes of the word shingles of each text; A-Z lower-cased, words between ASCII white space; fewer words are one shingle."""
+def shingled(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> Iterator[tuple[np.ndarray, bytes]]:
+    """(sorted distinct hashes of the word shingles, 64 more bits of each) of each text; the latter only of sets below SMALL.
+
+    A-Z lower-cased, words between ASCII white space; fewer words are one shingle. Larger sets that differ in one
+    shingle are alike anyway, and those that differ in more must collide twice.
+    """
     low = raw | (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
-    words, _, first = word_hashes(low, off)
-    h, out = rolled(words, shingle), []
+    words, others, first = word_hashes(low, off)
+    h, g = rolled(words, shingle), rolled(others, shingle)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= shingle:
-            out.append(np.unique(h[a : b - shingle + 1]))
+        n = b - a - shingle + 1
+        if n >= SMALL:
+            own = np.unique(h[a : a + n])
+            more = b""
+            if len(own) < SMALL:
+                own, at = np.unique(h[a : a + n], return_index=True)
+                more = g[a : a + n][at].tobytes()
+            yield own, more
+        elif n > 0:
+            own, at = np.unique(h[a : a + n], return_index=True)
+            yield own, g[a : a + n][at].tobytes()
         elif b > a:
-            out.append(mixed(rolled(words[a:b], b - a)[:1] + U64(b - a)))
+            yield mixed(rolled(words[a:b], b - a)[:1] + U64(b - a)), rolled(others[a:b], b - a)[:1].tobytes()
         else:
-            out.append(np.zeros(0, U64))
-    return out
+            yield np.zeros(0, U64), b""
+
+
+def shingle_sets(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
+    return [s for s, _ in shingled(raw, off, shingle)]
 
 
-def sets_in(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+def sets_in(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, bytes]]:
     raw, off = buffers(column)
     for a, b in slices(off):
-        yield from shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
+        yield from shingled(raw[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
+
+
+#: Names of sets that two different ones share, so that the second half of their digest must tell them apart.
+Clashes = frozenset[int]
 
 
-def class_of(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def names_of(hashes: np.ndarray, more: bytes) -> tuple[int, int]:
+    """128 bits of a set as two signed longs."""
+    digest = hashlib.blake2b(hashes.tobytes() + more, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def class_of_text(text: bytes, shingle: int = SHINGLE) -> int:
-    return class_of(shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shingle)[0])
+def class_of(hashes: np.ndarray, more: bytes, clashes: Clashes = frozenset()) -> int:
+    """A set's class: the first half of its name, or the second where the first is shared."""
+    name, second = names_of(hashes, more)
+    return second if name in clashes else name
+
+
+def class_of_text(text: bytes, shingle: int = SHINGLE, clashes: Clashes = frozenset()) -> int:
+    return class_of(*next(shingled(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shingle)), clashes)
 
 
 def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -160,7 +191,7 @@ def counted(docs: DataFrame, text: str, shingle: int, known: Order) -> tuple[np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, size = [], 0
         for batch in batches:
-            for s in sets_in(batch.column(0), shingle):
+            for s, _ in sets_in(batch.column(0), shingle):
                 hs.append(prefix(s, *shared.value))
                 size += len(hs[-1])
                 if size >= GATHER:
@@ -188,21 +219,29 @@ def learnt_order(docs: DataFrame, text: str, shingle: int) -> Order:
 
 
 def profiles(docs: DataFrame, doc: str, text: str, shingle: int) -> DataFrame:
-    """``(doc, key, n, fp, f0 ..., bits, head)``: class, size, SimHash fingerprint, bitmaps and prefix of each row's set."""
+    """``(doc, key, second, n, fp, f0 ..., bits, head)``: name, size, SimHash fingerprint, bitmaps and prefix of each row's set."""
     shared = docs.sparkSession.sparkContext.broadcast(learnt_order(docs, text, shingle))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [(class_of(s), len(s), simhash.majority(s), parities(s, 64 * FOLDED), bitmap(s), prefix(s, *shared.value)) for s in sets_in(batch.column(1), shingle)]
-            key, n, fp, few, bits, head = zip(*done, strict=True) if done else ((),) * 6
+            done = [(*names_of(s, more), len(s), simhash.majority(s), parities(s, 64 * FOLDED), bitmap(s), prefix(s, *shared.value)) for s, more in sets_in(batch.column(1), shingle)]
+            key, second, n, fp, few, bits, head = zip(*done, strict=True) if done else ((),) * 7
             folded = np.array(few, np.int64).reshape(-1, FOLDED)
-            cols = [batch.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, U64).view(np.int64)), *(pa.array(folded[:, i]) for i in range(FOLDED)), blobs([*bits]), lists([*head])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "key", "n", "fp", *(f"f{i}" for i in range(FOLDED)), "bits", "head"])
+            cols = [batch.column(0), pa.array(key, pa.int64()), pa.array(second, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, U64).view(np.int64)), *(pa.array(folded[:, i]) for i in range(FOLDED)), blobs([*bits]), lists([*head])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "key", "second", "n", "fp", *(f"f{i}" for i in range(FOLDED)), "bits", "head"])
 
     kind = docs.schema[doc].dataType.simpleString()
     words = ", ".join(f"f{i} long" for i in range(FOLDED))
-    return docs.select(F.col(doc).alias("doc"), raw_text(text)).mapInArrow(run, f"doc {kind}, key long, n long, fp long, {words}, bits binary, head array<long>")
+    return docs.select(F.col(doc).alias("doc"), raw_text(text)).mapInArrow(run, f"doc {kind}, key long, second long, n long, fp long, {words}, bits binary, head array<long>")
+
+
+def told_apart(rows: DataFrame) -> tuple[DataFrame, Clashes]:
+    """``rows`` with the class as ``key``, and the names that different sets share: some n^2 / 2^65 of n sets."""
+    two = rows.groupBy("key").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo <> hi")
+    clashes = frozenset(r["key"] for r in two.select("key").collect())
+    key = F.when(F.col("key").isin(*clashes), F.col("second")).otherwise(F.col("key")) if clashes else F.col("key")
+    return rows.withColumn("key", key).drop("second"), clashes
 
 
 def live_prefixes(rows: DataFrame) -> DataFrame:
@@ -306,7 +345,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(full.select("a", "b", "n", "n_", "bits", "bits_").mapInArrow(run, "a long, b long"), "near-pairs")
 
 
-def sets_of(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
+def sets_of(docs: DataFrame, text: str, wanted: DataFrame, shingle: int, clashes: Clashes = frozenset()) -> DataFrame:
     """``(key, members)`` of the classes in ``wanted``, worked out from the texts again rather than kept for all."""
     few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
@@ -317,7 +356,7 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> Data
         for batch in batches:
             raw, off = buffers(batch.column(0))
             for a, b in slices(off):
-                sets = [(class_of(s), s) for s in shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], shingle)]
+                sets = [(class_of(s, more, clashes), s) for s, more in shingled(raw[off[a] : off[b]], off[a : b + 1] - off[a], shingle)]
                 if asked is not None:
                     at = np.searchsorted(asked, np.array([k for k, _ in sets], np.int64))
                     sets = [x for x, i in zip(sets, at.tolist(), strict=True) if i < len(asked) and asked[i] == x[0]]
@@ -328,7 +367,7 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> Data
     return materialize(out.dropDuplicates(["key"]), "near-sets")
 
 
-def verified(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+def verified(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, shingle: int, clashes: Clashes = frozenset()) -> DataFrame:
     """The pairs ``(a, b)`` whose Jaccard similarity is at least NUM / DEN.
 
     The set of ``b`` meets the pair; that of ``a``, which may be in any number of pairs, is
@@ -337,7 +376,7 @@ def verified(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, s
     some = likely(pairs, classes)
     times = materialize(some.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies")), "near-copies")
     ends = materialize(some.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-wanted")
-    sets = sets_of(docs, text, ends, shingle)
+    sets = sets_of(docs, text, ends, shingle, clashes)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +405,7 @@ def fingerprint_pairs(rows: DataFrame) -> DataFrame:
     return equal.unionByName(linked)
 
 
-def links(docs: DataFrame, text: str, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def links(docs: DataFrame, text: str, rows: DataFrame, shingle: int = SHINGLE, clashes: Clashes = frozenset()) -> DataFrame:
     """``(a, b)`` links between classes; with their chains, all of similarity NUM / DEN or more."""
     live = live_prefixes(rows)
     classes = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(FOLDED)), "bits")]), "near-classes")
@@ -374,26 +413,38 @@ def links(docs: DataFrame, text: str, rows: DataFrame, shingle: int = SHINGLE) -
     stars = materialize(live.join(least, "h").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared")), "near-stars")
     best = stars.withColumn("k", F.row_number().over(W.partitionBy("b").orderBy(F.desc("shared"), "a"))).where(F.col("k") <= PIVOTS).select("a", "b")
     tried = materialize(ordered(best.unionByName(fingerprint_pairs(rows))), "near-tried")
-    first = verified(docs, text, classes, tried, shingle)
+    first = verified(docs, text, classes, tried, shingle, clashes)
     comp = materialize(connected_components(first, "a", "b").withColumnsRenamed({"id": "key", "component": "part"}), "near-parts")
     parts = materialize(live.join(comp, "key", "left").select("h", "key", F.coalesce("part", "key").alias("part")), "near-grouped")
     # a group of one part is settled, and one of two classes by their pair alone
-    open_ = parts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("h")
-    left = parts.join(open_, "h", "left_semi").withColumn("before", F.lag("h").over(W.partitionBy("key").orderBy("h")))
-    left = materialize(left.join(classes.drop("bits"), "key"), "near-open")
-    right = left.select("h", *[F.col(c).alias(f"{c}_") for c in left.columns if c != "h"])
+    open_ = parts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("h", F.expr(f"size div {GROUP_PART} + 1").alias("deals"))
+    left = parts.join(open_, "h").withColumn("before", F.lag("h").over(W.partitionBy("key").orderBy("h")))
+    opened = left = materialize(left.join(classes.drop("bits"), "key"), "near-open")
+    # a large group is dealt over as many tasks as it has parts; each part meets the whole group
+    right = left.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), *[F.col(c).alias(f"{c}_") for c in left.columns if c not in ("h", "deals")])
+    left = left.withColumn("deal", F.pmod(F.xxhash64("key"), F.col("deals"))).drop("deals")
     # what shares the open shingle before, too, has met there
     met = F.coalesce(F.col("before") == F.col("before_"), F.lit(False))
     may = (F.col("key") < F.col("key_")) & (F.col("part") != F.col("part_")) & ~met & fits("n", "n_") & may_agree()
-    more = left.join(right, "h").where(may).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()
+    more = left.join(right, ["h", "deal"]).where(may).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()
     of = lambda k: comp.select(F.col("key").alias(k), F.col("part").alias(f"part_{k}"))
     apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
     more = materialize(more.unionByName(ordered(apart)).distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
-    out = first.unionByName(verified(docs, text, classes, more, shingle))
-    release(live, least, stars, tried, comp, parts, left, more, classes)
+    out = first.unionByName(verified(docs, text, classes, more, shingle, clashes))
+    release(live, least, stars, tried, comp, parts, opened, more, classes)
     return out
 
 
+def grouped(docs: DataFrame, doc: str, text: str, shingle: int) -> tuple[DataFrame, Clashes]:
+    with scratch() as tables:
+        rows, clashes = told_apart(materialize(profiles(docs, doc, text, shingle), "near-profiles"))
+        found = links(docs, text, rows, shingle, clashes)
+        comp = connected_components(found, "a", "b").withColumnsRenamed({"id": "key", "component": "root"})
+        out = materialize(rows.select("doc", "key").join(comp, "key", "left").select("doc", "key", F.coalesce("root", "key").alias("root")), "near-roots")
+        tables.remove(out)
+    return out, clashes
+
+
 def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc, key, root)``, one row for each row of ``docs``; rows of one ``root`` are linked, directly or by others.
 
@@ -402,15 +453,10 @@ def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingl
     be null or repeated and repeated rows fall together; other columns are not looked at; an
     empty table gives no rows.
     """
-    with scratch() as tables:
-        rows = materialize(profiles(docs, doc, text, shingle), "near-profiles")
-        found = links(docs, text, rows, shingle)
-        comp = connected_components(found, "a", "b").withColumnsRenamed({"id": "key", "component": "root"})
-        out = materialize(rows.select("doc", "key").join(comp, "key", "left").select("doc", "key", F.coalesce("root", "key").alias("root")), "near-roots")
-        tables.remove(out)
-    return out
+    return grouped(docs, doc, text, shingle)[0]
 
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the row of least id of each component, all columns as they are; null ids come last, ids may repeat."""
-    return keep_one(docs, near_groups(docs, doc, text, shingle), doc, text, lambda d: with_key(d, text, lambda t: class_of_text(t, shingle)))
+    rows, clashes = grouped(docs, doc, text, shingle)
+    return keep_one(docs, rows, doc, text, lambda d: with_key(d, text, lambda t: class_of_text(t, shingle, clashes)))
