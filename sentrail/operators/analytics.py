@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ordinal, ratio
+from ..functions.segments import numbered
 
 BUCKETS = (("very_low", 0.0, 0.2), ("low", 0.2, 0.4), ("medium", 0.4, 0.6), ("high", 0.6, 0.8), ("critical", 0.8, 1.0))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, scratch
-from .network import SHARED, betweenness_parts, undirected
+from .network import SHARED, betweenness_parts, generate_network, undirected
 
 # shortest paths ------------------------------------------------------------------
 
@@ -193,3 +193,15 @@ def error_bound(drawn: int, n: int, failure: float) -> F.Column:
     bernstein = F.sqrt(spread * (2 * log / drawn)) + 7 * log / (3 * max(drawn - 1, 1))
     left = 1 - (drawn - 1) / n  # Serfling's factor
     return F.least(F.lit(math.sqrt(left * log / (2 * drawn))), bernstein)
+
+
+def network_with_stars(nodes: DataFrame, edges: DataFrame, payments: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, stars): ``network.generate_network`` without inferred pairs, and the shared attributes that stand for them."""
+    v, e = generate_network(nodes, edges, payments, rules=())
+    return v, e, materialize(attribute_stars(v), "stars")
+
+
+def star_links(stars: DataFrame) -> DataFrame:
+    """``(relationship_type, links)``: how many inferred edges the stars stand for."""
+    sizes = stars.groupBy("relationship_type", "star").agg(F.count("*").alias("n"))
+    return sizes.groupBy("relationship_type").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("links"))
