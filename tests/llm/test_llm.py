@@ -81,24 +81,29 @@ def test_shards_edges(spark, awkward, none, tmp_path):
 # 2 ---------------------------------------------------------------------------
 
 
-def edit_in(item, text):
-    """(least edits, end) of item anywhere in text."""
-    col = [0] * (len(text) + 1)
+def edit_in(item, text, whole=False):
+    """Least edits of item anywhere in text, or (``whole``) from one edge of a word to another."""
+    inside = [False, *(c.isalnum() or c == "_" for c in text), False]
+    edge = [not whole or not (x and y) for x, y in zip(inside, inside[1:], strict=False)]
+    col = [0 if e else 999 for e in edge]
     for i, c in enumerate(item, 1):
-        new = [i]
+        new = [col[0] + 1]
         for j, d in enumerate(text, 1):
             new.append(min(col[j - 1] + (c != d), col[j] + 1, new[j - 1] + 1))
         col = new
-    return min(col)
+    return min(x for x, e in zip(col, edge, strict=True) if e)
 
 
 def squeeze(t):
     return re.sub(r"\s+", " ", (t or "").lower()).strip()
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("whole,kind", [(False, "long"), (True, "long"), (True, "string")])
+def test_leaks_equal_brute_force(spark, monkeypatch, whole, kind):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)  # several blocks in a pass, and several passes
+    monkeypatch.setattr(decontaminate, "BLOCKS", 3)
     r = random.Random(3)
-    items = [(i, " ".join(r.choices(WORDS, k=r.randint(6, 30)))) for i in range(12)] + [(90, "eta mu"), (91, None), (92, ""), (93, "xi omicron pi"), (94, "a")]
+    items = [(i, " ".join(r.choices(WORDS, k=r.randint(6, 30)))) for i in range(12)] + [(90, "eta mu"), (91, None), (92, ""), (93, "xi omicron pi"), (94, "a"), (95, "tau upsilon delta rho"), (96, "pha bet")]
     rows = []
     for i in range(60):
         text = " ".join(r.choices(WORDS, k=r.randint(0, 60)))
@@ -109,24 +114,30 @@ def test_leaks_equal_brute_force(spark):
                 t[p : p + r.randint(0, 1)] = r.choice("abcxyz ")
             text += " " + "".join(t).upper() + "\n" + " ".join(r.choices(WORDS, k=9))
         rows.append((i, text))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(x["doc"], x["item"]): x["edits"] for x in decontaminate.find_leaks(docs_of(spark, rows), bench).orderBy(F.desc("edits")).collect()}
+    rows += [(60 + i, f"zz {t} zz") for i, t in enumerate(["tau upsilon delta rho", "tau upsilon delta rhox", "tau upsilom delta rho", "xtau upsilon delta rho", "alpha beta"])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    found = decontaminate.find_leaks(docs_of(spark, rows), bench, whole_words=whole)
+    assert found.schema["item"].dataType == bench.schema["item_id"].dataType
+    got = {(x["doc"], int(x["item"])): x["edits"] for x in found.orderBy(F.desc("edits")).collect()}
     want = {}
     for i, t in rows:
         for j, item in items:
             item = squeeze(item)
-            if 0 < len(item) < decontaminate.WHOLE_CHARS:
-                if f" {item} " in f" {squeeze(t)} ":
-                    want[i, j] = 0
-            elif item:
-                e = edit_in(item, squeeze(t))
+            if item:
+                e = edit_in(item, squeeze(t), whole)
                 if e <= int(decontaminate.ERROR_RATE * len(item)):
                     want[i, j] = e
-    assert got == want and len(want) > 8 and {90, 94} <= {j for _, j in want}
-    clean = {x["doc_id"] for x in decontaminate.without_leaks(docs_of(spark, rows), bench).collect()}
+    assert got == want and len(want) > 8 and {90, 95} <= {j for _, j in want} and ((64, 96) in want) is not whole
+    clean = {x["doc_id"] for x in decontaminate.without_leaks(docs_of(spark, rows), bench, whole_words=whole).collect()}
     assert clean == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_items_of_one_length_follow_one_rule():
+    ks = [decontaminate.edit_budget(m, 0.05)[0] for m in range(1, 60)]
+    assert ks == [int(0.05 * m) for m in range(1, 60)]
+    assert all(decontaminate.edit_budget(m, 0.05)[2] >= 1 for m in range(1, 60))
+
+
 def test_leaks_of_the_table_equal_brute_force(spark, sf):
     docs = {i: squeeze(t) for i, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()}
     items = {i: squeeze(t) for i, t in duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()}
@@ -153,7 +164,7 @@ def test_leaks_edges(spark, awkward, none):
     named = awkward.withColumn("__normalized", F.lit("x"))
     assert decontaminate.without_leaks(named, bench).columns == named.columns and decontaminate.without_leaks(named, bench).count() == len(AWKWARD) - 3
     again = decontaminate.find_leaks(docs_of(spark, [(1, "of the word " * 100 + "wo")]), spark.createDataFrame([(7, "of the"), (8, "word of the word of the word")], "item_id long, text string")).toPandas()
-    assert (again.item == 7).sum() == 100 and (again.item == 8).sum() == 33  # whole words; places of one item do not overlap
+    assert (again.item == 7).sum() == 100 and (again.item == 8).sum() == 33  # places of one item do not overlap
     kept = decontaminate.without_leaks(awkward, bench)
     assert kept.columns == awkward.columns and kept.count() == len(AWKWARD) - 3
 
