@@ -11,6 +11,7 @@ know are normalised and cut by the library.
 from __future__ import annotations
 
 import heapq
+import os
 import json
 import unicodedata
 
@@ -52,7 +53,9 @@ class WordBpe:
         self.ranks = {names[x] << 20 | names[y]: r for r, (x, y) in reversed([*enumerate(merges)])}
         self.made = [names[x + y] for x, y in merges]
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
+        self.opening = os.path.commonprefix(added)  # a text without it has no special string
         self.library = Tokenizer.from_file(path)
         self.words = Counts(self.word, CACHE_WORDS)
         self.chunks = Counts(self.chunk, CACHE_CHUNKS)
@@ -89,7 +92,7 @@ class WordBpe:
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at special strings; True marks those."""
-        if "<|" not in text:
+        if self.opening not in text:
             return [(text, False)]
         out, last = [], 0
         for m in self.special.finditer(text):

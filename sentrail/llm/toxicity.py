@@ -36,6 +36,8 @@ from .common import tidy, trim
 
 #: Labelled rows that are learnt from.
 SAMPLE_ROWS = 6000
+#: Bytes of text that they may have.
+SAMPLE_BYTES = 256 << 20
 THRESHOLD = 0.7
 
 INSULTS = (
@@ -325,7 +327,9 @@ def held_out(doc: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Classifier:
-    """Label model and classifier from at most ``rows`` labelled rows that are not held out.
+    """Label model and classifier from at most ``rows`` labelled rows that are not held out, and of these at most SAMPLE_BYTES of text.
+
+    The rows are those of least hash, and the first of them whose texts fit; only words and their numbers come to the driver.
 
     Null ids and labels other than 0 and 1 are left out; an id with both labels counts as
     toxic; of documents that repeat an id one is learnt from; null texts are empty; other
@@ -335,6 +339,11 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     sample = sample.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     texts = docs.select(F.col(doc).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "__id")
 
+    sizes = {r["__id"]: r["n"] for r in texts.groupBy("__id").agg(F.max(F.octet_length("t").cast("long")).alias("n"), F.min(F.xxhash64("__id")).alias("h")).orderBy("h", "__id").collect()}  # at most ``rows``
+    if sum(sizes.values()) > SAMPLE_BYTES:
+        upto = np.cumsum([*sizes.values()])
+        texts = texts.where(F.col("__id").isin([i for i, n in zip(sizes, upto, strict=True) if n <= SAMPLE_BYTES]))
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,11 +370,12 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     return model
 
 
-def learn(known: Sequence[Facts], label: np.ndarray) -> Classifier:
-    voters = Voters(mine_stems(known, label.astype(float)))
+def learn(known: Sequence[Facts], label: np.ndarray, annotator: bool = True, mined: bool = True) -> Classifier:
+    """``annotator``: the labels vote as one more voter that errs; ``mined``: stems are mined with them. Without either no label is used."""
+    voters = Voters(mine_stems(known, label.astype(float)) if mined else [])
     own = np.array([voters.vote(f) for f in known], np.int8).reshape(len(known), -1)
-    votes = np.concatenate([own, label.reshape(-1, 1)], 1)
-    target = LabelModel().fit(votes, np.append(voters.priors, 0.9)).posterior(votes)
+    votes, priors = (np.concatenate([own, label.reshape(-1, 1)], 1), np.append(voters.priors, 0.9)) if annotator else (own, voters.priors)
+    target = LabelModel().fit(votes, priors).posterior(votes)
     return Classifier(voters).fit(known, own, target)
 
 

@@ -22,50 +22,118 @@ MAX_TRAINING = 5000
 PRIOR = 0.35
 BASE = U64(0x100000001B3)
 
-# A labelled table, made by hand: sites that a text corpus wants, and kinds of sites that it does not.
-WANTED = (
-    "https://en.wikipedia.org/wiki/Photosynthesis", "https://de.wikipedia.org/wiki/Bodensee", "https://fr.wikipedia.org/wiki/Marie_Curie", "https://www.gutenberg.org/ebooks/1342", "https://docs.python.org/3/library/re.html",
-    "https://spark.apache.org/docs/latest/sql-ref.html", "https://www.rfc-editor.org/rfc/rfc9110", "https://www.nasa.gov/missions/voyager/", "https://www.nps.gov/yell/planyourvisit/index.htm", "https://www.loc.gov/collections/maps/",
-    "https://www.bl.uk/learning/timeline", "https://ocw.mit.edu/courses/physics/8-01/", "https://plato.stanford.edu/entries/kant/", "https://www.cam.ac.uk/research/news", "https://www.ethz.ch/en/studies.html",
-    "https://www.who.int/news-room/fact-sheets/malaria", "https://www.nature.com/articles/nature12373", "https://arxiv.org/abs/1706.03762", "https://www.bbc.co.uk/weather/2643743", "https://www.lemonde.fr/sciences/article/2021/",
-    "https://elpais.com/cultura/2020-03-01/", "https://www.zeit.de/wissen/geschichte/2019/12", "https://www.nationalgeographic.org/encyclopedia/delta/", "https://www.metmuseum.org/art/collection/search/436535", "https://www.smithsonianmag.com/history/",
-    "https://unesco.org/en/world-heritage", "https://europa.eu/youreurope/citizens/work", "https://www.bundestag.de/parlament/geschichte", "https://www.service-public.fr/particuliers", "https://www.gov.uk/renew-driving-licence",
-    "https://stackoverflow.com/questions/231767/", "https://developer.mozilla.org/en-US/docs/Web/HTTP", "https://www.postgresql.org/docs/current/indexes.html", "https://kernel.org/doc/html/latest/", "https://www.gnu.org/software/bash/manual/",
-    "https://openstreetmap.org/relation/51701", "https://www.britannica.com/topic/opera-music", "https://www.allrecipes.com/recipe/23600/lasagna/", "https://www.rhs.org.uk/plants/roses", "https://www.seriouseats.com/bread-baking-guide",
-    "http://blog.harbour-town.example/2019/05/spring-regatta", "http://village-history.example/chapel/1843.html", "http://forum.oldbikes.example/viewtopic/8812", "https://www.riverside-school.example/en/timetable", "http://m.localpaper.example/de/politik/4711",
-    "https://orchard-notes.example/fr/pommiers/12", "http://www.stonebridge.example/es/historia/88", "https://quietgarden.example/en/2203", "http://blog.mapleton.example/en/5120.html", "https://www.norwood.example/de/77/",
-    "http://m.linden.example/fr/910?page=2", "https://hillcrest.example/es/3301#top", "http://www.eastern.example/en/645/", "https://blog.northshore.example/de/1288", "http://stanton.example/fr/402.html",
-    "https://m.enderby.example/en/7110", "http://www.restoration.example/es/56?ref=index", "https://thornton.example/en/19", "http://interlaken.example/de/884/", "https://www.sheraton-lane.example/fr/3021",
-    "http://blog.weatherstation.example/en/6401", "https://anderson.example/es/7", "http://m.heron.example/en/2410.html", "https://www.whitestone.example/de/515#notes", "http://trinity.example/fr/66",
-    "https://bolton-and-weir.example/en/9042", "http://www.lyndon.example/es/1203", "https://blog.therapists-guide.example/en/72", "http://m.station-house.example/de/3900", "https://nottingham-tales.example/fr/58/",
-    "https://www.meridian.example/en/4012?page=2", "http://bletchley.example/es/4460", "http://m.orthodoxy.example/en/903", "https://blog.thornhill.example/en/4431?ref=x", "https://athens-guide.example/en/4119#top",
-    "http://the-theatre.example/de/4705", "https://www.withington.example/en/48", "http://blog.mother-tongue.example/es/2871", "https://m.strathmore.example/en/3340.html", "http://another-earth.example/fr/4020/",
-    "https://southend.example/en/1533?page=2", "http://www.northern-birds.example/en/4507", "https://ethnography.example/es/4988?ref=feed", "http://m.anthem.example/de/129", "https://blog.leather-craft.example/en/404.html",
-    "http://worthington.example/fr/4141?page=3", "https://www.lighthouse.example/en/4700/", "http://tinworks.example/es/15#top", "https://m.atelier.example/fr/2250", "http://essen-kochen.example/de/4406",
-    "https://blog.rationale.example/en/4834", "http://www.orientation.example/en/4290?utm_source=feed", "https://edinburgh-walks.example/en/4077", "http://m.reading-room.example/es/4313/", "https://www.stationery.example/de/3618?page=2",
-    "http://blog.nation-builders.example/en/4951", "https://tidewater.example/fr/4582.html", "http://hedgerow.example/en/33", "https://www.sunderland.example/es/4666", "http://m.table-talk.example/de/4209?ref=x",
-)
-UNWANTED = (
-    "http://www.royal-casino777.example/bonus", "http://lucky-slots.example/en/freespins", "https://m.pokerbonus.example/join", "http://casino-royale-online.example/de/", "https://bestcasino.example/fr/bonus-sans-depot",
-    "http://sport-bets-now.example/odds", "https://bets24.example/live", "http://freebets-uk.example/en/offer", "http://www.betting-tips.example/1", "http://jackpot-city.example/es/tragaperras",
-    "https://win-bigcasino.example/vip/22", "http://m.slots-free.example/777", "http://blackjack-win.example/en/10", "http://cheap-viagra.example/order", "https://pills-discount.example/en/cialis",
-    "http://www.buy-pills-online.example/cart", "http://rx-pills.example/de/kaufen", "https://canadian-pills.example/fr/", "http://weightloss-pills.example/trial", "http://cheap-meds.example/no-prescription",
-    "http://adult-cams.example/live", "https://www.xxx-videos.example/hot", "http://m.adult-dating.example/join", "http://porn-tube.example/en/3", "http://adultchat.example/de/girls",
-    "https://sexy-singles.example/meet", "http://hotgirls-x.example/es/", "http://www.adult-video-x.example/fr/1", "http://nude-cams.example/x", "http://escort-x.example/book",
-    "http://spam-links.example/farm/1", "http://linkfarm.example/out?id=99", "https://seo-farm.example/backlinks", "http://www.article-spam.example/buy-links", "http://spamblog.example/en/403",
-    "http://cheap-backlinks.example/order", "http://doorway-farm.example/de/1", "http://autoblog-spam.example/feed", "http://traffic-farm.example/x", "http://www.spamhub.example/fr/8",
-    "http://ads-server.example/click?c=1", "http://track-ads.example/pixel.gif", "https://adclick-track.example/r/77", "http://m.popup-ads.example/win", "http://ads-network.example/en/banner",
-    "http://banner-track.example/imp", "http://www.ad-tracker.example/de/cpa", "http://affiliate-track.example/go/31", "http://redirect-ads.example/out", "http://clicktrack.example/es/9",
-    "http://free-iphone-win.example/claim", "http://win-prize.example/survey", "http://cheap-replica-watches.example/rolex", "http://replica-bags.example/fr/sac", "https://payday-loans-fast.example/apply",
-    "http://easy-cash-loans.example/en/", "http://crypto-doubler.example/send", "http://get-rich-win.example/de/geld", "http://free-gift-cards.example/es/", "http://loans-no-check.example/now",
-    "http://warez-crack.example/keygen", "http://free-crack-download.example/setup.exe", "http://torrent-warez.example/en/44", "http://serial-keygen.example/x", "http://update-flash-now.example/player.exe",
-    "http://paypal-login-verify.example/account", "http://secure-bank-login.example/verify", "http://appleid-unlock.example/signin", "http://malware-cleaner-free.example/scan", "http://your-pc-infected.example/fix.exe",
-)
+# A labelled table, made by hand and by kind: sites that a text corpus wants, and sites that it does not.
+WANTED = {
+    "reference": (
+        "https://en.wikipedia.org/wiki/Photosynthesis", "https://de.wikipedia.org/wiki/Bodensee", "https://fr.wikipedia.org/wiki/Marie_Curie", "https://es.wiktionary.org/wiki/ventana", "https://www.britannica.com/topic/opera-music",
+        "https://plato.stanford.edu/entries/kant/", "https://www.merriam-webster.com/dictionary/lantern", "https://www.duden.de/rechtschreibung/Haus", "https://openstreetmap.org/relation/51701", "https://www.wikidata.org/entity/Q42",
+    ),
+    "books and museums": (
+        "https://www.gutenberg.org/ebooks/1342", "https://www.loc.gov/collections/maps/", "https://www.bl.uk/learning/timeline", "https://www.metmuseum.org/art/collection/search/436535", "https://www.rijksmuseum.nl/en/collection/SK-C-5",
+        "https://gallica.bnf.fr/ark:/12148/btv1b8449691v", "https://archive.org/details/originofspecies", "https://www.museodelprado.es/coleccion/obra-de-arte/las-meninas", "https://www.smithsonianmag.com/history/", "https://unesco.org/en/world-heritage",
+    ),
+    "universities and science": (
+        "https://ocw.mit.edu/courses/physics/8-01/", "https://www.cam.ac.uk/research/news", "https://www.ethz.ch/en/studies.html", "https://www.nature.com/articles/nature12373", "https://arxiv.org/abs/1706.03762",
+        "https://www.nasa.gov/missions/voyager/", "https://www.uni-heidelberg.de/de/studium", "https://www.sorbonne-universite.fr/formation", "https://www.cern.ch/about/physics/standard-model", "https://pubmed.ncbi.nlm.nih.gov/20118234/",
+        "https://www.mpg.de/institute", "https://www.unam.mx/acerca-de-la-unam",
+    ),
+    "government and public bodies": (
+        "https://www.gov.uk/renew-driving-licence", "https://www.nps.gov/yell/planyourvisit/index.htm", "https://www.who.int/news-room/fact-sheets/malaria", "https://europa.eu/youreurope/citizens/work", "https://www.bundestag.de/parlament/geschichte",
+        "https://www.service-public.fr/particuliers", "https://www.boe.es/diario_boe/", "https://www.census.gov/data/tables.html", "https://data.gov.ie/dataset/rainfall", "https://www.stadt-zuerich.ch/de/stadtleben.html",
+    ),
+    "news": (
+        "https://www.bbc.co.uk/weather/2643743", "https://www.lemonde.fr/sciences/article/2021/", "https://elpais.com/cultura/2020-03-01/", "https://www.zeit.de/wissen/geschichte/2019/12", "https://www.theguardian.com/environment/2022/jun/03/otters-return",
+        "https://www.nzz.ch/feuilleton", "https://www.reuters.com/world/", "https://www.spektrum.de/news/1234567", "https://www.ouest-france.fr/bretagne/brest-29200/", "https://www.lavanguardia.com/vida",
+    ),
+    "software": (
+        "https://docs.python.org/3/library/re.html", "https://spark.apache.org/docs/latest/sql-ref.html", "https://www.rfc-editor.org/rfc/rfc9110", "https://stackoverflow.com/questions/231767/", "https://developer.mozilla.org/en-US/docs/Web/HTTP",
+        "https://www.postgresql.org/docs/current/indexes.html", "https://kernel.org/doc/html/latest/", "https://www.gnu.org/software/bash/manual/", "https://www.debian.org/releases/stable/", "https://sqlite.org/lang_select.html",
+        "https://blog.rust-lang.org/2021/10/21/", "https://lists.freebsd.org/archives/",
+    ),
+    "home, food and garden": (
+        "https://www.allrecipes.com/recipe/23600/lasagna/", "https://www.rhs.org.uk/plants/roses", "https://www.seriouseats.com/bread-baking-guide", "https://www.marmiton.org/recettes/recette_tarte", "https://www.chefkoch.de/rezepte/kartoffelsuppe",
+        "https://www.nationalgeographic.org/encyclopedia/delta/", "https://knitting-patterns.info/mittens.html", "https://www.birdguides.com/articles/identification/", "https://www.ikea.com/gb/en/rooms/kitchen/", "https://m.gartenjournal.net/tomaten",
+    ),
+    "schools, clubs and towns": (
+        "https://www.ashford-school.co.uk/term-dates", "http://rowing.club.cam.ac.uk/news/2019", "https://www.lakesidechoir.org/concerts", "https://village-history.org.uk/chapel/1843.html", "https://www.feuerwehr-oberdorf.de/einsaetze",
+        "http://www.mairie-saint-martin.fr/conseil", "https://www.scouts.org.au/join", "https://ajedrez-murcia.es/torneos/2018", "https://parish.stnicholas.ie/newsletter", "https://www.chess.com/lessons/openings",
+    ),
+    "personal pages and forums": (
+        "http://forum.oldbikes.net/viewtopic/8812", "https://jane-hikes.blogspot.com/2014/06/coast-path.html", "https://photos.tumblr.com/post/882", "https://www.reddit.com/r/gardening/comments/8k2/", "https://discourse.julialang.org/t/plots/512",
+        "https://medium.com/writing/on-commas-7f3", "https://bergwandern.wordpress.com/2017/08/", "http://members.ozemail.com.au/~trains/steam.htm", "https://carnet-de-voyage.over-blog.com/article-12.html", "https://mariascocina.wordpress.com/tag/arroz/",
+    ),
+    "shops, travel and firms": (
+        "https://www.thomann.de/gb/violins.html", "https://www.lonelyplanet.com/italy/tuscany", "https://www.sncf-connect.com/en-en/train/routes", "https://www.bosch.com/company/our-history/", "https://www.waterstones.com/author/jane-austen/",
+        "https://www.rentabike.ch/de/velo", "https://www.hostelworld.com/hostels/lisbon", "https://www.zeiss.com/microscopy/en/home.html", "https://shop.britishmuseum.org/cards", "https://www.johnlewis.com/lamps/c700001",
+    ),
+    "health, law and money": (
+        "https://www.nhs.uk/conditions/asthma/", "https://www.mayoclinic.org/diseases-conditions/migraine", "https://www.law.cornell.edu/uscode/text/17/107", "https://www.citizensadvice.org.uk/housing/", "https://www.ecb.europa.eu/stats/html/index.en.html",
+        "https://www.apotheken-umschau.de/krankheiten", "https://www.ameli.fr/assure/sante", "https://www.moneyhelper.org.uk/en/savings", "https://www.redcross.org/take-a-class/first-aid", "https://www.investopedia.com/terms/b/bond.asp",
+    ),
+}
+UNWANTED = {
+    "casinos": (
+        "http://www.royal-casino777.example/bonus", "http://lucky-slots.example/en/freespins", "https://m.pokerbonus.example/join", "http://casino-royale-online.example/de/", "https://bestcasino.example/fr/bonus-sans-depot",
+        "http://jackpot-city.example/es/tragaperras", "https://win-bigcasino.example/vip/22", "http://m.slots-free.example/777", "http://blackjack-win.example/en/10",
+    ),
+    "betting": (
+        "http://sport-bets-now.example/odds", "https://bets24.example/live", "http://freebets-uk.example/en/offer", "http://www.betting-tips.example/1",
+    ),
+    "pills": (
+        "http://cheap-viagra.example/order", "https://pills-discount.example/en/cialis", "http://www.buy-pills-online.example/cart", "http://rx-pills.example/de/kaufen", "https://canadian-pills.example/fr/",
+        "http://weightloss-pills.example/trial", "http://cheap-meds.example/no-prescription",
+    ),
+    "adult": (
+        "http://adult-cams.example/live", "https://www.xxx-videos.example/hot", "http://m.adult-dating.example/join", "http://porn-tube.example/en/3", "http://adultchat.example/de/girls",
+        "https://sexy-singles.example/meet", "http://hotgirls-x.example/es/", "http://www.adult-video-x.example/fr/1", "http://nude-cams.example/x", "http://escort-x.example/book",
+    ),
+    "link farms": (
+        "http://spam-links.example/farm/1", "http://linkfarm.example/out?id=99", "https://seo-farm.example/backlinks", "http://www.article-spam.example/buy-links", "http://spamblog.example/en/403",
+        "http://cheap-backlinks.example/order", "http://doorway-farm.example/de/1", "http://autoblog-spam.example/feed", "http://traffic-farm.example/x", "http://www.spamhub.example/fr/8",
+    ),
+    "advertising": (
+        "http://ads-server.example/click?c=1", "http://track-ads.example/pixel.gif", "https://adclick-track.example/r/77", "http://m.popup-ads.example/win", "http://ads-network.example/en/banner",
+        "http://banner-track.example/imp", "http://www.ad-tracker.example/de/cpa", "http://affiliate-track.example/go/31", "http://redirect-ads.example/out", "http://clicktrack.example/es/9",
+    ),
+    "scams": (
+        "http://free-iphone-win.example/claim", "http://win-prize.example/survey", "http://cheap-replica-watches.example/rolex", "http://replica-bags.example/fr/sac", "https://payday-loans-fast.example/apply",
+        "http://easy-cash-loans.example/en/", "http://crypto-doubler.example/send", "http://get-rich-win.example/de/geld", "http://free-gift-cards.example/es/", "http://loans-no-check.example/now",
+    ),
+    "malware and theft": (
+        "http://warez-crack.example/keygen", "http://free-crack-download.example/setup.exe", "http://torrent-warez.example/en/44", "http://serial-keygen.example/x", "http://update-flash-now.example/player.exe",
+        "http://paypal-login-verify.example/account", "http://secure-bank-login.example/verify", "http://appleid-unlock.example/signin", "http://malware-cleaner-free.example/scan", "http://your-pc-infected.example/fix.exe",
+    ),
+}
+
+
+#: Words of unwanted hosts by kind, and what stands beside them and after them, from which more rows are made by rule.
+UNWANTED_WORDS = {
+    "casinos": "casino slots poker jackpot roulette blackjack bingo baccarat", "betting": "bets betting bet odds bookie wager sportsbook handicap", "pills": "pills viagra cialis pharmacy meds tramadol diet-pills steroids",
+    "adult": "adult porn xxx cams nude sexy escort hookup", "link farms": "linkfarm backlinks spam seo-farm pbn doorway autoblog spamlinks", "advertising": "ads adserver banner clicks popunder tracker adnetwork track",
+    "scams": "prize giveaway replica payday-loans lottery doubler cash-now gift-card", "malware and theft": "warez keygen crack torrent login-verify account-unlock codec-update free-scan",
+}
+BESIDE = "free best cheap online win top live fast vip super my the".split()
+AFTER = "/ /bonus /join /order /live /win/22 /go?id=7 /offer.html /out/31 /en/ /de/start /fr/1 /es/44 /x".split()
+
+
+def made_unwanted() -> list[str]:
+    """Each word with three of BESIDE, before or after it, and AFTER in turn."""
+    words = [w for of_kind in UNWANTED_WORDS.values() for w in of_kind.split()]
+    out = []
+    for i, w in enumerate(words):
+        for k in range(3):
+            near, j = BESIDE[(i + 5 * k) % len(BESIDE)], 3 * i + k
+            host = f"{near}-{w}" if j % 2 else f"{w}-{near}"
+            out.append(f"http{'s' * (j % 3 == 0)}://{('www.', '', 'www.')[j % 3]}{host}.example{AFTER[j % len(AFTER)]}")
+    return out
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The default training table of (url, unwanted); invented hosts of both kinds lie under three domains in turn."""
-    return [(u.replace(".example/", f".example.{('com', 'net', 'org')[i % 3]}/"), y) for y, urls in ((0, WANTED), (1, UNWANTED)) for i, u in enumerate(urls)]
+    """The default training table of (url, unwanted); invented hosts lie under the top domains of the wanted ones in turn, which then tell nothing."""
+    wanted = [u for of_kind in WANTED.values() for u in of_kind]
+    unwanted = [u for of_kind in UNWANTED.values() for u in of_kind] + made_unwanted()
+    tops = [u.split("/")[2].rsplit(".", 1)[1] for u in wanted]
+    return [(u, 0) for u in wanted] + [(u.replace(".example/", f".{tops[i % len(tops)]}/"), 1) for i, u in enumerate(unwanted)]
 
 
 def ascii_lower(c: Column) -> Column:

@@ -254,6 +254,10 @@ def test_url_model_on_held_out_rows_and_on_pages():
         test = rows[k::5]
         right += sum(blocked(model([r for i, r in enumerate(rows) if i % 5 != k]), [u for u, _ in test]) == [y == 1 for _, y in test])
     assert right / len(rows) > 0.85
+    start = 0
+    for urls in url_filter.WANTED.values():  # kinds of hosts that the model has not seen
+        at, start = range(start, start + len(urls)), start + len(urls)
+        assert blocked(model([r for i, r in enumerate(rows) if i not in at]), urls).mean() <= 0.2
     pages = [u for (u,) in duckdb.sql("select url from '/root/testdata/sf0.1/pages.parquet' where url is not null").fetchall()]
     bad = np.array([bool(re.search("casino|bets|ads-|spam|pills|adult", url_parts(u)[0])) for u in pages])
     got = blocked(model(rows), pages)
