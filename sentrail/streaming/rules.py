@@ -24,6 +24,17 @@ def kafka(spark: SparkSession, servers: str, topic: str, schema: str) -> DataFra
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
 
 
+def kafka_records(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, value)`` with each row as JSON, nulls included: what a Kafka sink writes."""
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"}
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), options).alias("value"))
+
+
+def to_kafka(alerts: DataFrame, servers: str, topic: str, key: str, checkpoint: str):
+    """A started query that writes ``alerts`` to a topic; needs the Kafka package on the class path."""
+    return kafka_records(alerts, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
 def stateless_alerts(tx: DataFrame, rules: tuple[str, ...] = tuple(STATELESS)) -> DataFrame:
     out = None
     for r in rules:
