@@ -10,7 +10,8 @@ candidates, never on the result.
 
 Rows of equal sets are one class. The first round checks, besides SimHash's links, each
 class against the PIVOTS with which it shares most shingles of the prefix, of those that are
-the least of a shingle's group. The second checks, within a group of one shingle, only classes that are not connected yet. Sizes and
+the least of a shingle's group; further rounds do so with others of other connected parts, picked by chance, and with the one of each part that looks most
+alike. Then, within a group of one shingle, all classes meet that are not connected yet. Sizes and
 parity bitmaps rule out most pairs before whole sets are compared. Shingles are compared by 64 bits, made
 of 128 bits of each word; sets are told apart by 128 bits.
 """
@@ -18,6 +19,7 @@ of 128 bits of each word; sets are told apart by 128 bits.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import materialize, release, scratch
 from . import simhash
-from .common import BROADCAST_KEYS, U64, binary_array, buffers, keep_one, mixed, raw_text, slices, tidy, with_key
+from .common import BROADCAST_KEYS, U64, binary_array, buffers, keep_one, mixed, raw_text, slices, tidy, unused, with_key
 from .substring import rolled, sent, unpacked, word_hashes
 
 SHINGLE = 5
@@ -41,8 +43,10 @@ SAMPLE_ROWS, COMMON, HOT = 20_000, 20, 8
 GATHER, SLICE_ENTRIES = 250_000, 1_000_000
 #: Slices of the counts of shingles.
 COUNT_SLICES = 256
-#: Classes that each one is checked against in the first round.
-PIVOTS = 2
+#: Classes that each one is checked against in a round of pivots, and so many rounds at most, after the first one.
+PIVOTS, ROUNDS = 2, 2
+#: Rounds in which each class is checked against the one of each other part that differs from it in fewest bits.
+NEAREST = 1
 #: Classes of a group that one task compares with the whole of it.
 GROUP_PART = 1000
 #: Sets of fewer members are named by 128 bits of each.
@@ -309,10 +313,14 @@ def fits(n: str, m: str) -> Column:
     return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
 
 
+def differing() -> Column:
+    """In how many bits small bitmaps differ."""
+    return sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_"))) for i in range(FOLDED)), F.lit(0))
+
+
 def may_agree() -> Column:
     """False if small bitmaps differ in more bits than sets may in members: of n and m, (n + m) (1 - s) / (1 + s) at most."""
-    differ = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_"))) for i in range(FOLDED)), F.lit(0))
-    return (NUM + DEN) * differ <= (DEN - NUM) * (F.col("n") + F.col("n_"))
+    return (NUM + DEN) * differing() <= (DEN - NUM) * (F.col("n") + F.col("n_"))
 
 
 def may_be_alike(p: np.ndarray, q: np.ndarray, n: int, m: int) -> bool:
@@ -345,10 +353,13 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(full.select("a", "b", "n", "n_", "bits", "bits_").mapInArrow(run, "a long, b long"), "near-pairs")
 
 
-def sets_of(docs: DataFrame, text: str, wanted: DataFrame, shingle: int, clashes: Clashes = frozenset()) -> DataFrame:
-    """``(key, members)`` of the classes in ``wanted``, worked out from the texts again rather than kept for all."""
+def sets_of(docs: DataFrame, doc: str, text: str, rows: DataFrame, wanted: DataFrame, shingle: int, clashes: Clashes = frozenset()) -> DataFrame:
+    """``(key, members)`` of the classes in ``wanted``, worked out again rather than kept for all, from the texts of one id for each class."""
     few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
+    name = unused(docs, "__of")
+    ids = materialize(rows.join(F.broadcast(wanted) if few else wanted, "key").groupBy("key").agg(F.min("doc").alias(name)).select(name).distinct(), "near-ids")
+    held = docs.join(F.broadcast(ids) if few else ids, docs[doc].eqNullSafe(ids[name]), "left_semi")  # no more ids than classes
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,12 +373,14 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame, shingle: int, clashes
                     sets = [x for x, i in zip(sets, at.tolist(), strict=True) if i < len(asked) and asked[i] == x[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), blobs([s for _, s in sets])], names=["key", "members"])
 
-    out = docs.select(raw_text(text)).mapInArrow(run, "key long, members binary")
+    out = held.select(raw_text(text)).mapInArrow(run, "key long, members binary")
     out = out if few else out.join(wanted, "key", "left_semi")
-    return materialize(out.dropDuplicates(["key"]), "near-sets")
+    out = materialize(out.dropDuplicates(["key"]), "near-sets")
+    release(ids)
+    return out
 
 
-def verified(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, shingle: int, clashes: Clashes = frozenset()) -> DataFrame:
+def verified(docs: DataFrame, doc: str, text: str, rows: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, clashes: Clashes = frozenset()) -> DataFrame:
     """The pairs ``(a, b)`` whose Jaccard similarity is at least NUM / DEN.
 
     The set of ``b`` meets the pair; that of ``a``, which may be in any number of pairs, is
@@ -376,7 +389,7 @@ def verified(docs: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, s
     some = likely(pairs, classes)
     times = materialize(some.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies")), "near-copies")
     ends = materialize(some.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-wanted")
-    sets = sets_of(docs, text, ends, shingle, clashes)
+    sets = sets_of(docs, doc, text, rows, ends, shingle, clashes)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,40 +418,95 @@ def fingerprint_pairs(rows: DataFrame) -> DataFrame:
     return equal.unionByName(linked)
 
 
-def links(docs: DataFrame, text: str, rows: DataFrame, shingle: int = SHINGLE, clashes: Clashes = frozenset()) -> DataFrame:
+def grouped_by_parts(live: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(h, key, n, part, size)`` of the groups that are in several parts; a group of two classes is settled by their pair alone."""
+    parts = live.join(classes.select("key", "n"), "key").join(comp, "key", "left").select("h", "key", "n", F.coalesce("part", "key").alias("part"))
+    several = parts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("h", "size")
+    return materialize(parts.join(several, "h"), "near-several")
+
+
+def merged_parts(rows: DataFrame, comp: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``comp`` after the links ``new`` between classes of ``rows``: only parts are joined up, not classes."""
+    part_of = rows.select("key", "part").distinct()
+    ends = new.join(part_of.withColumnsRenamed({"key": "a", "part": "p"}), "a").join(part_of.withColumnsRenamed({"key": "b", "part": "q"}), "b").select("p", "q")
+    to = materialize(connected_components(ends, "p", "q").withColumnsRenamed({"id": "part", "component": "to"}), "near-to")
+    # parts of one class are in no list yet
+    every = part_of.unionByName(comp.select("key", "part")).distinct()
+    comp = materialize(every.join(to, "part", "left").select("key", F.coalesce("to", "part").alias("part")), "near-parts")
+    rows = rows.drop("size").join(to, "part", "left").select("h", "key", "n", F.coalesce("to", "part").alias("part"))
+    several = rows.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("h", "size")
+    return materialize(rows.join(several, "h"), "near-several"), comp
+
+
+def pivots(rows: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``, not ``tried``: each class with the PIVOTS of other parts with which it shares most groups, of those that chance picks in a ``turn``.
+
+    A group is a shingle and a band of sizes, since alike sets are of like size; bands move by half their width from turn to turn.
+    """
+    band = F.floor(F.log("n") / math.log(DEN / NUM) + (turn % 2) / 2).alias("band")
+    rows = rows.select("h", band, "key", "part")
+    rank = F.struct(F.xxhash64("key", F.lit(turn)).alias("r"), "key", "part")
+    one = rows.groupBy("h", "band").agg(F.min(rank).alias("one"))
+    two = rows.join(one, ["h", "band"]).where(F.col("part") != F.col("one.part")).groupBy("h", "band").agg(F.min(rank)["key"].alias("two"))
+    met = rows.join(one, ["h", "band"]).join(two, ["h", "band"]).select(F.when(F.col("part") != F.col("one.part"), F.col("one.key")).otherwise(F.col("two")).alias("pivot"), "key")
+    shared = met.groupBy("pivot", "key").agg(F.count("*").alias("shared")).withColumns({"a": F.least("pivot", "key"), "b": F.greatest("pivot", "key")})
+    new = shared.join(tried, ["a", "b"], "left_anti")
+    best = new.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy(F.desc("shared"), "pivot"))).where(F.col("k") <= PIVOTS)
+    return best.select("a", "b").distinct()
+
+
+def meeting(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, b, part_, differ)``: classes of one group that are in different parts and may be alike; ``part_`` is that of b."""
+    deals = left.withColumn("deals", F.expr(f"size div {GROUP_PART} + 1")).drop("size", "n").withColumn("before", F.lag("h").over(W.partitionBy("key").orderBy("h")))
+    opened = materialize(deals.join(classes.drop("bits"), "key"), "near-open")
+    # a large group is dealt over as many tasks as it has parts; each part meets the whole group
+    right = opened.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), *[F.col(c).alias(f"{c}_") for c in opened.columns if c not in ("h", "deals")])
+    one = opened.withColumn("deal", F.pmod(F.xxhash64("key"), F.col("deals"))).drop("deals")
+    # what shares the open shingle before, too, has met there
+    met = F.coalesce(F.col("before") == F.col("before_"), F.lit(False))
+    may = (F.col("key") < F.col("key_")) & (F.col("part") != F.col("part_")) & ~met & fits("n", "n_") & may_agree()
+    return one.join(right, ["h", "deal"]).where(may).select(F.col("key").alias("a"), F.col("key_").alias("b"), "part_", differing().alias("differ"))
+
+
+def links(docs: DataFrame, doc: str, text: str, rows: DataFrame, shingle: int = SHINGLE, clashes: Clashes = frozenset()) -> DataFrame:
     """``(a, b)`` links between classes; with their chains, all of similarity NUM / DEN or more."""
     live = live_prefixes(rows)
     classes = materialize(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(FOLDED)), "bits")]), "near-classes")
     least = materialize(live.groupBy("h").agg(F.min("key").alias("a")), "near-least")
     stars = materialize(live.join(least, "h").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("shared")), "near-stars")
     best = stars.withColumn("k", F.row_number().over(W.partitionBy("b").orderBy(F.desc("shared"), "a"))).where(F.col("k") <= PIVOTS).select("a", "b")
+    check = lambda pairs: verified(docs, doc, text, rows, classes, pairs, shingle, clashes)
     tried = materialize(ordered(best.unionByName(fingerprint_pairs(rows))), "near-tried")
-    first = verified(docs, text, classes, tried, shingle, clashes)
-    comp = materialize(connected_components(first, "a", "b").withColumnsRenamed({"id": "key", "component": "part"}), "near-parts")
-    parts = materialize(live.join(comp, "key", "left").select("h", "key", F.coalesce("part", "key").alias("part")), "near-grouped")
-    # a group of one part is settled, and one of two classes by their pair alone
-    open_ = parts.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("h", F.expr(f"size div {GROUP_PART} + 1").alias("deals"))
-    left = parts.join(open_, "h").withColumn("before", F.lag("h").over(W.partitionBy("key").orderBy("h")))
-    opened = left = materialize(left.join(classes.drop("bits"), "key"), "near-open")
-    # a large group is dealt over as many tasks as it has parts; each part meets the whole group
-    right = left.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), *[F.col(c).alias(f"{c}_") for c in left.columns if c not in ("h", "deals")])
-    left = left.withColumn("deal", F.pmod(F.xxhash64("key"), F.col("deals"))).drop("deals")
-    # what shares the open shingle before, too, has met there
-    met = F.coalesce(F.col("before") == F.col("before_"), F.lit(False))
-    may = (F.col("key") < F.col("key_")) & (F.col("part") != F.col("part_")) & ~met & fits("n", "n_") & may_agree()
-    more = left.join(right, ["h", "deal"]).where(may).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()
+    found = check(tried)
+    comp = materialize(connected_components(found, "a", "b").withColumnsRenamed({"id": "key", "component": "part"}), "near-parts")
+    left = grouped_by_parts(live, classes, comp)
+    for turn in range(ROUNDS + NEAREST):
+        # what is alike joins up by pivots of other parts, then by what looks most alike in each, before all of a group meet
+        if turn < ROUNDS:
+            more = materialize(pivots(left, tried, turn), "near-pivots")
+        else:
+            near = meeting(left, classes).join(tried, ["a", "b"], "left_anti")
+            more = materialize(ordered(near.groupBy("a", "part_").agg(F.min(F.struct("differ", "b"))["b"].alias("b"))), "near-nearest")
+        if more.isEmpty():
+            continue
+        new = check(more)
+        tried = materialize(tried.unionByName(more), "near-tried")
+        if not new.isEmpty():
+            found = materialize(found.unionByName(new), "near-links")
+            left, comp = merged_parts(left, comp, new)
+    more = meeting(left, classes).select("a", "b").distinct()
     of = lambda k: comp.select(F.col("key").alias(k), F.col("part").alias(f"part_{k}"))
     apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
     more = materialize(more.unionByName(ordered(apart)).distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
-    out = first.unionByName(verified(docs, text, classes, more, shingle, clashes))
-    release(live, least, stars, tried, comp, parts, opened, more, classes)
+    out = found.unionByName(check(more))
+    release(live, least, stars, tried, comp, left, more, classes)
     return out
 
 
 def grouped(docs: DataFrame, doc: str, text: str, shingle: int) -> tuple[DataFrame, Clashes]:
     with scratch() as tables:
         rows, clashes = told_apart(materialize(profiles(docs, doc, text, shingle), "near-profiles"))
-        found = links(docs, text, rows, shingle, clashes)
+        found = links(docs, doc, text, rows, shingle, clashes)
         comp = connected_components(found, "a", "b").withColumnsRenamed({"id": "key", "component": "root"})
         out = materialize(rows.select("doc", "key").join(comp, "key", "left").select("doc", "key", F.coalesce("root", "key").alias("root")), "near-roots")
         tables.remove(out)
