@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, scratch
-from .network import SHARED, betweenness_parts, generate_network, undirected
+from .network import SHARED, betweenness_parts, generate_network, path_risk, undirected
 
 # shortest paths ------------------------------------------------------------------
 
@@ -205,3 +205,101 @@ def star_links(stars: DataFrame) -> DataFrame:
     """``(relationship_type, links)``: how many inferred edges the stars stand for."""
     sizes = stars.groupBy("relationship_type", "star").agg(F.count("*").alias("n"))
     return sizes.groupBy("relationship_type").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("links"))
+
+
+# the first paths in order ---------------------------------------------------------
+
+
+def first_trails(edges: DataFrame, source: object, depth: int = 2, limit: int = 100, cap: int | None = None) -> DataFrame:
+    """The first ``limit`` rows of ``network.trails`` by (distance, id, path), without listing the others.
+
+    Level by level: as many ends as are still wanted are taken in order of their ids; backward steps say which vertices
+    lead to them, so that forward steps go nowhere else, and of the prefixes (end, path) only the first ``cap`` are kept at
+    each step. What is dropped comes after all that stays, so the result is exact once it is full; where it is not, the
+    cap is doubled or the next ends are taken.
+    """
+    with scratch() as tables:
+        e = edges.select("src", "dst", "edge_id", "relationship_type")
+        both = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_id", "relationship_type").where("src <> dst")), "both")
+        start = both.where(F.col("src") == source)
+        out = materialize(start.select(F.col("dst").alias("id"), F.lit(1).alias("distance"), "relationship_type", F.array("edge_id").alias("path")).orderBy("id", "path").limit(limit), "trails")
+        reach = [None, materialize(start.select(F.col("dst").alias("v")).distinct(), "reach")]
+        have = out.count()
+        for d in range(2, depth + 1):
+            if have >= limit:
+                break
+            reach.append(materialize(reach[-1].join(both, F.col("v") == F.col("src")).select(F.col("dst").alias("v")).distinct(), "reach"))
+            ends, take = reach[d], limit - have
+            while have < limit:
+                some = materialize(ends.orderBy("v").limit(take), "ends")
+                if some.isEmpty():
+                    break
+                top = some.agg(F.max("v")).first()[0]
+                found = trails_to(both, source, reach, some, d, limit - have, cap or 4 * limit)
+                out = materialize(out.unionByName(found), "trails")
+                have += found.count()
+                ends, take = ends.where(F.col("v") > top), 2 * take
+        tables.remove(out)
+    return out.orderBy("distance", "id", "path")
+
+
+def trails_to(both: DataFrame, source: object, reach: Sequence[DataFrame], ends: DataFrame, d: int, wanted: int, cap: int) -> DataFrame:
+    """The first ``wanted`` trails of ``d`` edges from the source to ``ends``, by end and path."""
+    kind = both.schema["src"].dataType
+    leads = {d: materialize(ends.select(F.col("v").alias("t"), "v"), "leads")}
+    for i in range(d - 1, 0, -1):
+        before = leads[i + 1].withColumnRenamed("v", "dst").join(both.select("src", "dst"), "dst").select("t", F.col("src").alias("v")).distinct()
+        leads[i] = materialize(before.join(reach[i], "v", "left_semi").select("t", "v"), "leads")
+    while True:
+        rows, cut = ends.select(F.col("v").alias("t"), F.lit(source).cast(kind).alias("at"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("relationship_type")), False
+        for i in range(1, d + 1):
+            step = rows.select("t", "at", "path").join(both, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("edge_id")))
+            to = leads[i].select(F.col("t").alias("__t"), F.col("v").alias("__v"))
+            step = step.join(to, (F.col("t") == F.col("__t")) & (F.col("dst") == F.col("__v")), "left_semi")
+            step = step.select("t", F.col("dst").alias("at"), F.array_append("path", F.col("edge_id")).alias("path"), "relationship_type")
+            rows = materialize(step.orderBy("t", "path").limit(cap), "prefixes")
+            cut = cut or rows.count() == cap
+        if not cut or rows.count() >= wanted:
+            return rows.orderBy("t", "path").limit(wanted).select(F.col("t").alias("id"), F.lit(d).alias("distance"), "relationship_type", "path")
+        cap *= 2
+
+
+def trail_counts(edges: DataFrame, source: object, depth: int = 3) -> DataFrame:
+    """``(distance, paths)``: how many trails of 1, 2 and (at most) 3 edges there are, from numbers of edges and not from the trails."""
+    if depth > 3:
+        raise ValueError("trails of more than three edges are not counted")
+    e = edges.select("src", "dst", "edge_id")
+    both = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_id").where("src <> dst")), "both")
+    ends = materialize(both.groupBy("src").agg(F.count("*").alias("n")), "ends")
+    pairs = materialize(both.groupBy("src", "dst").agg(F.count("*").alias("m")), "pairs")
+    first = pairs.where(F.col("src") == source).select(F.col("dst").alias("v"), F.col("m").alias("m1"))
+    one = first.agg(F.lit(1).alias("distance"), F.coalesce(F.sum("m1"), F.lit(0)).alias("paths"))
+    if depth == 1:
+        return one
+    here = F.col("src") == F.lit(source)
+    # from v on to w, by any edge but the first: which leads from v to the source, or is a loop at the source
+    second = first.join(pairs, F.col("v") == F.col("src")).select("v", F.col("dst").alias("w"), (F.col("m1") * (F.col("m") - F.when(F.col("dst") == source, 1).otherwise(0))).alias("n2"), "m1", "m", here.alias("stays"))
+    second = materialize(second, "second")
+    two = second.agg(F.lit(2).alias("distance"), F.coalesce(F.sum("n2"), F.lit(0)).alias("paths"))
+    if depth == 2:
+        return one.unionByName(two)
+    # the third edge is neither of the two: the second always touches w, the first does where w is the source or the second is a loop
+    third = second.join(ends, F.col("w") == F.col("src")).select((F.col("n2") * (F.col("n") - 1 - F.when((F.col("w") == source) | (F.col("w") == F.col("v")), 1).otherwise(0))).alias("n3"))
+    three = third.agg(F.lit(3).alias("distance"), F.coalesce(F.sum("n3"), F.lit(0)).alias("paths"))
+    return one.unionByName(two).unionByName(three)
+
+
+def ranked_path_risk(vertices: DataFrame, edges: DataFrame, source: object, depth: int = 3, limit: int = 50) -> DataFrame:
+    """``network.path_risk`` from the first trails: as risk falls with the distance, they are the highest. Trails back to the source do not count."""
+    base = vertices.where(F.col("id") == source).select(F.col("risk_score").alias("base")).first()
+    if base is None or not base["base"] or base["base"] < 0:  # all risks are equal, or grow with the distance
+        return path_risk(vertices, edges, source, depth, limit)
+    back = trail_counts(edges, source, min(depth, 3)) if depth <= 3 else None
+    extra = limit
+    while True:
+        t = first_trails(edges, source, depth, limit + extra)
+        rows = materialize(t.where(F.col("id") != source).select("id", "distance", (F.lit(base["base"]) / F.col("distance")).alias("propagated_risk"), "path"), "path-risk")
+        total = t.count()
+        if rows.count() >= limit or total < limit + extra or (back is not None and total >= back.agg(F.sum("paths")).first()[0]):
+            return rows.orderBy(F.desc("propagated_risk"), "id", "path").limit(limit)
+        extra *= 4

@@ -90,3 +90,37 @@ def route(alerts: DataFrame, kind: str = "alert_type") -> DataFrame:
 
 def expired(df: DataFrame, kind: str, at: str, as_of: datetime) -> DataFrame:
     return df.where(F.col(at) < F.lit(as_of) - F.expr(f"interval {RETENTION_DAYS[kind]} days"))
+
+
+# Alert types of list matches, risk levels that raise an alert or due diligence, and its steps.
+MATCH_ALERTS = {"sanctions": "sanctions_match", "pep": "pep_match"}
+ALERTED, DILIGENCE = ("critical", "high"), ("medium",)
+EXPOSED = 0.7
+STEPS = (("network_analysis", {"depth": "4"}), ("transaction_analysis", {"lookback_days": "365", "include_counterparties": "true"}), ("adverse_media", {}), ("source_of_funds", {}), ("document_verification", {}))
+
+
+def match_alerts(screened: DataFrame) -> DataFrame:
+    """An alert, routed, for each match of screened names ``(id, name, matches)``; each row's alerts come from that row alone, so slices of any size give the same."""
+    m = screened.select(F.col("id").alias("entity_id"), F.col("name").alias("matched_name"), F.explode("matches").alias("m"))
+    table = F.create_map(*[F.lit(x) for kv in MATCH_ALERTS.items() for x in kv])
+    kind = F.coalesce(F.element_at(table, F.col("m.list_type")), F.lit("watchlist_match"))
+    return route(m.select("entity_id", "matched_name", kind.alias("alert_type"), F.col("m.score").alias("match_score"), F.col("m.provider").alias("watchlist")))
+
+
+def score_alerts(scored: DataFrame) -> DataFrame:
+    """A critical alert for each entity of a high or critical score."""
+    hit = scored.where(F.col("risk_level").isin(*ALERTED))
+    return hit.select(F.col("id").alias("entity_id"), F.lit("high_risk_entity").alias("alert_type"), F.lit("critical").alias("priority"), "overall_score", "risk_level")
+
+
+def due_diligence(scored: DataFrame) -> DataFrame:
+    """``(entity_id, step, task, options)``: what follows for each entity of a medium score, in order of ``step``."""
+    options = lambda o: F.create_map(*[F.lit(x) for kv in o.items() for x in kv]).cast("map<string,string>")
+    tasks = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("task"), options(o).alias("options")) for i, (t, o) in enumerate(STEPS, 1)])
+    return scored.where(F.col("risk_level").isin(*DILIGENCE)).select(F.col("id").alias("entity_id"), F.inline(tasks))
+
+
+def exposure_alerts(metrics: DataFrame, threshold: float = EXPOSED) -> DataFrame:
+    """A routed alert for each entity whose neighbours' risk (``network.node_metrics``) is above ``threshold``."""
+    hit = metrics.where(F.col("risk_exposure") > threshold)
+    return route(hit.select(F.col("id").alias("entity_id"), F.lit("high_risk_network").alias("alert_type"), "risk_exposure", "neighbour_count"))

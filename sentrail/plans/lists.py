@@ -73,9 +73,9 @@ def _(spark, d):
     return A.list_scenarios(S.library(spark, d), solution_area="kyc")[0].select("id", "name", "times_used")
 
 
-@query("flt14_list_content", "SELECT id, category, usage_count FROM lb WHERE is_current = 1 AND (name ILIKE '%green%' OR description ILIKE '%green%') ORDER BY usage_count DESC, id LIMIT 20", LB)
+@query("flt14_list_content", "SELECT id, category, usage_count FROM lb WHERE is_current = 1 AND (name ILIKE '%widget%' OR description ILIKE '%widget%') ORDER BY usage_count DESC, id LIMIT 20", LB)
 def _(spark, d):
-    return A.list_content(S.library(spark, d), search="green")[0].select("id", "category", "usage_count")
+    return A.list_content(S.library(spark, d), search="widget")[0].select("id", "category", "usage_count")
 
 
 @query("srt10_sections", "SELECT l_orderkey AS proposal_id, l_linenumber::VARCHAR || '.' || (l_partkey % 12) AS section_number, l_linenumber AS id FROM lineitem WHERE l_orderkey = 1 ORDER BY 2, 3")

@@ -174,3 +174,42 @@ def test_numbers_over_the_whole_table(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(got) == 500 and all(r["n"] == r["x"] + 1 for r in got)
+
+
+# the first paths in order ----------------------------------------------------------
+
+
+def multigraph(spark, seed, n, m):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(n), rng.randrange(n), f"e{i:03}", "SENT_TO") for i in range(m)]
+    return spark.createDataFrame(rows, "src long, dst long, edge_id string, relationship_type string")
+
+
+@pytest.mark.parametrize("seed,n,m,cap", [(1, 8, 16, None), (2, 5, 14, 3), (3, 30, 40, 2)])
+def test_first_trails_equal_all_trails(spark, seed, n, m, cap):
+    e = multigraph(spark, seed, n, m)
+    for depth, limit in ((1, 3), (3, 25), (3, 5000)):
+        want = [tuple(r) for r in network.trails(e, 0, depth).orderBy("distance", "id", "path").limit(limit).collect()]
+        assert [tuple(r) for r in paths.first_trails(e, 0, depth, limit, cap).collect()] == want
+    counts = {r["distance"]: r["count"] for r in network.trails(e, 0, 3).groupBy("distance").count().collect()}
+    assert {r["distance"]: r["paths"] for r in paths.trail_counts(e, 0, 3).collect() if r["paths"]} == counts
+
+
+def test_first_trails_of_a_hub(spark):
+    """Ten thousand edges at one vertex have some 10^11 trails of three edges; a hundred are looked for."""
+    hub = spark.range(10_000).select(F.lit(0).cast("long").alias("src"), (F.col("id") + 1).alias("dst"), F.format_string("e%05d", "id").alias("edge_id"), F.lit("SENT_TO").alias("relationship_type"))
+    chain = spark.createDataFrame([(-1, 0, "a", "SENT_TO"), (5, 7, "b", "SENT_TO")], hub.schema)
+    got = paths.first_trails(hub.unionByName(chain), -1, 3, 100).collect()
+    assert [(r["id"], r["distance"]) for r in got] == [(0, 1), *[(i, 2) for i in range(1, 100)]]
+    got = paths.first_trails(hub.unionByName(chain), -1, 3, 10_010).collect()
+    assert [(r["id"], r["path"]) for r in got if r["distance"] == 3] == [(5, ["a", "e00006", "b"]), (7, ["a", "e00004", "b"])]
+    assert [r["paths"] for r in paths.trail_counts(hub.unionByName(chain), -1, 3).orderBy("distance").collect()] == [1, 10_000, 2]
+
+
+def test_ranked_path_risk(spark):
+    e = multigraph(spark, 6, 6, 14)
+    for risk in (0.9, 0.0, None):
+        v = spark.createDataFrame([(i, risk) for i in range(6)], "id long, risk_score double")
+        for limit in (4, 60):
+            want = [tuple(r) for r in network.path_risk(v, e, 2, 3, limit).collect()]
+            assert [tuple(r) for r in paths.ranked_path_risk(v, e, 2, 3, limit).collect()] == want
