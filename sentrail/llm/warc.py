@@ -107,7 +107,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     columns = ["record_id", "url", "etag", "last_modified", "digest", "headers", "ref", "part", "tail"]
     carried = materialize(ordered.mapInArrow(carry, "record_id long, url string, etag string, last_modified string, digest string, headers map<string,string>, ref long, part int, tail boolean"), "revisits")
     tails = carried.where("tail").select("url", "part", "ref")  # at most one row for each task
-    open_ = carried.where("not tail and ref is null").select("url", "part").distinct().join(F.broadcast(tails.select("url").distinct()), "url", "left_semi")
+    open_ = carried.where("not tail and ref is null").select("url", "part").distinct().join(tails.select("url").distinct(), "url", "left_semi")
     steps = tails.unionByName(open_.withColumn("ref", F.lit(None).cast("long")))
     before = W.partitionBy("url").orderBy("part").rangeBetween(W.unboundedPreceding, -1)
     earlier = steps.withColumn("before", F.last("ref", ignorenulls=True).over(before)).where("before is not null").groupBy("url", "part").agg(F.max("before").alias("before"))
