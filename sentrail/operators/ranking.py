@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir
+from ..session import materialize, owned, shared_dir
 from .screening import close
 
 K1, B = 1.2, 0.75
@@ -39,7 +39,7 @@ def bucket(term: Column) -> Column:
 
 def build_index(docs: DataFrame, fields: Sequence[str], path: str | None = None, key: str = "id") -> Index:
     """The index of ``fields`` of ``docs`` at ``path`` (else in the shared folder); ``key`` must be unique. Null and wordless fields are in no list and no mean."""
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, path is None
     path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.col(f).cast("string")).alias("words")) for f in fields]))
     texts = docs.select(F.col(key).alias("id"), each.alias("e")).select("id", "e.field", "e.words").where("size(words) > 0")
@@ -50,7 +50,10 @@ def build_index(docs: DataFrame, fields: Sequence[str], path: str | None = None,
     terms = read(spark, path, "postings", kind).groupBy("bucket", "term", "field").agg(F.count("*").alias("df"))
     terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     texts.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).write.parquet(f"{path}/fields")
-    return open_index(spark, path, kind)
+    out = open_index(spark, path, kind)
+    if own:
+        owned(out.fields, path)
+    return out
 
 
 def open_index(spark: SparkSession, path: str, kind: str = "bigint") -> Index:

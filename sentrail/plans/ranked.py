@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import customer360, network, paths, ranking, resolution, scoring, screening, workflow
-from ..session import materialize, shared_dir
+from ..session import materialize, owned, shared_dir
 from ..sources import tables as S
 from ..streaming import sinks
 from .derived import SYSTEMS, records
@@ -178,12 +179,12 @@ def _(spark, d):
 def _(spark, d):
     """The entities, a batch that changes a tenth of them, the same batch again, and a removal, in a table in the shared folder."""
     e = S.entities(spark, d).select("id", "name")
-    path = f"{shared_dir(spark)}/merged-{spark.range(1).select(F.uuid()).first()[0]}"
+    path = f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
     changed = e.where("id % 10 = 0").withColumn("name", F.concat("name", F.lit(" (changed)")))
     for batch in (e, changed, changed):
         sinks.merge_batch(batch, path)
     sinks.remove_keys(e.where("id % 7 = 0"), path)
-    return spark.read.parquet(path).select("id", "name")
+    return owned(spark.read.parquet(path), path).select("id", "name")
 
 
 @query("snk04_onto_existing", "SELECT src, dst, count(*) AS n FROM (SELECT c_custkey AS src, c_custkey + 10 AS dst FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_custkey + 10 FROM customer) WHERE dst IN (SELECT c_custkey FROM customer) GROUP BY ALL")

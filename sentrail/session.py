@@ -67,11 +67,15 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sentrail_path = path
+    return owned(spark.read.schema(df.schema).parquet(path), path)
+
+
+def owned(df: DataFrame, path: str) -> DataFrame:
+    """``df``, which reads a folder in the shared one that ``release``, or the end of a ``scratch``, is to remove."""
+    df._sentrail_path = path
     for s in _scopes:
-        s.append(out)
-    return out
+        s.append(df)
+    return df
 
 
 _scopes: list[list[DataFrame]] = []
