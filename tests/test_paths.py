@@ -185,7 +185,7 @@ def multigraph(spark, seed, n, m):
     return spark.createDataFrame(rows, "src long, dst long, edge_id string, relationship_type string")
 
 
-@pytest.mark.parametrize("seed,n,m,cap", [(2, 5, 14, 3), (3, 30, 40, 2)])
+@pytest.mark.parametrize("seed,n,m,cap", [(2, 5, 14, 3)])
 def test_first_trails_equal_all_trails(spark, seed, n, m, cap):
     e = multigraph(spark, seed, n, m)
     for depth, limit in ((1, 3), (3, 25), (3, 5000)):
