@@ -106,52 +106,59 @@ def pair_score(a: Column, b: Column, names: Callable[[Column, Column], Column] =
     return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 
-def score_bound(a: Column, b: Column) -> Column:
-    """No pair scores more than this; it takes equalities and name lengths only."""
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for k, w in WEIGHTS.items():
-        x, y = a[k], b[k]
-        both = (x != "") & (y != "")
-        n, m = F.length(x), F.length(y)
-        s = 0.75 + 0.25 * F.least(n, m) / F.greatest(n, m) if k == "name" else F.lit(1.0) if k == "address" else F.when(x == y, 1.0).otherwise(0.0)
-        total, weight = total + F.when(both, s * w).otherwise(0.0), weight + F.when(both, w).otherwise(0.0)
-    return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
-
-
-#: So many classes of a key are compared with the rest of it in one task, and so many pairs make a task.
+#: So many groups of a key are compared with the rest of it in one task, and so many pairs make a task.
 BLOCK_PART = 500
 TASK_PAIRS = 5_000_000
 #: Attributes that count as equal or not.
 EXACT = tuple(k for k in WEIGHTS if k not in ("name", "address"))
 
 
-def compatible(threshold: float) -> dict[int, list[int]]:
+def compatible(threshold: float, equal: int = 0) -> dict[int, list[int]]:
     """For each set of attributes that a record has (a bit each, EXACT and the address last), the sets that may go with it.
 
-    Two records that have no equal EXACT value reach the threshold only if what both have weighs little enough beside
-    a perfect name and, where both have one, address.
+    Two records that have just the EXACT values of ``equal`` (bits too) in common reach the threshold only if what else both
+    have weighs little enough beside those, a perfect name and, where both have one, address.
     """
     weights, address = [WEIGHTS[k] for k in EXACT], 1 << len(EXACT)
 
     def may(both: int) -> bool:
-        best = WEIGHTS["name"] + (WEIGHTS["address"] if both & address else 0.0)
-        unequal = sum(w for i, w in enumerate(weights) if both >> i & 1)
-        return best / (best + unequal) >= threshold - 1e-9
+        best = WEIGHTS["name"] + (WEIGHTS["address"] if both & address else 0.0) + sum(w for i, w in enumerate(weights) if equal >> i & 1)
+        unequal = sum(w for i, w in enumerate(weights) if (both & ~equal) >> i & 1)
+        return both & equal == equal and best / (best + unequal) >= threshold - 1e-9
 
     every = range(2 * address)
     return {p: [q for q in every if may(p & q)] for p in every}
 
 
+def name_needed(threshold: float, equal: int, both: int) -> float:
+    """The least name score at which records that both have ``both``, and of it ``equal`` alike, may reach the threshold."""
+    weights, address = [WEIGHTS[k] for k in EXACT], WEIGHTS["address"] if both >> len(EXACT) & 1 else 0.0
+    of = lambda bits: sum(w for i, w in enumerate(weights) if bits >> i & 1)
+    return (threshold * (WEIGHTS["name"] + address + of(both)) - of(equal) - address) / WEIGHTS["name"]
+
+
+def sure_score(equal: Column, both: Column, name: Column, address: Column) -> Column:
+    """``pair_score`` of records that both have ``both`` and of it at least ``equal`` alike, were the rest unequal."""
+    total, weight = F.lit(0.0), F.lit(0.0)
+    has = lambda bits, i: bits.bitwiseAND(1 << i) != 0
+    for k, w in WEIGHTS.items():
+        i = EXACT.index(k) if k in EXACT else len(EXACT)
+        there = F.lit(True) if k == "name" else has(both, i)
+        s = F.when(there, name * w if k == "name" else address * w) if k not in EXACT else F.when(has(equal, i), w)
+        total, weight = total + s.otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
+    return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
+
+
 def matching_pairs(records: DataFrame, strategies: Sequence[str] = ("soundex", "ngram"), threshold: float = 0.75) -> DataFrame:
-    """``(id_a, id_b, score)`` that connect all records of a score of at least ``threshold`` that share a block.
-
-    Records with equal scored attributes are one class, linked to its least id. What the
-    scores need of a name is worked out once a class. Classes meet where they share a block and an equal attribute; those
-    without an equal one only by a block and sets of attributes that let names alone reach the threshold
-    (``compatible``), so records that differ in what both have do not meet. Each pair meets once, in the first key that it
-    shares; a large key is dealt over as many tasks as it has parts of BLOCK_PART classes. A pair is scored only if a
-    bound from equalities and name lengths, and then one without the Jaro score, let it. The classes are a table
-    in the shared folder, which the result reads.
+    """``(id_a, id_b, score)`` that connect all records of a score of at least ``threshold`` that share a block; a score is what is sure of it.
+
+    Records with equal scored attributes are one class, linked to its least id. Classes of one name, address and blocks are a
+    unit. For each set of EXACT attributes (none, too), classes of one unit, one set of attributes that they have and equal
+    values in that set are a group: of two groups that have the same values, all pairs of classes reach what they
+    reach if the rest is unequal. So groups meet, not records, and where groups match, their least ids are linked and every
+    member is linked to the least id of one group that matches its own. Each pair of names is scored once, if a bound
+    without the Jaro score lets it. Each pair of groups meets once, in the first block that it shares; a large key is dealt over as many tasks
+    as it has parts of BLOCK_PART groups. What is written meanwhile lies in the shared folder, which the result reads.
     """
     spark, at = records.sparkSession, F.col("attributes")
     facts = F.struct(*[F.coalesce(F.element_at(at, k), F.lit("")).alias(k) for k in WEIGHTS]).alias("facts")
@@ -159,34 +166,60 @@ def matching_pairs(records: DataFrame, strategies: Sequence[str] = ("soundex", "
     reps = block_lists(rows.groupBy("facts").agg(F.min_by("attributes", "id").alias("attributes"), F.min("id").alias("id")), strategies)
     fact = lambda k: F.col(f"facts.{k}")
     shape = sum((F.when(fact(k) != "", 1 << i).otherwise(0) for i, k in enumerate((*EXACT, "address"))), F.lit(0))
-    equals = F.array_compact(F.array(*[F.when(fact(k) != "", F.concat(F.lit(f"{k}="), fact(k))) for k in EXACT]))
     # the classes are read several times, the records only to make them and to find their members
-    classes = materialize(reps.select("id", "blocks", "facts", shape.alias("shape"), equals.alias("equals"), T.name_facts(fact("name")).alias("name")), "classes")
+    classes = materialize(reps.select("id", F.array_sort("blocks").alias("blocks"), "facts", shape.alias("shape")), "classes")
     same = rows.join(classes.select("facts", F.col("id").alias("rep")), "facts").where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"))
 
-    shapes = [r[0] for r in classes.select("shape").distinct().collect()]  # at most 64
-    fits = {p: [q for q in qs if q in shapes] for p, qs in compatible(threshold).items() if p in shapes}
-    partners = F.element_at(F.create_map(*[x for p, qs in fits.items() for x in (F.lit(p), F.array(*map(F.lit, qs)).cast("array<int>"))]), F.col("shape")) if shapes else F.array().cast("array<int>")
-    by_value = F.flatten(F.transform("blocks", lambda b: F.transform("equals", lambda v: F.struct(b.alias("block"), v.alias("by")))))
-    by_shape = lambda of: F.flatten(F.transform("blocks", lambda b: F.transform(of, lambda p: F.struct(b.alias("block"), p.cast("string").alias("by")))))
-    left = classes.withColumn("key", F.explode(F.concat(by_value, by_shape(F.array("shape")))))
-    right = classes.withColumn("key", F.explode(F.concat(by_value, by_shape(partners))))
-    sizes = left.groupBy("key").agg(F.count("*").alias("n")).join(right.groupBy("key").agg(F.count("*").alias("m")), "key").where("n * m > 1")
+    shapes = sorted(r[0] for r in classes.select("shape").distinct().collect())  # at most 64
+    fits = {}  # (equal, shape): the shapes up to it that go with it, and the name score that they need
+    for equal in range(1 << len(EXACT)):
+        sets = compatible(threshold, equal)
+        fits |= {(equal, q): [(p, name_needed(threshold, equal, p & q)) for p in shapes if p in sets[q]] for q in shapes}
+    masks = {q: [equal for (equal, of), ps in fits.items() if of == q and ps] for q in shapes}
+    if not any(masks.values()):
+        return same
+    masks_of = F.create_map(*[x for q, ms in masks.items() for x in (F.lit(q), F.array(*map(F.lit, ms)).cast("array<int>"))])
+    partner = lambda p, need: F.struct(F.lit(p).alias("shape"), F.lit(need).alias("need"))
+    fits_of = F.create_map(*[x for (equal, q), ps in fits.items() if ps for x in (F.lit(equal * 64 + q), F.array(*[partner(p, need) for p, need in ps if p <= q]).cast("array<struct<shape:int,need:double>>"))])
+
+    of_unit = classes.select("id", "shape", "facts", fact("name").alias("n"), fact("address").alias("address"), "blocks")
+    units = materialize(of_unit.groupBy("n", "address", "blocks").agg(F.min("id").alias("unit")), "units")
+    values = F.array(*[F.when(F.col("equal").bitwiseAND(1 << i) != 0, fact(k)).otherwise("") for i, k in enumerate(EXACT)])
+    members = of_unit.join(units, ["n", "address", "blocks"]).select("id", "unit", "shape", "facts", F.explode(F.element_at(masks_of, F.col("shape"))).alias("equal")).select("id", "unit", "shape", "equal", values.alias("values"))
+    members = materialize(members, "members")
+    group = ["equal", "values", "unit", "shape"]
+    groups = materialize(members.groupBy(*group).agg(F.min("id").alias("rep"), F.count("*").alias("size")), "groups")
+
+    blocked = groups.join(units.select("unit", "blocks"), "unit").select("*", F.posexplode("blocks").alias("at", "block"))
+    blocked = blocked.withColumn("before", F.slice("blocks", F.lit(1), F.col("at")))
+    left = blocked.withColumn("key", F.struct("equal", "values", "block", "shape"))
+    right = blocked.withColumn("fit", F.explode(F.element_at(fits_of, F.col("equal") * 64 + F.col("shape")))).withColumn("key", F.struct("equal", "values", "block", F.col("fit.shape").alias("shape")))
+    sizes = left.groupBy("key").agg(F.count("*").alias("n")).join(right.groupBy("key").agg(F.count("*").alias("m"), F.max("shape").alias("top")), "key").where("n * m > 1 or top > key.shape")
     parts = materialize(sizes.select("key", F.expr(f"n div {BLOCK_PART} + 1").alias("parts"), (F.col("n") * F.col("m")).alias("pairs")), "keys")
     # adaptive execution goes by bytes, and these rows are few and their pairs many, so a number of tasks is named
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (parts.agg(F.sum("pairs")).first()[0] or 0) // TASK_PAIRS)
-    side = lambda df, s, part: df.join(parts.drop("pairs"), "key").select("key", part.alias("part"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "blocks", "facts", "equals", "name")]).repartition(tasks, "key", "part")
-    left = side(left, "a", F.pmod(F.xxhash64("id"), F.col("parts")))
-    right = side(right, "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-
-    x, y = F.col("facts_a"), F.col("facts_b")
-    score = lambda bound: pair_score(x, y, lambda *_: T.facts_score(F.col("name_a"), F.col("name_b"), bound), lambda f, k: f[k])
-    block = F.array_min(F.array_intersect("blocks_a", "blocks_b")) == F.col("key.block")
-    shared = F.array_min(F.array_intersect("equals_a", "equals_b"))
-    first = block & F.coalesce(shared == F.col("key.by"), ~F.col("key.by").contains("="))
-    may = (F.col("id_a") < F.col("id_b")) & first & (score_bound(x, y) >= threshold - 1e-9) & (score(True) >= threshold - 1e-9)
-    found = left.join(right, ["key", "part"]).where(may).select("id_a", "id_b", score(False).alias("score")).where(F.col("score") >= threshold)
-    return found.unionByName(same)
+    side = lambda df, s, part, *cols: df.join(parts.drop("pairs"), "key").select("key", part.alias("part"), *[F.col(c).alias(f"{c.split('.')[-1]}_{s}") for c in ("unit", "shape", "rep", *cols)]).repartition(tasks, "key", "part")
+    left = side(left, "a", F.pmod(F.xxhash64("unit"), F.col("parts")), "before")
+    right = side(right, "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "blocks", "fit.need")
+    once = ((F.col("shape_a") < F.col("shape_b")) | (F.col("unit_a") < F.col("unit_b"))) & ((F.size("before_a") == 0) | ~F.arrays_overlap("before_a", "blocks_b"))
+    met = left.join(right, ["key", "part"]).where(once).select(F.col("key.equal").alias("equal"), "unit_a", "unit_b", "shape_a", "shape_b", "rep_a", "rep_b", F.col("need_b").alias("need"))
+    own = groups.where("size > 1").select("equal", F.col("unit").alias("unit_a"), F.col("unit").alias("unit_b"), F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"), F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.explode(F.element_at(fits_of, F.col("equal") * 64 + F.col("shape"))).alias("fit"))
+    met = met.unionByName(own.where("fit.shape = shape_a").withColumn("need", F.col("fit.need")).drop("fit")).withColumns({"u": F.least("unit_a", "unit_b"), "v": F.greatest("unit_a", "unit_b")})
+
+    known = units.select("unit", T.name_facts(F.col("n")).alias("name"), "address")
+    x, y = known.toDF("u", "name_u", "address_u"), known.toDF("v", "name_v", "address_v")
+    scored = met.groupBy("u", "v").agg(F.min("need").alias("need")).join(x, "u").join(y, "v").where(T.facts_score(F.col("name_u"), F.col("name_v"), True) >= F.col("need") - 1e-9)
+    scored = scored.select("u", "v", T.facts_score(F.col("name_u"), F.col("name_v")).alias("s"), T.gram_similarity(F.col("address_u"), F.col("address_v"), 2).alias("r"), "need")
+    alike = materialize(scored.where(F.col("s") >= F.col("need") - 1e-9).drop("need"), "alike")
+    score = sure_score(F.col("equal"), F.col("shape_a").bitwiseAND(F.col("shape_b")), F.col("s"), F.col("r"))
+    found = materialize(met.join(alike, ["u", "v"]).where(F.col("s") >= F.col("need") - 1e-9).select("equal", "rep_a", "rep_b", score.alias("score")).where(F.col("score") >= threshold), "found")
+
+    both = found.select("equal", F.inline(F.array(F.struct(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other"), "score"), F.struct(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other"), "score"))))
+    others = both.groupBy("equal", "rep").agg(F.min_by(F.struct("other", "score"), "other").alias("o"))
+    of_many = members.join(groups.where("size > 1"), group).select("equal", "rep", "id").join(others, ["equal", "rep"]).select(F.col("id").alias("rep_a"), F.col("o.other").alias("rep_b"), F.col("o.score").alias("score"))
+    links = found.drop("equal").unionByName(of_many).where("rep_a <> rep_b")
+    links = links.groupBy(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b")).agg(F.max("score").alias("score"))
+    return links.unionByName(same)
 
 
 def clusters(records: DataFrame, matches: DataFrame, threshold: float = 0.75) -> DataFrame:

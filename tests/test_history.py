@@ -252,3 +252,15 @@ def test_index_of_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], "id long, body string")
     index = ranking.build_index(docs, ("body",), str(tmp_path / "i"))
     assert ranking.ranked(index, "x", {"body": 1.0}).count() == 0
+
+
+def test_links_of_groups_grow_with_the_records(spark):
+    """Records of one name, of which half have a date of birth and half a number, no two alike: each of one half matches each of the other."""
+    n = 200
+    k, number = F.col("id"), F.col("id").cast("string")
+    attributes = F.when(k % 2 == 0, F.create_map(F.lit("name"), F.lit("Maria Garcia"), F.lit("date_of_birth"), number)).otherwise(F.create_map(F.lit("name"), F.lit("Maria Garcia"), F.lit("national_id"), number))
+    records = spark.range(n).select("id", F.lit("crm").alias("source_system"), F.lit("individual").alias("entity_type"), attributes.alias("attributes"))
+    found = resolution.matching_pairs(records)
+    rows = found.collect()
+    assert n - 1 <= len(rows) < 2 * n and all(r["id_a"] % 2 != r["id_b"] % 2 and r["score"] >= 0.75 for r in rows)
+    assert {r["cluster"] for r in resolution.clusters(records, found).collect()} == {0}
