@@ -510,3 +510,12 @@ def test_scratch_removes_what_was_written(spark):
 def test_serialised_rows(spark):
     r = S.json_records(S.serialised(spark.createDataFrame([(1, datetime(2024, 1, 2, 3, 4, 5), 1), (2, None, None)], "id long, seen timestamp, is_pep int"), ("is_pep",)).orderBy("id")).collect()
     assert [x["json"] for x in r] == ['{"id":1,"seen":"2024-01-02T03:04:05","is_pep":true}', '{"id":2,"seen":null,"is_pep":false}']
+
+
+def test_pattern_summary_takes_all_payments(spark, tmp_path):
+    e = spark.range(10_050).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).cast("timestamp_ntz").alias("ts"), F.lit(7).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 50).cast("double").alias("value"), F.concat(F.lit('{"k": '), (F.col("id") % 40).cast("string"), F.lit("}")).alias("props"))
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = plans.QUERIES["agg24_pattern_summary"](spark, str(tmp_path)).toPandas()
+    assert got["total_count"][0] == 10_050 and rows(got) == rows(c.sql(plans.SQL["agg24_pattern_summary"]).df())
