@@ -54,20 +54,22 @@ def matches_in(names: DataFrame, entries: DataFrame) -> DataFrame:
     """``names`` (id, name) with ``matches``, highest score first, from list entries ``(provider, parts, list_type, confidence, score)``.
 
     An entry fits a name that holds all its parts, letter case aside; of entries alike in all but their parts one counts. Both
-    sides may be large: they meet by the first letters of an entry's longest part, at most three, so a name meets only entries that
-    share a piece with it. Entries without parts fit nothing.
+    sides may be large: distinct names meet distinct sets of parts, by the first letters of the longest part, at most three, so a name meets
+    only entries that share a piece with it; what the entries say comes once for each set. Entries without parts fit nothing.
     """
-    e = entries.withColumn("parts", F.filter(F.transform("parts", F.lower), lambda p: p != "")).where("size(parts) > 0")
+    e = entries.withColumn("parts", F.array_sort(F.array_distinct(F.filter(F.transform("parts", F.lower), lambda p: p != "")))).where("size(parts) > 0")
+    says = ("provider", "list_type", "confidence", "score")
+    e = e.groupBy("parts").agg(F.collect_set(F.struct((-F.col("score")).alias("o"), *says)).alias("says"))
     longest = F.element_at(F.array_sort(F.transform("parts", lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), 1)["p"]
     e = e.withColumn("piece", F.substring(longest, 1, 3))
     sizes = [r[0] for r in e.select(F.length("piece")).distinct().collect()]  # 1, 2 or 3
     n = names.withColumn("__low", F.lower(F.coalesce("name", F.lit(""))))
     at = lambda k: F.when(F.length("__low") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__low") - k + 1)), lambda i: F.substring(F.col("__low"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *[at(k) for k in sizes]))
-    hit = n.select("id", "__low", F.explode(pieces).alias("piece")).join(e, "piece").where(F.forall("parts", lambda p: F.col("__low").contains(p)))
-    found = hit.select("id", "provider", "list_type", "confidence", "score").distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "provider", "list_type", "confidence", "score"))).alias("found"))
+    hit = n.select("__low").distinct().select("__low", F.explode(pieces).alias("piece")).join(e, "piece").where(F.forall("parts", lambda p: F.col("__low").contains(p)))
+    found = hit.select("__low", F.explode("says").alias("s")).distinct().groupBy("__low").agg(F.array_sort(F.collect_list("s")).alias("found"))
     none = F.array().cast("array<struct<provider:string,list_type:string,confidence:string,score:double>>")
-    out = n.drop("__low").join(found, "id", "left")
+    out = n.join(found, "__low", "left").drop("__low")
     return out.withColumn("matches", F.coalesce(F.transform("found", lambda m: F.struct(m["provider"], m["list_type"], m["confidence"], m["score"])), none)).drop("found")
 
 

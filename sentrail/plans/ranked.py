@@ -221,9 +221,11 @@ def _(spark, d):
     p = S.parquet(spark, d, "part")
     w = F.split("p_name", " ")
     entries = p.where("p_partkey % 40 = 0").select(F.concat(F.lit("list"), (F.col("p_partkey") % 3).cast("string")).alias("provider"), F.array(F.get(w, F.lit(0)), F.get(w, F.lit(1))).alias("parts"), S.pick(F.col("p_partkey"), ("sanctions", "pep", "adverse_media")).alias("list_type"), F.lit("strong").alias("confidence"), F.col("p_size").cast("double").alias("score"))
-    found = screening.matches_in(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), entries).where("size(matches) > 0")
+    names = p.select(F.col("p_name").alias("name")).distinct()  # what is found of a name is written as text once
+    found = screening.matches_in(names, entries).where("size(matches) > 0")
     text = F.transform("matches", lambda m: F.concat_ws(":", m["provider"], m["list_type"], m["score"].cast("int").cast("string")))
-    return found.select("id", F.array_join(F.array_sort(F.array_distinct(text)), ",").alias("found"))
+    found = found.select("name", F.array_join(F.array_sort(F.array_distinct(text)), ",").alias("found"))
+    return p.join(found, F.col("p_name") == F.col("name")).select(F.col("p_partkey").alias("id"), "found")
 
 
 MATCHES = """mt AS (SELECT doc_id, lower(text) AS n FROM documents), hits AS (SELECT doc_id AS entity_id, t.* FROM mt, LATERAL (VALUES ('sanctions', 0.92, 'provider_1', contains(n, 'kim') AND contains(n, 'jong')), ('sanctions', 0.95, 'provider_1', contains(n, 'putin')), ('pep', 1.0, 'provider_1', contains(n, 'putin')),

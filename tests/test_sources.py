@@ -218,6 +218,17 @@ def test_a_provider_behind_an_endpoint(spark):
     assert got == want
 
 
+def test_repeated_names_and_entries_meet_once(spark):
+    """A name that many rows have meets a set of parts that many entries have once, however many there are of either."""
+    listed = spark.range(3000).select(F.lit("p").alias("provider"), F.array(F.lit("Red"), F.concat(F.lit("rin"), F.substring(F.lit("ggg"), 1, (F.col("id") % 2 + 1).cast("int")))).alias("parts"), F.lit("pep").alias("list_type"), F.lit("strong").alias("confidence"), (F.col("id") % 4).cast("double").alias("score"))
+    rows = spark.range(3000).select("id", F.concat(F.lit("red RINGG"), (F.col("id") % 3).cast("string")).alias("name"))
+    out = screening.matches_in(rows, listed)
+    got = out.collect()
+    assert len(got) == 3000 and all([m["score"] for m in r["matches"]] == [3.0, 2.0, 1.0, 0.0] for r in got)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [__low" in plan and "Aggregate [parts" in plan  # both sides are made distinct
+
+
 class Recorder:
     """Stands in for a reader whose server is not there: what it was asked for."""
 
