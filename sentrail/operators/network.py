@@ -107,7 +107,7 @@ def node_metrics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     o = und.join(deg.select(F.col("id").alias("src"), F.col("neighbour_count").alias("ds")), "src").join(deg.select(F.col("id").alias("dst"), F.col("neighbour_count").alias("dd")), "dst").where(lo < hi).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     wedge = o.join(o.select("a", F.col("b").alias("c")), "a").where("b < c")
     tri = wedge.join(und.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"]).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    exposure = und.join(vertices.select(F.col("id").alias("dst"), "risk_score"), "dst", "left").groupBy(F.col("src").alias("id")).agg(F.sum("risk_score").alias("exposure"))
+    exposure = und.join(vertices.select(F.col("id").alias("dst"), "risk_score"), "dst", "left").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("risk_score").cast("decimal(28,12)")).cast("double").alias("exposure"))  # decimals add up to the same in any order
     out = vertices.select("id").join(degrees(edges), "id", "left").join(deg, "id", "left").join(tri, "id", "left").join(exposure, "id", "left").na.fill(0)
     n = F.col("neighbour_count")
     coeff = F.coalesce(ratio(F.col("links") * 2, n * (n - 1)), F.lit(0.0))

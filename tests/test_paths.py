@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrail.functions import segments
-from sentrail.operators import analytics, network, paths
+from sentrail.operators import analytics, network, paths, workflow
 
 
 def graph(seed, n, m, parts=1):
@@ -213,3 +213,11 @@ def test_ranked_path_risk(spark):
         for limit in (4,):
             want = [tuple(r) for r in network.path_risk(v, e, 2, 3, limit).collect()]
             assert [tuple(r) for r in paths.ranked_path_risk(v, e, 2, 3, limit).collect()] == want
+
+
+def test_exposure_is_the_same_in_any_order(spark):
+    """200 neighbours of risk 0.1: 20, which is not above 20; doubles miss it by the order in which they are added."""
+    v = spark.range(201).select("id", F.lit(0.1).alias("risk_score"))
+    e = spark.range(1, 201).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    m = network.node_metrics(v, e)
+    assert m.where("id = 0").first()["risk_exposure"] == 20.0 and workflow.exposure_alerts(m, 20).count() == 0
