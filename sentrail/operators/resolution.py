@@ -55,8 +55,20 @@ def job_clusters(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("id_a").alias("id")).agg(F.array_sort(F.collect_list("id_b")).alias("matches"), F.avg("similarity").alias("avg_similarity"), F.count("*").alias("match_count"))
 
 
+def job_stars(entities: DataFrame, threshold: float = 0.8, name: str = "name") -> DataFrame:
+    """``job_clusters`` of ``job_pairs`` without pairs of ids between tasks: the ids of names alike are put together and sorted once a name, and each entity takes the later ones."""
+    e, alike = alike_names(entities, threshold, name)
+    both = alike.unionByName(e.select("n", F.col("n").alias("n_b"), F.lit(1.0).alias("similarity")).distinct())
+    ids = e.where("id is not null").groupBy(F.col("n").alias("n_b")).agg(F.collect_list("id").alias("ids"))
+    with_similarity = F.transform("ids", lambda i: F.struct(i.alias("id"), F.col("similarity").alias("s")))
+    near = both.join(ids, "n_b").groupBy("n").agg(F.array_sort(F.flatten(F.collect_list(with_similarity))).alias("near"))
+    stars = e.join(near, "n").select("id", F.filter("near", lambda x: x["id"] > F.col("id")).alias("later")).where("size(later) > 0")
+    total = F.aggregate("later", F.lit(0.0), lambda t, x: t + x["s"])
+    return stars.select("id", F.transform("later", lambda x: x["id"]).alias("matches"), (total / F.size("later")).alias("avg_similarity"), F.size("later").cast("long").alias("match_count"))
+
+
 def resolve_job(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
-    return job_clusters(job_pairs(entities, threshold)).join(entities, "id")
+    return job_stars(entities, threshold).join(entities, "id")
 
 
 def job_stats(clusters: DataFrame) -> DataFrame:

@@ -264,3 +264,14 @@ def test_links_of_groups_grow_with_the_records(spark):
     rows = found.collect()
     assert n - 1 <= len(rows) < 2 * n and all(r["id_a"] % 2 != r["id_b"] % 2 and r["score"] >= 0.75 for r in rows)
     assert {r["cluster"] for r in resolution.clusters(records, found).collect()} == {0}
+
+
+def test_stars_equal_clusters_of_pairs(spark):
+    """The same rows; the plan joins no pairs of ids."""
+    rng = random.Random(8)
+    names = ["Maria Garcia", "Maria Garzia", "Mario Garcia", "Peter Smith", "Peter Smyth", None, "", "Zoe"]
+    people = spark.createDataFrame([(i, rng.choice(names)) for i in range(80)], "id long, name string")
+    plain = lambda df: sorted((r["id"], r["matches"], round(r["avg_similarity"], 9), r["match_count"]) for r in df.select("id", "matches", "avg_similarity", "match_count").collect())
+    out = resolution.resolve_job(people)
+    assert plain(out) == plain(resolution.job_clusters(resolution.job_pairs(people))) and len(plain(out)) > 20
+    assert "id_b" not in out._jdf.queryExecution().optimizedPlan().toString()
