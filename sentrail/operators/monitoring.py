@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_hours, ladder, ratio
@@ -30,12 +31,27 @@ def velocity(tx: DataFrame, lookback: int = 30, threshold: float = 3, hot_rows:
     days = tx.withColumn("__day", F.date_trunc("day", "transaction_date"))
     counts = days.groupBy(F.col("sender_entity_id").alias("__sender"), F.col("__day").alias("__on")).agg(F.count("*").alias("daily_count"))
     days = days.join(counts, F.col("sender_entity_id").eqNullSafe(F.col("__sender")) & F.col("__day").eqNullSafe(F.col("__on")))
-    s = segmented(days.drop("__sender", "__on", "__day"), ["sender_entity_id"], ["transaction_date", "id"], hot_rows)
+    late = F.col("transaction_date").isNull()  # payments without a time come last
+    s = segmented(days.drop("__sender", "__on", "__day"), ["sender_entity_id"], [late, "transaction_date", "id"], hot_rows)
     w = s.window().rowsBetween(-lookback, -1)
-    d = with_halo(s, lookback).withColumns({"avg_daily": F.avg("daily_count").over(w), "std_daily": F.stddev("daily_count").over(w)}).where(~F.col(HALO)).drop(HALO, PART)
-    d = d.withColumn("z_score", ratio(F.col("daily_count") - F.col("avg_daily"), F.col("std_daily"))).where(F.col("z_score") >= threshold)
-    severity = ladder(F.col("z_score"), [(5, "critical"), (4, "high")], "medium")
-    return d.withColumnRenamed("risk_score", "tx_risk_score").withColumns({"alert_type": F.lit("velocity_spike"), "severity": severity, "risk_score": F.round(F.col("z_score") / 10, 2)})
+    c = F.col("daily_count")
+    d = with_halo(s, lookback).withColumns({"__n": F.count(c).over(w), "__sum": F.sum(c).over(w), "__squares": F.sum(c * c).over(w)}).where(~F.col(HALO)).drop(HALO, PART)
+    # sums of counts are exact, so a score that is just the threshold reaches it in whatever order they are added
+    n, total, squares = (F.col(x).cast("decimal(19,0)") for x in ("__n", "__sum", "__squares"))
+    above = n * c - total
+    spread = (n * squares - total * total).cast("decimal(38,0)")  # the variance times n (n - 1)
+    d = d.withColumns({"avg_daily": ratio(F.col("__sum"), F.col("__n")), "std_daily": F.sqrt(ratio(spread.cast("double"), F.col("__n") * (F.col("__n") - 1)))})
+    d = d.withColumns({"__up": (above * F.abs(above) * (n - 1)).cast("decimal(38,0)"), "__down": (n * spread).cast("decimal(38,0)")}).where("__down > 0")
+
+    def reaches(z: float) -> Column:
+        t = Fraction(str(z))
+        return F.col("__up") * t.denominator**2 >= F.col("__down") * (t.numerator * abs(t.numerator))
+
+    square = F.col("__up").cast("double") / F.col("__down").cast("double")
+    d = d.where(reaches(threshold)).withColumn("z_score", F.signum(square) * F.sqrt(F.abs(square)))
+    severity = F.when(reaches(5), "critical").when(reaches(4), "high").otherwise("medium")
+    d = d.withColumn("severity", severity).drop("__n", "__sum", "__squares", "__up", "__down")
+    return d.withColumnRenamed("risk_score", "tx_risk_score").withColumns({"alert_type": F.lit("velocity_spike"), "risk_score": F.round(F.col("z_score") / 10, 2)})
 
 
 def round_amounts(tx: DataFrame) -> DataFrame:

@@ -101,6 +101,18 @@ def test_monitoring_of_busy_senders(spark, many_parts):
         assert few == many and few
 
 
+def test_velocity_that_is_just_the_threshold(spark):
+    """Payments a day by sender, of which one has a score of just 3 by whole numbers, whatever doubles say; payments without a time come last."""
+    senders = ([4, 3, 1, 2, 1, 1, 2, 9], [1, 1, 3, 2, 2, 3, 2, 1, 1, 2, 2, 2, 2, 1, 2, 1, 4], [3, 1, 3, 1, 2, 1, 1, 2, 2, 2, 2, 2, 1, 2, 2, 1, 4], [2, 2, 1, 3, 2, 2, 1, 2, 1, 3, 2, 1, 1, 2, 1, 2, 4], [4, 6, 1, 4, 2, 3, 2, 2, 10])
+    rows = [(s, START + timedelta(days=i, minutes=m)) for s, days in enumerate(senders, 1) for i, n in enumerate(days) for m in range(n)]
+    rows += [(0, START + timedelta(days=i, minutes=m)) for i, n in enumerate((1, 1, 1, 2)) for m in range(n)] + [(0, None)] * 4
+    tx = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, sender_entity_id long, transaction_date timestamp").withColumn("risk_score", F.lit(0.1))
+    found = monitoring.velocity(tx, threshold=3).where("abs(z_score - 3) < 1e-9").collect()
+    assert {r["sender_entity_id"] for r in found} == {1, 2, 3, 4, 5} and all(r["z_score"] == 3 for r in found)
+    nameless = monitoring.velocity(tx, threshold=1).where("sender_entity_id = 0 and transaction_date is null").orderBy("id").first()
+    assert nameless["avg_daily"] == 1.4 and nameless["daily_count"] == 4
+
+
 def test_running_sums(spark, many_parts):
     rows = spark.range(1000).select(F.when(F.col("id") % 5 < 3, 1).otherwise(F.col("id") % 7 + 2).alias("k"), "id", (F.col("id") % 11).alias("v"))
     got = segments.running(segments.parted(rows, ["k"], ["id"]), ["k"], ["id"], {"s": F.col("v"), "n": F.lit(1)}).collect()
