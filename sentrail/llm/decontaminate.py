@@ -38,6 +38,8 @@ CHUNK_BYTES = 32 << 20
 Q_SIZES = (12, 8, 6, 4, 3, 2, 1)
 BASE = U64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
+#: Cells of an alignment that are compared in one step, after which one that has gone beyond its budget is given up.
+ALIGNED_CELLS = 4096
 
 
 def normalized(text: str) -> Column:
@@ -134,19 +136,26 @@ def banded(item: np.ndarray, region: np.ndarray, k: int, edges: np.ndarray | Non
     if edges is not None:
         free &= edges[np.clip(j, 0, n)]
     cost = np.where(free, 0, big)
-    start = j.copy()
-    for i in range(1, m + 1):
-        j = i + lo + cols
-        valid = (j >= 0) & (j <= n)
-        sub = cost + np.where((j >= 1) & (j <= n), region[np.clip(j - 1, 0, n - 1)] != item[i - 1], big)
-        up = np.append(cost[1:], big) + 1
-        best = np.where(up < sub, up, sub)
-        s = np.where(up < sub, np.append(start[1:], 0), start)
-        best[~valid] = big
-        run = best - cols  # a move along the row costs one for each column
-        low = np.minimum.accumulate(run)
-        src = np.maximum.accumulate(np.where(run == low, cols, 0))
-        cost, start = np.where(valid, low + cols, big), s[src]
+    start = np.append(j, 0)
+    up = np.full(width, big + 1)
+    ends = np.concatenate([np.full(k + 1, -1), region, np.full(max(0, m - n) + k + 1, -1)])  # -1: outside the region
+    ends = np.lib.stride_tricks.sliding_window_view(ends, width)
+    rows = max(1, ALIGNED_CELLS // width)
+    for first in range(0, m, rows):
+        under = ends[first + 1 : first + 1 + min(rows, m - first)]
+        away = np.where(under < 0, big, under != item[first : first + len(under), None])
+        for i, other in enumerate(away, first + 1):
+            np.add(cost[1:], 1, out=up[:-1])
+            sub = cost + other
+            s = np.where(up < sub, start[1:], start[:-1])
+            run = np.minimum(up, sub) - cols  # a move along the row costs one for each column
+            low = np.minimum.accumulate(run)
+            src = np.maximum.accumulate(np.where(run == low, cols, 0))
+            cost = low + cols
+            cost[max(0, n + 1 - i - lo) :] = big
+            start[:-1] = s[src]
+        if cost.min() > k:  # no later row has less
+            return None
     if edges is not None:
         cost = np.where(edges[np.clip(m + lo + cols, 0, n)], cost, big)
     e = int(np.argmin(cost))
