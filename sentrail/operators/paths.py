@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, scratch
-from .network import SHARED, betweenness_parts, generate_network, path_risk, undirected
+from .network import SHARED, generate_network, path_risk, undirected
+from .vectors import WIDTH, dependencies, in_blocks
 
 # shortest paths ------------------------------------------------------------------
 
@@ -152,7 +153,7 @@ def sampled_betweenness(vertices: DataFrame, edges: DataFrame, epsilon: float =
     b / (n (n - 2) / 2) is known within ``error`` for all vertices at once but for a chance of ``failure``, by the least of
     Hoeffding's and the empirical Bernstein bound with a union over vertices and rounds. Batches double until every
     ``error`` is at most ``epsilon``; if all vertices have been sources by then, values are exact and errors 0. The state is
-    (source, vertex) rows of one batch; between batches two sums a vertex are kept.
+    a row of numbers a vertex, one for each of some WIDTH sources; between batches two sums a vertex are kept.
     """
     with scratch() as tables:
         order = F.struct(F.xxhash64("id", F.lit(seed)), "id")
@@ -160,17 +161,18 @@ def sampled_betweenness(vertices: DataFrame, edges: DataFrame, epsilon: float =
         n = ids.count()
         und = materialize(undirected(edges), "und")
         sums = materialize(ids.select("id", F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), "sums")
+        nodes, graph, blocks = in_blocks(und, ids, WIDTH)
         left, drawn, rounds = ids, 0, 0
         while drawn < n:
             rounds += 1
             take = min(batch * (1 << (rounds - 1)), n - drawn)
             some = materialize(left.orderBy(order).limit(take), "sources")
             left = materialize(left.join(some, "id", "left_anti"), "rest")
-            for k in range(-(-take // batch)):  # so many rows of state at once
-                part = some.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(-(-take // batch))) == k)
-                more = betweenness_parts(und, part).groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("s2"), F.sum(F.col("delta") * F.col("delta")).alias("q2"))
+            for k in range(-(-take // WIDTH)):  # so many numbers a vertex at once
+                part = some.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(-(-take // WIDTH))) == k)
+                more = dependencies(nodes, graph, blocks, part)
                 nxt = materialize(sums.join(more, "id", "left").select("id", (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("q") + F.coalesce("q2", F.lit(0.0))).alias("q")), "sums")
-                release(sums)
+                release(sums, more)
                 sums = nxt
             drawn += take
             error = error_bound(drawn, n, failure / (rounds * (rounds + 1)))

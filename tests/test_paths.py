@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrail.functions import segments
-from sentrail.operators import analytics, network, paths, workflow
+from sentrail.operators import analytics, network, paths, vectors, workflow
+from sentrail.session import scratch
 
 
 def graph(seed, n, m, parts=1):
@@ -137,6 +138,22 @@ def test_sampled_betweenness_is_within_its_bound(spark):
     assert paths.sampled_betweenness(spark.range(0), spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_betweenness_in_many_blocks_with_hubs(spark, monkeypatch):
+    """Exact in many blocks and with sources in several parts; the edges of a hub are spread over the blocks."""
+    monkeypatch.setattr(vectors, "SUMS", 4096)
+    monkeypatch.setattr(paths, "WIDTH", 16)
+    n = 40
+    edges = [(h, v) for h in (0, 1) for v in range(2, 32) if (v * 7 + h) % 5] + [(v, v + 1) for v in range(30, 36)] + [(37, 38)]
+    v, e = spark.range(n), spark.createDataFrame(edges, "src long, dst long")
+    got = paths.sampled_betweenness(v, e, epsilon=0.001).collect()
+    want = exact_betweenness(edges, n)
+    assert len(got) == n and all(abs(r["betweenness"] - want[r["id"]]) < 1e-6 and r["sources"] == n for r in got)
+    with scratch():
+        _, graph, blocks = vectors.in_blocks(network.undirected(e), v, 256)
+        sizes = [len(r["b"]) // 4 for r in graph.select("b").collect()]
+    assert len(sizes) == blocks >= 4 and sum(sizes) == len(edges) and max(sizes) < len(edges) / 2
+
+
 # pages -------------------------------------------------------------------------
 
 
