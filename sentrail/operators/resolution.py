@@ -56,19 +56,27 @@ def job_clusters(pairs: DataFrame) -> DataFrame:
 
 
 def job_stars(entities: DataFrame, threshold: float = 0.8, name: str = "name") -> DataFrame:
-    """``job_clusters`` of ``job_pairs`` without pairs of ids between tasks: the ids of names alike are put together and sorted once a name, and each entity takes the later ones."""
+    """``job_clusters`` of ``job_pairs`` with the other columns of ``entities``; no pairs of ids and no lists of matches go between tasks.
+
+    The ids of names alike are put together and sorted once a name, and each entity, which brings its columns along, takes the later ones.
+    """
     e, alike = alike_names(entities, threshold, name)
     both = alike.unionByName(e.select("n", F.col("n").alias("n_b"), F.lit(1.0).alias("similarity")).distinct())
     ids = e.where("id is not null").groupBy(F.col("n").alias("n_b")).agg(F.collect_list("id").alias("ids"))
-    with_similarity = F.transform("ids", lambda i: F.struct(i.alias("id"), F.col("similarity").alias("s")))
-    near = both.join(ids, "n_b").groupBy("n").agg(F.array_sort(F.flatten(F.collect_list(with_similarity))).alias("near"))
-    stars = e.join(near, "n").select("id", F.filter("near", lambda x: x["id"] > F.col("id")).alias("later")).where("size(later) > 0")
-    total = F.aggregate("later", F.lit(0.0), lambda t, x: t + x["s"])
-    return stars.select("id", F.transform("later", lambda x: x["id"]).alias("matches"), (total / F.size("later")).alias("avg_similarity"), F.size("later").cast("long").alias("match_count"))
+    lists = both.join(ids, "n_b").groupBy(F.col("n").alias("__n")).agg(F.collect_list(F.struct("similarity", "ids")).alias("lists"))
+    with_similarity = F.transform("lists", lambda g: F.transform(g["ids"], lambda i: F.struct(i.alias("id"), g["similarity"].alias("s"))))
+    near = lists.select("__n", F.sort_array(F.flatten(with_similarity), asc=False).alias("near"))
+    near = near.select("__n", F.transform("near", lambda x: x["id"]).alias("__ids"), F.transform("near", lambda x: x["s"]).alias("__s"))
+    rows = entities.withColumn("__n", T.normalized_name(F.col(name))).where("id is not null and __n is not null")
+    later = F.array_position("__ids", F.col("id")).cast("int") - 1  # the greatest ids come first
+    stars = rows.join(near, "__n").withColumn("__later", later).where("__later > 0")
+    total = F.aggregate(F.slice("__s", F.lit(1), F.col("__later")), F.lit(0.0), lambda t, s: t + s)
+    matches = F.reverse(F.slice("__ids", F.lit(1), F.col("__later")))
+    return stars.select("id", matches.alias("matches"), (total / F.col("__later")).alias("avg_similarity"), F.col("__later").cast("long").alias("match_count"), *[c for c in entities.columns if c != "id"])
 
 
 def resolve_job(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
-    return job_stars(entities, threshold).join(entities, "id")
+    return job_stars(entities, threshold)
 
 
 def job_stats(clusters: DataFrame) -> DataFrame:

@@ -287,3 +287,13 @@ def test_stars_equal_clusters_of_pairs(spark):
     out = resolution.resolve_job(people)
     assert plain(out) == plain(resolution.job_clusters(resolution.job_pairs(people))) and len(plain(out)) > 20
     assert "id_b" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_matches_are_made_last(spark):
+    """Entities bring their columns to the names; the lists, which grow with the square of the records a name, meet no join after they are made."""
+    people = spark.createDataFrame([(3, "Ana", "x"), (1, "ana.", "y"), (2, "Ana", "z"), (None, "Ana", "w"), (4, None, "v")], "id long, name string, source_system string")
+    out = resolution.resolve_job(people)
+    assert out.columns == ["id", "matches", "avg_similarity", "match_count", "name", "source_system"]
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, [2, 3], 1.0, 2, "ana.", "y"), (2, [3], 1.0, 1, "Ana", "z")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index(" AS matches") < plan.index("Join")
